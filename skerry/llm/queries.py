@@ -2,7 +2,9 @@
 
 from skerry.llm.line_dedup import OP9_SQL, op9_line_dedup
 from skerry.llm.sharding import op10_sharding
+from skerry.llm.token_store import op2_token_store
+from skerry.llm.unigram import op1_sentencepiece
 from skerry.llm.url_filter import OP3_SQL, op3_url_filter
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op9_line_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_store, op3_url_filter, op9_line_dedup, op10_sharding)}
 SQL = {"op3_url_filter": OP3_SQL, "op9_line_dedup": OP9_SQL}
