@@ -94,7 +94,9 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batch
             # distinct first: a line that a third of the documents share is spread by its document ids
             once = batch.select(*KEY, "_id").distinct()
             runs.add(once.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_docs")))
-        hits = keyed.join(runs.frequent(), KEY, "left_semi")
+        # written first, so that the join either broadcasts it (its file size is known) or splits the lines of a hot key
+        frequent = scratch.write(runs.frequent(), "frequent")
+        hits = keyed.join(frequent, KEY, "left_semi")
         drop = hits.groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_drop"))
         return checkpointed(drop)
 
