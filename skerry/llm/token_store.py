@@ -11,6 +11,7 @@ and ordered by text; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -25,41 +26,81 @@ from skerry.llm.common import Scratch, bounded_arrow, checkpointed, table
 from skerry.llm.pieces import Memo, gather, list_array, split_batch
 
 END_ID = 2
+PUNCTUATION = string.punctuation
 _STORED = "doc_id long, part int, before long, ids array<int>"
 _memos: dict[str, Memo] = {}
 
 
 def word_memo(vocabulary: str) -> Memo:
-    """A worker's cache of encoded words. White space is dropped by this kind of tokenizer and no rule of it looks across
-    white space, so a text's ids are those of its white-space-separated words, one after another."""
+    """A worker's cache of encoded pieces of words."""
     if vocabulary not in _memos:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(vocabulary)
-        _memos[vocabulary] = Memo(lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)])
+        last = np.zeros(tok.get_vocab_size(with_added_tokens=True), bool)
+        last[[i for w, i in tok.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]] = True
+
+        def together(words: list[str]) -> list[list[int]]:
+            """Words of letters alone, encoded in lines; the ids that end a word show where to cut."""
+            lines = [words[i:i + 64] for i in range(0, len(words), 64)]
+            out: list[list[int]] = []
+            for own, e in zip(lines, tok.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+                ends = [0, *(np.flatnonzero(last[e.ids]) + 1).tolist()]
+                if len(ends) == len(own) + 1:
+                    ids = e.ids
+                    out += [ids[i:j] for i, j in zip(ends, ends[1:])]
+                else:
+                    out += [x.ids for x in tok.encode_batch_fast(own, add_special_tokens=False)]
+            return out
+
+        def encode(words: list[str]) -> list[list[int]]:
+            plain = [w.isalpha() for w in words]
+            easy = iter(together([w for w, p in zip(words, plain) if p]))
+            hard = iter(tok.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False))
+            return [next(easy) if p else next(hard).ids for p in plain]
+
+        _memos[vocabulary] = Memo(encode, limit=700_000)
     return _memos[vocabulary]
 
 
 def encode_batch(texts: pa.Array, memo: Memo, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """(all ids, number of ids of each text), each text with its end id."""
+    """(all ids, number of ids of each text), each text with its end id.
+
+    White space is dropped by this kind of tokenizer and no rule of it looks across white space, so a text's ids are those of
+    its white-space-separated words, one after another. A word of letters and the ASCII punctuation after it are separate
+    too, and A-Z may be lower-cased beforehand, so each distinct run of letters is encoded once."""
     offsets, codes, words = split_batch(texts, pc.ascii_split_whitespace)
-    slots = memo.slots(words.to_pylist())
-    starts, lens = memo.starts[slots], memo.lens[slots]
+    heads, tails = [], []
+    for w in words.to_pylist():
+        head = w.rstrip(PUNCTUATION)
+        if head.isalpha():
+            heads.append(head.lower() if head.isascii() else head)
+            tails.append(w[len(head):])
+        else:
+            heads.append(w)
+            tails.append("")
+    known: dict[str, int] = {}
+    numbers = [known.setdefault(x, len(known)) for x in heads]
+    numbers += [known.setdefault(x, len(known)) for x in tails]
+    slots = memo.slots(list(known))
+    starts, lens = memo.starts[slots][numbers], memo.lens[slots][numbers]
+    n = len(heads)
+    # two runs of ids for each word, and one more "word": the end of a text
     flat = np.concatenate([memo.flat[:memo.used], np.array([end_id], np.int32)])
-    end = len(words)  # one more "word": the end of a text
-    starts, lens = np.append(starts, memo.used), np.append(lens, 1)
-    codes = np.insert(codes, offsets[1:], end)
+    starts = np.stack([np.append(starts[:n], memo.used), np.append(starts[n:], 0)], 1)
+    lens = np.stack([np.append(lens[:n], 1), np.append(lens[n:], 0)], 1)
+    codes = np.insert(codes, offsets[1:], n)
     per_word = lens[codes]
-    bounds = np.concatenate([[0], np.cumsum(per_word)])
+    bounds = np.concatenate([[0], np.cumsum(per_word.sum(1))])
     at = offsets + np.arange(len(offsets))
-    return gather(flat, starts[codes], per_word), np.diff(bounds[at])
+    return gather(flat, starts[codes].ravel(), per_word.ravel()), np.diff(bounds[at])
 
 
 def write_token_orc(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, stripe_bytes: int = 16 << 20,
                     stride: int = 1000, bloom_fpp: float = 0.01) -> None:
     """Encode doc_id, text and write the ORC files."""
-    bounded_arrow(docs.sparkSession)
+    bounded_arrow(docs.sparkSession, rows=4096)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, part, before = word_memo(vocabulary), TaskContext.get().partitionId(), 0
