@@ -120,7 +120,7 @@ _NEEDS = {"v_vector_chunks": ["v_vectors", "v_chunks"], "v_vector_queries": ["v_
           "v_costs": ["v_documents"]}
 
 
-def duck(body: str, *views: str, **ctes: str) -> str:
+def duck(body: str, /, *views: str, **ctes: str) -> str:
     """DuckDB SQL with the named views, then named sub-queries, then the body."""
     order: list[str] = []
 
