@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"[ \t\n\r\f\x0B]"
 
@@ -26,7 +27,7 @@ RESEARCHER_PATTERN = r"(?i)\b(recorded by|performed by|signed|signature|investig
 WORD_JOINER = "⁠"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
@@ -221,7 +222,6 @@ def document_text_rollup(pages: DataFrame) -> DataFrame:
 def clean_documents(pages: DataFrame, steps: Sequence[str] = ("whitespace", "lab_values", "headers")) -> DataFrame:
     """Page texts through the chosen steps, in order, as one narrow stage."""
     known = {"whitespace": clean_whitespace, "lab_values": protect_lab_values, "headers": isolate_section_headers, "markdown": markdown_to_text, "ocr": fix_ocr_tokens}
-    text = F.col("text")
     for s in steps:
-        text = known[s](text)
-    return pages.withColumn("text", F.regexp_replace(text, r"^\s+|\s+\z", ""))
+        pages = pages.withColumn("text", known[s](F.col("text")))
+    return pages.withColumn("text", F.regexp_replace("text", r"^\s+|\s+\z", ""))

@@ -145,7 +145,7 @@ def embedding_cost_estimate(spark, d):
 
 
 def embedding_cost_rows(spark, d):
-    return e.embedding_cost_rows(e.embedding_cost_estimate(v_chunks(spark, d)), "m0")
+    return e.embedding_cost_rows(e.embedding_cost_estimate(v_chunks(spark, d)), "m0").withColumn("cost_usd", F.col("cost_usd").cast("double"))
 
 
 def advance_status(spark, d):
@@ -215,7 +215,7 @@ SQL = {
         case when chunk_id % 7 = 0 then timestamp '2024-03-01' when chunk_id % 3 = 0 then timestamp '2024-02-01' else timestamp '2024-01-01' end as embedding_generated_at from c where made""", "v_chunks", c=_MADE),
     "embedding_progress": duck("""select document_id, count(*) as total, count(*) filter (made) as embedded, count(*) filter (not made) as pending, round_even(100.0::double * count(*) filter (made) / count(*), 0)::int as percent from c group by 1""", "v_chunks", c=_MADE),
     "embedding_cost_estimate": duck(f"select document_id, {_TOKENS} as total_tokens, count(*) as chunk_count, cast(0 as decimal(12,8)) as cost_usd from v_chunks group by 1", "v_chunks"),
-    "embedding_cost_rows": duck(f"select document_id, n as token_count, k as chunk_count, 'm0' as model_name, cast(n * 0.00000002 as decimal(12,8)) as cost_usd from (select document_id, {_TOKENS} as n, count(*) as k from v_chunks group by 1)", "v_chunks"),
+    "embedding_cost_rows": duck(f"select document_id, n as token_count, k as chunk_count, 'm0' as model_name, cast(n * 0.00000002 as decimal(12,8))::double as cost_usd from (select document_id, {_TOKENS} as n, count(*) as k from v_chunks group by 1)", "v_chunks"),
     "advance_status": duck("""select document_id, case when status = 'ready' and coalesce(n, 0) > 0 and p = 0 then 'indexed' else status end as status,
         case when status = 'ready' and coalesce(n, 0) > 0 and p = 0 then 'complete' when status = 'ready' and coalesce(n, 0) = 0 then 'skipped' else embedding_status end as embedding_status
         from v_documents left join (select document_id, count(*) as n, count(*) filter (not made) as p from c where document_id % 15 <> 0 group by 1) using (document_id)""", "v_documents", "v_chunks", c=_MADE),
