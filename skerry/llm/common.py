@@ -66,5 +66,17 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def text_hash(text: Column) -> Column:
+    """With the doc_id, what tells rows apart: rows with both equal are copies of one row."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of ``gone`` (doc_id, _th: hash of the text), whatever other columns docs has."""
+    gone = gone.select(F.struct(F.col("doc_id").alias("id"), F.col("_th").alias("th")).alias("_skerry_row")).distinct()
+    own = F.struct(F.col("doc_id").alias("id"), text_hash(F.col("text")).alias("th"))
+    return docs.withColumn("_skerry_row", own).join(gone, "_skerry_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

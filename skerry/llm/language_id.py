@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import Scratch, bounded_arrow, checkpointed, table
+from skerry.llm.common import Scratch, bounded_arrow, checkpointed, table, text_hash
 from skerry.llm.url_filter import address_suffix, url_host, url_path
 
 SLOTS = 1 << 16
@@ -152,7 +152,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], evidence: Dat
     if evidence is None:
         evidence = spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, declared string, host string, suffix string")
     with Scratch(spark, "language-id") as scratch:
-        rows = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))).withColumnRenamed("host", "_source")
+        rows = docs.select("doc_id", "text", text_hash(F.col("text")).alias("_th"), F.col("host").alias("_source"))
         rows = text_likelihoods(rows, model, ["doc_id", "_th", "_source"]).join(evidence, "doc_id", "left")
         low = {c: F.coalesce(F.lower(F.col(c)), F.lit("")) for c in ("declared", "suffix")}
         rows = rows.withColumns(low | {"host": F.coalesce(F.lower("host"), F.lower("_source"), F.lit(""))}).drop("_source")

@@ -108,18 +108,19 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     """
     drop = dropped_lines(docs, min_docs, min_chars, batches, fanout)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "text")]
+    drop = drop.select(F.col("_id").alias("_skerry_id"), F.col("_th").alias("_skerry_th"), F.col("_drop").alias("_skerry_drop"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    left = docs.withColumn("_text", text).withColumn("_hash", F.xxhash64(text))
-    out = left.join(drop, left["doc_id"].eqNullSafe(drop["_id"]) & (left["_hash"] == drop["_th"]), "left")
-    lines = F.split("_text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
-    kept = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    left = docs.withColumn("_skerry_text", text).withColumn("_skerry_hash", F.xxhash64(text))
+    out = left.join(drop, F.col("doc_id").eqNullSafe(F.col("_skerry_id")) & (F.col("_skerry_hash") == F.col("_skerry_th")), "left")
+    text, dropped = F.col("_skerry_text"), F.col("_skerry_drop")
+    lines = F.split(text, "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
+    kept = F.when(dropped.isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return out.select(
         *[F.col(f"`{c}`") for c in keep],
         kept.alias("text"),
-        (F.char_length("_text") - F.char_length(F.replace(F.col("_text"), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        F.coalesce(F.size(dropped), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
