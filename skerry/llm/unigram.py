@@ -74,6 +74,7 @@ class Model:
     longest: int
     byte_ids: np.ndarray
     unknown_id: int
+    path: str
 
 
 def build_trie(keys: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,7 +168,7 @@ def load_model(path: str) -> Model:
             value_scores[i] = len(p.decode()) * top - 0.1
     base, check, value = build_trie(usable)
     _models[path] = Model(pieces, value_scores, kinds, dummy, base, check, value, min(normal) - UNKNOWN_PENALTY,
-                          max(len(p) for p, _ in usable), byte_ids, int(np.flatnonzero(kinds == UNKNOWN)[0]))
+                          max(len(p) for p, _ in usable), byte_ids, int(np.flatnonzero(kinds == UNKNOWN)[0]), path)
     return _models[path]
 
 
