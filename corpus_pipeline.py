@@ -13,15 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm import decontaminate, language_id, line_dedup, near_dedup, unigram
-from skerry.llm.common import shared_dir, table
+from skerry.llm.common import shared_dir, table, without
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not known go."""
     judged = language_id.document_languages(docs, table(spark, sf_dir, "pages"))
-    out = judged.filter(~F.col("accepted")).select(F.col("doc_id").alias("_id"), "_th").distinct()
-    marked = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return marked.join(out, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")), "left_anti").drop("_hash")
+    return without(docs, judged.filter(~F.col("accepted")).select("doc_id", "_th"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
