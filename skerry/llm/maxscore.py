@@ -41,49 +41,61 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def shard_topk(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, seed_rows: int = 512, step: int = 8):
-    """Best k rows of one shard for each query: (query ids, row ids, scores)."""
+def shard_topk(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, seed_rows: int = 512, step: int = 8,
+               together: int = 256):
+    """Best k rows of one shard for each query: (query ids, row ids, scores). ``together`` queries are traversed at a time."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1]
     kind = np.float64 if bound < EXACT_FLOAT else np.int64
     x, q = x.astype(kind), q.astype(kind)
-    columns = np.ascontiguousarray(x.T)
-    a, b = q * x.max(0), q * x.min(0)
-    least, spread = np.minimum(a, b), np.abs(a - b)
     seeds = np.unique(np.linspace(0, len(ids) - 1, min(seed_rows, len(ids))).astype(int))
-    seed_scores = q @ x[seeds].T
-    out_q, out_i, out_s = [], [], []
-    for i in range(len(q)):
-        known = seed_scores[i][ids[seeds] != q_ids[i]]
-        floor = np.partition(known, len(known) - k)[len(known) - k] if len(known) >= k else None
-        terms = np.argsort(-spread[i], kind="stable")
-        rest = np.concatenate([np.cumsum(spread[i][terms][::-1])[::-1], [0]]) + least[i].sum()
-        # rest[t]: the most that a row can score if all its essential contributions, the first t, are at their least
-        essential = len(terms) if floor is None else int(np.searchsorted(-rest, -floor, side="right"))
-        essential = min(max(essential, 1), len(terms))
-        score = q[i][terms[:essential]] @ columns[terms[:essential]]
-        live = np.arange(len(ids))
-        done = essential
-        top_after = np.concatenate([np.cumsum(np.maximum(a, b)[i][terms][::-1])[::-1], [0]])
-        while floor is not None:
-            compete = score + top_after[done] >= floor
-            live, score = live[compete], score[compete]
-            if done == len(terms) or not len(live):
-                break
-            more = terms[done:done + step]
-            score = score + q[i][more] @ columns[np.ix_(more, live)]
-            done += len(more)
-        other = ids[live] != q_ids[i]
-        live, score = live[other], score[other]
-        if len(score) > 4 * k:
-            cut = np.partition(score, len(score) - k)[len(score) - k]
-            live, score = live[score >= cut], score[score >= cut]
-        best = np.lexsort((ids[live], -score))[:k]
-        out_q.append(np.full(len(best), q_ids[i]))
-        out_i.append(ids[live[best]])
-        out_s.append(score[best].astype(np.int64))
-    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_q, out_i, out_s))
+    found = [_block_topk(q_ids[i:i + together], q[i:i + together], ids, x, k, seeds, step) for i in range(0, len(q), together)]
+    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (list(zip(*found)) or [(), (), ()]))
+
+
+def _suffix_sums(values: np.ndarray) -> np.ndarray:
+    """[i, t]: sum of values[i, t:]; the last column is zero."""
+    return np.concatenate([np.cumsum(values[:, ::-1], 1)[:, ::-1], np.zeros((len(values), 1), values.dtype)], 1)
+
+
+def _block_topk(q_ids, q, ids, x, k, seeds, step, dense=0.03):
+    n, width = q.shape
+    each = np.arange(n)
+    a, b = q * x.max(0), q * x.min(0)
+    least, most = np.minimum(a, b), np.maximum(a, b)
+    terms = np.argsort(least - most, axis=1, kind="stable")  # by falling bound
+    known = np.where(ids[seeds][None, :] != q_ids[:, None], (q @ x[seeds].T).astype(np.float64), -np.inf)
+    floor = np.partition(known, len(seeds) - k, axis=1)[:, len(seeds) - k] if len(seeds) >= k else np.full(n, -np.inf)
+    # the most that a row can score if all of its first t terms contribute their least
+    reach = _suffix_sums(np.take_along_axis(most - least, terms, 1)) + least.sum(1, keepdims=True)
+    essential = np.where(np.isfinite(floor), np.clip((reach >= floor[:, None]).sum(1), 1, width), width)
+    after = _suffix_sums(np.take_along_axis(most, terms, 1))
+    place = np.empty_like(terms)
+    np.put_along_axis(place, terms, np.arange(width)[None, :], 1)
+    partial = np.where(place < essential[:, None], q, 0) @ x.T  # the essential terms of all rows
+    reached, live = essential, partial + after[each, essential][:, None] >= floor[:, None]
+    while reached.min() < width and live.mean() > dense:  # many rows compete: probe the next terms of all of them at once
+        onward = np.minimum(reached + step, width)
+        partial += np.where((place >= reached[:, None]) & (place < onward[:, None]), q, 0) @ x.T
+        reached = onward
+        live = partial + after[each, reached][:, None] >= floor[:, None]
+    qi, xi = np.nonzero(live)
+    score, done = partial[qi, xi], reached[qi]
+    while len(qi) and done.min() < width:  # probe the next terms of the rows that still compete
+        at = done[:, None] + np.arange(step)
+        t = terms[qi[:, None], np.minimum(at, width - 1)]
+        score = score + np.where(at < width, q[qi[:, None], t] * x[xi[:, None], t], 0).sum(1)
+        done = np.minimum(done + step, width)
+        stay = score + after[qi, done] >= floor[qi]
+        qi, xi, score, done = qi[stay], xi[stay], score[stay], done[stay]
+    other = ids[xi] != q_ids[qi]
+    qi, xi, score = qi[other], xi[other], score[other]
+    best = np.lexsort((ids[xi], -score, qi))
+    qi, xi, score = qi[best], xi[best], score[best]
+    first = np.searchsorted(qi, qi, side="left")
+    top = np.arange(len(qi)) - first < k
+    return q_ids[qi[top]], ids[xi[top]], score[top].astype(np.int64)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, shard_rows: int = 4096, block_rows: int = 4096) -> DataFrame:
