@@ -8,18 +8,18 @@ from skerry.operators import vectors as v
 from skerry.plans.views import (duck, v_chunks, v_documents, v_projects, v_search_logs, v_text_queries, v_vector_chunks, v_vector_queries,
                                 v_vectors)
 
-OTHER = F.col("chunk_id") != F.col("query_id")
+OTHER = "chunk_id <> query_id"
 AS_OF = "2024-01-31 00:00:00"
 K, THRESHOLD, POOL = 10, 0.1, 30
 RESULT = ("query_id", "document_id", "chunk_index", "content", "context_before", "context_after", "score", "position")
 
 
 def exact_knn(spark, d):
-    return v.exact_knn(v_vectors(spark, d), v_vector_queries(spark, d), K, THRESHOLD, exclude=OTHER)
+    return v.exact_knn(v_vectors(spark, d), v_vector_queries(spark, d), K, THRESHOLD, exclude=F.expr(OTHER))
 
 
 def _semantic(spark, d, k=K, threshold=THRESHOLD):
-    return s.semantic_search(v_vector_chunks(spark, d), v_chunks(spark, d), v_vector_queries(spark, d), k, threshold, OTHER)
+    return s.semantic_search(v_vector_chunks(spark, d), v_chunks(spark, d), v_vector_queries(spark, d), k, threshold, F.expr(OTHER))
 
 
 def semantic_search(spark, d):
@@ -40,7 +40,7 @@ def knn_recall(spark, d):
     """All lists probed: the approximate search finds every exact neighbour."""
     vectors, queries = v_vectors(spark, d), v_vector_queries(spark, d)
     centroids, assigned = v.build_ivf(vectors, lists=20)
-    exact = v.exact_knn(vectors, queries, K, exclude=OTHER)
+    exact = v.exact_knn(vectors, queries, K, exclude=F.expr(OTHER))
     return v.knn_recall(exact, v.ann_knn(centroids, assigned, queries, nprobe=20, k=K))
 
 
@@ -117,7 +117,7 @@ def rrf_fuse(spark, d):
 
 def hybrid_search(spark, d):
     out = s.hybrid_search(v_vector_chunks(spark, d), kw.build_postings(v_chunks(spark, d)), v_chunks(spark, d), v_vector_queries(spark, d),
-                          v_text_queries(spark, d), K, THRESHOLD, OTHER)
+                          v_text_queries(spark, d), K, THRESHOLD, F.expr(OTHER))
     return out.select("query_id", "document_id", "chunk_index", "score", "position")
 
 
