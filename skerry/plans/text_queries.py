@@ -173,3 +173,57 @@ SQL = {
         then strftime(date '1899-12-30' + cast(floor(try_cast(value as double)) as int), '%Y-%m-%d') else value end as value from v_cells""", "v_cells"),
     "document_text_rollup": duck(r"""select document_id, string_agg(text, chr(10) || chr(10) order by page_number) as text, sum(len(regexp_extract_all(text, '\S+')))::bigint as word_count, count(*) as page_count from v_pages group by 1""", "v_pages"),
 }
+
+
+# --- steps of page cleaning, on texts that get the constructs they are for ---------------------------------------------
+
+_MARKED = """concat('# Title ', document_id, {nl}, '**', left(text, 20), '** and _', substr(text, 21, 10), '_ `', document_id, '`', {nl}, '> ', substr(text, 31, 30), {nl}, '* item', {nl}, '| a | b |', {nl}, '|---|---|', {nl},
+    '[link](http://x.example/', document_id, ')', {nl}, text)"""
+_LABBED = "concat('RESULTS ', document_id, {nl}, replace(text, '. ', ' 126 mg/dL. '), {nl}, 'Notes:', {nl}, {nl}, text, ' Na 140  mmol/L, 7 %x 1O5 l2 0Ill ', document_id, 'O ', {nl}, '*** --', {nl}, 'end')"
+
+
+def _with(spark, d, expression):
+    return v_documents(spark, d).withColumn("text", F.expr(expression.format(nl="'\\n'")))
+
+
+def markdown_to_text(spark, d):
+    return _with(spark, d, _MARKED).select("document_id", t.markdown_to_text(F.col("text")).alias("text"))
+
+
+def protect_lab_values(spark, d):
+    return _with(spark, d, _LABBED).select("document_id", t.protect_lab_values(F.col("text")).alias("text"))
+
+
+def isolate_section_headers(spark, d):
+    return _with(spark, d, _LABBED).select("document_id", t.isolate_section_headers(F.col("text")).alias("text"))
+
+
+def fix_ocr_tokens(spark, d):
+    return _with(spark, d, _LABBED).select("document_id", t.fix_ocr_tokens(F.col("text")).alias("text"))
+
+
+def clean_documents(spark, d):
+    pages = _with(spark, d, _LABBED).select("document_id", F.lit(1).alias("page_number"), "text")
+    return t.clean_documents(pages)
+
+
+def decode_corpus(spark, d):
+    """Documents as bytes in four encodings, decoded again."""
+    docs = v_documents(spark, d).select(F.concat(F.lit("f"), F.col("document_id").cast("string")).alias("path"), F.expr("""case document_id % 4 when 0 then encode(text, 'UTF-8') when 1 then concat(X'FFFE', encode(text, 'UTF-16LE'))
+        when 2 then concat(X'EFBBBF', encode(text, 'UTF-8')) else encode(text, 'ISO-8859-1') end""").alias("content"))
+    return u.decode_corpus(docs)
+
+
+QUERIES |= {f.__name__: f for f in (markdown_to_text, protect_lab_values, isolate_section_headers, fix_ocr_tokens, clean_documents, decode_corpus)}
+
+_LABBED_CTE = {"x": f"select document_id, {_LABBED.format(nl='chr(10)')} as text from v_documents"}
+_HEADER = r"regexp_matches(trim({0}), '^(?:[A-Z][A-Z0-9 /&\-]{{2,60}}|[A-Za-z][A-Za-z0-9 /&\-]{{1,60}}:)$')"
+SQL |= {
+    "protect_lab_values": duck(f"""select document_id, regexp_replace(text, '(?i)(\\d+\\.?\\d*)\\s+({t.LAB_UNITS})([^A-Za-z0-9]|$)', '\\1{t.WORD_JOINER}\\2\\3', 'g') as text from x""", "v_documents", **_LABBED_CTE),
+    "isolate_section_headers": duck(f"""select document_id, array_to_string(list_transform(l, lambda y, i: case when {_HEADER.format('y')} then
+        concat(case when i > 1 and trim(l[i - 1]) <> '' and not {_HEADER.format('l[i - 1]')} then chr(10) else '' end, trim(y), case when trim(coalesce(l[i + 1], '')) <> '' then chr(10) else '' end) else y end), chr(10)) as text
+        from (select document_id, string_split(text, chr(10)) as l from x)""", "v_documents", **_LABBED_CTE),
+    "fix_ocr_tokens": duck(r"""select document_id, array_to_string(list_transform(string_split(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda y: regexp_matches(y, '[\p{L}\p{N}]')), chr(10)), '\b([0-9OolI]{2,})\b', chr(1) || '\1' || chr(1), 'g'), chr(1)),
+        lambda p: case when regexp_matches(p, '^[0-9OolI]{2,}$') and length(regexp_replace(p, '[^0-9]', '', 'g')) > 0 and length(regexp_replace(p, '[^0-9]', '', 'g')) * 2 >= length(p) then translate(p, 'OolI', '0011') else p end), '') as text from x""", "v_documents", **_LABBED_CTE),
+    "decode_corpus": duck("""select concat('f', cast(document_id as varchar)) as path, text, case document_id % 4 when 0 then 'utf-8' when 1 then 'utf-16le' when 2 then 'utf-8-sig' else case when regexp_matches(text, '[^\\x00-\\x7F]') then 'latin-1' else 'utf-8' end end as encoding from v_documents""", "v_documents"),
+}
