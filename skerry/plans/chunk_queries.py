@@ -56,7 +56,10 @@ def split_sentences(spark, d):
 
 
 def glue_split_lab_values(spark, d):
-    return _units(spark, d, c.glue_split_lab_values(c.split_sentences(F.col("text"), F.col("char_start"))), "paragraph")
+    """Sentences of which some end in a number and some begin with a unit, also several in a row."""
+    cut = F.transform(c.split_sentences(F.col("text"), F.col("char_start")), lambda u, i: F.struct(
+        F.concat(F.when(i % 5 > 1, "mmHg ").otherwise(""), u["text"], F.when(i % 5 > 0, " 12").otherwise("")).alias("text"), u["char_start"].alias("char_start"), u["char_end"].alias("char_end")))
+    return _units(spark, d, c.glue_split_lab_values(cut), "paragraph")
 
 
 def split_list_items(spark, d):
@@ -183,6 +186,12 @@ SQL = {
         from runs group by document_id, page_number, run""", "v_pages", **_BASE,
         runs="""select *, sum(fresh) over (partition by document_id, page_number order by block_no) as run from (select *, case when kind = 'paragraph' and lag(kind) over (partition by document_id, page_number order by block_no) = 'paragraph' then 0 else 1 end as fresh from blocks)"""),
     "split_sentences": duck(f"select {_K}, no as unit_no, text, char_start, char_end from kept", "v_pages", **_BASE, **_SENT),
+    "glue_split_lab_values": duck(f"""select {_K}, (row_number() over (partition by {_K} order by no) - 1)::int as unit_no, case when glued then text || ' ' || nt else text end as text, char_start, case when glued then ne else char_end end as char_end
+        from (select *, coalesce(lag(glued) over (partition by {_K} order by no), false) as eaten from picked) where not eaten""", "v_pages", **_BASE, **_SENT,
+        cut="select * replace (concat(case when no % 5 > 1 then 'mmHg ' else '' end, text, case when no % 5 > 0 then ' 12' else '' end) as text) from kept",
+        fits=f"select *, lead(text) over u as nt, lead(char_end) over u as ne, coalesce(regexp_matches(text, '\\d\\s*$') and regexp_matches(lead(text) over u, '(?i)^\\s*(mg/dL|mmol/L|IU/L|g/L|mEq/L|mmHg|bpm|%)'), false) as fit from cut window u as (partition by {_K} order by no)",
+        runs=f"select *, sum((not fit)::int) over (partition by {_K} order by no) as run from fits",
+        picked=f"select *, fit and (row_number() over (partition by {_K}, run, fit order by no) - 1) % 2 = 0 as glued from runs"),
     "split_list_items": duck(f"""select {_K}, (item - 1)::int as unit_no, string_agg(line, chr(10) order by i) as text, min(s)::int as char_start, max(s + length(line))::int as char_end from numbered where item > 0 group by all""",
         "v_pages", **_BASE, lines=f"select {_K}, char_start, generate_subscripts(l, 1) as i, unnest(l) as line from (select *, string_split(text, chr(10)) as l from blocks where kind = 'list')",
         numbered=f"""select *, char_start + coalesce(sum(length(line) + 1) over (partition by {_K} order by i rows between unbounded preceding and 1 preceding), 0) as s,
