@@ -97,7 +97,7 @@ def chunk_metadata(spark, d):
 
 
 def chunk_documents(spark, d):
-    return c.chunk_documents(v_rich(spark, d), CONFIG)
+    return c.chunk_documents(v_rich(spark, d), CONFIG).drop("char_start", "char_end")
 
 
 def chunk_stats(spark, d):
@@ -152,11 +152,11 @@ _SENT = _offsets("(select * from blocks where kind = 'paragraph')", _K, r"regexp
 _TOK = "len(regexp_extract_all({0}, '\\S+'))"
 
 
-def _accumulate(units: str, max_tokens: int, overlap: int, sep: str) -> dict[str, str]:
+def _accumulate(units: str, max_tokens: int, overlap: int, sep: str, acc: str = "acc", packed: str = "packed") -> dict[str, str]:
     """Recursive twin of the greedy packing over units (keys, no, text, char_start, char_end)."""
     last = f"(case when {_TOK.format('cur')} <= {overlap} then cur else array_to_string(regexp_extract_all(cur, '\\S+')[-{max(overlap, 1)}:], ' ') end)" if overlap else "cast(null as varchar)"
     return {
-        "acc(document_id, page_number, block_no, no, cur, n, s, e, closed, cs, ce)": f"""
+        f"{acc}(document_id, page_number, block_no, no, cur, n, s, e, closed, cs, ce)": f"""
             select {_K}, no, text, {_TOK.format('text')}, char_start, char_end, cast(null as varchar), cast(null as int), cast(null as int) from {units} where no = 0
             union all
             select a.document_id, a.page_number, a.block_no, u.no,
@@ -164,9 +164,9 @@ def _accumulate(units: str, max_tokens: int, overlap: int, sep: str) -> dict[str
               case when a.n + {_TOK.format('u.text')} > {max_tokens} then coalesce({_TOK.format(last)}, 0) else a.n end + {_TOK.format('u.text')},
               case when a.n + {_TOK.format('u.text')} > {max_tokens} then u.char_start else a.s end, u.char_end,
               case when a.n + {_TOK.format('u.text')} > {max_tokens} then a.cur end, case when a.n + {_TOK.format('u.text')} > {max_tokens} then a.s end, case when a.n + {_TOK.format('u.text')} > {max_tokens} then a.e end
-            from acc a join {units} u on a.document_id = u.document_id and a.page_number = u.page_number and a.block_no = u.block_no and u.no = a.no + 1""",
-        "packed": f"""select {_K}, no, closed as content, cs as char_start, ce as char_end from acc where closed is not null
-            union all select {_K}, no + 1, cur, s, e from acc a where no = (select max(no) from {units} u where u.document_id = a.document_id and u.page_number = a.page_number and u.block_no = a.block_no)""",
+            from {acc} a join {units} u on a.document_id = u.document_id and a.page_number = u.page_number and a.block_no = u.block_no and u.no = a.no + 1""",
+        packed: f"""select {_K}, no, closed as content, cs as char_start, ce as char_end from {acc} where closed is not null
+            union all select {_K}, no + 1, cur, s, e from {acc} a where no = (select max(no) from {units} u where u.document_id = a.document_id and u.page_number = a.page_number and u.block_no = a.block_no)""",
     }
 
 
@@ -174,6 +174,47 @@ def _recursive(sql: str) -> str:
     return sql.replace("with ", "with recursive ", 1)
 
 
+_ITEMS = {
+    "i_lines": f"select {_K}, char_start, generate_subscripts(l, 1) as i, unnest(l) as line from (select *, string_split(text, chr(10)) as l from blocks where kind = 'list')",
+    "i_numbered": f"""select *, char_start + coalesce(sum(length(line) + 1) over (partition by {_K} order by i rows between unbounded preceding and 1 preceding), 0) as s,
+        sum(regexp_matches(line, '^\\s*([-*+]|\\d+[.)])\\s+')::int) over (partition by {_K} order by i) as item from i_lines""",
+    "items": f"select {_K}, (item - 1)::int as no, string_agg(line, chr(10) order by i) as text, min(s)::int as char_start, max(s + length(line))::int as char_end from i_numbered where item > 0 group by document_id, page_number, block_no, item",
+}
+
+
+def _chunk_blocks(max_tokens: int, overlap: int) -> dict[str, str]:
+    """``made``: chunks of every block. No sentence of these pages ends in a digit, so there is nothing to glue."""
+    large = f"{_TOK.format('b.text')} > {max_tokens}"
+    return _SENT | _ITEMS | {
+        "big_sentences": f"select k.* from kept k join blocks b using ({_K}) where {large}", "big_items": f"select k.* from items k join blocks b using ({_K}) where {large}",
+    } | _accumulate("big_sentences", max_tokens, overlap, " ", "acc_s", "packed_s") | _accumulate("big_items", max_tokens, overlap, "' || chr(10) || '", "acc_i", "packed_i") | {
+        "made": f"""select {_K}, 0 as no, text as content, case kind when 'header' then 'header+content' else kind end as chunk_type, char_start, char_end from blocks b where kind in ('table', 'header') or not {large}
+            union all select {_K}, no, content, 'paragraph', char_start, char_end from packed_s union all select {_K}, no, content, 'list', char_start, char_end from packed_i"""}
+
+
+def _joined(a: str, b: str) -> str:
+    return f"struct_pack(content := {a}.content || chr(10) || chr(10) || {b}.content, chunk_type := case when {a}.chunk_type = 'header+content' then {a}.chunk_type else {b}.chunk_type end)"
+
+
+def _back(out: str, c: str) -> str:
+    return f"(case when len({out}) > 0 and {out}[-1].chunk_type <> 'table' then list_append({out}[1:len({out}) - 1], {_joined(f'{out}[-1]', c)}) else list_append({out}, {c}) end)"
+
+
+def _merge(least: int) -> dict[str, str]:
+    """Recursive twin of the merging of small chunks: the state is the list of finished chunks and the one that is held."""
+    out1 = f"(case when m.held is not null and c.chunk_type = 'table' then {_back('m.out', 'm.held')} else m.out end)"
+    cur = f"(case when m.held is not null and c.chunk_type <> 'table' then {_joined('m.held', 'c.x')} else c.x end)"
+    small = f"(c.chunk_type <> 'table' and {_TOK.format(cur + '.content')} < {least})"
+    return {
+        "seq": "select document_id, page_number, chunk_type, struct_pack(content := content, chunk_type := chunk_type) as x, row_number() over (partition by document_id, page_number order by block_no, no) as i from made",
+        "merging(document_id, page_number, i, out, held)": f"""select distinct document_id, page_number, 0::bigint, [x][1:0], case when false then x end from seq where i = 1
+            union all select m.document_id, m.page_number, c.i, case when {small} then {out1} else list_append({out1}, {cur}) end, case when {small} then {cur} end
+            from merging m join seq c on c.document_id = m.document_id and c.page_number = m.page_number and c.i = m.i + 1""",
+        "merged": f"select document_id, page_number, case when held is not null then {_back('out', 'held')} else out end as out from merging m where i = (select max(i) from seq s where s.document_id = m.document_id and s.page_number = m.page_number)",
+        "final": "select document_id, page_number, (generate_subscripts(out, 1) - 1)::int as chunk_no, unnest(out) as c from merged",
+    }
+
+
 _HEADER_LINES = """select document_id, page_number, line_no, case when line_no % 7 = 3 then upper(left(line, 60)) else line end as line from (select document_id, page_number, generate_subscripts(l, 1) - 1 as line_no, unnest(l) as line from (select *, string_split(text, chr(10)) as l from rich)) where not regexp_matches(line, '[^\\x00-\\x7F]')"""
 _STRIPPED = _STRIP.format("line")
 SQL = {
@@ -200,6 +241,14 @@ SQL = {
         from (select {_K}, (i - 1) // 20 as w, string_agg(t, ' ' order by i) as text from (select {_K}, generate_subscripts(x, 1) as i, unnest(x) as t from (select *, regexp_extract_all(text, '\\S+') as x from blocks where kind = 'paragraph')) group by all)""", "v_pages", **_BASE),
     "accumulate_units": _recursive(duck(f"select {_K}, (row_number() over (partition by {_K} order by no) - 1)::int as unit_no, content, char_start, char_end, {_TOK.format('content')}::int as token_count from packed",
                                         "v_pages", **_BASE, **_SENT, **_accumulate("kept", CONFIG.max_tokens, CONFIG.overlap, " "))),
+    "chunk_block": _recursive(duck(f"select {_K}, (row_number() over (partition by {_K} order by no) - 1)::int as unit_no, content, chunk_type, char_start, char_end, {_TOK.format('content')}::int as token_count from made",
+                                   "v_pages", **_BASE, **_chunk_blocks(CONFIG.max_tokens, CONFIG.overlap))),
+    "merge_small_chunks": _recursive(duck(f"select document_id, page_number, chunk_no, c.content as content, c.chunk_type as chunk_type, {_TOK.format('c.content')}::int as token_count from final",
+                                          "v_pages", **_BASE, **_chunk_blocks(12, 0), **_merge(CONFIG.min_tokens))),
+    "chunk_documents": _recursive(duck(f"""select document_id, page_number, (row_number() over (partition by document_id order by page_number, chunk_no) - 1)::int as chunk_index, content, chunk_type, token_count, contains_table, contains_lab_values, is_header
+        from (select *, c.content as content, c.chunk_type as chunk_type, {_TOK.format('c.content')}::int as token_count, c.chunk_type = 'table' as contains_table,
+          regexp_matches(c.content, '(\\d+\\.?\\d*)[ \\t\\n\\r\\f\\v]*(mg/dL|mmol/L|IU/L|%|g/L)') as contains_lab_values, {_header('x')} as is_header
+          from (select *, {_STRIP.format("split_part(c.content, chr(10), 1)")} as x from final))""", "v_pages", **_BASE, **_chunk_blocks(CONFIG.max_tokens, CONFIG.overlap), **_merge(CONFIG.min_tokens))),
     "chunk_metadata": duck(f"""select {_K}, kind as chunk_type, kind = 'table' as contains_table, regexp_matches(text, '(\\d+\\.?\\d*)[ \\t\\n\\r\\f\\v]*(mg/dL|mmol/L|IU/L|%|g/L)') as contains_lab_values, {_header('x')} as is_header
         from (select *, {_STRIP.format(_HEAD)} as x from blocks)""", "v_pages", **_BASE),
     "chunk_stats": duck("select document_id, count(*) as chunk_count, sum(len(regexp_extract_all(text, '\\S+')))::bigint as word_count, count(distinct page_number) as page_count from v_pages group by 1", "v_pages"),
