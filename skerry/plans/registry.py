@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (name -> function of spark and directory) and SQL (name -> DuckDB SQL).
-MODULES = ["search_queries", "catalog_queries", "text_queries", "chunk_queries", "table_queries"]
+MODULES = ["search_queries", "catalog_queries", "text_queries", "chunk_queries", "table_queries", "stream_queries"]
 
 
 def collect(what: str) -> dict:

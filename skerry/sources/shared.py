@@ -1,15 +1,27 @@
-"""Cutting long lineages through the folder that all executors share."""
+"""The folder that all executors share, and cutting long lineages through it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir (an own folder only where the session has none, as in tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; an own folder only where the session has none, as in tests."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="skerry-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="skerry-"))
+        sc.setCheckpointDir(path)
+    return path
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: survives lost executors; Spark removes it when it is no longer used."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
