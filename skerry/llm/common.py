@@ -55,7 +55,7 @@ class Scratch:
         self.drop()
 
 
-def bounded_arrow(spark: SparkSession, rows: int = 1024, size: str = "16m") -> None:
+def bounded_arrow(spark: SparkSession, rows: int = 1024, size: str = "4m") -> None:
     """Keep Arrow batches small, so that a batch of very long documents still fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

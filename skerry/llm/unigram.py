@@ -339,37 +339,66 @@ def piece_bytes(m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(runs), np.uint8), np.cumsum(lens) - lens, lens
 
 
+_NEW = {"decoded": T.StringType(), "n_pieces": T.LongType(), "n_bytes": T.LongType(), "ids_crc32": T.LongType()}
+
+
+def _decode_tables(m: Model) -> tuple[np.ndarray, ...]:
+    return (*piece_bytes(m), m.types == BYTE)
+
+
+def _decoded(ids: np.ndarray, offsets: np.ndarray, tables: tuple[np.ndarray, ...]) -> list[pa.Array]:
+    """The columns of _NEW for texts whose ids lie between the offsets."""
+    flat, starts, lens, is_byte = tables
+    ends = np.concatenate([[0], np.cumsum(lens[ids])])
+    data = gather(flat, starts[ids], lens[ids]).tobytes()
+    fell = np.concatenate([[0], np.cumsum(is_byte[ids])])
+    raw = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
+    texts, crc = [], []
+    for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        text = data[ends[s]:ends[e]]
+        texts.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
+        crc.append(zlib.crc32(raw[4 * s:4 * e]))
+    return [pa.array(texts, pa.string()), pa.array(np.diff(offsets)), pa.array(np.diff(fell[offsets])), pa.array(crc, pa.int64())]
+
+
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """All columns, with ``decoded`` text, ``n_pieces``, ``n_bytes`` (byte-fallback pieces) and ``ids_crc32`` added."""
     spark = encoded.sparkSession
     bounded_arrow(spark)
-    model = load_model(model_path)
-    shared = spark.sparkContext.broadcast((*piece_bytes(model), model.types == BYTE))
-    new = {"decoded": T.StringType(), "n_pieces": T.LongType(), "n_bytes": T.LongType(), "ids_crc32": T.LongType()}
-    keep = [c for c in encoded.columns if c not in new]
-    schema = T.StructType([*[encoded.schema[c] for c in keep], *[T.StructField(k, v) for k, v in new.items()]])
+    shared = spark.sparkContext.broadcast(_decode_tables(load_model(model_path)))
+    keep = [c for c in encoded.columns if c not in _NEW]
+    schema = T.StructType([*[encoded.schema[c] for c in keep], *[T.StructField(k, v) for k, v in _NEW.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, starts, lens, is_byte = shared.value
         for b in batches:
             col = b.column("piece_ids")
-            offsets = np.asarray(col.offsets).astype(np.int64)
-            ids = np.asarray(col.values)
-            ends = np.concatenate([[0], np.cumsum(lens[ids])])
-            data = gather(flat, starts[ids], lens[ids]).tobytes()
-            fell = np.concatenate([[0], np.cumsum(is_byte[ids])])
-            raw = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
-            texts, crc = [], []
-            for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                text = data[ends[s]:ends[e]]
-                texts.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
-                crc.append(zlib.crc32(raw[4 * s:4 * e]))
-            made = [pa.array(texts, pa.string()), pa.array(np.diff(offsets)), pa.array(np.diff(fell[offsets])), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *made], names=[*keep, *new])
+            made = _decoded(np.asarray(col.values), np.asarray(col.offsets).astype(np.int64), shared.value)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *made], names=[*keep, *_NEW])
 
     return encoded.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 
+def encode_and_decode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one pass over the batches: the ids cross to the JVM once and a task needs one Python worker."""
+    spark = docs.sparkSession
+    bounded_arrow(spark)
+    model = load_model(model_path)
+    if not model.dummy_prefix:
+        raise ValueError("models without a dummy prefix are not supported")
+    shared = spark.sparkContext.broadcast((model, _decode_tables(model)))
+    keep = [c for c in docs.columns if c not in (text, "piece_ids", *_NEW)]
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("piece_ids", T.ArrayType(T.IntegerType())), *[T.StructField(k, v) for k, v in _NEW.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, tables = shared.value
+        for b in batches:
+            ids, lens = _ids_of(b.column(text), m)
+            made = _decoded(ids, np.concatenate([[0], np.cumsum(lens)]), tables)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], list_array(ids, lens), *made], names=[*keep, "piece_ids", *_NEW])
+
+    return docs.select(*[F.col(f"`{c}`") for c in [*keep, text]]).mapInArrow(run, schema)
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every whole text; per document the ids' number and checksum, and whether the text came back."""
     import public_tokenizers
@@ -377,6 +406,6 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    out = decode(encode(docs, path), path)
+    out = encode_and_decode(docs, path)
     return out.select("doc_id", "n_pieces", "n_bytes", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"),
                       (F.sha2("decoded", 256) == F.col("_sha")).alias("round_trip"))
