@@ -42,8 +42,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts as SentencePiece ids, with a check that they decode to the text."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = unigram.encode(docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)), path)
-    out = unigram.decode(coded, path)
+    out = unigram.encode_and_decode(docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)), path)
     return out.select("doc_id", "lang", "source", "piece_ids", "n_pieces", "ids_crc32", (F.sha2("decoded", 256) == F.col("_sha")).alias("round_trip"))
 
 
