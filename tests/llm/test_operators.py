@@ -80,6 +80,8 @@ def test_sentencepiece_round_trip(spark, sf_dir, awkward, empty):
     assert len(rows) == len(AWKWARD) and got[1].n_pieces == 0 and got[2].decoded == "" and got[3].decoded == "   \n\t " and got[4].decoded == LONG
     assert got[8].decoded == AWKWARD[8][1].replace("▁", " ") and got[8].n_bytes > 0 and got[6].n_lines == "x"
     assert unigram.decode(unigram.encode(empty, PIECES), PIECES).count() == 0
+    both = unigram.encode_and_decode(awkward, PIECES)
+    assert sorted(map(str, both.drop("piece_ids").collect())) == sorted(map(str, unigram.decode(unigram.encode(awkward, PIECES), PIECES).select(both.drop("piece_ids").columns).collect()))
 
 
 # --- 2 token store -----------------------------------------------------------------------------------------------------
