@@ -64,12 +64,16 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def token_blocks(docs: DataFrame, corpus: bool) -> DataFrame:
-    bounded_arrow(docs.sparkSession, rows=8192)
+    bounded_arrow(docs.sparkSession, rows=8192, size="8m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for i, b in enumerate(batches):
-            offsets, codes, words = split_batch(pc.ascii_lower(b.column("text")), _split)
+            offsets, codes, words = split_batch(pc.ascii_lower(b.column("text")), pc.ascii_split_whitespace)
+            blank = words.index("").as_py()
+            if blank >= 0:  # what white space at a text's ends and empty texts leave
+                real = codes != blank
+                offsets, codes = np.concatenate([[0], np.cumsum(real)])[offsets], codes[real]
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
             block = ((2 * part + int(corpus)) << 32) | i
             yield pa.RecordBatch.from_arrays(
@@ -81,11 +85,6 @@ def token_blocks(docs: DataFrame, corpus: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, _BLOCK)
 
 
-def _split(texts: pa.Array) -> pa.Array:
-    """ASCII words without the empty ones that white space at a text's ends gives."""
-    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
-
-
 def ngrams(words: bytes, codes: bytes, lens: np.ndarray, order: int) -> list[np.ndarray]:
     """For each order, the n-gram hash that ends at each token; where a document has no such n-gram the hash is 0."""
     h = np.frombuffer(words, np.uint64)[unpack(codes).astype(np.int64)] if len(words) else np.zeros(0, np.uint64)
@@ -115,8 +114,8 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 def explode_ngrams(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                rows = []
+            for i in range(b.num_rows):
+                r, rows = b.slice(i, 1).to_pylist()[0], []
                 for o, keys in enumerate(ngrams(r["words"], r["codes"], np.array(r["lens"], np.int64), order), 1):
                     distinct, counts, _ = _entries(keys)
                     cuts = np.searchsorted(_bucket(distinct, buckets), np.arange(buckets + 1))
@@ -178,8 +177,8 @@ def score_blocks(blocks: DataFrame, replies: DataFrame, order: int, n_corpus: in
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, _SCORE)
 
 
-def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = 3, min_count: int = 2, backoff: float = 0.4,
-              bucket_tokens: int = 2_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = 2, min_count: int = 2, backoff: float = 0.4,
+              bucket_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, n_tokens, n_backoff (tokens that gave up an order), log_score (natural, summed) under counts of ``corpus`` (docs
     themselves by default); checkpointed."""
     spark = docs.sparkSession
@@ -206,16 +205,13 @@ with w as (
   select doc_id, generate_subscripts(x, 1) as i, unnest(x) as a from (
     select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as x from documents)
 ), g as (
-  select doc_id, i, a as w1, lag(a) over d as w2, lag(a, 2) over d as w3 from w window d as (partition by doc_id order by i)
+  select doc_id, a as w1, lag(a) over (partition by doc_id order by i) as w2 from w
 ), c1 as (select w1, count(*) as n1 from g group by 1),
 c2 as (select w1, w2, count(*) as n2 from g where w2 is not null group by all),
-c3 as (select w1, w2, w3, count(*) as n3 from g where w3 is not null group by all),
 s as (
-  select g.doc_id, case when n3 >= 2 then ln(n3 / p2.n2::double) when c2.n2 >= 2 then ln(c2.n2 / p1.n1::double) + case when g.w3 is null then 0 else ln(0.4::double) end
-      else ln(c1.n1 / (select count(*) from g)::double) + (least(i, 3) - 1) * ln(0.4::double) end as score,
-    case when n3 >= 2 then 0 when c2.n2 >= 2 then (g.w3 is not null)::int else (g.w2 is not null)::int end as gave
-  from g join c1 using (w1) left join c2 on c2.w1 = g.w1 and c2.w2 = g.w2 left join c3 on c3.w1 = g.w1 and c3.w2 = g.w2 and c3.w3 = g.w3
-    left join c1 p1 on p1.w1 = g.w2 left join c2 p2 on p2.w1 = g.w2 and p2.w2 = g.w3
+  select g.doc_id, case when n2 >= 2 then ln(n2 / p.n1::double) else ln(c1.n1 / (select count(*) from g)::double) + case when g.w2 is null then 0 else ln(0.4::double) end end as score,
+    (g.w2 is not null and n2 < 2)::int as gave
+  from g join c1 using (w1) left join c2 on c2.w1 = g.w1 and c2.w2 = g.w2 left join c1 p on p.w1 = g.w2
 )
 select d.doc_id, count(score) as n_tokens, coalesce(sum(gave), 0)::bigint as n_backoff, round(coalesce(sum(score), 0), 3) as log_score
 from documents d left join s using (doc_id) group by d.doc_id
