@@ -272,7 +272,7 @@ SQL = {
     "match_postings": duck("select * from matched", "v_chunks", "v_text_queries", asked=_ASKED, **_POSTINGS, **_parsed("asked"), **_MATCH),
     "cover_density_rank": duck("select * from cover_scores", "v_chunks", "v_text_queries", **_POSTINGS, **_parsed("v_text_queries"), **_MATCH, **_COVER),
     "keyword_search": duck(f"select {_COLS} from kwd", "v_chunks", "v_text_queries", **_keyword_ctes(K)),
-    "scope_corpus": duck("""select q as query_id, c.document_id, chunk_index, content from v_chunks c join v_documents d using (document_id),
+    "scope_corpus": duck("""select q::bigint as query_id, c.document_id, chunk_index, content from v_chunks c join v_documents d using (document_id),
         (values (1, 'src0'), (2, 'src1'), (3, 'src2'), (4, 'src3')) u(q, usr) where uploaded_by = usr and (q <> 2 or project_id = 'en')
         and (q <> 3 or created_at >= timestamp '2024-01-20 00:00:00') and (q <> 4 or mime_type in ('text/plain', 'application/pdf'))""", "v_chunks", "v_documents"),
     "dedupe_by_content": duck("select query_id, document_id, chunk_index, score, rank::int as rank from (select *, row_number() over (partition by query_id, content order by score desc, rank) as dd from ranked) where dd = 1", "v_chunks", **_RANKED),
@@ -294,7 +294,7 @@ SQL = {
         "v_chunks", "v_text_queries", **_keyword_ctes(K),
         pieces=r"""select query_id, document_id, chunk_index, generate_subscripts(p, 1) as i, trim(unnest(p)) as s from (select *, list_filter(string_split(regexp_replace(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), '\n\s*\n', chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') as p from kwd)""",
         counted="""select p.*, len(list_filter(list_distinct(list_filter(regexp_split_to_array(lower(q.text), '\\s+'), lambda w: length(w) > 2)), lambda w: contains(lower(s), w))) as n from pieces p join v_text_queries q using (query_id)"""),
-    "suggest": duck("""select query_id, position::int as position, kind, text from (select *, row_number() over (partition by query_id order by kind_no, i, text) as position from (
+    "suggest": duck("""select query_id::bigint as query_id, position::int as position, kind, text from (select *, row_number() over (partition by query_id order by kind_no, i, text) as position from (
         select query_id, 0 as kind_no, 'recent_query' as kind, text, min(i) as i from mine where i <= 3 group by query_id, text
         union all select query_id, 1, 'document', coalesce(display_name, filename), 0 from v_documents join pre on uploaded_by = user_id
           where contains(lower(filename), p) or coalesce(contains(lower(display_name), p), false)
