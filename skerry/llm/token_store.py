@@ -100,7 +100,7 @@ def encode_batch(texts: pa.Array, memo: Memo, end_id: int) -> tuple[np.ndarray,
 def write_token_orc(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, stripe_bytes: int = 16 << 20,
                     stride: int = 1000, bloom_fpp: float = 0.01) -> None:
     """Encode doc_id, text and write the ORC files."""
-    bounded_arrow(docs.sparkSession, rows=4096)
+    bounded_arrow(docs.sparkSession, rows=4096, size="12m")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, part, before = word_memo(vocabulary), TaskContext.get().partitionId(), 0
