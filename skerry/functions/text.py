@@ -196,7 +196,8 @@ def ocr_confidence(words: DataFrame, keys: Sequence[str], low: float = 60) -> Da
 def prepare_for_embedding(text: Column, max_tokens: int = 8000) -> Column:
     """No NUL, NFKC, trimmed; texts of more than max_tokens words are cut, back to the last space."""
     t = F.regexp_replace(nfkc(F.regexp_replace(text, r"\x00", "")), r"^\s+|\s+\z", "")
-    cut = F.regexp_extract(t, rf"^(?:\S+\s+){{{max_tokens - 1}}}\S+", 0)
+    # words with the white space before them: a repeated group would overflow the regex engine's stack on long texts
+    cut = F.array_join(F.slice(F.regexp_extract_all(t, F.lit(r"\s*\S+"), F.lit(0)), 1, max_tokens), "")
     return F.when(word_count(t) <= max_tokens, t).otherwise(F.regexp_replace(cut, r" [^ ]*\z", ""))
 
 
