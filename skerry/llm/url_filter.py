@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import ascii_lower, table
+from skerry.llm.common import ascii_lower, checkpointed, table
 
 #: Rules of the production query: verdict and host/path.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -101,7 +101,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     # the host with a third of all pages is summed up before the shuffle
     counts = urls.join(seen, "page_id", "left").groupBy("host").agg(
         F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("s"))
-    reputation = host_reputation(counts, long_suffixes, z).select("host", "bound")
+    # one narrow row for each host, used at three levels: checkpointed, so that the pages are read once for it
+    reputation = host_reputation(checkpointed(counts), long_suffixes, z).select("host", "bound")
     out = urls.withColumn("hit", rule_match(F.col("host"), F.col("path"), rules)).join(reputation, "host", "left")
     own = F.when(F.col("bound") >= threshold, F.lit("allow")).otherwise(F.lit("block"))
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"),
