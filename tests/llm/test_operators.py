@@ -334,6 +334,15 @@ def test_scores_of_the_corpus_itself_in_many_buckets(spark, sf_dir, texts):
     assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-3 for i in want)
 
 
+def test_registered_scores_count_trigrams(spark, tmp_path):
+    docs = {1: "one two three one two three", 2: "zero two three four", 3: "one two four five", 4: None}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_tokens, r.log_score) for r in lm_score.op8_lm_score(spark, str(tmp_path)).collect()}
+    want, two = _backoff(docs.values(), docs), _backoff(docs.values(), docs, order=2)
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-3 for i in want)
+    assert abs(want[1][1] - two[1][1]) > 0.1  # two orders would give other scores
+
+
 # --- 9 line dedup ------------------------------------------------------------------------------------------------------
 
 
