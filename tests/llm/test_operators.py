@@ -240,6 +240,17 @@ def test_paraphrases_and_awkward_texts(spark, awkward, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.filter("false")).count() == 0
 
 
+def test_short_items_of_a_large_benchmark_are_found(spark):
+    rng = np.random.default_rng(4)
+    items = [" ".join(f"w{x}" for x in rng.integers(0, 20_000, 6)) for _ in range(2000)]
+    known = sorted({w for t in items for w in t.split()})
+    around = [" ".join(rng.choice(known, 80)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, f"{around[2 * i]} {items[10 * i]} {around[2 * i + 1]}") for i in range(200)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {(i, 10 * i) for i in range(200)}
+
+
 def test_randomised_svd_finds_the_space(spark):
     rng = np.random.default_rng(5)
     a = rng.standard_normal((30, 5)) @ rng.standard_normal((5, 40))
