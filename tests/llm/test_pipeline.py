@@ -34,6 +34,13 @@ def test_kept_documents_have_no_leak_and_no_near_copy(spark, sf_dir):
     assert sum(i == c for i, (_, c) in groups.items()) >= 0.97 * len(groups)  # lines that were dropped may make texts look more alike here
 
 
+def test_near_copies_between_80_and_85_percent_go(spark, sf_dir):
+    words = [f"w{i}" for i in range(60)]  # one word of 60 changed: 51 of 61 shingles, 0.836; two of them: 46 of 66, 0.697
+    texts = [words, words[:30] + ["other"] + words[31:], words[:20] + ["more"] + words[21:40] + ["less"] + words[41:]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "src0", 9) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, sf_dir).collect()) == [0, 2]
+
+
 def test_empty_input(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("false")
     for _, stage in corpus_pipeline.STAGES:
