@@ -30,7 +30,7 @@ def semantic_search(spark, d):
 
 def similar_documents(spark, d):
     vectors = v_vectors(spark, d)
-    return v.similar_documents(vectors, vectors.filter("document_id < 10").select("document_id").distinct())
+    return v.similar_documents(vectors, vectors.filter("document_id % 50 = 0").select("document_id").distinct())
 
 
 def ann_knn(spark, d):
@@ -264,7 +264,7 @@ SQL = {
     "similar_documents": duck(
         "select source_id, document_id, similarity, rank::int as rank from (select *, row_number() over (partition by source_id order by similarity desc, document_id) as rank from best) where rank <= 5",
         "v_vectors",
-        first="select document_id as source_id, i as sample_no, embedding as query_vector from (select *, row_number() over (partition by document_id order by chunk_index, chunk_id) as i from v_vectors where document_id < 10) where i <= 3",
+        first="select document_id as source_id, i as sample_no, embedding as query_vector from (select *, row_number() over (partition by document_id order by chunk_index, chunk_id) as i from v_vectors where document_id % 50 = 0) where i <= 3",
         pairs=f"select q.source_id, q.sample_no, v.chunk_id, v.document_id, {_COS} as similarity from v_vectors v, first q where v.document_id <> q.source_id",
         pool="select * from (select *, row_number() over (partition by source_id, sample_no order by similarity desc, chunk_id) as r from pairs) where r <= 15",
         best="select source_id, document_id, max(similarity) as similarity from pool group by all"),

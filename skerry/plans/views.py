@@ -45,7 +45,7 @@ def v_vector_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_vector_queries(spark: SparkSession, d: str) -> DataFrame:
-    return v_vectors(spark, d).filter("chunk_id < 5").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return v_vectors(spark, d).filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 def v_text_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +100,7 @@ DUCK = {
     "v_vectors": "select vec_id as chunk_id, cast(floor(vec_id / 5) as bigint) as document_id, cast(vec_id % 5 as int) as chunk_index, embedding from embeddings",
     "v_vector_chunks": """select v.chunk_id, v.document_id, v.chunk_index, v.embedding, coalesce(c.content, concat('chunk ', cast(v.chunk_id as varchar))) as content
       from v_vectors v left join v_chunks c on v.document_id = c.document_id and v.chunk_index = c.chunk_index""",
-    "v_vector_queries": "select chunk_id as query_id, embedding as query_vector from v_vectors where chunk_id < 5",
+    "v_vector_queries": "select chunk_id as query_id, embedding as query_vector from v_vectors where chunk_id % 50 = 0",
     "v_text_queries": """select item_id as query_id, concat_ws(' ', lower(w[4]), lower(w[6])) as text
       from (select item_id, regexp_extract_all(text, '[A-Za-z]+') as w from benchmark) x""",
     "v_search_logs": """select event_id, user_id, sha256(props) as query_hash, props as query_text,

@@ -45,3 +45,13 @@ def test_registered_index_search_finds_nine_of_ten(spark):
     assert np.mean(list(recall.values())) >= 0.9
     told = {r.query_id: r.recall for r in QUERIES["knn_recall"](spark, d).collect()}
     assert told.keys() == recall.keys() and abs(np.mean(list(told.values())) - np.mean(list(recall.values()))) < 0.01
+
+
+def test_searches_take_every_fiftieth_row(spark, sf_dir):
+    ids = [r.vec_id for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()]
+    fiftieth = {i for i in ids if i % 50 == 0}
+    for name in ("exact_knn", "semantic_search", "ann_knn", "knn_recall"):
+        assert {r.query_id for r in QUERIES[name](spark, sf_dir).select("query_id").collect()} == fiftieth, name
+    assert fiftieth <= {r.query_id for r in QUERIES["hybrid_search"](spark, sf_dir).select("query_id").collect()}
+    sources = {r.source_id for r in QUERIES["similar_documents"](spark, sf_dir).select("source_id").collect()}
+    assert sources == {i // 5 for i in ids if i // 5 % 50 == 0}
