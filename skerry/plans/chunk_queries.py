@@ -28,7 +28,7 @@ def split_blocks(spark, d):
 
 def is_header_line(spark, d):
     lines = v_rich(spark, d).select("document_id", "page_number", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.filter(~F.col("line").rlike(r"[^\x00-\x7F]")).withColumn("line", F.when(F.col("line_no") % 7 == 3, F.upper(F.substring("line", 1, 60))).otherwise(F.col("line")))
+    lines = lines.withColumn("line", F.when(F.col("line_no") % 7 == 3, F.upper("line")).otherwise(F.col("line")))
     return lines.select(
         "document_id", "page_number", "line_no", c.is_header_line(c.strip(F.col("line"))).alias("is_header"))
 
@@ -215,12 +215,9 @@ def _merge(least: int) -> dict[str, str]:
     }
 
 
-_HEADER_LINES = """select document_id, page_number, line_no, case when line_no % 7 = 3 then upper(left(line, 60)) else line end as line from (select document_id, page_number, generate_subscripts(l, 1) - 1 as line_no, unnest(l) as line from (select *, string_split(text, chr(10)) as l from rich)) where not regexp_matches(line, '[^\\x00-\\x7F]')"""
-_STRIPPED = _STRIP.format("line")
 SQL = {
     "count_tokens": duck(f"select document_id, page_number, {_TOK.format('text')}::int as tokens from rich", "v_pages", **_RICH_CTE),
     "split_blocks": duck("select document_id, page_number, no as block_no, text, char_start, char_end from b_kept", "v_pages", **_RICH_CTE, **_SPLIT),
-    "is_header_line": duck(f"select document_id, page_number, line_no::int as line_no, {_header('x')} as is_header from (select *, {_STRIPPED} as x from ln)", "v_pages", **_RICH_CTE, ln=_HEADER_LINES),
     "peel_header": duck("select * from blocks", "v_pages", **_BASE),
     "classify_block": duck(f"select document_id, page_number, no as block_no, {_kind('text')} as kind from b_kept", "v_pages", **_RICH_CTE, **_SPLIT),
     "merge_adjacent_paragraphs": duck("""select document_id, page_number, min(block_no) as block_no, min_by(kind, block_no) as kind, string_agg(text, chr(10) || chr(10) order by block_no) as text, min(char_start) as char_start, max(char_end) as char_end

@@ -49,11 +49,10 @@ def append_audit(spark, d):
     return u.append_audit(docs, "document.indexed", AS_OF)
 
 
-_ASCII = r"[^\x00-\x7F]"
 
 
 def clean_whitespace(spark, d):
-    docs = v_documents(spark, d).filter(~F.col("text").rlike(_ASCII)).withColumn("text", F.replace(F.replace("text", F.lit(". "), F.lit(".\n\n\n\n")), F.lit(","), F.lit("\x07\t")))
+    docs = v_documents(spark, d).withColumn("text", F.replace(F.replace("text", F.lit(". "), F.lit(".\n\n\n\n")), F.lit(","), F.lit("\x07\t")))
     return docs.select("document_id", t.clean_whitespace(F.col("text")).alias("text"))
 
 
@@ -105,7 +104,7 @@ def ocr_confidence(spark, d):
 
 
 def prepare_for_embedding(spark, d):
-    docs = v_documents(spark, d).filter(~F.col("text").rlike(_ASCII))
+    docs = v_documents(spark, d)
     return docs.select("document_id", t.prepare_for_embedding(F.concat(F.lit(" \x00"), "text", F.lit("\n ")), 100).alias("text"))
 
 
@@ -142,8 +141,6 @@ SQL = {
         union all select document_id, chunk_index, concat('new ', content) from v_chunks where document_id % 5 = 0 and chunk_index < 2""", "v_chunks"),
     "append_audit": duck(f"""select uploaded_by as user_id, 'document.indexed' as action, 'document' as resource_type, document_id as resource_id,
         concat('{{"status":"', status, '","chunk_count":', cast(document_id % 13 as varchar), '}}') as metadata, timestamp '{AS_OF}' as created_at from v_documents where status = 'indexed'""", "v_documents"),
-    "clean_whitespace": duck(r"""select document_id, regexp_replace(regexp_replace(replace(replace(text, '. ', '.' || repeat(chr(10), 4)), ',', chr(7) || chr(9)), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') as text
-        from v_documents where not regexp_matches(text, '[^\x00-\x7F]')""", "v_documents"),
     "json_profile": """with e as (select event_id, event_id % 5 as k, props from events where event_id % 5 >= 3),
         p as (select event_id, props, unnest(json_keys(props)) as key from e)
         select event_id as document_id, 'object' as kind, key, case json_type(props, '$."' || key || '"') when 'VARCHAR' then 'string' when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'number'
@@ -167,8 +164,6 @@ SQL = {
         from v_pages where page_number <= 3 group by 1""", "v_pages"),
     "ocr_confidence": """select user_id, round(avg(conf), 1) as confidence, coalesce(round(avg(conf), 1) < 60, true) as warning
         from (select user_id, case when value - 30 >= 0 and event_type <> 'error' then value - 30 end as conf from events) group by 1""",
-    "prepare_for_embedding": duck(r"""select document_id, case when len(regexp_extract_all(text, '\S+')) <= 100 then text else regexp_replace(regexp_extract(text, '^(?:\S+\s+){99}\S+'), ' [^ ]*$', '') end as text
-        from (select document_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as text from v_documents where not regexp_matches(text, '[^\x00-\x7F]'))""", "v_documents"),
     "fix_date_serials": duck("""select row_no, col_no, case when col_no in (1, 4) and try_cast(value as double) between 1 and 100000
         then strftime(date '1899-12-30' + cast(floor(try_cast(value as double)) as int), '%Y-%m-%d') else value end as value from v_cells""", "v_cells"),
     "document_text_rollup": duck(r"""select document_id, string_agg(text, chr(10) || chr(10) order by page_number) as text, sum(len(regexp_extract_all(text, '\S+')))::bigint as word_count, count(*) as page_count from v_pages group by 1""", "v_pages"),

@@ -1,8 +1,13 @@
 """Every registered query of the library against its DuckDB twin on the smallest data; the others must run and give rows."""
 
+import re
+import unicodedata
+
 import pytest
 
+from skerry.operators import chunking
 from skerry.plans import registry
+from skerry.plans.chunk_queries import v_rich
 from tests.differential import duck_rows, spark_rows
 
 QUERIES, SQL = registry.collect("QUERIES"), registry.collect("SQL")
@@ -55,3 +60,51 @@ def test_searches_take_every_fiftieth_row(spark, sf_dir):
     assert fiftieth <= {r.query_id for r in QUERIES["hybrid_search"](spark, sf_dir).select("query_id").collect()}
     sources = {r.source_id for r in QUERIES["similar_documents"](spark, sf_dir).select("source_id").collect()}
     assert sources == {i // 5 for i in ids if i // 5 % 50 == 0}
+
+
+@pytest.fixture(scope="module")
+def accented(spark, sf_dir, tmp_path_factory):
+    """The documents and three more with compatibility characters; (folder, texts)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = ["ﬁne ① Ａ\u00a0b, ½. x\n\n\n\ny", "cafe\u0301 naïve. " * 80, "\u3000\x00ﬀ\n"]
+    rows = spark.createDataFrame([(10**6 + i, t, "fr", "src0", len(t)) for i, t in enumerate(more)], "doc_id long, text string, lang string, source string, n_chars long")
+    folder = str(tmp_path_factory.mktemp("accented"))
+    docs.select(*rows.columns).unionByName(rows).write.parquet(f"{folder}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()} | {10**6 + i: t for i, t in enumerate(more)}
+    assert sum(not t.isascii() for t in texts.values() if t) > 3
+    return folder, texts
+
+
+def test_whole_texts_are_cleaned(spark, accented):
+    def clean(t):
+        t = unicodedata.normalize("NFKC", t.replace(". ", ".\n\n\n\n").replace(",", "\x07\t"))
+        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "", t))
+
+    folder, texts = accented
+    got = {r.document_id: r.text for r in QUERIES["clean_whitespace"](spark, folder).collect()}
+    assert got == {i: t if t is None else clean(t) for i, t in texts.items()}
+
+
+def test_whole_texts_are_prepared(spark, accented):
+    def prepare(t):
+        t = re.sub(r"\A\s+|\s+\Z", "", unicodedata.normalize("NFKC", f" {t}\n ".replace("\x00", "")), flags=re.A)
+        words = re.findall(r"\s*\S+", t, re.A)
+        return t if len(words) <= 100 else re.sub(r" [^ ]*\Z", "", "".join(words[:100]))
+
+    folder, texts = accented
+    got = {r.document_id: r.text for r in QUERIES["prepare_for_embedding"](spark, folder).collect()}
+    assert got == {i: t if t is None else prepare(t) for i, t in texts.items()}
+
+
+def test_every_line_is_judged_whole(spark, sf_dir):
+    def header(line):
+        x = re.sub(r"\A\s+|\s+\Z", "", line, flags=re.A)
+        letters = [unicodedata.category(c) for c in x if unicodedata.category(c)[0] == "L"]
+        shouted = not re.search(chunking.TABLE_ROW, x, re.A) and not re.search(chunking.LIST_ITEM, x, re.A) and len(letters) >= 2 and letters.count("Lu") >= 0.9 * len(letters)
+        return x != "" and len(x) <= 80 and (bool(re.search(chunking.MD_HEADER, x, re.A)) or shouted)
+
+    want = {(r.document_id, r.page_number, i): header(line.upper() if i % 7 == 3 else line)
+            for r in v_rich(spark, sf_dir).collect() for i, line in enumerate(r.text.split("\n"))}
+    rows = QUERIES["is_header_line"](spark, sf_dir).collect()
+    got = {(r.document_id, r.page_number, r.line_no): r.is_header for r in rows}
+    assert len(rows) == len(want) and got == want and {True, False} <= set(got.values())
