@@ -7,7 +7,9 @@
 4. The joined counts go back to the blocks and each document's log scores are summed.
 
 An n-gram that is in every document has one entry for each block, not for each occurrence, so no key is hot; entries travel
-as sorted, delta-coded runs, one row for each block and bucket. The number of buckets follows the number of tokens.
+as sorted, delta-coded runs, one row for each block and bucket, and the counts come back in the run's order, without keys. The
+numbers of buckets and of partitions follow the number of tokens, so a task's share stays the same; a run gets shorter as
+buckets grow in number (at 30 GB some 200 n-grams), and at worst is one n-gram, which is a plain row.
 
 Score of a token: count(n-gram) / count(its context) for the longest n-gram seen at least ``min_count`` times, times
 ``backoff`` for each order given up; below the bigram it is the word's share of all tokens. The first tokens of a document
@@ -22,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -74,7 +75,7 @@ def token_blocks(docs: DataFrame, corpus: bool) -> DataFrame:
             if blank >= 0:  # what white space at a text's ends and empty texts leave
                 real = codes != blank
                 offsets, codes = np.concatenate([[0], np.cumsum(real)])[offsets], codes[real]
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in words), np.uint64, len(words))
             block = ((2 * part + int(corpus)) << 32) | i
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block]), pa.array([corpus]), pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64())),
@@ -85,25 +86,25 @@ def token_blocks(docs: DataFrame, corpus: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, _BLOCK)
 
 
-def ngrams(words: bytes, codes: bytes, lens: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order, the n-gram hash that ends at each token; where a document has no such n-gram the hash is 0."""
-    h = np.frombuffer(words, np.uint64)[unpack(codes).astype(np.int64)] if len(words) else np.zeros(0, np.uint64)
-    starts = np.cumsum(lens) - lens
-    place = np.arange(len(h)) - np.repeat(starts, lens)
-    out = [np.maximum(mixed(h, 1), np.uint64(1))]
+def ngrams(words: bytes, codes: bytes, lens: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """Order by order, the n-gram hash that ends at each token; where a document has no such n-gram the hash is 0."""
+    h = np.frombuffer(words, np.uint64)[unpack(codes).astype(np.int32)] if len(words) else np.zeros(0, np.uint64)
+    place = np.arange(len(h), dtype=np.int32) - np.repeat((np.cumsum(lens) - lens).astype(np.int32), lens)
+    yield np.maximum(mixed(h, 1), np.uint64(1))
     gram = h
     for n in range(2, order + 1):
         gram = np.concatenate([np.zeros(1, np.uint64), gram[:-1]]) if len(gram) else gram
         gram = mixed(gram, n) ^ h  # the (n-1)-gram that ends one token before, then this word
-        out.append(np.where(place >= n - 1, np.maximum(mixed(gram, n + 20), np.uint64(1)), np.uint64(0)))
-    return out
+        yield np.where(place >= n - 1, np.maximum(mixed(gram, n + 20), np.uint64(1)), np.uint64(0))
 
 
-def _entries(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys without 0, their counts, entry of each token or -1)."""
-    distinct, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    skip = int(len(distinct) > 0 and distinct[0] == 0)
-    return distinct[skip:], counts[skip:], inverse - skip
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys without 0, their counts)."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+    counts = np.diff(first, append=len(keys))
+    skip = int(len(first) > 0 and keys[0] == 0)
+    return keys[first[skip:]], counts[skip:]
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -115,88 +116,114 @@ def explode_ngrams(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                r, rows = b.slice(i, 1).to_pylist()[0], []
-                for o, keys in enumerate(ngrams(r["words"], r["codes"], np.array(r["lens"], np.int64), order), 1):
-                    distinct, counts, _ = _entries(keys)
+                block, corpus = b.column("block")[i].as_py(), b.column("corpus")[i].as_py()
+                words, codes, lens = b.column("words")[i].as_py(), b.column("codes")[i].as_py(), b.column("lens")[i].values.to_numpy()
+                for o, keys in enumerate(ngrams(words, codes, lens, order), 1):
+                    distinct, counts = _counted(keys)
                     cuts = np.searchsorted(_bucket(distinct, buckets), np.arange(buckets + 1))
-                    rows += [(o, p, r["block"], r["corpus"], pack_sorted(distinct[s:e]), pack(counts[s:e].astype(np.uint64)))
-                             for p, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if e > s]
-                cols = list(zip(*rows)) or [[]] * 6
-                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["ngram_order", "bucket", "block", "corpus", "keys", "counts"])
+                    full = np.flatnonzero(np.diff(cuts))
+                    runs = [(distinct[cuts[p]:cuts[p + 1]], counts[cuts[p]:cuts[p + 1]]) for p in full]
+                    n = len(full)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, o, np.int32)), pa.array(full.astype(np.int32)), pa.array(np.full(n, block)), pa.array([corpus] * n, pa.bool_()),
+                         pa.array([pack_sorted(d) for d, _ in runs], pa.binary()), pa.array([pack(c.astype(np.uint64)) for _, c in runs], pa.binary())],
+                        names=["ngram_order", "bucket", "block", "corpus", "keys", "counts"])
 
     return blocks.mapInArrow(run, _ENTRY)
 
 
 def join_counts(entries: DataFrame, corpus_is_docs: bool) -> DataFrame:
     """In each bucket: the count table of its hash range, joined to the entries of the blocks that are to be scored."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        runs = [unpack_sorted(k) for k in pdf["keys"]]
-        counts = [unpack(c) if own else np.zeros(len(k), np.uint64) for c, own, k in zip(pdf["counts"], pdf["corpus"], runs)]
+    def run(group: pa.Table) -> pa.Table:
+        owned = group.column("corpus").to_pylist()
+        runs = [unpack_sorted(k.as_py()) for k in group.column("keys")]
         keys = np.concatenate(runs)
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        totals = np.bincount(inverse, weights=np.concatenate(counts).astype(np.float64), minlength=len(distinct))
-        joined = totals[inverse].astype(np.uint64)
         ends = np.cumsum([len(k) for k in runs])
-        keep = [corpus_is_docs or not own for own in pdf["corpus"]]
-        rows = [(int(block), pack(joined[e - len(k):e])) for block, e, k, yes in zip(pdf["block"], ends.tolist(), runs, keep) if yes]
-        out = pd.DataFrame(rows, columns=["block", "totals"])
-        out["ngram_order"], out["bucket"] = pdf["ngram_order"].iloc[0], pdf["bucket"].iloc[0]
-        return out[["block", "ngram_order", "bucket", "totals"]]
-
-    return entries.groupBy("ngram_order", "bucket").applyInPandas(run, _REPLY)
+        del runs
+        order = np.argsort(keys, kind="stable")
+        rank = np.empty(len(keys), np.int32)
+        ordered = keys[order]
+        rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]), dtype=np.int32)
+        del keys, order, ordered
+        totals = np.zeros(int(rank.max(initial=-1)) + 1, np.float64)
+        for c, own, end, begin in zip(group.column("counts"), owned, ends, [0, *ends[:-1]]):
+            if own:
+                totals[rank[begin:end]] += unpack(c.as_py())  # a run holds each key once
+        keep = [i for i, own in enumerate(owned) if corpus_is_docs or not own]
+        packed = [pack(totals[rank[(ends[i - 1] if i else 0):ends[i]]].astype(np.uint64)) for i in keep]
+        same = {"ngram_order": pa.int32(), "bucket": pa.int32()}
+        return pa.table([group.column("block").take(pa.array(keep, pa.int64())), *[pa.array(group.column(c).to_pylist()[:1] * len(keep), k) for c, k in same.items()],
+                         pa.array(packed, pa.binary())], names=["block", "ngram_order", "bucket", "totals"])
+
+    return entries.groupBy("ngram_order", "bucket").applyInArrow(run, _REPLY)
 
 
 def score_blocks(blocks: DataFrame, replies: DataFrame, order: int, n_corpus: int, min_count: int, backoff: float) -> DataFrame:
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def score_block(r: dict, totals: dict[int, list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lens = r["lens"].values.to_numpy()
+        n = int(lens.sum())
+        place = np.arange(n, dtype=np.int32) - np.repeat((np.cumsum(lens) - lens).astype(np.int32), lens)
+        score, level, below = np.zeros(n), np.ones(n, np.int8), np.zeros(n)
+        for o, keys in enumerate(ngrams(r["words"].as_py(), r["codes"].as_py(), lens, order), 1):
+            # the totals are in the order of the block's distinct keys; 0, no such n-gram, comes first where it occurs
+            _, inverse = np.unique(keys, return_inverse=True)
+            none = [np.zeros(int(n > 0 and (keys == 0).any()), np.uint64)]
+            counts = np.concatenate(none + [unpack(t) for t in totals.pop(o, [])]).astype(np.float64)[inverse]
+            del keys, inverse
+            if o == 1:
+                score = np.log(np.maximum(counts, 0.5) / max(n_corpus, 1))
+            else:
+                context = np.concatenate([[1.0], below[:-1]]) if n else below
+                seen = (place >= o - 1) & (counts >= min_count)
+                score[seen] = np.log(np.maximum(counts[seen], 1) / np.maximum(context[seen], 1))
+                level[seen] = o
+            below = counts
+        given_up = np.minimum(place + 1, order) - level
+        score += given_up * np.log(backoff)
+        marks = np.concatenate([[0], np.cumsum(lens)])
+        sums, backs = np.concatenate([[0], np.cumsum(score)]), np.concatenate([[0], np.cumsum(given_up > 0)])
+        return lens.astype(np.int64), np.diff(backs[marks]), np.diff(sums[marks])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by([("ngram_order", "ascending"), ("bucket", "ascending")])
+        totals: dict[int, list[bytes]] = {}
+        for o, t in zip(right.column("ngram_order").to_pylist(), right.column("totals")):
+            totals.setdefault(o, []).append(t.as_py())
         out = []
-        for r in left.itertuples():
-            lens = np.array(r.lens, np.int64)
-            grams = ngrams(r.words, r.codes, lens, order)
-            counts = []
-            for o, keys in enumerate(grams, 1):
-                got = right[right["ngram_order"] == o].sort_values("bucket")
-                totals = np.concatenate([*(unpack(t) for t in got["totals"]), np.zeros(1, np.uint64)]).astype(np.float64)
-                counts.append(totals[_entries(keys)[2]])  # -1, no such n-gram, is the zero at the end
-            n = len(grams[0])
-            place = np.arange(n) - np.repeat(np.cumsum(lens) - lens, lens)
-            score = np.log(np.maximum(counts[0], 0.5) / max(n_corpus, 1))
-            level = np.ones(n, np.int64)
-            for o in range(2, order + 1):
-                context = np.concatenate([[1.0], counts[o - 2][:-1]]) if n else np.zeros(0)
-                seen = (place >= o - 1) & (counts[o - 1] >= min_count)
-                score = np.where(seen, np.log(np.maximum(counts[o - 1], 1) / np.maximum(context, 1)), score)
-                level = np.where(seen, o, level)
-            given_up = np.minimum(place + 1, order) - level
-            score += given_up * np.log(backoff)
-            marks = np.concatenate([[0], np.cumsum(lens)])
-            sums, backs = np.concatenate([[0], np.cumsum(score)]), np.concatenate([[0], np.cumsum(given_up > 0)])
-            out.append(pd.DataFrame({"doc_id": pd.array(list(r.doc_ids), "Int64"), "n_tokens": lens, "n_backoff": np.diff(backs[marks]), "log_score": np.diff(sums[marks])}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "n_tokens", "n_backoff", "log_score"])
-
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, _SCORE)
-
-
-def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = 2, min_count: int = 2, backoff: float = 0.4,
+        for i in range(left.num_rows):
+            r = {c: left.column(c)[i] for c in ("lens", "words", "codes")}
+            n_tokens, n_backoff, log_score = score_block(r, totals)
+            out.append(pa.table([left.column("doc_ids")[i].values, pa.array(n_tokens), pa.array(n_backoff), pa.array(log_score)], names=["doc_id", "n_tokens", "n_backoff", "log_score"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.float64())],
+                                                          names=["doc_id", "n_tokens", "n_backoff", "log_score"])
+
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, _SCORE)
+
+
+def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = 3, min_count: int = 2, backoff: float = 0.4,
               bucket_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, n_tokens, n_backoff (tokens that gave up an order), log_score (natural, summed) under counts of ``corpus`` (docs
-    themselves by default); checkpointed."""
+    themselves by default); checkpointed. With ``min_count`` 1 and the documents as their own corpus no token would ever back
+    off, as every n-gram is seen in its own document; hence 2."""
     spark = docs.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with Scratch(spark, "lm-score") as scratch:
-        blocks = token_blocks(docs, corpus is None)
+        # tables bucketed by block: the texts themselves are not shuffled when the counts come back to them
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        blocks = scratch.write_bucketed(token_blocks(docs, corpus is None), "blocks", max(least, size >> 25), ["block"])
+        everything = blocks
         if corpus is not None:
-            blocks = blocks.unionByName(token_blocks(corpus, True))
-        blocks = scratch.write(blocks, "blocks")
-        sizes = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("corpus"), F.col("n_tokens"))), F.lit(0)).alias("corpus")).first()
+            everything = blocks.unionByName(scratch.write(token_blocks(corpus, True), "corpus"))
+        sizes = everything.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("corpus"), F.col("n_tokens"))), F.lit(0)).alias("corpus")).first()
         buckets = max(1, -(-sizes["all"] // bucket_tokens))
-        replies = join_counts(explode_ngrams(blocks, order, buckets), corpus is None)
-        replies = scratch.write(replies, "replies")
-        own = blocks if corpus is None else blocks.filter(~F.col("corpus"))
-        return checkpointed(score_blocks(own, replies, order, sizes["corpus"], min_count, backoff))
+        # a task joins about eight buckets, however many there are
+        entries = explode_ngrams(everything, order, buckets).repartition(max(least, order * buckets // 8), "ngram_order", "bucket")
+        replies = join_counts(entries, corpus is None)
+        return checkpointed(score_blocks(blocks, replies, order, sizes["corpus"], min_count, backoff))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), order=3)
+    out = lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_tokens", "n_backoff", F.round("log_score", 3).alias("log_score"))
 
 

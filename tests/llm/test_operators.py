@@ -337,11 +337,12 @@ def test_scores_of_other_documents(spark, awkward, empty):
     assert got[1] == (0, 0.0) and lm_score.lm_scores(empty).count() == 0
 
 
-def test_scores_of_the_corpus_itself_in_many_buckets(spark, sf_dir, texts):
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_of_the_corpus_itself_in_many_buckets(spark, sf_dir, texts, order):
     ascii_only = {i: t for i, t in texts.items() if t.isascii()}
     df = spark.createDataFrame(list(ascii_only.items()), "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_tokens, r.log_score) for r in lm_score.lm_scores(df, bucket_tokens=5000).collect()}
-    want = _backoff(ascii_only.values(), ascii_only, order=2)
+    got = {r.doc_id: (r.n_tokens, r.log_score) for r in lm_score.lm_scores(df, order=order, bucket_tokens=5000).collect()}
+    want = _backoff(ascii_only.values(), ascii_only, order=order)
     assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-3 for i in want)
 
 
