@@ -51,7 +51,7 @@ class Scratch:
         """Write once into buckets of the keys: joins and groups by them need no exchange on this side."""
         table_name = f"{self.prefix}_{name}".replace("-", "_")
         self.tables.append(table_name)
-        df.write.bucketBy(min(buckets, 100_000), *keys).sortBy(*keys).option("path", f"{self.path}/{name}").saveAsTable(table_name)
+        df.write.option("compression", "zstd").bucketBy(min(buckets, 100_000), *keys).sortBy(*keys).option("path", f"{self.path}/{name}").saveAsTable(table_name)
         return self.spark.table(table_name)
 
     def drop(self, name: str = "") -> None:

@@ -42,17 +42,22 @@ _SCORE = "doc_id long, n_tokens long, n_backoff long, log_score double"
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers byte by byte in planes, so that the usual compression sees the high, equal bytes together."""
+    """Unsigned integers byte by byte in planes, each compressed by itself where that helps: the high planes hold few values."""
     width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
-    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + np.ascontiguousarray(planes.T).tobytes()
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    small = [pa.compress(p.tobytes(), "zstd", asbytes=True) if len(values) > 64 else b"" for p in planes]
+    stored = [c if 0 < len(c) < len(values) else p.tobytes() for c, p in zip(small, planes)]
+    head = np.array([width, len(values), *map(len, stored)], "<u4")
+    return head.tobytes() + b"".join(stored)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
+    width, n = np.frombuffer(data, "<u4", 2).tolist()
+    at, out = 8 + 4 * width, np.zeros((n, 8), np.uint8)
+    for i, size in enumerate(np.frombuffer(data, "<u4", width, 8).tolist()):
+        plane = data[at:at + size] if size == n else pa.decompress(data[at:at + size], n, "zstd", asbytes=True)
+        out[:, i] = np.frombuffer(plane, np.uint8)
+        at += size
     return out.view("<u8").ravel()
 
 
