@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm import decontaminate, language_id, line_dedup, near_dedup, unigram
-from skerry.llm.common import shared_dir, table, without
+from skerry.llm.common import shared_dir, table, text_hash, within, without
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; near is a similarity of 0.8 or more (op4's own query keeps 0.85)."""
-    gone = near_dedup.near_duplicates(docs.select("doc_id", "text"), percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group stays, the one of the smallest doc_id; near is a similarity of 0.8 or more (op4's own query
+    keeps 0.85). Every row is judged by its own text, so a text that only shares its doc_id with others stays; repeated rows leave one.
+    Rows without words or without a doc_id stay."""
+    judged = near_dedup.near_duplicates(docs.select("doc_id", "text"), percent=80)
+    out = without(docs, judged.filter("not first").select("doc_id", "_th"))
+    repeated = judged.filter("first and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "_th").count().filter("count > 1").select("doc_id", "_th")
+    if repeated.isEmpty():
+        return out
+    one = within(out, repeated).withColumn("_skerry_th", text_hash(F.col("text"))).dropDuplicates(["doc_id", "_skerry_th"]).drop("_skerry_th")
+    return without(out, repeated).unionByName(one)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,11 +81,20 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _rows_in(docs: DataFrame, some: DataFrame, how: str) -> DataFrame:
+    some = some.select(F.struct(F.col("doc_id").alias("id"), F.col("_th").alias("th")).alias("_skerry_row")).distinct()
+    own = F.struct(F.col("doc_id").alias("id"), text_hash(F.col("text")).alias("th"))
+    return docs.withColumn("_skerry_row", own).join(some, "_skerry_row", how).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows of ``gone`` (doc_id, _th: hash of the text), whatever other columns docs has."""
-    gone = gone.select(F.struct(F.col("doc_id").alias("id"), F.col("_th").alias("th")).alias("_skerry_row")).distinct()
-    own = F.struct(F.col("doc_id").alias("id"), text_hash(F.col("text")).alias("th"))
-    return docs.withColumn("_skerry_row", own).join(gone, "_skerry_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _rows_in(docs, gone, "left_anti")
+
+
+def within(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """The rows of docs that ``some`` (doc_id, _th) names."""
+    return _rows_in(docs, some, "left_semi")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

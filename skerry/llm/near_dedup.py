@@ -2,23 +2,29 @@
 
 A document's set is its distinct 5-word shingles (as 64-bit hashes). The sketch places the set's elements into bins in
 rounds, each with new hashes; a bin keeps the least value of the first round that reaches it, and after as many rounds as
-bins a round aims all elements at one bin, so every coordinate is filled. Documents of equal sets are one class from the
-start. Classes that agree in a whole band are candidates; the candidates' connected groups are then verified on full sets:
-a group of bounded size in one task, larger ones in pairs of cells of bounded size, restricted to cells whose set sizes
-allow the similarity. No pair is emitted but a spanning forest of the verified links; the components of these are exact for
-all candidate links.
+bins a round aims all elements at one bin, so every coordinate is filled. Rows of equal sets are one class from the start;
+classes that agree in a whole band share a bucket. Verification is on full sets, bucket by bucket:
 
-With 24 bands of 4 coordinates a pair at similarity 0.85 is missed with a chance of 2e-8.
+1. every class is compared with the first class of each of its buckets (a pair is compared once, in whatever buckets it is);
+2. the connected groups of these links are formed; a bucket whose classes are in one group is done;
+3. in the others, the classes outside the bucket's largest group are compared with all of it, but not inside a group. Buckets
+   of the same classes count once.
 
-Defined results: a document without words (or null) has an empty set and is linked with nothing; with fewer words than a
-shingle the whole sequence is the one shingle; rows of equal doc_id count as one document; a null doc_id is linked with
-nothing and kept; repeated rows are equal sets; empty tables give empty tables; extra columns are ignored.
+So a bucket costs its size if it holds copies, and chains of buckets are never compared as a whole. Comparisons are dealt in
+cells of bounded numbers of documents and of shingles; no pair leaves a task but a spanning forest of its links. The
+components of all links are exact for all pairs that share a bucket.
+
+With 24 bands of 4 coordinates a pair at similarity 0.85 shares no bucket with a chance of 2e-8 (3e-6 at 0.8).
+
+Defined results: a row without words (or null) has an empty set and is linked with nothing; with fewer words than a
+shingle the whole sequence is the one shingle; each row is judged by its own text, so rows of one doc_id with different texts
+may be in different components; a component's id is its smallest doc_id; a null doc_id is linked with nothing and kept;
+repeated rows are equal sets; empty tables give empty tables; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import Scratch, bounded_arrow, checkpointed, table
+from skerry.llm.common import Scratch, bounded_arrow, checkpointed, table, text_hash
 from skerry.llm.components import components
 
 # Odd multipliers of the hash mixers (golden-ratio style constants; any odd numbers do).
@@ -105,7 +111,7 @@ def _binary(col: pa.Array) -> list[bytes]:
 
 
 def fingerprints(docs: DataFrame, bands: int, rows: int, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null if empty), bands array<long>."""
+    """doc_id, _th (hash of the text), n_shingles, digest (of the set; null if empty), bands array<long>."""
     bounded_arrow(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,140 +124,177 @@ def fingerprints(docs: DataFrame, bands: int, rows: int, words: int = 5) -> Data
             digest = [hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets]
             offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
-                 pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["doc_id", "n_shingles", "digest", "bands"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
-
-
-def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, columns: int = 4096) -> list[tuple[int, int]]:
-    """A spanning forest of the links among these documents: 100 * intersection >= percent * union. ``side`` (0, 1 or 2) restricts
-    to pairs of 0 with 1; 2 means all pairs."""
-    n = len(ids)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    if n == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(int(ids[0]), int(ids[1]))] if 100 * both >= percent * (sizes.sum() - both) else []
-    _, col = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(n), sizes)
-    shared = np.bincount(col) > 1
-    keep = shared[col]
-    row, col = row[keep], np.cumsum(shared)[col[keep]] - 1
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    common = np.zeros((n, n), np.float32)  # counts are small integers: exact in float32 up to 2**24 shingles
-    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
-        a, b = np.searchsorted(col, [lo, lo + columns])
-        block = np.zeros((n, columns), np.float32)
-        block[row[a:b], col[a:b] - lo] = 1
-        common += block @ block.T
-    hit = 100.0 * common.astype(np.float64) >= percent * (sizes[:, None] + sizes[None, :] - common)
-    if (side < 2).any():
-        hit &= side[:, None] != side[None, :]
-    np.fill_diagonal(hit, False)
-    out, seen = [], np.zeros(n, bool)
-    for s in range(n):  # breadth-first trees
-        if seen[s]:
-            continue
-        seen[s], todo = True, [s]
-        while todo:
-            i = todo.pop()
-            new = np.flatnonzero(hit[i] & ~seen)
-            seen[new] = True
-            todo += new.tolist()
-            out += [(int(ids[i]), int(ids[j])) for j in new]
+                [b.column("doc_id"), b.column("_th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
+                 pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["doc_id", "_th", "n_shingles", "digest", "bands"])
+
+    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("_th"), "text")
+    return rows_in.mapInArrow(run, "doc_id long, _th long, n_shingles long, digest binary, bands array<long>")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """[i, j]: elements that the sorted sets left[i] and right[j] (none empty) have in common."""
+    sizes = np.array([len(s) for s in right])
+    flat = np.concatenate(right)
+    if len(left) == 1:
+        at = np.minimum(np.searchsorted(left[0], flat), len(left[0]) - 1)
+        return np.add.reduceat((left[0][at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)[None, :]
+    own = np.concatenate(left)
+    known = np.intersect1d(own, flat)
+    out = np.zeros((len(left), len(right)), np.float32)  # counts are small integers: exact in float32 up to 2**24 shingles
+
+    def entries(values: np.ndarray, lens: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        col = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+        row = np.repeat(np.arange(len(lens)), lens)
+        keep = known[col] == values if len(known) else np.zeros(len(values), bool)
+        order = np.argsort(col[keep], kind="stable")
+        return row[keep][order], col[keep][order]
+
+    (r1, c1), (r2, c2) = entries(own, [len(s) for s in left]), entries(flat, sizes)
+    for lo in range(0, len(known), columns):
+        blocks = []
+        for n, r, c in ((len(left), r1, c1), (len(right), r2, c2)):
+            a, b = np.searchsorted(c, [lo, lo + columns])
+            block = np.zeros((n, min(columns, len(known) - lo)), np.float32)
+            block[r[a:b], c[a:b] - lo] = 1
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def cell_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links (100 * intersection >= percent * union) of left to right rows (node, label, shingles) of
+    different labels; nodes of one label count as connected."""
+    sets = [[np.frombuffer(s, np.uint64) for s in side["shingles"]] for side in (left, right)]
+    sizes = [np.array([len(s) for s in own]) for own in sets]
+    common = common_counts(*sets)
+    hit = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+    labels = left["label"].to_numpy(), right["label"].to_numpy()
+    hit &= labels[0][:, None] != labels[1][None, :]
+    i, j = np.nonzero(hit)
+    ends = np.stack([labels[0][i], labels[1][j]], 1)
+    _, one = np.unique(np.sort(ends, 1), axis=0, return_index=True)
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    out, nodes = [], (left["node"].to_numpy(), right["node"].to_numpy())
+    for p in one.tolist():
+        u, v = top(int(ends[p, 0])), top(int(ends[p, 1]))
+        if u != v:
+            parent[u] = v
+            out.append((int(nodes[0][i[p]]), int(nodes[1][j[p]])))
     return out
 
 
-def _verified(members: DataFrame, docs: DataFrame, scratch: Scratch, percent: int, words: int, cell: int) -> DataFrame:
-    """members (node, comp, n) -> verified links (a, b). One task verifies cells of at most about ``cell`` documents each."""
-    spark = docs.sparkSession
-    step = math.log(100 / percent)
-    sized = members.withColumn("klass", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
-    total = sized.groupBy("comp").agg(F.count(F.lit(1)).alias("all"))
-    small = total.filter(F.col("all") <= cell).select("comp")
-    cells = sized.groupBy("comp", "klass").agg(F.count(F.lit(1)).alias("k")).withColumn("m", F.ceil(F.col("k") / cell).cast("int"))
-    large = total.filter(F.col("all") > cell).select("comp")
-    cells = scratch.write(cells.join(large, "comp"), "cells")
-    bins = max(1, sized.count() // (2 * cell))
-
-    # small groups: whole groups share bins, so that a task does not start for every pair of copies
-    packed = sized.join(small, "comp").select(
-        F.lit(-1).alias("k1"), F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("k2"), F.lit(0).alias("k3"), F.lit(0).alias("k4"), F.lit(0).alias("k5"),
-        "comp", "node", F.lit(2).alias("side"))
-    # large groups: a cell is a class of set sizes and a hash; links join cells of the same or neighbouring classes
-    own = cells.select("comp", "klass", F.col("m").alias("m0"))
-    up = cells.select("comp", (F.col("klass") - 1).alias("klass"), F.col("m").alias("m_up"))
-    down = cells.select("comp", (F.col("klass") + 1).alias("klass"), F.col("m").alias("m_down"))
-    grid = scratch.write(own.join(up, ["comp", "klass"], "left").join(down, ["comp", "klass"], "left"), "grid")
-    placed = sized.join(grid, ["comp", "klass"]).withColumn("h", F.pmod(F.xxhash64("node"), F.col("m0")).cast("int"))
-
-    def pairs(other: str, lower: bool, same: bool) -> DataFrame:
-        """This document's cell with the cells of one other class; the key is the same from both sides."""
-        rows = placed.filter(F.col(other).isNotNull()).withColumn("g", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        if same:
-            a, b = F.least("h", "g"), F.greatest("h", "g")
-            side = F.when(F.col("h") == F.col("g"), 2).when(F.col("h") < F.col("g"), 0).otherwise(1)
-            keys = [F.col("klass"), F.col("klass")]
-        else:
-            a, b = (F.col("h"), F.col("g")) if lower else (F.col("g"), F.col("h"))
-            side = F.lit(0 if lower else 1)
-            keys = [F.col("klass"), F.col("klass") + 1] if lower else [F.col("klass") - 1, F.col("klass")]
-        return rows.select(F.col("comp").alias("k1"), keys[0].cast("long").alias("k2"), keys[1].alias("k3"), a.alias("k4"), b.alias("k5"),
-                           "comp", "node", side.alias("side"))
+def cells(members: DataFrame, cell: int, shingles: int) -> DataFrame:
+    """members (grp, node, label, n, side) -> the same with k1, k2, k3, the task of a row: in each task some rows of side 0 meet some of
+    side 1 of a group, at most about ``cell`` documents and ``shingles`` shingles of each. Small groups share tasks."""
+    share = F.ceil(F.greatest(F.count(F.lit(1)) / cell, F.sum("n") / shingles)).cast("int")
+    sizes = members.groupBy("grp").pivot("side", [0, 1]).agg(share).select("grp", F.col("0").alias("m0"), F.col("1").alias("m1")).dropna()
+    tasks = max(1, (members.agg(F.sum("n")).first()[0] or 0) // shingles)
+    placed = members.join(sizes, "grp").withColumn("h", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("m0")).otherwise(F.col("m1"))).cast("int"))
+    small = (F.col("m0") == 1) & (F.col("m1") == 1)
+    others = F.when(F.col("side") == 0, F.col("m1")).otherwise(F.col("m0"))
+    dealt = placed.withColumn("g", F.explode(F.sequence(F.lit(0), others - 1)))
+    mine, theirs = F.col("h"), F.col("g")
+    return dealt.select(
+        "grp", "node", "label", "n", "side", F.when(small, F.lit(-1)).otherwise(F.col("grp")).alias("k1"),
+        F.when(small, F.pmod(F.xxhash64("grp"), F.lit(tasks)).cast("int")).when(F.col("side") == 0, mine).otherwise(theirs).alias("k2"),
+        F.when(small, 0).when(F.col("side") == 0, theirs).otherwise(mine).alias("k3"))
+
+
+def verified(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the cells; sets: node, shingles."""
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        links: list[tuple[int, int]] = []
+        for _, g in pdf.groupby("grp", sort=False):
+            left, right = g[g["side"] == 0], g[g["side"] == 1]
+            if len(left) and len(right):
+                links += cell_links(left, right, percent)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    dealt = packed
-    for other, lower, same in (("m0", True, True), ("m_up", True, False), ("m_down", False, False)):
-        dealt = dealt.unionByName(pairs(other, lower, same))
+    return dealt.join(sets, "node").groupBy("k1", "k2", "k3").applyInPandas(verify, "a long, b long")
 
-    nodes = scratch.write(members.select("node").distinct(), "nodes")
-    bounded_arrow(spark)
 
+def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """nodes (node, doc_id, _th) -> node, shingles (sorted 64-bit hashes)."""
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t or b"", words).tobytes() for t in _binary(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi")
-    sets = scratch.write(texts.mapInArrow(to_sets, "node long, shingles binary"), "sets").dropDuplicates(["node"])
-    keys = ["k1", "k2", "k3", "k4", "k5"]
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        links: list[tuple[int, int]] = []
-        for _, g in pdf.groupby("comp", sort=False):
-            own_sets = [np.frombuffer(s, np.uint64) for s in g["shingles"]]
-            links += spanning_links(g["node"].to_numpy(), own_sets, g["side"].to_numpy(), percent)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return dealt.join(sets, "node").groupBy(*keys).applyInPandas(verify, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: int = 24, rows: int = 4, cell: int = 400) -> DataFrame:
-    """documents -> doc_id, n_shingles, component_id, kept; checkpointed."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("_th"), "text")
+    return texts.join(nodes, ["doc_id", "_th"]).select("node", "text").mapInArrow(to_sets, "node long, shingles binary")
+
+
+def first_comparisons(stars: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """stars (node, low: the first node of one of its buckets) -> members of groups: each first node against its followers. Pairs
+    whose set sizes cannot be similar enough are left out."""
+    low = sizes.select(F.col("node").alias("low"), F.col("n").alias("n_low"))
+    pairs = stars.distinct().join(sizes, "node").join(low, "low").filter(F.least("n", "n_low") * 100 >= F.greatest("n", "n_low") * percent)
+    spokes = pairs.select(F.col("low").alias("grp"), "node", F.col("node").alias("label"), "n", F.lit(1).alias("side"))
+    hubs = pairs.select(F.col("low").alias("grp"), F.col("low").alias("node"), F.col("low").alias("label"), F.col("n_low").alias("n"), F.lit(0).alias("side"))
+    return spokes.unionByName(hubs.distinct())
+
+
+def later_comparisons(banded: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """banded (node, n, band, key) of shared buckets, labels (node, component) of the first links -> members of groups: in buckets with
+    several labels, the nodes outside the label of most nodes against all nodes."""
+    labelled = banded.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    labelled = scratch.write(labelled, "labelled")
+    bucket = labelled.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("node").alias("low"),
+                                                 F.max("node").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes"))
+    open_ones = bucket.filter("k > 2 and l0 <> l1").groupBy("k", "low", "high", "nodes").agg(F.min(F.struct("band", "key")).alias("one"))
+    open_ones = scratch.write(open_ones.select("one.band", "one.key", F.monotonically_increasing_id().alias("grp")), "open")
+    rows = labelled.join(open_ones, ["band", "key"])
+    most = rows.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("grp").agg(F.max(F.struct("c", "label")).alias("big"))
+    rows = rows.join(most.select("grp", F.col("big.label").alias("big")), "grp").select("grp", "node", "label", "n", "big")
+    every = rows.drop("big").withColumn("side", F.lit(1))
+    return scratch.write(every.unionByName(rows.filter("label <> big").drop("big").withColumn("side", F.lit(0))), "later")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: int = 24, rows: int = 4, cell: int = 400,
+                    cell_shingles: int = 400_000) -> DataFrame:
+    """documents -> doc_id, _th (hash of the row's text), n_shingles, component_id, kept (doc_id is the component's), first (the row's text
+    and doc_id are the component's first, by doc_id, then hash); checkpointed."""
     spark = docs.sparkSession
     with Scratch(spark, "near-dedup") as scratch:
         prints = scratch.write(fingerprints(docs, bands, rows, words), "prints")
         known = prints.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
         # classes of equal sets: only the digest is shuffled, with partial minima for large classes
-        classes = scratch.write(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "classes")
-        reps = known.join(classes, "digest", "left").filter(F.coalesce("rep", "doc_id") == F.col("doc_id"))
-        banded = scratch.write(reps.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key")), "banded")
-        buckets = banded.groupBy("band", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-        buckets = scratch.write(buckets.drop("high"), "buckets")
-        stars = banded.join(buckets, ["band", "key"]).select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
-        groups = components(stars, scratch, "candidates")
-        sizes = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")).dropDuplicates(["node"])
-        members = scratch.write(groups.withColumnRenamed("component", "comp").join(sizes, "node"), "members")
+        classes = known.groupBy("digest").agg(F.min(F.struct("doc_id", "_th")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+        classes = scratch.write(classes.select("digest", "head"), "classes")
+        own = F.struct("doc_id", "_th")
+        split = known.join(classes, "digest", "left")
+        reps = split.filter(F.col("head").isNull()).unionByName(split.filter(F.col("head") == own).dropDuplicates(["digest"]))
+        reps = scratch.write(reps.select(F.monotonically_increasing_id().alias("node"), "doc_id", "_th", "digest", F.col("n_shingles").alias("n"), "bands"), "reps")
+        banded = scratch.write(reps.select("node", "n", F.posexplode("bands").alias("band", "key")), "banded")
+        buckets = banded.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+        banded = scratch.write(banded.join(buckets.select("band", "key", "low"), ["band", "key"]), "shared")
         scratch.drop("banded")
-        links = scratch.write(_verified(members, docs, scratch, percent, words, cell), "links")
-        # rows of one id that are in several classes tie these classes together
-        joined = scratch.write(components(links, scratch, "final"), "joined")
-        out = prints.join(classes.select("digest", "rep"), "digest", "left")
-        out = out.withColumn("node", F.coalesce("rep", "doc_id")).join(joined, "node", "left")
-        component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "node"))
-        out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-        return checkpointed(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+        sizes = scratch.write(banded.select("node", "n").distinct(), "sizes")
+        sets = scratch.write(_sets(docs, reps.join(sizes, "node", "left_semi").select("node", "doc_id", "_th"), words), "sets").dropDuplicates(["node"])
+        stars = banded.filter("node <> low").select("node", "low")
+        members = scratch.write(first_comparisons(stars, sizes, percent), "first")
+        links = scratch.write(verified(cells(members, cell, cell_shingles), sets, percent), "links")
+        labels = scratch.write(components(links, scratch, "labels"), "labels")
+        later = later_comparisons(banded.drop("low"), labels, scratch)
+        more = scratch.write(verified(cells(later, cell, cell_shingles), sets, percent), "more")
+        if not more.isEmpty():
+            labels = scratch.write(components(links.unionByName(more), scratch, "final"), "joined")
+        heads = labels.join(reps.select("node", "digest", F.struct("doc_id", "_th").alias("rep")), "node")
+        lowest = heads.groupBy("component").agg(F.min("rep").alias("head_all"))
+        fates = heads.join(lowest, "component").select("digest", "head_all")
+        out = prints.drop("bands").join(classes, "digest", "left").join(fates, "digest", "left")
+        alone = F.col("digest").isNull() | F.col("doc_id").isNull()
+        out = out.withColumn("_head", F.when(alone, own).otherwise(F.coalesce("head_all", "head", own)))
+        return checkpointed(out.select(
+            "doc_id", "_th", "n_shingles", F.col("_head.doc_id").alias("component_id"),
+            F.coalesce(F.col("doc_id") == F.col("_head.doc_id"), F.lit(True)).alias("kept"), (own.eqNullSafe(F.col("_head"))).alias("first")))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -199,6 +199,33 @@ def test_near_duplicates_awkward(awkward, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(spark, texts):
+    a, b = sorted(texts.values(), key=len)[-2:]
+    rows = [(3, a), (5, a), (5, b), (7, b + " end"), (5, b), (None, a)]
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.kept, r.first) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, -1, True, True), (3, 3, True, True), (5, 3, False, False), (5, 5, True, True), (5, 5, True, True), (7, 5, False, False)]
+
+
+def test_a_chain_of_weak_candidates_is_not_compared_as_a_whole(spark):
+    """Each text shares most of its words with the next: candidates in a chain, and no links."""
+    n = 300
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(30 * i, 30 * i + 100))) for i in range(n)], "doc_id long, text string")
+    with Scratch(spark, "test") as scratch:
+        prints = near_dedup.fingerprints(df, 24, 4).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
+        low = prints.groupBy("band", "key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+        shared = scratch.write(prints.join(low, ["band", "key"]), "shared")
+        assert shared.select("node").distinct().count() > 0.5 * n  # most are candidates of a neighbour
+        sizes = shared.select("node", "n").distinct()
+        first = near_dedup.first_comparisons(shared.filter("node <> low").select("node", "low"), sizes, 85)
+        later = near_dedup.later_comparisons(shared.drop("low", "k"), spark.createDataFrame([], "node long, component long"), scratch)
+        pairs = 0
+        for members in (first, later):
+            for r in members.groupBy("grp").pivot("side", [0, 1]).count().dropna().collect():
+                pairs += r["0"] * r["1"]
+    assert pairs < 3 * n < n * n / 20
+    assert near_dedup.near_duplicates(df).filter("not kept").count() == 0
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     shared = rng.integers(1, 2**63, 170).astype(np.uint64)

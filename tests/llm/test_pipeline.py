@@ -1,5 +1,7 @@
 """The pipeline's stages: what each drops and keeps, and that nothing else changes."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from skerry.llm.common import table
 
@@ -41,6 +43,35 @@ def test_near_copies_between_80_and_85_percent_go(spark, sf_dir):
     assert sorted(r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, sf_dir).collect()) == [0, 2]
 
 
+def test_a_text_that_shares_its_id_with_others_stays(spark, sf_dir):
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, ""), (6, ""), (None, a), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or -1, (r.text or "")[:2]) for r in corpus_pipeline.dedup_near(spark, docs, sf_dir).collect())
+    assert got == [(-1, "a0"), (3, "a0"), (5, "b0"), (6, ""), (6, ""), (8, "")]
+
+
+def test_stages_on_awkward_rows(spark, sf_dir):
+    """Nulls in every column, empty and very long texts, repeats and clashing names: nothing fails, and clean rows stay."""
+    long = " ".join(f"word{i % 977} of the house" for i in range(20_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "src0", 0), (3, " \n\t ", None, "src0", 3), (4, long, "en", "src0", 9), (4, long, "en", "src0", 9), (5, long, "de", None, 9),
+            (6, "the cat and the dog were in the house of the king", "en", "src0", 9), (None, "the king was in the house with the dog and a cat", "en", "src0", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("_th", F.lit(1)).withColumn("node", F.lit("x"))
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("language_id", "line_dedup", "near_dedup", "decontaminate"):
+        out = stages[name](spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        ids = sorted(r.doc_id or -1 for r in out.collect())
+        if name == "near_dedup":
+            assert ids == [-1, 1, 2, 3, 4, 6]
+        elif name != "language_id":
+            assert ids == [-1, 1, 2, 3, 4, 4, 5, 6], name
+        else:
+            assert {6, 4} <= set(ids)
+    last = stages["sentencepiece"](spark, docs, sf_dir)
+    assert last.count() == len(rows) and last.filter("not round_trip").count() == 0
+
+
 def test_empty_input(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("false")
     for _, stage in corpus_pipeline.STAGES:
