@@ -189,11 +189,12 @@ def cell_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tu
     return out
 
 
-def cells(members: DataFrame, cell: int, shingles: int) -> DataFrame:
+def cells(members: DataFrame, scratch: Scratch, cell: int, shingles: int) -> DataFrame:
     """members (grp, node, label, n, side) -> the same with k1, k2, k3, the task of a row: in each task some rows of side 0 meet some of
     side 1 of a group, at most about ``cell`` documents and ``shingles`` shingles of each. Small groups share tasks."""
     share = F.ceil(F.greatest(F.count(F.lit(1)) / cell, F.sum("n") / shingles)).cast("int")
     sizes = members.groupBy("grp").pivot("side", [0, 1]).agg(share).select("grp", F.col("0").alias("m0"), F.col("1").alias("m1")).dropna()
+    sizes = scratch.write(sizes, "cell-sizes")
     tasks = max(1, (members.agg(F.sum("n")).first()[0] or 0) // shingles)
     placed = members.join(sizes, "grp").withColumn("h", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("m0")).otherwise(F.col("m1"))).cast("int"))
     small = (F.col("m0") == 1) & (F.col("m1") == 1)
@@ -251,7 +252,8 @@ def later_comparisons(banded: DataFrame, labels: DataFrame, scratch: Scratch) ->
     open_ones = scratch.write(open_ones.select("one.band", "one.key", F.monotonically_increasing_id().alias("grp")), "open")
     rows = labelled.join(open_ones, ["band", "key"])
     most = rows.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("grp").agg(F.max(F.struct("c", "label")).alias("big"))
-    rows = rows.join(most.select("grp", F.col("big.label").alias("big")), "grp").select("grp", "node", "label", "n", "big")
+    most = scratch.write(most.select("grp", F.col("big.label").alias("big")), "most")
+    rows = rows.join(most, "grp").select("grp", "node", "label", "n", "big")
     every = rows.drop("big").withColumn("side", F.lit(1))
     return scratch.write(every.unionByName(rows.filter("label <> big").drop("big").withColumn("side", F.lit(0))), "later")
 
@@ -276,13 +278,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
         banded = scratch.write(banded.join(buckets.select("band", "key", "low"), ["band", "key"]), "shared")
         scratch.drop("banded")
         sizes = scratch.write(banded.select("node", "n").distinct(), "sizes")
-        sets = scratch.write(_sets(docs, reps.join(sizes, "node", "left_semi").select("node", "doc_id", "_th"), words), "sets").dropDuplicates(["node"])
+        # written: a table known to be small is broadcast, so that the texts are not shuffled for it
+        nodes = scratch.write(reps.join(sizes, "node", "left_semi").select("node", "doc_id", "_th"), "nodes")
+        sets = scratch.write(_sets(docs, nodes, words), "sets").dropDuplicates(["node"])
         stars = banded.filter("node <> low").select("node", "low")
         members = scratch.write(first_comparisons(stars, sizes, percent), "first")
-        links = scratch.write(verified(cells(members, cell, cell_shingles), sets, percent), "links")
+        links = scratch.write(verified(cells(members, scratch, cell, cell_shingles), sets, percent), "links")
         labels = scratch.write(components(links, scratch, "labels"), "labels")
         later = later_comparisons(banded.drop("low"), labels, scratch)
-        more = scratch.write(verified(cells(later, cell, cell_shingles), sets, percent), "more")
+        more = scratch.write(verified(cells(later, scratch, cell, cell_shingles), sets, percent), "more")
         if not more.isEmpty():
             labels = scratch.write(components(links.unionByName(more), scratch, "final"), "joined")
         heads = labels.join(reps.select("node", "digest", F.struct("doc_id", "_th").alias("rep")), "node")
