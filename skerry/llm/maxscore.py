@@ -1,15 +1,18 @@
 """Exact top-k by integer inner product with MaxScore pruning.
 
-Terms are the vectors' dimensions. Rows are dealt into shards of bounded size and queries into blocks of bounded size;
-each (shard, block) pair is one group. There, a term's contributions to a query lie between the least and the greatest
-product that the shard's values allow; their difference is the term's bound. With the k-th best score so far (first of a
-seed of rows) the terms of smallest bound whose sum cannot reach it are non-essential. Only the essential terms are
-traversed for all rows; the others are probed, in steps of falling bound, for the rows that still compete. Shards' results
-are merged by a window over k rows for each query and shard.
+Terms are the vectors' dimensions. Rows are dealt into shards of bounded size, queries into blocks; each (shard, block) pair
+is one group. A shard keeps a posting list for each term, with bounds. With a score that the query's k-th best row is known to
+reach, the terms of smallest bound that cannot reach it together are non-essential: only the essential terms' lists are
+traversed for all rows, the others are probed, in steps of falling bound, for the rows that still compete.
+
+Shards are searched in rounds, each with ``growth`` times the rows of all before it; after a round the shards' results are
+merged, and the k-th best score of each query is the floor of the next round. Shards return only rows that reach the floor,
+so a round passes on about ``growth`` times k rows for each query, however many shards there are.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, neither as queries nor as
 candidates; shorter vectors count as padded with zeros; equal scores go to the smaller id; repeated rows are separate
-candidates, and a query skips all rows of its own id; an empty table gives no rows; extra columns are ignored. Components are
+candidates, and a query skips all rows of its own id; repeated query rows are one query, and different vectors of one query
+id are separate queries with ranks of their own; an empty table gives no rows; extra columns are ignored. Components are
 scaled and floored to 64-bit integers; products are exact as long as the scores stay below 2**63.
 """
 
@@ -20,9 +23,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.llm.common import table
+from skerry.llm.common import Scratch, checkpointed, table
 
 EXACT_FLOAT = 2**52
+#: Rows are dealt to rounds and shards by a hash below this.
+PLACES = 1 << 30
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -41,89 +46,105 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def shard_topk(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, seed_rows: int = 512, step: int = 8,
-               together: int = 256):
-    """Best k rows of one shard for each query: (query ids, row ids, scores). ``together`` queries are traversed at a time."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
+class Postings:
+    """The posting lists of a shard: for each term the rows that hold it, with their values, and the extremes over all rows."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.x = ids[order], x[order]
+        self.lists = []
+        for t in range(x.shape[1]):
+            rows = np.flatnonzero(self.x[:, t])
+            self.lists.append((slice(None) if len(rows) == len(ids) else rows, np.ascontiguousarray(self.x[rows, t])))
+        self.low, self.high = (f(0) if len(ids) else np.zeros(x.shape[1]) for f in (self.x.min, self.x.max))
+        self.norms = np.sqrt((self.x.astype(np.float64) ** 2).sum(1))
+        self.longest = float(self.norms.max(initial=0.0))
+
+
+def maxscore(own: int, q: np.ndarray, floor: float, p: Postings, k: int, step: int = 4) -> tuple[np.ndarray, np.ndarray, int]:
+    """The best k rows (not of the query's own id) with a score of at least ``floor``: (ids, scores, number of products).
+
+    A term's bound is the greatest product that the shard's values allow. What terms can add together is at most the sum of
+    their bounds, and (by Cauchy and Schwarz) at most the norm of the query's rest times the row's norm."""
+    bounds = np.maximum(q * p.low, q * p.high).astype(np.float64)
+    terms = np.argsort(-bounds, kind="stable")
+    rest = np.append(np.cumsum(bounds[terms][::-1])[::-1], 0.0)
+    tail = np.sqrt(np.append(np.cumsum((q[terms].astype(np.float64) ** 2)[::-1])[::-1], 0.0))
+    slack = 1e-9 * (1.0 + float(np.abs(q).sum()) * max(abs(float(p.low.min(initial=0))), abs(float(p.high.max(initial=0)))))
+    # what follows is non-essential: a row cannot reach the floor by it alone
+    reach = np.minimum(rest, tail * p.longest) + slack >= floor
+    essential = int(np.flatnonzero(reach)[-1]) + 1 if reach.any() else 0
+    essential = min(essential, len(terms))
+    scores, products = np.zeros(len(p.ids), p.x.dtype), 0
+    for t in terms[:essential]:
+        rows, values = p.lists[t]
+        scores[rows] += q[t] * values
+        products += len(values)
+    live = np.flatnonzero(scores + np.minimum(rest[essential], tail[essential] * p.norms) + slack >= floor)
+    scores, at = scores[live], essential
+    while at < len(terms) and len(live):  # probe the next terms of the rows that still compete
+        some = terms[at:at + step]
+        scores = scores + p.x[live[:, None], some] @ q[some]
+        products += len(live) * len(some)
+        at += len(some)
+        stay = scores + np.minimum(rest[at], tail[at] * p.norms[live]) + slack >= floor
+        live, scores = live[stay], scores[stay]
+    good = (p.ids[live] != own) & (scores >= floor)
+    ids, scores = p.ids[live[good]], scores[good].astype(np.int64)
+    best = np.lexsort((ids, -scores))[:k]
+    return ids[best], scores[best], products
+
+
+def exact_type(q: np.ndarray, x: np.ndarray) -> type:
+    """float64 while all sums of products are exact in it."""
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1]
-    kind = np.float64 if bound < EXACT_FLOAT else np.int64
-    x, q = x.astype(kind), q.astype(kind)
-    seeds = np.unique(np.linspace(0, len(ids) - 1, min(seed_rows, len(ids))).astype(int))
-    found = [_block_topk(q_ids[i:i + together], q[i:i + together], ids, x, k, seeds, step) for i in range(0, len(q), together)]
-    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (list(zip(*found)) or [(), (), ()]))
-
-
-def _suffix_sums(values: np.ndarray) -> np.ndarray:
-    """[i, t]: sum of values[i, t:]; the last column is zero."""
-    return np.concatenate([np.cumsum(values[:, ::-1], 1)[:, ::-1], np.zeros((len(values), 1), values.dtype)], 1)
-
-
-def _block_topk(q_ids, q, ids, x, k, seeds, step, dense=0.03):
-    n, width = q.shape
-    each = np.arange(n)
-    a, b = q * x.max(0), q * x.min(0)
-    least, most = np.minimum(a, b), np.maximum(a, b)
-    terms = np.argsort(least - most, axis=1, kind="stable")  # by falling bound
-    known = np.where(ids[seeds][None, :] != q_ids[:, None], (q @ x[seeds].T).astype(np.float64), -np.inf)
-    floor = np.partition(known, len(seeds) - k, axis=1)[:, len(seeds) - k] if len(seeds) >= k else np.full(n, -np.inf)
-    # the most that a row can score if all of its first t terms contribute their least
-    reach = _suffix_sums(np.take_along_axis(most - least, terms, 1)) + least.sum(1, keepdims=True)
-    essential = np.where(np.isfinite(floor), np.clip((reach >= floor[:, None]).sum(1), 1, width), width)
-    after = _suffix_sums(np.take_along_axis(most, terms, 1))
-    place = np.empty_like(terms)
-    np.put_along_axis(place, terms, np.arange(width)[None, :], 1)
-    partial = np.where(place < essential[:, None], q, 0) @ x.T  # the essential terms of all rows
-    reached, live = essential, partial + after[each, essential][:, None] >= floor[:, None]
-    while reached.min() < width and live.mean() > dense:  # many rows compete: probe the next terms of all of them at once
-        onward = np.minimum(reached + step, width)
-        partial += np.where((place >= reached[:, None]) & (place < onward[:, None]), q, 0) @ x.T
-        reached = onward
-        live = partial + after[each, reached][:, None] >= floor[:, None]
-    qi, xi = np.nonzero(live)
-    score, done = partial[qi, xi], reached[qi]
-    while len(qi) and done.min() < width:  # probe the next terms of the rows that still compete
-        at = done[:, None] + np.arange(step)
-        t = terms[qi[:, None], np.minimum(at, width - 1)]
-        score = score + np.where(at < width, q[qi[:, None], t] * x[xi[:, None], t], 0).sum(1)
-        done = np.minimum(done + step, width)
-        stay = score + after[qi, done] >= floor[qi]
-        qi, xi, score, done = qi[stay], xi[stay], score[stay], done[stay]
-    other = ids[xi] != q_ids[qi]
-    qi, xi, score = qi[other], xi[other], score[other]
-    best = np.lexsort((ids[xi], -score, qi))
-    qi, xi, score = qi[best], xi[best], score[best]
-    first = np.searchsorted(qi, qi, side="left")
-    top = np.arange(len(qi)) - first < k
-    return q_ids[qi[top]], ids[xi[top]], score[top].astype(np.int64)
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, shard_rows: int = 4096, block_rows: int = 4096) -> DataFrame:
-    """vectors and queries (vec_id, embedding) -> query_id, rank, vec_id, score (all long but the rank, an int)."""
-    def prepared(df: DataFrame, parts: int, size: int, own: str, other: str, others: int) -> DataFrame:
-        part = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(parts)).cast("int")
-        return df.select("vec_id", "v", part.alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    return np.float64 if bound < EXACT_FLOAT else np.int64
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, shard_rows: int = 4096, block_rows: int = 2048, growth: int = 16) -> DataFrame:
+    """vectors and queries (vec_id, embedding) -> query_id, rank, vec_id, score (all long but the rank, an int); checkpointed."""
+    spark = vectors.sparkSession
 
     def clean(df: DataFrame) -> DataFrame:
         return df.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
             F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v"))
 
-    rows, asked = clean(vectors), clean(queries)
-    shards, blocks = max(1, -(-rows.count() // shard_rows)), max(1, -(-asked.count() // block_rows))
-
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            found = (np.zeros(0, np.int64),) * 3
-        else:
+        out: list[pd.DataFrame] = []
+        if len(left) and len(right):
             width = max(left["v"].map(len).max(), right["v"].map(len).max())
-            found = shard_topk(right["vec_id"].to_numpy(), _matrix(right["v"], width), left["vec_id"].to_numpy(), _matrix(left["v"], width), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
-
-    groups = prepared(rows, shards, shard_rows, "shard", "block", blocks).groupBy("shard", "block")
-    found = groups.cogroup(prepared(asked, blocks, block_rows, "block", "shard", shards).groupBy("shard", "block")).applyInPandas(
-        search, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            x, q = _matrix(left["v"], width), _matrix(right["v"], width)
+            kind = exact_type(q, x)
+            postings, q = Postings(left["vec_id"].to_numpy(), x.astype(kind)), q.astype(kind)
+            for no, own, floor, v in zip(right["query_no"], right["vec_id"], right["floor"].fillna(-np.inf), q):
+                ids, scores, _ = maxscore(own, v, floor, postings, k)
+                out.append(pd.DataFrame({"query_no": no, "vec_id": ids, "score": scores}))
+        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_no", "vec_id", "score")})
+
+    best = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id")
+    with Scratch(spark, "maxscore") as scratch:
+        place = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(PLACES))
+        rows = scratch.write(clean(vectors).withColumn("place", place), "rows")
+        asked = scratch.write(clean(queries).distinct().withColumn("query_no", F.monotonically_increasing_id()), "asked")
+        n, blocks = rows.count(), max(1, -(-asked.count() // block_rows))
+        found, done, size, turn = None, 0, shard_rows, 0
+        while done < PLACES:
+            upto = PLACES if size >= n else PLACES * size // n
+            part = rows.filter((F.col("place") >= done) & (F.col("place") < upto))
+            shards = max(1, -(-n * (upto - done) // (PLACES * shard_rows)))
+            floors = asked.withColumn("floor", F.lit(None).cast("double"))
+            if found is not None:  # the k-th best score so far: what a row has to reach
+                last = found.filter(F.col("rank") == k).select("query_no", F.col("score").cast("double").alias("floor"))
+                floors = asked.join(last, "query_no", "left")
+            left = part.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            right = floors.withColumn("block", F.pmod(F.xxhash64("query_no"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+            tasks = max(shards * blocks, 1)
+            new = left.repartition(tasks, "shard", "block").groupBy("shard", "block").cogroup(right.repartition(tasks, "shard", "block").groupBy("shard", "block")).applyInPandas(
+                search, "query_no long, vec_id long, score long")
+            every = new if found is None else new.unionByName(found.drop("rank"))
+            found = scratch.write(every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), f"found{turn}")
+            done, size, turn = upto, size * growth, turn + 1
+        return checkpointed(found.join(asked.select("query_no", F.col("vec_id").alias("query_id")), "query_no").select("query_id", "rank", "vec_id", "score"))
 
 
 def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,6 +310,35 @@ def test_top_k_ties_shards_and_bad_vectors(spark):
     assert maxscore.top_k(df.filter("false"), df).count() == 0 and maxscore.top_k(df, df.filter("false")).count() == 0
 
 
+def test_max_score_needs_fewer_products_than_brute_force():
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(0, 8, (4096, 64))).astype(np.float64)
+    shard = maxscore.Postings(np.arange(4096), x)
+    queries = np.floor(rng.normal(0, 8, (40, 64))).astype(np.float64)
+    products = rows = 0
+    for q in queries:
+        exact = np.sort(x @ q)[::-1]
+        ids, scores, n = maxscore.maxscore(-1, q, float(exact[19]), shard, 20)
+        assert scores.tolist() == exact[:20].tolist()
+        products += n
+        higher = maxscore.maxscore(-1, q, float(exact[0]), shard, 20)  # a floor from elsewhere: one row comes back, for less work
+        rows += len(higher[0])
+        assert higher[2] < n
+    assert products < 0.7 * len(queries) * x.size and rows < 2 * len(queries)
+
+
+def test_rounds_of_shards_and_repeated_queries(spark):
+    rng = np.random.default_rng(6)
+    x = np.floor(64 * rng.normal(0, 0.1, (700, 6)).astype(np.float32).astype(np.float64)).astype(int)
+    df = spark.createDataFrame([(i, (v / 64).tolist()) for i, v in enumerate(x)] + [(0, (x[1] / 64).tolist()), (0, (x[0] / 64).tolist())], "vec_id long, embedding array<double>")
+    rows = maxscore.top_k(df, df.filter("vec_id = 0"), k=5, shard_rows=20, growth=3).collect()
+    ids, all_x = [*range(700), 0, 0], np.concatenate([x, x[1:2], x[:1]])
+    want = []
+    for q in (x[0], x[1]):
+        want += [(n, i, -s) for n, (s, i) in enumerate(sorted((-int(a @ q), i) for i, a in zip(ids, all_x) if i != 0)[:5], 1)]
+    assert sorted((r["rank"], r.vec_id, r.score) for r in rows) == sorted(want) and {r.query_id for r in rows} == {0}
+
+
 # --- 7 language --------------------------------------------------------------------------------------------------------
 
 
