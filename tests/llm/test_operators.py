@@ -267,6 +267,48 @@ def test_paraphrases_and_awkward_texts(spark, awkward, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.filter("false")).count() == 0
 
 
+def test_paraphrase_recall_against_the_subsequence_of_all_windows(spark, sf_dir, texts):
+    """Rewritten items put into documents; brute force confirms every window of every document with every item."""
+    rng, rule = np.random.default_rng(8), (0.7, 0.6, 0.8, 0.65)
+    bench = table(spark, sf_dir, "benchmark")
+    items = {r.item_id: r.text for r in bench.collect()}
+    vocabulary = sorted({w for t in texts.values() for w in decontaminate.words_of(t)})
+    rows = dict(texts)
+    for n, (i, t) in enumerate(sorted(items.items())):
+        w = t.split()
+        last = max(t.rfind(". ", 0, len(t) - 2), 0)
+        tail = len(t[last:].split()) if last else 0
+        out = []
+        for at, x in enumerate(w):
+            turn = rng.random() if at < len(w) - tail else 1.0
+            out += [] if turn < 0.12 else [str(rng.choice(vocabulary))] if turn < 0.24 else [x, str(rng.choice(vocabulary))] if turn < 0.4 else [x]
+        host = rows[n].split() if rows[n] else []
+        cut = len(host) // 2
+        rows[100_000 + n] = " ".join(host[:cut] + out + host[cut:])
+    index = decontaminate.ItemIndex(bench.toPandas(), {w: i for i, w in enumerate(sorted({w for t in items.values() for w in decontaminate.words_of(t)}))},
+                                    np.ones(10_000), np.zeros((10_000, 1)))
+    want = set()
+    for d, t in rows.items():
+        w = decontaminate.words_of(t)
+        for k, i in enumerate(index.ids):
+            if any(index.confirm(k, w, at, 64, rule)[2] for at in range(0, max(len(w), 1), 32)):
+                want.add((d, int(i)))
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()}
+    planted = {(d, i) for d, i in want if d >= 100_000}
+    print(len(want), len(planted), len(got & want) / len(want), len(got & planted) / max(len(planted), 1))
+    assert len(planted) >= 20 and len(got & planted) >= 0.9 * len(planted) and len(got & want) >= 0.9 * len(want) and not got - want
+
+
+def test_the_space_is_smaller_than_its_rows(spark, sf_dir, texts):
+    """An item of which the space holds little is still found: the cut follows the part that is held."""
+    items = {r.item_id: r.text for r in table(spark, sf_dir, "benchmark").collect()}
+    want = {(d, i) for d, t in texts.items() for i, x in items.items() if x.lower() in t.lower()}
+    docs = table(spark, sf_dir, "documents")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), rank=20, sample=150).collect()}
+    assert got == want
+
+
 def test_short_items_of_a_large_benchmark_are_found(spark):
     rng = np.random.default_rng(4)
     items = [" ".join(f"w{x}" for x in rng.integers(0, 20_000, 6)) for _ in range(2000)]
