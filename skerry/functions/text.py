@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,9 +24,23 @@ LAB_PATTERNS = {
 # Notebook evidence.
 DATE_PATTERN = (r"(?i)\b(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4})\b")
 RESEARCHER_PATTERN = r"(?i)\b(recorded by|performed by|signed|signature|investigator|principal investigator|PI|technician|researcher)\b"
+# Control characters that go, and runs of line feeds that become two.
+CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+LINE_FEEDS = r"\n{3,}"
 WORD_JOINER = "⁠"
 
 
+# Marks for cutting texts by patterns; a mark that a text has itself is escaped meanwhile.
+_MARK, CUT, _ESCAPED = "\u0001", "\u0001\u0003", "\u0001\u0002"
+
+
+def cut_at_marks(text: Column, mark: Callable[[Column], Column]) -> Column:
+    """The pieces of text between the CUTs that ``mark`` puts into it; every other character stays."""
+    plain = F.split(mark(text), CUT, -1)
+    escaped = F.split(mark(F.replace(text, F.lit(_MARK), F.lit(_ESCAPED))), CUT, -1)
+    return F.when(F.contains(text, F.lit(_MARK)), F.transform(escaped, lambda p: F.replace(p, F.lit(_ESCAPED), F.lit(_MARK)))).otherwise(plain)
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
@@ -40,8 +54,7 @@ def nfkc(text: Column) -> Column:
 
 def clean_whitespace(text: Column) -> Column:
     """NFKC; no control characters but tab, LF and CR; at most two LF in a row."""
-    plain = F.regexp_replace(nfkc(text), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    return F.regexp_replace(plain, r"\n{3,}", "\n\n")
+    return F.regexp_replace(F.regexp_replace(nfkc(text), CONTROLS, ""), LINE_FEEDS, "\n\n")
 
 
 # Markdown constructs and what stays of them, in this order.
@@ -78,9 +91,9 @@ def json_profile(documents: DataFrame, text: str = "text") -> DataFrame:
 
     docs = documents.select("document_id", F.col(text).alias("_t"), F.try_parse_json(text).alias("_v"))
     docs = docs.withColumn("_type", F.when(F.col("_v").isNotNull(), json_type(F.col("_v"))))
-    keys = docs.filter("_type = 'object'").select("document_id", "_v", F.explode(F.json_object_keys("_t")).alias("key"))
-    keys = keys.select("document_id", F.lit("object").alias("kind"), "key",
-                       json_type(F.expr("variant_get(_v, concat('$.', key), 'variant')")).alias("type"))
+    objects = docs.filter("_type = 'object'").select("document_id", "_v")
+    keys = objects.lateralJoin(objects.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    keys = keys.select("document_id", F.lit("object").alias("kind"), "key", json_type(F.col("value")).alias("type"))
     items = docs.filter("_type = 'array'").select("document_id", F.expr("cast(_v as array<variant>)").alias("_a"))
     arrays = items.select("document_id", F.lit("array").alias("kind"), F.size("_a").cast("string").alias("key"),
                           F.array_join(F.array_sort(F.array_distinct(F.transform(F.slice("_a", 1, 200), json_type))), ", ").alias("type"))
@@ -177,7 +190,7 @@ def fix_ocr_tokens(text: Column) -> Column:
     """Lines without letters or digits go; in tokens of digits and look-alikes that are digits by half or more, O, o become 0 and l, I become 1."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[\p{L}\p{N}]"))
     # split at token borders, so that every second piece can be judged alone
-    pieces = F.split(F.regexp_replace(F.array_join(lines, "\n"), r"\b([0-9OolI]{2,})\b", "\u0001$1\u0001"), "\u0001")
+    pieces = cut_at_marks(F.array_join(lines, "\n"), lambda t: F.regexp_replace(t, r"\b([0-9OolI]{2,})\b", f"{CUT}$1{CUT}"))
 
     def fixed(piece: Column) -> Column:
         digits = F.length(piece) - F.length(F.regexp_replace(piece, "[0-9]", ""))

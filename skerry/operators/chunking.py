@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.functions.text import LAB_PATTERNS, word_count
+from skerry.functions.text import CUT, LAB_PATTERNS, cut_at_marks, word_count
 
 # What lines look like, and units that may begin a cut-off lab value.
 BLANK_LINES = r"(\n[ \t]*\n[ \t\n]*)"
@@ -21,7 +21,6 @@ MD_HEADER = r"^#{1,6}\s+.+$"
 TABLE_ROW = r"^\s*\|.*\|\s*$"
 LIST_ITEM = r"^\s*([-*+]|\d+[.)])\s+"
 LEADING_UNIT = r"(?i)^(mg/dL|mmol/L|IU/L|g/L|mEq/L|mmHg|bpm|%)"
-CUT = "\u0001"
 UNIT = "array<struct<text:string,char_start:int,char_end:int>>"
 CHUNK = "array<struct<content:string,chunk_type:string,char_start:int,char_end:int,token_count:int>>"
 
@@ -82,8 +81,8 @@ def classify_block(text: Column) -> Column:
 
 def split_blocks(pages: DataFrame, paragraphs: bool = True) -> DataFrame:
     """(document_id, page_number, text) -> (…, block_no, text, char_start, char_end): blank blocks are left out."""
-    marked = F.regexp_replace("text", BLANK_LINES, f"{CUT}$1{CUT}") if paragraphs else F.col("text")
-    units = _with_offsets(F.split(marked, CUT, -1), F.lit(0))
+    pieces = cut_at_marks(F.col("text"), lambda t: F.regexp_replace(t, BLANK_LINES, f"{CUT}$1{CUT}")) if paragraphs else F.array("text")
+    units = _with_offsets(pieces, F.lit(0))
     return pages.select("document_id", "page_number", F.posexplode(units).alias("block_no", "u")).select("document_id", "page_number", "block_no", "u.*")
 
 
@@ -117,7 +116,7 @@ def merge_adjacent_paragraphs(blocks: DataFrame) -> DataFrame:
 
 def split_sentences(text: Column, base: Column) -> Column:
     """Units between ``.``, ``!`` or ``?`` with white space after it and a capital letter."""
-    return _with_offsets(F.split(F.regexp_replace(text, r"([.!?])(\s+)(?=[A-Z])", f"$1{CUT}$2{CUT}"), CUT, -1), base)
+    return _with_offsets(cut_at_marks(text, lambda t: F.regexp_replace(t, r"([.!?])(\s+)(?=[A-Z])", f"$1{CUT}$2{CUT}")), base)
 
 
 def glue_split_lab_values(units: Column) -> Column:
@@ -134,8 +133,9 @@ def glue_split_lab_values(units: Column) -> Column:
         joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), one(F.concat(last["text"], F.lit(" "), u["text"]), last["char_start"], True))
         return F.when(fits, joined).otherwise(F.concat(acc, one(u["text"], u["char_start"], False)))
 
-    glued = F.aggregate(F.transform(units, lambda u: u), F.array().cast(kind), _safe_last(step))
-    return F.transform(glued, lambda g: _struct(g["text"], g["char_start"], g["char_end"]))
+    glued = F.aggregate(units, F.array().cast(kind), _safe_last(step))
+    glued = F.transform(glued, lambda g: _struct(g["text"], g["char_start"], g["char_end"]))
+    return F.when(F.exists(units, lambda u: u["text"].rlike(LEADING_UNIT.replace("^", r"^\s*", 1))), glued).otherwise(units)
 
 
 def _safe_last(step):
@@ -186,10 +186,12 @@ def accumulate_units(units: Column, config: ChunkingConfig, kind: str) -> Column
     """Greedy packing: a chunk is closed when the next unit would exceed max_tokens; the next one starts with the last ``overlap`` tokens of
     the closed one. A unit above the maximum stays whole."""
     sep = " " if kind == "paragraph" else "\n"
+    # each unit's tokens are counted once
+    units = F.transform(units, lambda u: F.struct(u["text"].alias("text"), u["char_start"].alias("char_start"), u["char_end"].alias("char_end"), count_tokens(u["text"]).alias("n")))
     init = F.struct(F.array().cast(CHUNK).alias("out"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n"), F.lit(0).alias("s"), F.lit(0).alias("e"))
 
     def step(acc: Column, u: Column) -> Column:
-        n = count_tokens(u["text"])
+        n = u["n"]
         full = acc["cur"].isNotNull() & (acc["n"] + n > config.max_tokens)
         over = last_tokens(acc["cur"], config.overlap) if config.overlap > 0 else F.lit(None).cast("string")
         over = F.when(over != "", over)

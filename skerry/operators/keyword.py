@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Common English words that are not indexed.
-STOP_WORDS = ("a an and are as at be but by for from had has have he her his i if in into is it its no not of on or our she so such "
-              "that the their then there these they this to was we were will with you").split()
+from skerry.functions.stem import SPARK, stem_sql
 
+# English words that are not indexed.
+STOP_WORDS = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them
+their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and
+but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off
+over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too
+very s t can will just don should now""".split()
 
-def light_stem(term: Column) -> Column:
-    """S-stemmer (Harman 1991): the first of three plural rules that applies."""
-    return (F.when(term.rlike("[^ea]ies$"), F.regexp_replace(term, "ies$", "y"))
-            .when(term.rlike("[^aeo]es$"), F.regexp_replace(term, "es$", "e"))
-            .when(term.rlike("[^us]s$"), F.regexp_replace(term, "s$", "")).otherwise(term))
+
+def stems(words: DataFrame) -> DataFrame:
+    """(word) -> (word, term): each distinct word is stemmed once."""
+    return words.select("word").distinct().withColumn("term", F.expr(stem_sql("word", SPARK)))
 
 
 def _terms(text: Column) -> Column:
@@ -24,7 +27,8 @@ def _terms(text: Column) -> Column:
 def build_postings(chunks: DataFrame) -> DataFrame:
     """(document_id, chunk_index, content) -> (term, document_id, chunk_index, positions, tf); positions count all words, stop words too."""
     words = chunks.select("document_id", "chunk_index", F.posexplode(_terms(F.col("content"))).alias("pos", "word"))
-    words = words.filter(~F.col("word").isin(STOP_WORDS)).withColumn("term", light_stem(F.col("word")))
+    words = words.filter(~F.col("word").isin(STOP_WORDS))
+    words = words.join(stems(words), "word")
     return words.groupBy("term", "document_id", "chunk_index").agg(
         F.array_sort(F.collect_list((F.col("pos") + 1).cast("int"))).alias("positions"), F.count(F.lit(1)).alias("tf"))
 
@@ -37,7 +41,7 @@ def parse_web_query(queries: DataFrame) -> DataFrame:
     tokens = tokens.withColumn("alternative", F.sum((F.col("token") == "or").cast("int")).over(w)).filter("token <> 'or'")
     bare = F.filter(_terms(F.col("token")), lambda t: ~t.isin(STOP_WORDS))
     negative, quoted = F.col("token").startswith("-"), F.col("token").rlike('^-?"')
-    out = tokens.withColumn("terms", F.transform(bare, light_stem)).filter(F.size("terms") > 0)
+    out = tokens.withColumn("_bare", bare).withColumn("terms", F.expr(f"transform(_bare, t -> {stem_sql('t', SPARK)})")).filter(F.size("terms") > 0)
     kind = F.when(negative, "not").when(quoted & (F.size("terms") > 1), "phrase").otherwise("and")
     return out.select("query_id", F.col("alternative").cast("int").alias("alternative"), "clause_id", kind.alias("kind"), "terms")
 
@@ -68,11 +72,18 @@ def cover_density_rank(postings: DataFrame, parsed: DataFrame, matches: DataFram
     keys = ["query_id", "document_id", "chunk_index"]
     wanted = parsed.filter("kind <> 'not'").select("query_id", F.explode("terms").alias("term")).distinct()
     found = postings.join(wanted, "term").join(matches, keys, "left_semi")
-    places = found.groupBy(*keys).agg(F.collect_list("positions").alias("_lists"), F.count(F.lit(1)).alias("_n"))
-    q_of = F.array_sort(F.flatten("_lists"))
-    # for each place q: each term's last place up to q; the cover starts at the least of them
-    covers = F.transform(q_of, lambda q: F.struct(
-        F.array_min(F.transform(F.col("_lists"), lambda ps: F.coalesce(F.array_max(F.filter(ps, lambda p: p <= q)), F.lit(-1)))).alias("p"), q.alias("q")))
-    rows = places.select(*keys, "_n", F.explode(covers).alias("c")).filter("c.p > 0")
+    places = found.select(*keys, "term", F.explode("positions").alias("q"))
+    # one pass over the places in order: the last place of each term so far; the cover that ends here starts at the least of them
+    n = found.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("_n"), F.array_sort(F.collect_list("term")).alias("_terms"))
+    ordered = places.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("q", "term"))).alias("_places")).join(n, keys)
+    empty = F.struct(F.transform("_terms", lambda t: F.lit(0)).alias("last"), F.array().cast("array<struct<p:int,q:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.transform(acc["last"], lambda old, i: F.when(F.get(F.col("_terms"), i) == x["term"], x["q"]).otherwise(old))
+        cover = F.transform(F.array(last), lambda now: F.struct(F.array_min(now).alias("p"), x["q"].alias("q")))
+        return F.struct(last.alias("last"), F.concat(acc["out"], cover).alias("out"))
+
+    covers = F.aggregate("_places", empty, step, lambda acc: acc["out"])
+    rows = ordered.select(*keys, "_n", F.explode(covers).alias("c")).filter("c.p > 0")
     minimal = rows.groupBy(*keys, "_n", F.col("c.p").alias("p")).agg(F.min("c.q").alias("q"))
     return minimal.groupBy(*keys).agg(F.round(F.sum(1.0 / (1 + (F.col("q") - F.col("p") + 1) - F.col("_n"))), 6).alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.functions.text import CUT, cut_at_marks
 from skerry.operators import keyword
 from skerry.operators.vectors import exact_knn
 
@@ -12,8 +13,8 @@ from skerry.operators.vectors import exact_knn
 RRF = 60
 
 
-def scope_corpus(chunks: DataFrame, documents: DataFrame, queries: DataFrame) -> DataFrame:
-    """Chunks each query may see: the user's documents, and if given its project, earliest time and mime types.
+def visible_documents(documents: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, document_id) that each query may see: the user's documents, and if given its project, earliest time and mime types.
 
     queries: query_id, user_id and optionally project_id, since, mime_types (array), document_ids (array); null means no limit."""
     docs = documents.select("document_id", F.col("uploaded_by").alias("_owner"), F.col("project_id").alias("_project"), "mime_type", F.col("created_at").alias("_made"))
@@ -24,8 +25,12 @@ def scope_corpus(chunks: DataFrame, documents: DataFrame, queries: DataFrame) ->
                        ("document_ids", F.expr("array_contains(document_ids, document_id)") if "document_ids" in has else None)):
         if name in has:
             ok &= F.col(name).isNull() | test
-    seen = docs.join(queries, docs["_owner"] == queries["user_id"]).filter(ok).select("query_id", "document_id")
-    return chunks.join(seen, "document_id")
+    return docs.join(queries, docs["_owner"] == queries["user_id"]).filter(ok).select("query_id", "document_id")
+
+
+def scope_corpus(chunks: DataFrame, documents: DataFrame, queries: DataFrame) -> DataFrame:
+    """Chunks each query may see."""
+    return chunks.join(visible_documents(documents, queries), "document_id")
 
 
 def dedupe_by_content(ranked: DataFrame) -> DataFrame:
@@ -56,15 +61,23 @@ def _finished(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def semantic_search(vectors: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.35,
-                    exclude: Column | None = None) -> DataFrame:
-    """vectors (chunk_id, document_id, chunk_index, embedding, content) -> ranked, deduplicated, with context, in reading order."""
-    top = exact_knn(vectors, queries, k, threshold, exclude=exclude, keep=("document_id", "chunk_index", "content"))
+                    exclude: Column | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """vectors (chunk_id, document_id, chunk_index, embedding, content) -> ranked, deduplicated, with context, in reading order.
+
+    ``scope`` (query_id, document_id), as of visible_documents, restricts the candidates before the cut to k."""
+    slim = vectors.drop("content")  # content joins the winners only
+    top = exact_knn(slim, queries, k, threshold, exclude=exclude, keep=("document_id", "chunk_index"), scope=scope)
+    top = top.join(vectors.select("chunk_id", "content"), "chunk_id")
     return _finished(top.withColumnRenamed("similarity", "score"), chunks)
 
 
-def keyword_search(postings: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def keyword_search(postings: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 10, scope: DataFrame | None = None) -> DataFrame:
+    """Best k chunks of each query by cover density; ``scope`` (query_id, document_id) restricts them before they are ranked."""
     parsed = keyword.parse_web_query(queries)
-    scored = keyword.cover_density_rank(postings, parsed, keyword.match_postings(postings, parsed))
+    matches = keyword.match_postings(postings, parsed)
+    if scope is not None:
+        matches = matches.join(scope, ["query_id", "document_id"], "left_semi")
+    scored = keyword.cover_density_rank(postings, parsed, matches)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "chunk_index")
     top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return _finished(top.join(chunks.select("document_id", "chunk_index", "content"), ["document_id", "chunk_index"]), chunks)
@@ -83,10 +96,10 @@ def rrf_fuse(semantic: DataFrame, by_keyword: DataFrame, k: int = 10) -> DataFra
 
 
 def hybrid_search(vectors: DataFrame, postings: DataFrame, chunks: DataFrame, vector_queries: DataFrame, text_queries: DataFrame,
-                  k: int = 10, threshold: float = 0.2, exclude: Column | None = None) -> DataFrame:
+                  k: int = 10, threshold: float = 0.2, exclude: Column | None = None, scope: DataFrame | None = None) -> DataFrame:
     pool = max(3 * k, 20)
-    semantic = semantic_search(vectors, chunks, vector_queries, pool, threshold, exclude)
-    fused = rrf_fuse(semantic, keyword_search(postings, chunks, text_queries, pool), k)
+    semantic = semantic_search(vectors, chunks, vector_queries, pool, threshold, exclude, scope)
+    fused = rrf_fuse(semantic, keyword_search(postings, chunks, text_queries, pool, scope), k)
     return group_by_document(fused)
 
 
@@ -94,8 +107,8 @@ def best_sentence(ranked: DataFrame, queries: DataFrame) -> DataFrame:
     """The sentence of each result that holds most of the query's words (longer than 2 letters, as substrings); the first of equals, none at 0."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 2)
     q = queries.select("query_id", words.alias("_words"))
-    marked = F.regexp_replace(F.regexp_replace("content", r"([.!?])\s+", "$1\u0001"), r"\n\s*\n", "\u0001")
-    sentences = F.filter(F.split(marked, "\u0001"), lambda s: F.trim(s) != "")
+    pieces = cut_at_marks(F.col("content"), lambda t: F.regexp_replace(F.regexp_replace(t, r"([.!?])\s+", f"$1{CUT}"), r"\n\s*\n", CUT))
+    sentences = F.filter(pieces, lambda s: F.trim(s) != "")
     scored = F.transform(sentences, lambda s, i: F.struct(
         F.size(F.filter(F.array_distinct("_words"), lambda w: F.contains(F.lower(s), w))).alias("n"), (-i).alias("i"), F.trim(s).alias("s")))
     out = ranked.join(q, "query_id").withColumn("_best", F.array_max(scored))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.functions.text import DATE_COLUMN, LAB_PATTERNS, LAB_UNITS
+from skerry.functions.text import CUT, DATE_COLUMN, LAB_PATTERNS, LAB_UNITS, cut_at_marks
 
 DELIMITERS = [",", ";", "\t", "|"]
 # Numbers as they appear in cells, and names of identifier columns.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+HEADER_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?%?$"
 ID_COLUMN = r"(?i)(mrn|patient[_\s]?id|subject[_\s]?id|patient[_\s]?no)"
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy", "yyyy/MM/dd"]
 
@@ -41,9 +42,11 @@ def sniff_delimiter(lines: DataFrame, sample: int = 10) -> DataFrame:
 def split_quoted(line: Column, delimiter: Column) -> Column:
     """Cells of a line: a delimiter inside double quotes does not cut, doubled quotes inside quotes are one."""
     # outside quotes every delimiter becomes a cut: even pieces of a split at quotes are outside
-    parts = F.split(line, '"', -1)
-    marked = F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.replace(p, delimiter, F.lit("\u0001"))).otherwise(p))
-    cells = F.split(F.array_join(marked, '"'), "\u0001", -1)
+    def mark(text: Column) -> Column:
+        parts = F.split(text, '"', -1)
+        return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.replace(p, delimiter, F.lit(CUT))).otherwise(p)), '"')
+
+    cells = cut_at_marks(line, mark)
     return F.transform(cells, lambda c: F.when(c.rlike(r'(?s)^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
 
 
@@ -67,7 +70,7 @@ def caption_rows(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 def detect_header_rows(cells: DataFrame) -> DataFrame:
     """(dataset, header_rows 0, 1 or 2). A row is no header if over 30 % of its filled cells are numbers. Otherwise the columns whose next
     rows (up to row 11) are numbers by 70 % vote: a label above numbers for, a number above numbers against. Ties: yes for the first row, no for the second."""
-    top = cells.filter((F.col("row_no") <= 11) & filled(F.col("value"))).withColumn("num", looks_numeric(F.col("value")).cast("int"))
+    top = cells.filter((F.col("row_no") <= 11) & filled(F.col("value"))).withColumn("num", F.trim("value").rlike(HEADER_NUMBER).cast("int"))
 
     def verdict(r: int, default: bool) -> DataFrame:
         own = top.filter(F.col("row_no") == r).select("dataset", "col_no", F.col("num").alias("own"))

@@ -23,14 +23,18 @@ def unit(a: Column) -> Column:
 
 
 def exact_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = None, key: str = "chunk_id",
-              exclude: Column | None = None, query_keys: tuple[str, ...] = ("query_id",), keep: tuple[str, ...] = ()) -> DataFrame:
+              exclude: Column | None = None, query_keys: tuple[str, ...] = ("query_id",), keep: tuple[str, ...] = (), scope: DataFrame | None = None) -> DataFrame:
     """Top k rows for each query by cosine similarity, ranked; similarity is rounded to 6 digits, ties go to the smaller key.
 
     Each pair is scored exactly once; the query table is the small side (a batch of queries), which Spark broadcasts if its
     size allows and otherwise spreads. Partial top-k runs before the shuffle by query. For large batches use ann_knn."""
     v = vectors.filter(F.col("embedding").isNotNull()).withColumn("_n", norm(F.col("embedding")))
     q = queries.withColumn("_qn", norm(F.col("query_vector")))
-    pairs = v.crossJoin(q) if exclude is None else v.join(q, exclude)
+    if scope is None:
+        pairs = v.crossJoin(q) if exclude is None else v.join(q, exclude)
+    else:  # only the documents that a query may see: equi-joins
+        pairs = v.join(scope.select("query_id", "document_id"), "document_id").join(q, "query_id")
+        pairs = pairs if exclude is None else pairs.filter(exclude)
     cos = F.round(dot(F.col("embedding"), F.col("query_vector")) / (F.col("_n") * F.col("_qn")), 6)
     scored = pairs.select(*query_keys, key, *keep, cos.alias("similarity")).filter(F.col("similarity").isNotNull())
     w = Window.partitionBy(*query_keys).orderBy(F.desc("similarity"), key)

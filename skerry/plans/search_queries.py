@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from skerry.functions.stem import DUCK, stem_sql
 from skerry.operators import keyword as kw
 from skerry.operators import search as s
 from skerry.operators import vectors as v
@@ -123,6 +124,34 @@ def hybrid_search(spark, d):
     return out.select("query_id", "document_id", "chunk_index", "score", "position")
 
 
+def _scope(spark, d, queries):
+    """Each query is asked by one user, who sees only the own documents."""
+    users = queries.select("query_id", F.concat(F.lit("src"), F.expr("query_id % 20")).alias("user_id"))
+    return s.visible_documents(v_documents(spark, d), users)
+
+
+def scoped_semantic_search(spark, d):
+    queries = v_vector_queries(spark, d)
+    return s.semantic_search(v_vector_chunks(spark, d), v_chunks(spark, d), queries, K, THRESHOLD, F.expr(OTHER), _scope(spark, d, queries)).select(*RESULT)
+
+
+def scoped_keyword_search(spark, d):
+    queries = v_text_queries(spark, d)
+    return s.keyword_search(kw.build_postings(v_chunks(spark, d)), v_chunks(spark, d), queries, K, _scope(spark, d, queries)).select(*RESULT)
+
+
+def scoped_hybrid_search(spark, d):
+    vectors, texts = v_vector_queries(spark, d), v_text_queries(spark, d)
+    scope = _scope(spark, d, vectors.select("query_id").union(texts.select("query_id")).distinct())
+    out = s.hybrid_search(v_vector_chunks(spark, d), kw.build_postings(v_chunks(spark, d)), v_chunks(spark, d), vectors, texts, K, THRESHOLD, F.expr(OTHER), scope)
+    return out.select("query_id", "document_id", "chunk_index", "score", "position")
+
+
+def stems(spark, d):
+    words = v_chunks(spark, d).select(F.explode(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
+    return kw.stems(words)
+
+
 def best_sentence(spark, d):
     return s.best_sentence(_keyword(spark, d), v_text_queries(spark, d))
 
@@ -156,7 +185,7 @@ def resolve_filters(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     exact_knn, semantic_search, similar_documents, ann_knn, knn_recall, build_postings, parse_web_query, match_postings, cover_density_rank,
-    keyword_search, scope_corpus, dedupe_by_content, attach_context, group_by_document, rrf_fuse, hybrid_search, best_sentence, suggest,
+    keyword_search, scoped_semantic_search, scoped_keyword_search, scoped_hybrid_search, stems, scope_corpus, dedupe_by_content, attach_context, group_by_document, rrf_fuse, hybrid_search, best_sentence, suggest,
     check_access, resolve_filters)}
 
 # --- DuckDB twins ---------------------------------------------------------------------------------------------------
@@ -166,8 +195,9 @@ _COS = (f"round({_DOT.format(a='v.embedding', b='q.query_vector')} / (nullif(sqr
         f"nullif(sqrt({_DOT.format(a='q.query_vector', b='q.query_vector')}), 0)), 6)")
 
 
-def _knn_ctes(table: str, k: int, threshold: float) -> dict[str, str]:
-    return {"scored": f"select q.query_id, v.*, {_COS} as similarity from {table} v, v_vector_queries q where v.chunk_id <> q.query_id and v.embedding is not null",
+def _knn_ctes(table: str, k: int, threshold: float, scope: bool = False) -> dict[str, str]:
+    seen = " and (q.query_id, v.document_id) in (select (query_id, document_id) from scope)" if scope else ""
+    return {"scored": f"select q.query_id, v.*, {_COS} as similarity from {table} v, v_vector_queries q where v.chunk_id <> q.query_id and v.embedding is not null{seen}",
             "knn": f"""select * from (select *, row_number() over (partition by query_id order by similarity desc, chunk_id) as rank from scored
                 where similarity is not null) where rank <= {k} and similarity > {threshold}"""}
 
@@ -176,14 +206,14 @@ _STOP = ", ".join(f"'{w}'" for w in kw.STOP_WORDS)
 
 
 def _stem(t: str) -> str:
-    return (f"case when regexp_matches({t}, '[^ea]ies$') then regexp_replace({t}, 'ies$', 'y') when regexp_matches({t}, '[^aeo]es$') then regexp_replace({t}, 'es$', 'e') "
-            f"when regexp_matches({t}, '[^us]s$') then regexp_replace({t}, 's$', '') else {t} end")
+    return stem_sql(t, DUCK)
 
 
 _POSTINGS = {
     "words": """select document_id, chunk_index, generate_subscripts(w, 1) as pos, unnest(w) as word
         from (select document_id, chunk_index, regexp_extract_all(lower(content), '[a-z0-9]+') as w from v_chunks)""",
-    "hits": f"select document_id, chunk_index, pos, {_stem('word')} as term from words where word not in ({_STOP})",
+    "stems": f"select word, {_stem('word')} as term from (select distinct word from words) as d",
+    "hits": f"select document_id, chunk_index, pos, term from words join stems using (word) where word not in ({_STOP})",
     "postings": "select term, document_id, chunk_index, list(pos order by pos) as positions, count(*) as tf from hits group by all",
 }
 
@@ -238,12 +268,19 @@ def _finish(ranked: str, name: str) -> dict[str, str]:
             left join v_chunks a on a.document_id = r.document_id and a.chunk_index = r.chunk_index + 1"""}
 
 
-def _semantic_ctes(k: int) -> dict[str, str]:
-    return _knn_ctes("v_vector_chunks", k, THRESHOLD) | {"sem_ranked": "select query_id, document_id, chunk_index, content, similarity as score, rank from knn"} | _finish("sem_ranked", "sem")
+_SCOPE = {"scope": """select query_id, document_id from (select query_id from v_vector_queries union select query_id from v_text_queries) q
+    join v_documents on uploaded_by = concat('src', cast(query_id % 20 as varchar))"""}
 
 
-def _keyword_ctes(k: int) -> dict[str, str]:
-    return _POSTINGS | _parsed("v_text_queries") | _MATCH | _COVER | {
+def _semantic_ctes(k: int, scope: bool = False) -> dict[str, str]:
+    return _knn_ctes("v_vector_chunks", k, THRESHOLD, scope) | {"sem_ranked": "select query_id, document_id, chunk_index, content, similarity as score, rank from knn"} | _finish("sem_ranked", "sem")
+
+
+def _keyword_ctes(k: int, scope: bool = False) -> dict[str, str]:
+    match = dict(_MATCH)
+    if scope:
+        match["matched"] += " and (query_id, document_id) in (select (query_id, document_id) from scope)"
+    return _POSTINGS | _parsed("v_text_queries") | match | _COVER | {
         "kw_ranked": f"""select * from (select s.*, c.content, row_number() over (partition by query_id order by score desc, document_id, chunk_index) as rank
             from cover_scores s join v_chunks c using (document_id, chunk_index)) where rank <= {k}"""} | _finish("kw_ranked", "kwd")
 
@@ -273,6 +310,9 @@ SQL = {
     "match_postings": duck("select * from matched", "v_chunks", "v_text_queries", asked=_ASKED, **_POSTINGS, **_parsed("asked"), **_MATCH),
     "cover_density_rank": duck("select * from cover_scores", "v_chunks", "v_text_queries", **_POSTINGS, **_parsed("v_text_queries"), **_MATCH, **_COVER),
     "keyword_search": duck(f"select {_COLS} from kwd", "v_chunks", "v_text_queries", **_keyword_ctes(K)),
+    "stems": duck("select word, term from stems", "v_chunks", **_POSTINGS),
+    "scoped_semantic_search": duck(f"select {_COLS} from sem", "v_vector_chunks", "v_vector_queries", "v_text_queries", "v_documents", **_SCOPE, **_semantic_ctes(K, True)),
+    "scoped_keyword_search": duck(f"select {_COLS} from kwd", "v_chunks", "v_vector_queries", "v_text_queries", "v_documents", **_SCOPE, **_keyword_ctes(K, True)),
     "scope_corpus": duck("""select q::bigint as query_id, c.document_id, chunk_index, content from v_chunks c join v_documents d using (document_id),
         (values (1, 'src0'), (2, 'src1'), (3, 'src2'), (4, 'src3')) u(q, usr) where uploaded_by = usr and (q <> 2 or project_id = 'en')
         and (q <> 3 or created_at >= timestamp '2024-01-20 00:00:00') and (q <> 4 or mime_type in ('text/plain', 'application/pdf'))""", "v_chunks", "v_documents"),
@@ -290,6 +330,9 @@ SQL = {
     "hybrid_search": duck("""select query_id, document_id, chunk_index, score, row_number() over (partition by query_id order by best desc, frst, chunk_index)::int as position
         from (select *, max(score) over (partition by query_id, document_id) as best, min(rank) over (partition by query_id, document_id) as frst from fused)""",
                           "v_vector_chunks", "v_vector_queries", "v_text_queries", **_semantic_ctes(POOL), **_keyword_ctes(POOL), **_fuse("sem", "kwd")),
+    "scoped_hybrid_search": duck("""select query_id, document_id, chunk_index, score, row_number() over (partition by query_id order by best desc, frst, chunk_index)::int as position
+        from (select *, max(score) over (partition by query_id, document_id) as best, min(rank) over (partition by query_id, document_id) as frst from fused)""",
+                          "v_vector_chunks", "v_vector_queries", "v_text_queries", "v_documents", **_SCOPE, **_semantic_ctes(POOL, True), **_keyword_ctes(POOL, True), **_fuse("sem", "kwd")),
     "best_sentence": duck("""select query_id, document_id, chunk_index, case when n > 0 then s end as sentence, n as n_words from (
         select query_id, document_id, chunk_index, s, n::int as n, row_number() over (partition by query_id, document_id, chunk_index order by n desc, i) as r from counted) where r = 1""",
         "v_chunks", "v_text_queries", **_keyword_ctes(K),

@@ -168,7 +168,7 @@ _GRID = {
     "grid": "select dataset, dense_rank() over (partition by dataset order by seq) as row_no, col_no, value from all_rows",
     "caps": "select dataset, row_no, min(trim(value)) filter (trim(value) <> '') as caption from grid group by all having count(*) filter (trim(value) <> '') >= 2 and count(distinct trim(value)) filter (trim(value) <> '') = 1 and count(*) filter (trim(value) <> '') >= 0.6 * count(*)",
     "plain": "select dataset, dense_rank() over (partition by dataset order by row_no) as row_no, col_no, value from grid anti join caps using (dataset, row_no)",
-    "tops": f"select dataset, row_no, col_no, {_NUM}::int as num from plain where row_no <= 11 and trim(value) <> ''",
+    "tops": f"select dataset, row_no, col_no, regexp_matches(trim(value), '{tb.HEADER_NUMBER}')::int as num from plain where row_no <= 11 and trim(value) <> ''",
 }
 
 
