@@ -14,18 +14,26 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where the session has none (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or an own one where a local session has none (tests)."""
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None)
+    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="skerry-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="skerry-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of a (narrow) table: survives lost executors, and Spark cleans it up when it is no longer used."""
+    """A reliable checkpoint of a (narrow) table: survives lost executors. Spark removes it when the table is no longer referenced if
+    spark.cleaner.referenceTracking.cleanCheckpoints is on, else it stays."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -55,9 +63,7 @@ class Scratch:
         return self.spark.table(table_name)
 
     def drop(self, name: str = "") -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        delete(self.spark, f"{self.path}/{name}" if name else self.path)
 
     def __exit__(self, *_) -> None:
         for name in self.tables:

@@ -6,7 +6,7 @@ sorting: a histogram of bytes over the dimension finds the bin of the cut, and a
 inside that bin finds the place of the cut there, so ties and groups of equal rows are split too. The driver
 only holds the tree: one row for each node.
 
-Defined results: null text has no bytes; null dimensions count as the smallest value; empty tables give empty tables; extra
+Defined results: null text has no bytes; null dimensions count as 0, nulls of source and language as one value; empty tables give empty tables; extra
 columns do not matter; repeated rows are separate rows, each with its own slot.
 """
 

@@ -5,7 +5,7 @@ A row stores its partition and the number of ids before it in that partition, so
 partitions' totals, no global sort. Readers prune stripes and row groups by doc_id.
 
 Defined results: null text is empty and has the end id alone; null doc_ids come first; rows of equal doc_id are adjacent
-and ordered by text; an empty table gives no rows; extra columns are ignored.
+and in the order of their texts' hashes; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +38,10 @@ def word_memo(vocabulary: str) -> Memo:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(vocabulary)
+        # what encode_batch relies on: words end in </w>, A-Z is lower-cased, white space and punctuation separate
+        sure = all(tok.encode(a, add_special_tokens=False).ids == tok.encode(b, add_special_tokens=False).ids for a, b in (("Ab Cd", "ab cd"), ("ab, cd", "ab , cd"), ("ab \t\n cd", "ab cd")))
+        if not sure or not any(w.endswith("</w>") for w in tok.get_vocab(with_added_tokens=False)):
+            raise ValueError("not a lower-casing vocabulary with word ends: its texts cannot be encoded word by word")
         last = np.zeros(tok.get_vocab_size(with_added_tokens=True), bool)
         last[[i for w, i in tok.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]] = True
 

@@ -407,6 +407,52 @@ def test_declared_language_and_host_move_an_unsure_text(spark, sf_dir):
     assert got == {10**6: "de", 10**6 + 1: "es"}
 
 
+def test_language_id_equals_brute_force(spark, texts):
+    """The whole operator once more in plain Python: counts, priors, posterior."""
+    hosts = {d: f"h{d % 7}.{('com', 'net')[d % 2]}" for d in texts}
+    langs = {d: ("en", "de", "fr")[d % 3] if d % 4 else None for d in texts}
+    df = spark.createDataFrame([(d, t, langs[d], hosts[d]) for d, t in texts.items()], "doc_id long, text string, lang string, host string")
+    evidence = spark.createDataFrame([(d, ("xx", "en", "")[d % 3], hosts[d], hosts[d][-3:]) for d in texts if d % 5], "doc_id long, declared string, host string, suffix string")
+    model = language_id.train_text_model(df)
+
+    def slots(t):
+        b = [int(x) for x in language_id.FOLD[list(f" {t or ''} ".encode())]]
+        out = []
+        for i in range(len(b) - 2):
+            h = (b[i] * 0x9E3779B1 + b[i + 1] * 0x85EBCA77 + b[i + 2] * 0xC2B2AE3D) % 2**32
+            out.append((h ^ (h >> 15)) % language_id.SLOTS)
+        return out
+
+    grams, blank = {d: slots(t) for d, t in texts.items()}, slots("   ")[0]
+    names = sorted({x for x in langs.values() if x})
+    counts = {x: Counter(s for d in texts if langs[d] == x and texts[d] is not None for s in grams[d]) for x in names}
+    logp = {x: {s: np.log((c.get(s, 0) + 0.5) / (sum(c.values()) + 0.5 * language_id.SLOTS)) for s in {s for g in grams.values() for s in g}} for x, c in counts.items()}
+    assert model[0] == names
+    ll, top = {}, {}
+    for d, g in grams.items():
+        sums = np.array([sum(logp[x][s] for s in g) for x in names])
+        ll[d] = (sums - sums.max()) * min(len(g), 40) / max(len(g), 1)
+        top[d] = int(np.argmax(ll[d])) if any(s != blank for s in g) else None
+    said = {d: ("xx", "en", "")[d % 3] if d % 5 else "" for d in texts}
+    place = {d: (hosts[d], hosts[d][-3:] if d % 5 else "") for d in texts}
+    count = lambda key: {k: np.array([sum(key[d] == k and top[d] == i for d in texts) for i in range(3)], float) for k in set(key.values())}
+    whole, of_host, of_said = sum(count(place).values()), count(place), count(said)
+    p0 = (whole + 3.0 / 3) / (whole.sum() + 3.0)
+    of_suffix = count({d: s for d, (_, s) in place.items()})
+    up = {k: (c + 20 * p0) / (c.sum() + 20) for k, c in of_suffix.items()}
+    rows = {r.doc_id: r for r in language_id.identify(df, model, evidence).collect()}
+    for d in texts:
+        if top[d] is None:
+            assert rows[d].language is None and not rows[d].accepted
+            continue
+        c = of_host[place[d]]
+        prior = (c + 20 * up[place[d][1]]) / (c.sum() + 20)
+        fit = (of_said[said[d]] + 1) / (whole + len(of_said))
+        logs = ll[d] + np.log(prior) + np.log(fit)
+        p = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        assert (rows[d].language, rows[d].accepted) == (names[int(np.argmax(p))], bool(p.max() >= 0.5)) and abs(rows[d].posterior - p.max()) < 1e-4
+
+
 # --- 8 language model --------------------------------------------------------------------------------------------------
 
 
@@ -492,3 +538,25 @@ def test_shards_split_groups_of_equal_rows(spark):
                                     F.lit("s").alias("source"), F.lit("en").alias("lang"))
     sizes = [r["s"] for r in sharding.shard_documents(df, 7).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
     assert len(sizes) == 7 and max(sizes) < 1.02 * min(sizes)
+
+
+def test_cuts_follow_the_widest_dimension_at_weighted_medians(spark):
+    """Four shards: the first cut is along a (all spreads are equal, the first dimension wins), the next ones along b, which is then wider."""
+    rng = np.random.default_rng(9)
+    a, b, w = rng.integers(-500, 500, 4000), rng.integers(0, 50, 4000), rng.integers(1, 100, 4000)
+    df = spark.createDataFrame([(i, int(x), int(y), int(z)) for i, (x, y, z) in enumerate(zip(a, b, w))], "rid long, a long, b long, w long")
+    with Scratch(spark, "test") as scratch:
+        shard = {r.rid: r.shard for r in sharding.kd_shards(df, ["a", "b"], "w", 4, scratch).collect()}
+    s = np.array([shard[i] for i in range(4000)])
+    sums = np.array([w[s == k].sum() for k in range(4)])
+    assert sums.max() < 1.03 * sums.min()
+    low, high = s < 2, s >= 2
+    at = np.sort(a)[np.searchsorted(np.cumsum(w[np.argsort(a, kind="stable")]), w.sum() / 2)]  # the weighted median
+    assert abs(a[low].max() - at) <= 2 and abs(a[high].min() - at) <= 2
+    for x, y in ((0, 1), (2, 3)):
+        assert b[s == x].max() <= b[s == y].min() + 1
+
+
+def test_a_vocabulary_of_another_kind_is_refused(spark):
+    with pytest.raises(ValueError):
+        token_store.word_memo(public_tokenizers.path("byte_bpe_50k.json"))
