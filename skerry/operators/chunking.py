@@ -8,6 +8,7 @@ token is a run of non-space characters.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -176,10 +177,14 @@ def _chunk(content: Column, kind: Column | str, start: Column, end: Column) -> C
     return F.struct(content.alias("content"), kind.alias("chunk_type"), start.cast("int").alias("char_start"), end.cast("int").alias("char_end"), count_tokens(content).alias("token_count"))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def last_tokens(text: Column, n: int) -> Column:
     """The last n tokens joined by one space, or the text itself if it has no more."""
-    tokens = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
-    return F.when(F.size(tokens) <= n, text).otherwise(F.array_join(F.slice(tokens, F.greatest(F.size(tokens) - n + 1, F.lit(1)), F.lit(max(n, 1))), " "))
+    return bind(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), lambda tokens: F.when(F.size(tokens) <= n, text).otherwise(F.array_join(F.slice(tokens, F.greatest(F.size(tokens) - n + 1, F.lit(1)), F.lit(max(n, 1))), " ")))
 
 
 def accumulate_units(units: Column, config: ChunkingConfig, kind: str) -> Column:
@@ -193,14 +198,17 @@ def accumulate_units(units: Column, config: ChunkingConfig, kind: str) -> Column
     def step(acc: Column, u: Column) -> Column:
         n = u["n"]
         full = acc["cur"].isNotNull() & (acc["n"] + n > config.max_tokens)
-        over = last_tokens(acc["cur"], config.overlap) if config.overlap > 0 else F.lit(None).cast("string")
-        over = F.when(over != "", over)
-        before = F.when(full, over).otherwise(acc["cur"])
-        n_before = F.when(full, F.coalesce(count_tokens(over), F.lit(0))).otherwise(F.when(acc["cur"].isNull(), 0).otherwise(acc["n"]))
-        return F.struct(
-            F.when(full, F.concat(acc["out"], F.array(_chunk(acc["cur"], kind, acc["s"], acc["e"])))).otherwise(acc["out"]).alias("out"),
-            F.when(before.isNull(), u["text"]).otherwise(F.concat(before, F.lit(sep), u["text"])).alias("cur"),
-            (n_before + n).alias("n"), F.when(full | acc["cur"].isNull(), u["char_start"]).otherwise(acc["s"]).alias("s"), u["char_end"].alias("e"))
+        over = F.when(full, last_tokens(acc["cur"], config.overlap)) if config.overlap > 0 else F.lit(None).cast("string")
+
+        def onward(over: Column) -> Column:
+            fresh = full | acc["cur"].isNull()
+            return F.struct(
+                F.when(full, F.concat(acc["out"], F.array(_chunk(acc["cur"], kind, acc["s"], acc["e"])))).otherwise(acc["out"]).alias("out"),
+                F.when(full & (over != ""), F.concat(over, F.lit(sep), u["text"])).when(fresh, u["text"]).otherwise(F.concat(acc["cur"], F.lit(sep), u["text"])).alias("cur"),
+                (F.when(full & (over != ""), count_tokens(over)).when(fresh, 0).otherwise(acc["n"]) + n).alias("n"),
+                F.when(fresh, u["char_start"]).otherwise(acc["s"]).alias("s"), u["char_end"].alias("e"))
+
+        return bind(over, onward)
 
     def finish(acc: Column) -> Column:
         return F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(_chunk(acc["cur"], kind, acc["s"], acc["e"]))))

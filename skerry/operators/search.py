@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skerry.functions.text import CUT, cut_at_marks
 from skerry.operators import keyword
 from skerry.operators.vectors import exact_knn
+from skerry.sources.shared import cut_lineage
 
 #: Constant of reciprocal-rank fusion; a chunk first in both lists scores 2 / (RRF + 1).
 RRF = 60
@@ -73,7 +74,7 @@ def semantic_search(vectors: DataFrame, chunks: DataFrame, queries: DataFrame, k
 
 def keyword_search(postings: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 10, scope: DataFrame | None = None) -> DataFrame:
     """Best k chunks of each query by cover density; ``scope`` (query_id, document_id) restricts them before they are ranked."""
-    parsed = keyword.parse_web_query(queries)
+    parsed = cut_lineage(keyword.parse_web_query(queries))  # a small table, read four times
     matches = keyword.match_postings(postings, parsed)
     if scope is not None:
         matches = matches.join(scope, ["query_id", "document_id"], "left_semi")

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; an own folder only where the session has none, as in tests."""
+    """spark.checkpoint.dir; an own folder only where a local session has none, as in tests."""
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="skerry-")
+    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="skerry-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
@@ -22,6 +26,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: survives lost executors; Spark removes it when it is no longer used."""
+    """A reliable checkpoint: survives lost executors; Spark removes it when it is no longer referenced if
+    spark.cleaner.referenceTracking.cleanCheckpoints is on."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
