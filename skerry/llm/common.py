@@ -31,6 +31,13 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(target)] if fs.exists(target) else []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of a (narrow) table: survives lost executors. Spark removes it when the table is no longer referenced if
     spark.cleaner.referenceTracking.cleanCheckpoints is on, else it stays."""

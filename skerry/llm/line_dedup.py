@@ -5,68 +5,105 @@ counts its keys' documents, merge-anti-joins the keys that the runs already know
 a new sorted run. When a level holds ``fanout`` runs they are compacted into one run of the next level. Keys found in at
 least ``min_docs`` documents lose all their lines in every document.
 
-Two 32/64-bit hashes (96 bits together) stand for a key, so no text is shuffled for counting.
+Two 32/64-bit hashes (96 bits together) stand for a key, so no text is shuffled for counting. Runs are tables bucketed and sorted
+by the hashes, so runs are merged bucket by bucket without an exchange. With a ``store`` folder the runs outlive the call: a
+later call opens them, and its lines count together with those of all calls before.
 
 Defined results: null or empty text is one empty line; keys shorter than ``min_chars`` are never dropped; a document is a
-doc_id (null counts as one id), so repeated rows of an id count once and all get the same treatment; an empty table
-gives an empty table; extra columns stay.
+doc_id (null counts as one id), so repeated rows of an id count once and all get the same treatment (an id that comes again in a
+later call to a store counts again); an empty table gives an empty table; extra columns stay.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import ASCII_SPACE, Scratch, ascii_lower, checkpointed, table
+from skerry.llm.common import ASCII_SPACE, Scratch, ascii_lower, checkpointed, children, delete, table
 
 KEY = ["_h1", "_h2"]
 
 
 class LevelledRuns:
-    """Sorted runs of (key hashes, number of documents) in levels; a run is a Parquet table sorted by the hashes."""
-
-    def __init__(self, scratch: Scratch, min_docs: int, fanout: int = 3):
-        self.scratch, self.min_docs, self.fanout = scratch, min_docs, fanout
-        self.levels: list[list[tuple[str, DataFrame]]] = [[]]
-        self.written = 0
-
-    def _run(self, counts: DataFrame, level: int) -> None:
-        name = f"run-{level}-{self.written}"
-        self.written += 1
-        while len(self.levels) <= level:
-            self.levels.append([])
-        # The aggregation has hash-partitioned the keys; sorting inside partitions makes the run mergeable.
-        self.levels[level].append((name, self.scratch.write(counts.sortWithinPartitions(*KEY), name)))
-
-    def merged(self) -> DataFrame | None:
-        """All runs as one: counts of equal keys add up."""
-        runs = [df for level in self.levels for _, df in level]
-        if not runs:
+    """Sorted runs of (key hashes, number of documents) in levels, as bucketed tables in a folder.
+
+    A run's folder is run-LEVEL-FIRST-LAST-BUCKETS: it holds the batches FIRST to LAST. A compacted run is written before the runs that
+    it replaces are removed; a run whose batches a higher level has is ignored, so a compaction that was cut off does no harm."""
+
+    def __init__(self, spark: SparkSession, folder: str, min_docs: int, fanout: int = 3, buckets: int = 0):
+        self.spark, self.folder, self.min_docs, self.fanout = spark, folder, min_docs, fanout
+        self.partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.prefix = f"skerry_{uuid.uuid4().hex}"
+        found = [tuple(int(x) for x in m.groups()) for n in children(spark, folder) if (m := re.fullmatch(r"run-(\d+)-(\d+)-(\d+)-(\d+)", n))
+                 and "_SUCCESS" in children(spark, f"{folder}/{n}")]
+        live = [r for r in found if not any(o[0] > r[0] and o[1] <= r[1] and r[2] <= o[2] for o in found)]
+        self.buckets = live[0][3] if live else max(1, buckets or self.partitions)
+        self.runs: list[tuple[int, int, int]] = sorted(r[:3] for r in live)  # level, first and last batch
+        self.next = max([r[2] + 1 for r in live], default=0)
+        for r in self.runs:
+            spark.sql(f"create table {self._table(r)} (_h1 bigint, _h2 int, _docs bigint) using parquet clustered by (_h1, _h2) sorted by (_h1, _h2) "
+                      f"into {self.buckets} buckets location '{self._path(r)}'")
+
+    def _table(self, run: tuple) -> str:
+        return f"{self.prefix}_{'_'.join(map(str, run))}"
+
+    def _path(self, run: tuple) -> str:
+        return f"{self.folder}/run-{'-'.join(map(str, run))}-{self.buckets}"
+
+    def _write(self, counts: DataFrame, table_name: str, path: str) -> None:
+        if self.buckets != self.partitions:  # else an aggregation has dealt the keys to the buckets already
+            counts = counts.repartition(self.buckets, *KEY)
+        counts.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(table_name)
+
+    def _add_run(self, counts: DataFrame, run: tuple) -> None:
+        self._write(counts, self._table(run), self._path(run))
+        self.runs.append(run)
+
+    def merged(self, runs: list[tuple] | None = None) -> DataFrame | None:
+        """Runs (all of them by default) as one: counts of equal keys add up. The tables' buckets need no exchange."""
+        # the filter lets nothing go; with it the union is one of rows, which keeps buckets together (one of column batches does not)
+        tables = [self.spark.table(self._table(r)).filter("_docs > 0") for r in (self.runs if runs is None else runs)]
+        if not tables:
             return None
-        out = runs[0]
-        for df in runs[1:]:
-            out = out.unionByName(df)
-        return out.groupBy(*KEY).agg(F.sum("_docs").alias("_docs"))
+        return reduce(DataFrame.unionByName, tables).groupBy(*KEY).agg(F.sum("_docs").alias("_docs"))
 
-    def frequent(self) -> DataFrame | None:
+    def frequent(self, name: str) -> DataFrame | None:
+        """Keys of at least min_docs documents, written as a bucketed table."""
         merged = self.merged()
-        return None if merged is None else merged.filter(F.col("_docs") >= self.min_docs).select(*KEY)
+        if merged is None:
+            return None
+        self._write(merged.filter(F.col("_docs") >= self.min_docs), f"{self.prefix}_{name}", f"{self.folder}/{self.prefix}-{name}")
+        return self.spark.table(f"{self.prefix}_{name}").select(*KEY)
+
+    def drop_frequent(self, name: str) -> None:
+        self.spark.sql(f"drop table if exists {self.prefix}_{name}")
+        delete(self.spark, f"{self.folder}/{self.prefix}-{name}")
 
     def add(self, counts: DataFrame) -> None:
         """Add a batch: keys already known as frequent need no more counting, the others form a new run."""
-        known = self.frequent()
+        known = self.frequent("known")
         if known is not None:
             counts = counts.join(known.hint("merge"), KEY, "left_anti")
-        self._run(counts, 0)
-        for level, runs in enumerate(list(self.levels)):
-            if len(runs) >= self.fanout:
-                union = runs[0][1]
-                for _, df in runs[1:]:
-                    union = union.unionByName(df)
-                self.levels[level] = []
-                self._run(union.groupBy(*KEY).agg(F.sum("_docs").alias("_docs")), level + 1)
-                for name, _ in runs:
-                    self.scratch.drop(name)
+        self._add_run(counts, (0, self.next, self.next))
+        if known is not None:
+            self.drop_frequent("known")
+        self.next, level = self.next + 1, 0
+        while len(full := [r for r in self.runs if r[0] == level]) >= self.fanout:
+            self._add_run(self.merged(full), (level + 1, min(r[1] for r in full), max(r[2] for r in full)))
+            for r in full:
+                self.runs.remove(r)
+                self.spark.sql(f"drop table {self._table(r)}")
+                delete(self.spark, self._path(r))
+            level += 1
+
+    def close(self) -> None:
+        """Forget the tables; their files stay in the folder."""
+        for r in self.runs:
+            self.spark.sql(f"drop table if exists {self._table(r)}")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -79,7 +116,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("_key", ascii_lower(F.btrim("_line", F.lit(ASCII_SPACE))))
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3, store: str | None = None) -> DataFrame:
     """(_id, _th, _drop): for each document (id and hash of its text) the positions of its dropped lines, checkpointed."""
     spark = docs.sparkSession
     with Scratch(spark, "line-dedup") as scratch:
@@ -88,25 +125,28 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batch
             F.pmod(F.xxhash64("_id"), F.lit(batches)).cast("int").alias("_batch"),
         )
         keyed = scratch.write(keyed, "lines", ["_batch"])
-        runs = LevelledRuns(scratch, min_docs, fanout)
-        for b in range(batches):
-            batch = keyed.filter(F.col("_batch") == b)
-            # distinct first: a line that a third of the documents share is spread by its document ids
-            once = batch.select(*KEY, "_id").distinct()
-            runs.add(once.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_docs")))
-        # written first, so that the join either broadcasts it (its file size is known) or splits the lines of a hot key
-        frequent = scratch.write(runs.frequent(), "frequent")
-        hits = keyed.join(frequent, KEY, "left_semi")
-        drop = hits.groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_drop"))
-        return checkpointed(drop)
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3) -> DataFrame:
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(keyed.count() // 2_000_000, 100_000))
+        runs = LevelledRuns(spark, store or f"{scratch.path}/runs", min_docs, fanout, buckets)
+        try:
+            for b in range(batches):
+                batch = keyed.filter(F.col("_batch") == b)
+                # distinct first: a line that a third of the documents share is spread by its document ids
+                once = batch.select(*KEY, "_id").distinct()
+                runs.add(once.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_docs")))
+            # written first, so that the join either broadcasts it (its file size is known) or splits the lines of a hot key
+            hits = keyed.join(runs.frequent("all"), KEY, "left_semi")
+            return checkpointed(hits.groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_drop")))
+        finally:
+            runs.drop_frequent("all")
+            runs.close()
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3, store: str | None = None) -> DataFrame:
     """All columns of ``docs`` with ``text`` cleaned, and ``n_lines`` (before dropping) and ``n_dropped`` (both long) added.
 
-    Columns of ``docs`` with those two names are replaced.
+    Columns of ``docs`` with those two names are replaced. ``store``: a folder of runs to count with and to add to.
     """
-    drop = dropped_lines(docs, min_docs, min_chars, batches, fanout)
+    drop = dropped_lines(docs, min_docs, min_chars, batches, fanout, store)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "text")]
     drop = drop.select(F.col("_id").alias("_skerry_id"), F.col("_th").alias("_skerry_th"), F.col("_drop").alias("_skerry_drop"))
     text = F.coalesce(F.col("text"), F.lit(""))

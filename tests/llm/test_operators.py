@@ -518,6 +518,27 @@ def test_runs_give_the_same_lines_however_batches_fall(spark, sf_dir):
     assert rows[0] == rows[1]
 
 
+def test_runs_outlive_the_call_and_merge_without_exchange(spark, tmp_path):
+    """Lines that become frequent only with a later call's documents; the store is compacted on the way and holds nothing but runs."""
+    def docs(first, n):
+        return spark.createDataFrame([(i, f"shared {i % 4}\nown {i}") for i in range(first, first + n)], "doc_id long, text string")
+
+    store = f"file://{tmp_path}/runs"
+    kept = [{r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs(20 * i, 20), batches=2, fanout=3, store=store).collect()} for i in range(3)]
+    assert set(kept[0].values()) == {0} and set(kept[1].values()) == {1} and set(kept[2].values()) == {1}  # 5, 10, 15 documents
+    names = sorted(x for x in (p.name for p in (tmp_path / "runs").iterdir()) if not x.startswith("."))
+    assert names and all(x.startswith("run-") for x in names)
+    runs = line_dedup.LevelledRuns(spark, store, 10)
+    try:
+        assert len(runs.runs) > 1 and {r[2] for r in runs.runs} >= {5} and runs.next == 6
+        plan = runs.merged()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Bucketed: true") == len(runs.runs)
+        assert runs.merged().filter("_docs >= 10").count() == 4
+    finally:
+        runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("skerry_")]
+
+
 # --- 10 sharding -------------------------------------------------------------------------------------------------------
 
 
