@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from skerry.functions import text as t
-from skerry.operators import catalog, keyword, monitoring, search, tabular, vectors
+from skerry.operators import catalog, chunking, keyword, monitoring, search, tabular, vectors
 from skerry.operators.embedding import WIDTH, embed_chunks
 from skerry.sources import uploads
 from skerry.streaming import jobs
@@ -193,3 +193,31 @@ def test_owner_month_layout(spark, tmp_path):
     df = spark.createDataFrame([(1, "u1", dt.datetime(2024, 1, 5)), (2, "u1", dt.datetime(2024, 2, 5)), (3, "u2", dt.datetime(2024, 1, 5))], "document_id long, uploaded_by string, created_at timestamp_ntz")
     uploads.write_by_owner_month(df, str(tmp_path / "x"))
     assert [r.document_id for r in spark.read.parquet(str(tmp_path / "x")).filter("user_id = 'u1' and month = 2").collect()] == [2]
+
+
+def test_cut_marks_in_texts_stay(spark):
+    pages = spark.createDataFrame([(1, 1, "ab\u0001cd\n\nef\u0001\u0002 One. Two\u0001\u0003 x")], "document_id long, page_number int, text string")
+    blocks = [r.text for r in chunking.split_blocks(pages).orderBy("block_no").collect()]
+    assert blocks == ["ab\u0001cd", "ef\u0001\u0002 One. Two\u0001\u0003 x"]
+    row = pages.select(tabular.split_quoted(F.lit('a\u0001b,"c,\u0003d",e'), F.lit(",")).alias("cells"), t.fix_ocr_tokens(F.lit("x\u0001 1O0")).alias("ocr"),
+                       chunking.split_sentences(F.col("text"), F.lit(0)).alias("sentences")).first()
+    assert row.cells == ["a\u0001b", "c,\u0003d", "e"] and row.ocr == "x\u0001 100"
+    assert [u.text for u in row.sentences] == ["ab\u0001cd\n\nef\u0001\u0002 One.", "Two\u0001\u0003 x"]
+
+
+def test_json_keys_of_every_form(spark):
+    docs = spark.createDataFrame([(1, '{"a.b": 1, "a": {"b": "s"}, "x[0]": true, "x": [1], "": null}')], "document_id long, text string")
+    got = {(r.key, r.type) for r in t.json_profile(docs).collect()}
+    assert got == {("a.b", "integer"), ("a", "object"), ("x[0]", "boolean"), ("x", "array"), ("", "null")}
+
+
+def test_percentages_count_as_numbers_in_header_rows(spark):
+    cells = spark.createDataFrame([("d", r, c, v) for r, row in enumerate([["10%", "20%"], ["30%", "40%"]], 1) for c, v in enumerate(row, 1)], "dataset string, row_no int, col_no int, value string")
+    assert tabular.detect_header_rows(cells).first().header_rows == 0
+
+
+def test_stems_find_other_forms(spark):
+    chunks = spark.createDataFrame([(1, 0, "They were running three studies"), (2, 0, "nothing here")], "document_id long, chunk_index int, content string")
+    asked = spark.createDataFrame([(1, "run study"), (2, "the")], "query_id long, text string")
+    got = keyword.match_postings(keyword.build_postings(chunks), keyword.parse_web_query(asked)).collect()
+    assert [(r.query_id, r.document_id) for r in got] == [(1, 1)]
