@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from skerry.functions import text as t
 from skerry.plans.views import duck, load_table, v_cells, v_chunks, v_documents, v_pages, v_search_logs
 from skerry.sources import uploads as u
+from skerry.sources.shared import new_folder
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -117,8 +118,15 @@ def document_text_rollup(spark, d):
     return t.document_text_rollup(v_pages(spark, d))
 
 
+def write_by_owner_month(spark, d):
+    """Uploads written to folders of user, year and month, and read back with the folders' columns."""
+    path = new_folder(spark, "uploads")
+    u.write_by_owner_month(v_documents(spark, d).select("document_id", "uploaded_by", "created_at"), path)
+    return spark.read.parquet(path).select("document_id", "user_id", "year", "month")
+
+
 QUERIES = {f.__name__: f for f in (
-    load_documents, validate_uploads, sanitize_filename, classify_mime, replace_document_chunks, append_audit, clean_whitespace, json_profile, text_stats,
+    load_documents, write_by_owner_month, validate_uploads, sanitize_filename, classify_mime, replace_document_chunks, append_audit, clean_whitespace, json_profile, text_stats,
     lab_notebook_score, extract_lab_values, strip_repeated_headers_footers, flag_scanned, ocr_confidence, prepare_for_embedding, fix_date_serials,
     document_text_rollup)}
 
@@ -128,6 +136,7 @@ _LAB = "(\\d+\\.?\\d*)[ \\t\\n\\r\\f\\v]*(" + t.CHUNK_UNITS + ")"
 _CELL = "(?i)(\\d+\\.?\\d*)\\s*(" + t.LAB_UNITS + ")([^A-Za-z0-9]|$)"
 SQL = {
     "load_documents": "select * from documents",
+    "write_by_owner_month": duck("select document_id, uploaded_by as user_id, year(created_at)::int as year, month(created_at)::int as month from v_documents", "v_documents"),
     "validate_uploads": duck(f"""select *, case when size_bytes > 52428800 then 'FILE_TOO_LARGE' when {_EXT} not in ({_EXTS}) then 'UNSUPPORTED_FILE_TYPE'
         when mime_type not in ({_MIMES}) then 'UNSUPPORTED_FILE_TYPE' when contains(filename, '..') or contains(filename, '/') or contains(filename, chr(92)) or length(filename) > 255 then 'INVALID_FILENAME' end as reject_code
         from m""", "v_documents", m=_MANIFEST),
