@@ -1,8 +1,8 @@
-"""Connected components by alternating large-star and small-star steps, each a grouped minimum and a join."""
+"""Connected components by randomised contraction (Bögeholz, Brand and Todor, 2020), each round a grouped minimum and a join."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.common import Scratch
@@ -11,36 +11,35 @@ from skerry.llm.common import Scratch
 def components(edges: DataFrame, scratch: Scratch, name: str, most_rounds: int = 60) -> DataFrame:
     """edges (a, b: long) -> (node, component): the smallest node reachable. Nodes without an edge to another are left out.
 
-    Every round is written to the shared folder; a node with very many neighbours is a skewed join key, which adaptive
-    execution splits, and its minimum is taken by partial aggregation.
+    A round maps every node to the first of itself and its neighbours, in an order that is new in each round, and puts the images in
+    the place of the nodes; about half of them are left at most, so later rounds are small, and stars are done in the first. The maps
+    of all rounds are joined at the end. Every step is written to the shared folder; a node with very many neighbours is a skewed join
+    key, which adaptive execution splits, and its minimum is taken by partial aggregation.
     """
 
-    def ordered(df: DataFrame) -> DataFrame:
-        return df.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-
-    def star(pairs: DataFrame, step: str) -> DataFrame:
-        """For each node u of pairs (u, v): link its neighbours v to the smallest of u and them."""
-        low = scratch.write(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{step}")
-        return pairs.join(low, "u")
-
-    cur = scratch.write(ordered(edges), f"{name}-0")
-    mark = None
-    for i in range(1, most_rounds + 1):
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both, f"l{i}").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        # a node keeps a link to the smallest of its neighbourhood through its own neighbours' links
-        down = scratch.write(ordered(large), f"{name}-d{i}")
-        small = star(down, f"s{i}")
-        links = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        nxt = scratch.write(ordered(links), f"{name}-{i}")
-        now = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for old in (f"{name}-{i - 1}", f"{name}-d{i}", f"{name}-l{i}", f"{name}-s{i}"):
-            scratch.drop(old)
-        cur = nxt
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        cur.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    def order(node: Column, i: int) -> Column:
+        return F.xxhash64(node, F.lit(i)) if i else node  # by id at first: the hubs of stars have the smallest
+
+    cur = scratch.write(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-e0")
+    maps: list[DataFrame] = []
+    while not cur.isEmpty():
+        i = len(maps)
+        if i == most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy("a").agg(F.min(order(F.col("b"), i)).alias("least"), F.min_by("b", order(F.col("b"), i)).alias("b"))
+        first = first.select(F.col("a").alias("node"), F.when(order(F.col("a"), i) < F.col("least"), F.col("a")).otherwise(F.col("b")).alias("to"))
+        maps.append(scratch.write(first, f"{name}-m{i}"))
+        ends = [maps[i].select(F.col("node").alias(c), F.col("to").alias(f"{c}1")) for c in "ab"]
+        moved = cur.join(ends[0], "a").join(ends[1], "b").filter("a1 <> b1")
+        cur = scratch.write(moved.select(F.least("a1", "b1").alias("a"), F.greatest("a1", "b1").alias("b")).distinct(), f"{name}-e{i + 1}")
+        scratch.drop(f"{name}-e{i}")
+    if not maps:
+        return cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = maps.pop()
+    while maps:
+        later = out.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        out = maps.pop().join(later, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+    out = scratch.write(out, f"{name}-map")
+    lowest = out.groupBy("to").agg(F.min("node").alias("component"))
+    return out.join(scratch.write(lowest, f"{name}-lowest"), "to").select("node", "component")

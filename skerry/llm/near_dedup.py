@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm.common import Scratch, bounded_arrow, checkpointed, table, text_hash
@@ -162,8 +162,8 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
 
 
 def cell_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links (100 * intersection >= percent * union) of left to right rows (node, label, shingles) of
-    different labels; nodes of one label count as connected."""
+    """A spanning forest, as pairs of labels, of the links (100 * intersection >= percent * union) of left to right rows (node, label,
+    shingles) of different labels; nodes of one label count as connected."""
     sets = [[np.frombuffer(s, np.uint64) for s in side["shingles"]] for side in (left, right)]
     sizes = [np.array([len(s) for s in own]) for own in sets]
     common = common_counts(*sets)
@@ -180,20 +180,23 @@ def cell_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tu
             parent[x] = x = parent.get(parent[x], parent[x])
         return x
 
-    out, nodes = [], (left["node"].to_numpy(), right["node"].to_numpy())
-    for p in one.tolist():
-        u, v = top(int(ends[p, 0])), top(int(ends[p, 1]))
+    out = []
+    for a, b in ends[one].tolist():
+        u, v = top(a), top(b)
         if u != v:
             parent[u] = v
-            out.append((int(nodes[0][i[p]]), int(nodes[1][j[p]])))
+            out.append((a, b))
     return out
 
 
 def cells(members: DataFrame, scratch: Scratch, cell: int, shingles: int) -> DataFrame:
     """members (grp, node, label, n, side) -> the same with k1, k2, k3, the task of a row: in each task some rows of side 0 meet some of
     side 1 of a group, at most about ``cell`` documents and ``shingles`` shingles of each. Small groups share tasks."""
-    share = F.ceil(F.greatest(F.count(F.lit(1)) / cell, F.sum("n") / shingles)).cast("int")
-    sizes = members.groupBy("grp").pivot("side", [0, 1]).agg(share).select("grp", F.col("0").alias("m0"), F.col("1").alias("m1")).dropna()
+    def share(side: int) -> Column:
+        own = F.when(F.col("side") == side, F.col("n"))
+        return F.ceil(F.greatest(F.count(own) / cell, F.sum(own) / shingles)).cast("int")
+
+    sizes = members.groupBy("grp").agg(share(0).alias("m0"), share(1).alias("m1")).filter("m0 > 0 and m1 > 0")
     sizes = scratch.write(sizes, "cell-sizes")
     tasks = max(1, (members.agg(F.sum("n")).first()[0] or 0) // shingles)
     placed = members.join(sizes, "grp").withColumn("h", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("m0")).otherwise(F.col("m1"))).cast("int"))
@@ -208,7 +211,7 @@ def cells(members: DataFrame, scratch: Scratch, cell: int, shingles: int) -> Dat
 
 
 def verified(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the cells; sets: node, shingles."""
+    """Links of the cells as pairs (a, b) of labels; sets: node, shingles."""
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         links: list[tuple[int, int]] = []
         for _, g in pdf.groupby("grp", sort=False):
@@ -275,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
         reps = scratch.write(reps.select(F.monotonically_increasing_id().alias("node"), "doc_id", "_th", "digest", F.col("n_shingles").alias("n"), "bands"), "reps")
         banded = scratch.write(reps.select("node", "n", F.posexplode("bands").alias("band", "key")), "banded")
         buckets = banded.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-        banded = scratch.write(banded.join(buckets.select("band", "key", "low"), ["band", "key"]), "shared")
+        banded = scratch.write(banded.join(buckets.drop("high"), ["band", "key"]), "shared")
         scratch.drop("banded")
         sizes = scratch.write(banded.select("node", "n").distinct(), "sizes")
         # written: a table known to be small is broadcast, so that the texts are not shuffled for it
@@ -288,7 +291,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
         later = later_comparisons(banded.drop("low"), labels, scratch)
         more = scratch.write(verified(cells(later, scratch, cell, cell_shingles), sets, percent), "more")
         if not more.isEmpty():
-            labels = scratch.write(components(links.unionByName(more), scratch, "final"), "joined")
+            # components of the labels: what is connected already stays one node
+            merged = components(more, scratch, "final").select(F.col("node").alias("component"), F.col("component").alias("final"))
+            known_labels = labels.unionByName(merged.select(F.col("component").alias("node"), "component")).distinct()
+            labels = scratch.write(known_labels.join(merged, "component", "left").select("node", F.coalesce("final", "component").alias("component")), "joined")
         heads = labels.join(reps.select("node", "digest", F.struct("doc_id", "_th").alias("rep")), "node")
         lowest = heads.groupBy("component").agg(F.min("rep").alias("head_all"))
         fates = heads.join(lowest, "component").select("digest", "head_all")
