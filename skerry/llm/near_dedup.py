@@ -262,9 +262,9 @@ def later_comparisons(banded: DataFrame, labels: DataFrame, scratch: Scratch) ->
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: int = 24, rows: int = 4, cell: int = 400,
-                    cell_shingles: int = 400_000) -> DataFrame:
+                    cell_shingles: int = 400_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """documents -> doc_id, _th (hash of the row's text), n_shingles, component_id, kept (doc_id is the component's), first (the row's text
-    and doc_id are the component's first, by doc_id, then hash); checkpointed."""
+    and doc_id are the component's first, by doc_id, then hash); checkpointed. Up to ``broadcast_rows`` candidates are broadcast to the texts."""
     spark = docs.sparkSession
     with Scratch(spark, "near-dedup") as scratch:
         prints = scratch.write(fingerprints(docs, bands, rows, words), "prints")
@@ -281,8 +281,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
         banded = scratch.write(banded.join(buckets.drop("high"), ["band", "key"]), "shared")
         scratch.drop("banded")
         sizes = scratch.write(banded.select("node", "n").distinct(), "sizes")
-        # written: a table known to be small is broadcast, so that the texts are not shuffled for it
         nodes = scratch.write(reps.join(sizes, "node", "left_semi").select("node", "doc_id", "_th"), "nodes")
+        if nodes.count() <= broadcast_rows:  # 24 bytes a row; beyond that the texts are shuffled to meet it
+            nodes = F.broadcast(nodes)
         sets = scratch.write(_sets(docs, nodes, words), "sets").dropDuplicates(["node"])
         stars = banded.filter("node <> low").select("node", "low")
         members = scratch.write(first_comparisons(stars, sizes, percent), "first")
