@@ -27,11 +27,11 @@ empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,10 +73,14 @@ class Block:
     def __init__(self, rows: pa.Table, window: int):
         self.window = window
         self.doc_ids = rows["doc_id"].to_pylist()
-        self.split = [(t or b"").split() for t in rows["text"].cast(pa.binary()).to_pylist()]  # bytes are split at ASCII white space
-        self.counts = np.fromiter(map(len, self.split), np.int64, len(self.split))
-        known = {w: i for i, w in enumerate(set().union(*self.split))}
-        self.ids = np.fromiter(map(known.__getitem__, chain.from_iterable(self.split)), np.int64, int(self.counts.sum()))
+        lists = pc.ascii_split_whitespace(pc.fill_null(rows["text"].combine_chunks(), ""))
+        flat, ends = lists.flatten(), np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py()
+        full = np.asarray(pc.not_equal(flat, ""))  # white space at either end of a text gives empty words
+        self.words = flat.filter(pa.array(full))
+        self.counts = np.diff(np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], ends])])
+        coded = self.words.dictionary_encode()
+        self.ids = np.asarray(coded.indices).astype(np.int64)
+        known = coded.dictionary.cast(pa.binary()).to_pylist()
         both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known)), np.uint64).reshape(-1, 2)
         self.first, self.second = (Rolling(both[:, k][self.ids] if len(known) else np.zeros(0, np.uint64), BASES[k]) for k in (0, 1))
         self.number = np.array([0 if d is None else d for d in self.doc_ids], np.int64)
@@ -226,13 +230,11 @@ def locate(rows: pa.Table, marks: pa.Table, window: int) -> pa.Table:
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string())})
     block = Block(rows, window)
     gone = covered(block, passages(block, marks))
-    digest, removed = [], []
-    for words, e in zip(block.split, np.cumsum(block.counts).tolist()):
-        own = gone[e - len(words):e]
-        removed.append(int(own.sum()))
-        kept = [words[i] for i in np.flatnonzero(~own).tolist()] if removed[-1] else words
-        digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-    return pa.table({"doc_id": pa.array(block.doc_ids, pa.int64()), "n_words": block.counts, "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
+    ends = np.concatenate([[0], np.cumsum(block.counts)])
+    kept = np.concatenate([[0], np.cumsum(~gone)])[ends]
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), block.words.filter(pa.array(~gone))), " ")
+    digest = [hashlib.sha256(t).hexdigest() for t in texts.cast(pa.binary()).to_pylist()]
+    return pa.table({"doc_id": pa.array(block.doc_ids, pa.int64()), "n_words": block.counts, "n_removed": block.counts - np.diff(kept), "kept_sha256": pa.array(digest, pa.string())})
 
 
 def repeated_passages(docs: DataFrame, window: int = 13, block_bytes: int = 2 << 20) -> DataFrame:
