@@ -71,8 +71,8 @@ def pending_chunks(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def upsert_embeddings(vectors: DataFrame, updates: DataFrame) -> DataFrame:
-    """Latest update of each chunk wins over the stored vector."""
-    w = Window.partitionBy("chunk_id").orderBy(F.desc("embedding_generated_at"))
+    """Latest update of each chunk wins over the stored vector; of equal times the row whose hash is smaller."""
+    w = Window.partitionBy("chunk_id").orderBy(F.desc("embedding_generated_at"), F.xxhash64(*updates.columns))
     new = updates.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
     cols = [c for c in vectors.columns if c != "chunk_id"]
     joined = vectors.alias("o").join(new.alias("n"), "chunk_id", "full")

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from skerry.operators.chunking import ChunkingConfig
 from skerry.plans import catalog_queries
-from skerry.plans.views import load_table, v_chunks
-from skerry.sources.shared import new_folder
+from skerry.plans.views import duck, load_table, v_chunks
+from skerry.sources.shared import cut_lineage, new_folder, remove_folder
+from skerry.sources.versioned import VersionedTable
 from skerry.streaming import jobs
 
 
@@ -15,12 +17,19 @@ def _events(spark, d):
     return stream.select("event_id", "user_id", F.floor(F.col("value") * 100).cast("int").alias("search_time_ms"), F.col("ts").cast("timestamp").alias("created_at"))
 
 
+def _kept(spark, rows, folder):
+    """The rows, checkpointed; the folder that they came from is removed."""
+    out = cut_lineage(rows)
+    remove_folder(spark, folder)
+    return out
+
+
 def _caught_up(spark, stream, name):
-    """Write what a stream gives to the shared folder and read it when all present input is done."""
+    """What a stream gives when all present input is done."""
     out = new_folder(spark, name)
     query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    return _kept(spark, spark.read.schema(stream.schema).parquet(f"{out}/rows"), out)
 
 
 def stream_latency_alert(spark, d):
@@ -36,18 +45,47 @@ def stream_status_transitions(spark, d):
 def stream_embed(spark, d):
     """Chunks arrive in two deliveries, the second with some of the first again; every chunk gets one vector."""
     base = new_folder(spark, "embed")
-    chunks = v_chunks(spark, d).selectExpr("document_id * 1000 + chunk_index as chunk_id", "document_id", "chunk_index", "content")
+    chunks = v_chunks(spark, d).selectExpr("document_id * 1048576 + chunk_index as chunk_id", "document_id", "chunk_index", "content")
     schema = "chunk_id long, document_id long, chunk_index int, content string"
     for part in ("chunk_index < 4", "chunk_index >= 3"):
         chunks.filter(part).write.mode("append").parquet(f"{base}/chunks")
         jobs.stream_embed(spark, f"{base}/chunks", schema, f"{base}/vectors", f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/vectors").select("chunk_id", "embed_ok", F.size("embedding").alias("width"))
+    vectors = VersionedTable(spark, f"{base}/vectors", keys=("chunk_id",)).read()
+    return _kept(spark, vectors.select("chunk_id", "embed_ok", F.size("embedding").alias("width")), base)
+
+
+def stream_ingest(spark, d):
+    """The documents as a stream of uploads of three types, delivered, then all delivered again by another stream: their chunks."""
+    base = new_folder(spark, "ingest")
+    docs = spark.readStream.schema(load_table(spark, d, "documents").schema).option("pathGlobFilter", "documents*.parquet").parquet(d)
+    name = F.concat(F.lit("/up/"), F.col("doc_id"), F.get(F.array(*[F.lit(x) for x in (".txt", ".md", ".pdf")]), (F.col("doc_id") % 3).cast("int")))
+    files = docs.select(name.alias("path"), F.octet_length("text").cast("long").alias("length"), F.encode("text", "utf-8").alias("content"))
+    for checkpoint in ("first", "again"):
+        jobs.stream_ingest(spark, files, f"{base}/chunks", f"{base}/{checkpoint}", ChunkingConfig()).awaitTermination()
+    return _kept(spark, VersionedTable(spark, f"{base}/chunks").read().select("document_id", "chunk_index", "chunk_type", "token_count", "content"), base)
+
+
+def versioned_rows(spark, d):
+    """Lines of documents in a versioned table: a delivery, new texts for a third of the documents, the same batch once more, a deletion, and
+    a last delivery that brings some back; with merges of segments on the way."""
+    base, lines = new_folder(spark, "versioned"), v_chunks(spark, d)
+    table = VersionedTable(spark, base, fanout=3)
+    changed = lines.filter("document_id % 3 = 0 and chunk_index <= 5").withColumn("content", F.concat(F.lit("* "), "content"))
+    table.commit(lines.filter("document_id % 4 <> 3"), source="s", batch_id=0)
+    for _ in range(2):
+        table.commit(changed, source="s", batch_id=1)
+    table.delete(lines.filter("document_id % 10 = 7").select("document_id").distinct(), "s", 2)
+    table.commit(lines.filter("document_id % 4 = 3"), source="s", batch_id=3)
+    return _kept(spark, table.read(), base)
 
 
-QUERIES = {f.__name__: f for f in (stream_latency_alert, stream_status_transitions, stream_embed)}
+QUERIES = {f.__name__: f for f in (stream_latency_alert, stream_status_transitions, stream_embed, stream_ingest, versioned_rows)}
 SQL = {
     "stream_latency_alert": catalog_queries.SQL["search_latency_alert"].replace("select event_id, user_id, mean_ms,", "select user_id, event_id, mean_ms,"),
     "stream_status_transitions": catalog_queries.SQL["status_transitions"],
-    "stream_embed": """select document_id * 1000 + row_number() over (partition by document_id order by pos) - 1 as chunk_id, true as embed_ok, 384 as width
+    "stream_embed": """select document_id * 1048576 + row_number() over (partition by document_id order by pos) - 1 as chunk_id, true as embed_ok, 384 as width
         from (select doc_id as document_id, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as content from documents) where trim(content) <> ''""",
+    "versioned_rows": duck("""select document_id, chunk_index, case when changed then concat('* ', content) else content end as content
+        from (select *, document_id % 4 <> 3 and document_id % 3 = 0 as changed from v_chunks)
+        where (document_id % 4 = 3 or document_id % 10 <> 7) and (not changed or chunk_index <= 5)""", "v_chunks"),
 }

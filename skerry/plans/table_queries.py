@@ -112,7 +112,7 @@ def profile_rollup(spark, d):
 
 
 def _chunks(spark, d):
-    return v_chunks(spark, d).withColumn("chunk_id", F.expr("document_id * 1000 + chunk_index"))
+    return v_chunks(spark, d).withColumn("chunk_id", F.expr("document_id * 1048576 + chunk_index"))
 
 
 def _made(spark, d):
@@ -184,7 +184,7 @@ _NAMES = _HEADERS | {
     "names": "select dataset, col_no, case when n = 0 then b else concat(b, '_', n) end as column_name from (select *, row_number() over (partition by dataset, b order by col_no) - 1 as n from raw_names)"}
 _DATA = _NAMES | {"data": "select p.dataset, p.row_no, p.col_no, column_name, case when trim(value) <> '' then value end as value from plain p join headers using (dataset) join names using (dataset, col_no) where p.row_no > header_rows"}
 _NUMERIC = {"numeric": f"select dataset, col_no, column_name, round(count(*) filter ({_NUM}) / nullif(count(value), 0)::double, 6) as ratio, coalesce(count(*) filter ({_NUM}) / nullif(count(value), 0)::double >= 0.9, false) as is_numeric from data group by all"}
-_MADE = """select document_id * 1000 + chunk_index as chunk_id, document_id, chunk_index, content, (document_id + chunk_index) % 4 <> 0 or document_id % 10 = 5 as made from v_chunks"""
+_MADE = """select document_id * 1048576 + chunk_index as chunk_id, document_id, chunk_index, content, (document_id + chunk_index) % 4 <> 0 or document_id % 10 = 5 as made from v_chunks"""
 _TOKENS = r"sum(len(regexp_extract_all(content, '\S+')))::bigint"
 SQL = {
     "sniff_delimiter": duck("""select dataset, coalesce(delimiter, ',') as delimiter from (select distinct dataset from ln) left join

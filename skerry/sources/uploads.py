@@ -32,6 +32,13 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(F.regexp_replace(base, r"^\.+", ""), r"[^.](\.[^.]*)\z", 1))
 
 
+def mime_of(name: Column) -> Column:
+    """The mime type that belongs to the name's extension; null if none does."""
+    of = {e: m for m, (_, extensions) in ALLOWED.items() for e in extensions}
+    pairs = F.create_map(*[F.lit(x) for kv in of.items() for x in kv])
+    return F.try_element_at(pairs, extension(name))
+
+
 def validate_uploads(manifest: DataFrame) -> DataFrame:
     """(filename, mime_type, size_bytes) + reject_code; the first rule that fails counts, null is accepted. Extension and type are tested
     independently of each other."""
@@ -70,17 +77,50 @@ def write_by_owner_month(uploads: DataFrame, path: str, user: str = "uploaded_by
     parts.repartition("user_id", "year", "month").write.mode("append").partitionBy("user_id", "year", "month").parquet(path)
 
 
-def decode_corpus(uploads: DataFrame) -> DataFrame:
-    """(path, content) -> (path, text, encoding): by byte order mark, else UTF-8 if valid, else latin-1, which always succeeds."""
+#: Bytes that are looked at to tell UTF-16 without a mark from other encodings.
+SAMPLE = 4096
+
+
+def _sampled_pairs(content: Column) -> Column:
+    """Hexadecimal byte pairs from the start of the content, four digits each."""
+    return F.regexp_extract_all(F.hex(F.substring(content, 1, SAMPLE)), F.lit("[0-9A-F]{4}"), F.lit(0))
+
+
+def unmarked_utf16(content: Column) -> Column:
+    """"utf-16le" or "utf-16be" for UTF-16 text without a byte order mark, else null. Of the byte pairs at the start, in the order that
+    is tested: at least 40 % must have a zero high byte and no more than 10 % a zero low byte (texts that are mostly in Latin
+    letters), no pair may be NUL, and each high surrogate must come before a low one and each low one after a high one. The
+    content has an even number of bytes."""
+    pairs = _sampled_pairs(content)
+    n = F.size(pairs)
+    even = (F.octet_length(content) > 0) & (F.octet_length(content) % 2 == 0)
+
+    def fits(high: int, low: int) -> Column:
+        at = lambda p, k: F.substring(p, 2 * k + 1, 2)
+        zero_high = F.size(F.filter(pairs, lambda p: at(p, high) == "00"))
+        zero_low = F.size(F.filter(pairs, lambda p: at(p, low) == "00"))
+        kinds = F.array_join(F.transform(pairs, lambda p: F.when(at(p, high).between("D8", "DB"), "h").when(at(p, high).between("DC", "DF"), "l").otherwise(".")), "")
+        sound = ~F.regexp_replace(kinds, "hl", "").rlike("l|h.") & ~F.array_contains(pairs, "0000")  # a last h may have its partner beyond the sample
+        return even & (n > 0) & (zero_high >= 0.4 * n) & (zero_low <= 0.1 * n) & sound
+
+    return F.when(fits(1, 0), "utf-16le").when(fits(0, 1), "utf-16be")
+
+
+def decode_corpus(uploads: DataFrame, *keep: str) -> DataFrame:
+    """(path, content) -> (path, text, encoding, and the columns to keep): by byte order mark, else UTF-16 without a mark by its zero bytes,
+    else UTF-8 if valid, else latin-1, which always succeeds."""
     head = F.hex(F.substring("content", 1, 3))
-    enc = (F.when(head == "EFBBBF", "utf-8-sig").when(head.startswith("FFFE"), "utf-16le").when(head.startswith("FEFF"), "utf-16be")
+    bare = unmarked_utf16(F.col("content"))
+    enc = (F.when(head == "EFBBBF", "utf-8-sig").when(head.startswith("FFFE"), "utf-16le").when(head.startswith("FEFF"), "utf-16be").when(bare.isNotNull(), F.concat(bare, F.lit("-bare")))
            .when(F.is_valid_utf8(F.col("content").cast("string")), "utf-8").otherwise("latin-1"))
     body = {"utf-8-sig": F.decode(F.expr("substring(content, 4)"), "UTF-8"), "utf-16le": F.decode(F.expr("substring(content, 3)"), "UTF-16LE"),
-            "utf-16be": F.decode(F.expr("substring(content, 3)"), "UTF-16BE"), "utf-8": F.col("content").cast("string")}
+            "utf-16be": F.decode(F.expr("substring(content, 3)"), "UTF-16BE"), "utf-16le-bare": F.decode("content", "UTF-16LE"), "utf-16be-bare": F.decode("content", "UTF-16BE"),
+            "utf-8": F.col("content").cast("string")}
     text = F.decode("content", "ISO-8859-1")
     for name, value in body.items():
         text = F.when(F.col("encoding") == name, value).otherwise(text)
-    return uploads.withColumn("encoding", enc).withColumn("text", text).select("path", "text", "encoding")
+    out = uploads.withColumn("encoding", enc).withColumn("text", text)
+    return out.select("path", "text", F.regexp_replace("encoding", "-bare$", "").alias("encoding"), *keep)
 
 
 def encoding_counts(decoded: DataFrame) -> DataFrame:

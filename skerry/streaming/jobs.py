@@ -1,72 +1,105 @@
 """Streaming and incremental jobs: what happens between arrivals of files, chunks and searches.
 
-Sinks are tables of Parquet in which a batch replaces exactly the rows of its own documents, so a batch that is delivered
-twice changes nothing.
+Sinks are versioned tables: a batch replaces exactly the rows of its own keys in one commit, named by the stream's checkpoint and
+the batch id, so a batch that is delivered twice is written once, and writes as much as it brings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skerry.functions.text import clean_documents
+from skerry.functions.text import clean_documents, json_profile, markdown_to_text
+from skerry.operators import tabular
 from skerry.operators.chunking import ChunkingConfig, chunk_documents
 from skerry.operators.embedding import embed_chunks, pending_chunks
 from skerry.operators.monitoring import TAIL, alert_level
-from skerry.sources.uploads import decode_corpus, validate_uploads
+from skerry.sources.shared import cut_lineage
+from skerry.sources.uploads import decode_corpus, mime_of, validate_uploads
+from skerry.sources.versioned import VersionedTable
 
 UPLOAD = "path string, modificationTime timestamp, length long, content binary"
-BUCKETS = 16
 
 
-def _bucket(df: DataFrame) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int"))
+def table_pages(texts: DataFrame) -> DataFrame:
+    """(document_id, text) of delimited files -> (document_id, text): the report of each as its one page."""
+    lines = texts.select(F.col("document_id").alias("dataset"), F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
+    grid, _ = tabular.caption_rows(cut_lineage(tabular.text_to_grid(lines, tabular.sniff_delimiter(lines))))
+    grid = cut_lineage(grid)
+    headers = cut_lineage(tabular.detect_header_rows(grid))
+    cells = cut_lineage(tabular.data_cells(grid, headers, tabular.name_columns(grid, headers)))
+    return tabular.dataset_report(cells).select(F.col("dataset").alias("document_id"), F.col("report").alias("text"))
 
 
-def replace_in_table(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Rewrite only the buckets that hold documents of ``new``; their other documents are carried over."""
-    rows = _bucket(new).persist()
-    hit = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS values
-    try:
-        old = spark.read.parquet(path).filter(F.col("bucket").isin(hit))
-        kept = old.join(rows.select("document_id").distinct(), "document_id", "left_anti").select(*rows.columns)
-        # the old rows are read to the end before their folders are replaced
-        rows = rows.unionByName(kept).checkpoint()
-    except Exception as e:  # the first batch: there is no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+# Names of JSON types in the summaries.
+JSON_TYPES = {"object": "dict", "array": "list", "string": "str", "boolean": "bool", "integer": "int", "number": "float", "null": "NoneType"}
 
 
-def ingest_batch(spark: SparkSession, uploads: DataFrame, path: str, config: ChunkingConfig) -> None:
-    named = uploads.withColumn("filename", F.regexp_extract("path", r"([^/]*)\z", 1)).withColumn("size_bytes", F.col("length")).withColumn("mime_type", F.lit("text/plain"))
-    fine = validate_uploads(named).filter("reject_code is null")
-    pages = decode_corpus(fine).select(F.col("path").alias("document_id"), F.lit(1).alias("page_number"), "text")
-    replace_in_table(spark, chunk_documents(clean_documents(pages), config), path)
+def json_pages(texts: DataFrame) -> DataFrame:
+    """(document_id, text) of JSON files -> a summary of the top level (keys in alphabetical order), a blank line, and the text; files that
+    are no JSON stay texts."""
+    def named(kinds):
+        for kind, name in JSON_TYPES.items():
+            kinds = F.regexp_replace(kinds, rf"\b{kind}\b", name)
+        return kinds
+
+    line = F.concat(F.lit("\n  - "), F.col("key"), F.lit(": "), named(F.col("type")))
+    facts = json_profile(texts).groupBy("document_id").agg(
+        F.first("kind").alias("_kind"), F.first("key").alias("_n"), F.first("type").alias("_types"), F.array_join(F.array_sort(F.collect_list(line)), "").alias("_keys"))
+    head = (F.when(F.col("_kind") == "object", F.concat(F.lit("Top-level keys:"), "_keys"))
+            .when(F.col("_kind") == "array", F.concat(F.lit("Top-level: a list of "), "_n", F.lit(" items (element types: "), F.coalesce(F.nullif(named(F.col("_types")), F.lit("")), F.lit("none")), F.lit(")")))
+            .when(F.col("_kind") == "scalar", F.concat(F.lit("Top-level value type: "), named(F.col("_types")))))
+    return texts.join(facts, "document_id", "left").select("document_id", F.concat_ws("\n\n", head, "text").alias("text"))
+
+
+#: Types with a rule of their own: markdown without its marks, JSON with a summary, delimited files as reports. All others stay as they are.
+PAGE_RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "text/markdown": lambda texts: texts.withColumn("text", markdown_to_text(F.col("text"))), "application/json": json_pages, "text/csv": table_pages}
 
 
-def stream_ingest(spark: SparkSession, source: str, sink: str, checkpoint: str, config: ChunkingConfig = ChunkingConfig()) -> StreamingQuery:
-    """New files: validate, decode, clean, chunk, replace per document. Runs until all present files are done."""
-    files = spark.readStream.format("binaryFile").schema(UPLOAD).load(source)
-    return (files.writeStream.foreachBatch(lambda batch, _: ingest_batch(spark, batch, sink, config)).option("checkpointLocation", checkpoint)
+def upload_pages(decoded: DataFrame) -> DataFrame:
+    """(document_id, mime_type, text) -> (document_id, page_number, text), by the rule of each type. ``decoded`` is read once for each type
+    that it has."""
+    present = {r[0] for r in decoded.select("mime_type").distinct().collect()}  # a handful of allowed types
+    parts = [rule(decoded.filter(F.col("mime_type") == kind).select("document_id", "text")) for kind, rule in PAGE_RULES.items() if kind in present]
+    parts.append(decoded.filter(~F.col("mime_type").isin(list(PAGE_RULES))).select("document_id", "text"))
+    return reduce(DataFrame.unionByName, parts).select("document_id", F.lit(1).alias("page_number"), "text")
+
+
+def ingest_batch(uploads: DataFrame, table: VersionedTable, config: ChunkingConfig, source: str | None = None, batch_id: int | None = None) -> bool:
+    """(path, length, content) -> chunks in ``table``; a document that is rejected now, or has no text any more, loses its chunks. False if
+    the batch was in already."""
+    name = F.regexp_extract("path", r"([^/]*)\z", 1)
+    named = uploads.withColumns({"filename": name, "size_bytes": F.col("length"), "mime_type": mime_of(name)})
+    fine = validate_uploads(named).filter("reject_code is null")
+    decoded = cut_lineage(decode_corpus(fine, "mime_type").withColumnRenamed("path", "document_id"))
+    pages = cut_lineage(clean_documents(upload_pages(decoded)))
+    chunks = chunk_documents(pages, config)
+    return table.commit(chunks, uploads.select(F.col("path").alias("document_id")), source, batch_id)
+
+
+def stream_ingest(spark: SparkSession, source: str | DataFrame, sink: str, checkpoint: str, config: ChunkingConfig = ChunkingConfig()) -> StreamingQuery:
+    """New files of a folder (or a stream of path, length, content): check, decode, clean, chunk, replace by document. Runs until all present
+    files are done; read the sink with ``VersionedTable(spark, sink).read()``."""
+    files = spark.readStream.format("binaryFile").schema(UPLOAD).load(source) if isinstance(source, str) else source
+    table = VersionedTable(spark, sink)
+    return (files.writeStream.foreachBatch(lambda batch, i: ingest_batch(batch, table, config, checkpoint, i) and None).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def stream_embed(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, encoder: Callable | None = None) -> StreamingQuery:
     """Embed chunks that have no vector in the sink yet; can be stopped and started again."""
-    def run(batch: DataFrame, _: int) -> None:
+    table = VersionedTable(spark, sink, keys=("chunk_id",))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
         chunks = batch.dropDuplicates(["chunk_id"])
-        try:
-            todo = pending_chunks(chunks, spark.read.parquet(sink))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            todo = chunks
-        embed_chunks(todo, encoder).write.mode("append").parquet(sink)
+        todo = pending_chunks(chunks, table.read()) if table.versions() else chunks
+        table.commit(embed_chunks(todo, encoder), None, checkpoint, batch_id)
 
     return (spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 

@@ -143,31 +143,6 @@ def test_alerts_and_retries(spark):
     assert [r.action for r in catalog.plan_retries(docs).orderBy("document_id").collect()] == ["reject_file_not_ready", "re_parse", "re_embed", "reject"]
 
 
-def test_ingest_stream_replays_without_change(spark, tmp_path):
-    source, sink = tmp_path / "in", str(tmp_path / "out")
-    source.mkdir()
-    (source / "a.txt").write_text("Alpha text one. Alpha text two.")
-    (source / "b.exe").write_text("no")
-    jobs.stream_ingest(spark, str(source), sink, str(tmp_path / "c1")).awaitTermination()
-    first = sorted(map(str, spark.read.parquet(sink).collect()))
-    (source / "c.txt").write_text("Gamma text.")
-    jobs.stream_ingest(spark, str(source), sink, str(tmp_path / "c1")).awaitTermination()
-    assert spark.read.parquet(sink).select("document_id").distinct().count() == 2
-    jobs.stream_ingest(spark, str(source), sink, str(tmp_path / "c2")).awaitTermination()  # everything is delivered again
-    again = sorted(map(str, spark.read.parquet(sink).filter("document_id like '%a.txt'").collect()))
-    assert len(first) == 1 and again == first and spark.read.parquet(sink).count() == 2
-
-
-def test_embed_stream_resumes(spark, tmp_path):
-    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "chunk_id long, document_id long, chunk_index int, content string"
-    spark.createDataFrame([(1, 1, 0, "a"), (2, 1, 1, "b")], schema).write.parquet(source)
-    jobs.stream_embed(spark, source, schema, sink, str(tmp_path / "c1")).awaitTermination()
-    spark.createDataFrame([(2, 1, 1, "b"), (3, 2, 0, "c")], schema).write.mode("append").parquet(source)
-    jobs.stream_embed(spark, source, schema, sink, str(tmp_path / "c1")).awaitTermination()
-    assert sorted(r.chunk_id for r in spark.read.parquet(sink).collect()) == [1, 2, 3]
-
-
 def test_alert_stream_equals_batch(spark, tmp_path):
     rows = [(f"u{i % 3}", i, dt.datetime(2024, 1, 1, 0, 0, i % 60), (i * 37) % 9000) for i in range(60)]
     df = spark.createDataFrame(rows, "user_id string, event_id long, created_at timestamp, search_time_ms int")
