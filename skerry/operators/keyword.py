@@ -67,23 +67,75 @@ def match_postings(postings: DataFrame, parsed: DataFrame) -> DataFrame:
     return hits.join(postings.join(banned, "term").select(*keys), keys, "left_anti").select("query_id", "document_id", "chunk_index").distinct()
 
 
+def _cover_score(found: Column) -> Column:
+    """found: array of (term, positions) -> the sum over minimal covers [p, q] of all terms of 1 / (1 + (q - p + 1) - n).
+
+    One fold over the places in order, which keeps the last place of each term. Where q is reached, the shortest stretch that ends
+    there starts at the least last place p; it is minimal where p is new, as p only grows."""
+    terms = F.transform(found, lambda f: f["term"])
+    n = F.size(terms)
+    places = F.array_sort(F.flatten(F.transform(found, lambda f, i: F.transform(f["positions"], lambda p: F.struct(p.alias("q"), i.alias("t"))))))
+    none = F.struct(F.transform(terms, lambda t: F.lit(0)).alias("last"), F.lit(0).alias("p"), F.lit(0.0).alias("total"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.transform(acc["last"], lambda old, i: F.when(i == x["t"], x["q"]).otherwise(old))
+        one = F.transform(F.array(last), lambda now: F.struct(now.alias("last"), F.array_min(now).alias("p")))  # binds ``last``, so that it is built once
+        return F.get(F.transform(one, lambda y: F.struct(y["last"].alias("last"), y["p"].alias("p"), F.when(
+            y["p"] > acc["p"], acc["total"] + 1.0 / (1 + (x["q"] - y["p"] + 1) - n)).otherwise(acc["total"]).alias("total"))), 0)
+
+    return F.round(F.aggregate(places, none, step, lambda acc: acc["total"]), 6)
+
+
 def cover_density_rank(postings: DataFrame, parsed: DataFrame, matches: DataFrame) -> DataFrame:
     """matches + score: the sum over minimal covers [p, q] of all the query's terms of 1 / (1 + (q - p + 1) - n)."""
     keys = ["query_id", "document_id", "chunk_index"]
     wanted = parsed.filter("kind <> 'not'").select("query_id", F.explode("terms").alias("term")).distinct()
     found = postings.join(wanted, "term").join(matches, keys, "left_semi")
-    places = found.select(*keys, "term", F.explode("positions").alias("q"))
-    # one pass over the places in order: the last place of each term so far; the cover that ends here starts at the least of them
-    n = found.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("_n"), F.array_sort(F.collect_list("term")).alias("_terms"))
-    ordered = places.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("q", "term"))).alias("_places")).join(n, keys)
-    empty = F.struct(F.transform("_terms", lambda t: F.lit(0)).alias("last"), F.array().cast("array<struct<p:int,q:int>>").alias("out"))
+    grouped = found.groupBy(*keys).agg(F.collect_list(F.struct("term", "positions")).alias("_found"))
+    return grouped.select(*keys, _cover_score(F.col("_found")).alias("score"))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.transform(acc["last"], lambda old, i: F.when(F.get(F.col("_terms"), i) == x["term"], x["q"]).otherwise(old))
-        cover = F.transform(F.array(last), lambda now: F.struct(F.array_min(now).alias("p"), x["q"].alias("q")))
-        return F.struct(last.alias("last"), F.concat(acc["out"], cover).alias("out"))
-
-    covers = F.aggregate("_places", empty, step, lambda acc: acc["out"])
-    rows = ordered.select(*keys, "_n", F.explode(covers).alias("c")).filter("c.p > 0")
-    minimal = rows.groupBy(*keys, "_n", F.col("c.p").alias("p")).agg(F.min("c.q").alias("q"))
-    return minimal.groupBy(*keys).agg(F.round(F.sum(1.0 / (1 + (F.col("q") - F.col("p") + 1) - F.col("_n"))), 6).alias("score"))
+
+def query_terms(parsed: DataFrame) -> DataFrame:
+    """parsed -> (query_id, term, uses): where each term of a query is used: (alternative, clause_id, kind, off, len)."""
+    uses = parsed.select("query_id", "alternative", "clause_id", "kind", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term"))
+    return uses.groupBy("query_id", "term").agg(F.collect_list(F.struct("alternative", "clause_id", "kind", "off", "len")).alias("uses"))
+
+
+def query_needs(parsed: DataFrame) -> DataFrame:
+    """parsed -> (query_id, needs): for each alternative with a positive clause the number of distinct terms and its phrases' clause ids."""
+    positive = parsed.filter("kind <> 'not'")
+    per = positive.select("query_id", "alternative", "clause_id", "kind", F.explode("terms").alias("term")).groupBy("query_id", "alternative").agg(
+        F.countDistinct("term").cast("int").alias("need"), F.collect_set(F.when(F.col("kind") == "phrase", F.col("clause_id"))).alias("phrases"))
+    return per.groupBy("query_id").agg(F.collect_list(F.struct("alternative", "need", "phrases")).alias("needs"))
+
+
+def scored_matches(postings: DataFrame, parsed: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """(query_id, document_id, chunk_index, score) of all chunks that match, as match_postings and cover_density_rank give them, from one
+    scan of the postings: what a chunk has of a query's terms is one row, on which everything else is decided. ``scope`` (query_id,
+    document_id) restricts the chunks first. ``parsed`` is read twice."""
+    keys = ["query_id", "document_id", "chunk_index"]
+    hits = postings.join(query_terms(parsed), "term")
+    if scope is not None:
+        hits = hits.join(scope, ["query_id", "document_id"], "left_semi")
+    rows = hits.groupBy(*keys).agg(F.collect_list(F.struct("term", "positions", "uses")).alias("_found")).join(query_needs(parsed), "query_id")
+    found = F.col("_found")
+
+    def used(f: Column, test) -> Column:
+        return F.exists(f["uses"], test)
+
+    def phrase(clause: Column) -> Column:
+        """Some place where all terms of the clause follow each other. A term that the clause has twice counts at both places."""
+        parts = F.flatten(F.transform(found, lambda f: F.transform(F.filter(f["uses"], lambda u: u["clause_id"] == clause),
+                                                                  lambda u: F.struct(u["len"].alias("len"), F.transform(f["positions"], lambda p: p - u["off"]).alias("starts")))))
+        whole = F.size(parts) == F.get(parts, 0)["len"]
+        common = F.aggregate(F.slice(parts, 2, 1 << 20), F.get(parts, 0)["starts"], lambda acc, x: F.array_intersect(acc, x["starts"]))
+        return F.coalesce(whole & (F.size(common) > 0), F.lit(False))
+
+    def alternative(a: Column) -> Column:
+        got = F.size(F.filter(found, lambda f: used(f, lambda u: (u["alternative"] == a["alternative"]) & (u["kind"] != "not"))))
+        banned = F.exists(found, lambda f: used(f, lambda u: (u["alternative"] == a["alternative"]) & (u["kind"] == "not")))
+        return (got == a["need"]) & ~banned & F.forall(a["phrases"], phrase)
+
+    matched = rows.filter(F.exists("needs", alternative))
+    positive = F.filter(found, lambda f: used(f, lambda u: u["kind"] != "not"))
+    return matched.select(*keys, _cover_score(positive).alias("score"))

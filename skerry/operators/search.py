@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skerry.functions.text import CUT, cut_at_marks
 from skerry.operators import keyword
 from skerry.operators.vectors import exact_knn
+from skerry.sources.inverted import InvertedIndex
 from skerry.sources.shared import cut_lineage
 
 #: Constant of reciprocal-rank fusion; a chunk first in both lists scores 2 / (RRF + 1).
@@ -72,13 +73,13 @@ def semantic_search(vectors: DataFrame, chunks: DataFrame, queries: DataFrame, k
     return _finished(top.withColumnRenamed("similarity", "score"), chunks)
 
 
-def keyword_search(postings: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 10, scope: DataFrame | None = None) -> DataFrame:
-    """Best k chunks of each query by cover density; ``scope`` (query_id, document_id) restricts them before they are ranked."""
-    parsed = cut_lineage(keyword.parse_web_query(queries))  # a small table, read four times
-    matches = keyword.match_postings(postings, parsed)
-    if scope is not None:
-        matches = matches.join(scope, ["query_id", "document_id"], "left_semi")
-    scored = keyword.cover_density_rank(postings, parsed, matches)
+def keyword_search(postings: DataFrame | InvertedIndex, chunks: DataFrame, queries: DataFrame, k: int = 10, scope: DataFrame | None = None) -> DataFrame:
+    """Best k chunks of each query by cover density; ``scope`` (query_id, document_id) restricts them before they are ranked. Of a stored
+    index only the folders of the queries' terms are read, in one scan."""
+    parsed = cut_lineage(keyword.parse_web_query(queries))  # a small table, read a few times
+    if isinstance(postings, InvertedIndex):
+        postings = postings.postings(parsed.select(F.explode("terms").alias("term")))
+    scored = keyword.scored_matches(postings, parsed, scope)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "chunk_index")
     top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return _finished(top.join(chunks.select("document_id", "chunk_index", "content"), ["document_id", "chunk_index"]), chunks)
@@ -96,7 +97,7 @@ def rrf_fuse(semantic: DataFrame, by_keyword: DataFrame, k: int = 10) -> DataFra
     return top.select(*keys, "rank", F.round(F.least(F.col("_sum") / (2.0 / (RRF + 1)), F.lit(1.0)), 6).alias("score"))
 
 
-def hybrid_search(vectors: DataFrame, postings: DataFrame, chunks: DataFrame, vector_queries: DataFrame, text_queries: DataFrame,
+def hybrid_search(vectors: DataFrame, postings: DataFrame | InvertedIndex, chunks: DataFrame, vector_queries: DataFrame, text_queries: DataFrame,
                   k: int = 10, threshold: float = 0.2, exclude: Column | None = None, scope: DataFrame | None = None) -> DataFrame:
     pool = max(3 * k, 20)
     semantic = semantic_search(vectors, chunks, vector_queries, pool, threshold, exclude, scope)

@@ -8,6 +8,7 @@ from skerry.operators import search as s
 from skerry.operators import vectors as v
 from skerry.plans.views import (duck, v_chunks, v_documents, v_projects, v_search_logs, v_text_queries, v_vector_chunks, v_vector_queries,
                                 v_vectors)
+from skerry.sources.inverted import InvertedIndex
 from skerry.sources.shared import new_folder
 
 OTHER = "chunk_id <> query_id"
@@ -48,12 +49,22 @@ def knn_recall(spark, d):
     return v.knn_recall(exact, v.ann_knn(centroids, assigned, queries, nprobe=NPROBE, k=K))
 
 
+_indexes: dict[tuple[str, str], InvertedIndex] = {}
+
+
+def _index(spark, d):
+    """The stored index of a directory's chunks: built by the first search of an application, in two deliveries, and searched by all others."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        index, chunks = InvertedIndex(spark, new_folder(spark, "index")), v_chunks(spark, d)
+        index.add(chunks.filter("document_id % 10 <> 0"), "build", 0)
+        index.add(chunks.filter("document_id % 10 = 0"), "build", 1)
+        _indexes[key] = index
+    return _indexes[key]
+
+
 def _postings(spark, d):
-    """Postings as a table: a search reads them four times."""
-    path = new_folder(spark, "postings")
-    out = kw.build_postings(v_chunks(spark, d))
-    out.write.parquet(path)
-    return spark.read.schema(out.schema).parquet(path)
+    return _index(spark, d).postings()
 
 
 def build_postings(spark, d):
@@ -87,7 +98,7 @@ def cover_density_rank(spark, d):
 
 
 def _keyword(spark, d, k=K):
-    return s.keyword_search(_postings(spark, d), v_chunks(spark, d), v_text_queries(spark, d), k)
+    return s.keyword_search(_index(spark, d), v_chunks(spark, d), v_text_queries(spark, d), k)
 
 
 def keyword_search(spark, d):
@@ -128,7 +139,7 @@ def rrf_fuse(spark, d):
 
 
 def hybrid_search(spark, d):
-    out = s.hybrid_search(v_vector_chunks(spark, d), _postings(spark, d), v_chunks(spark, d), v_vector_queries(spark, d),
+    out = s.hybrid_search(v_vector_chunks(spark, d), _index(spark, d), v_chunks(spark, d), v_vector_queries(spark, d),
                           v_text_queries(spark, d), K, THRESHOLD, F.expr(OTHER))
     return out.select("query_id", "document_id", "chunk_index", "score", "position")
 
@@ -146,13 +157,13 @@ def scoped_semantic_search(spark, d):
 
 def scoped_keyword_search(spark, d):
     queries = v_text_queries(spark, d)
-    return s.keyword_search(_postings(spark, d), v_chunks(spark, d), queries, K, _scope(spark, d, queries)).select(*RESULT)
+    return s.keyword_search(_index(spark, d), v_chunks(spark, d), queries, K, _scope(spark, d, queries)).select(*RESULT)
 
 
 def scoped_hybrid_search(spark, d):
     vectors, texts = v_vector_queries(spark, d), v_text_queries(spark, d)
     scope = _scope(spark, d, vectors.select("query_id").union(texts.select("query_id")).distinct())
-    out = s.hybrid_search(v_vector_chunks(spark, d), _postings(spark, d), v_chunks(spark, d), vectors, texts, K, THRESHOLD, F.expr(OTHER), scope)
+    out = s.hybrid_search(v_vector_chunks(spark, d), _index(spark, d), v_chunks(spark, d), vectors, texts, K, THRESHOLD, F.expr(OTHER), scope)
     return out.select("query_id", "document_id", "chunk_index", "score", "position")
 
 

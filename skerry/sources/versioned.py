@@ -5,9 +5,9 @@ if the name is taken; nothing that was written before is touched, so a commit co
 the newest manifest and, of each key, only the rows of its newest segment. Segments are merged in levels: as soon as ``fanout``
 of one level are there, they become one of the next, without the rows that newer segments replace.
 
-    segments/<name>/rows    the batch's rows, with _seq, the number of their commit
-    segments/<name>/keys    each key of the batch once: keys, _seq, _gone (deleted)
-    manifests/<version>     {"version", "next", "applied": {source: last batch id}, "segments": [{"name", "level", "bytes"}], "schema"}
+    rows/_segment=<name>    the batch's rows, with _seq, the number of their commit; in folders by a column and sorted if a layout is given
+    keys/_segment=<name>    each key of the batch once: keys, _seq, _gone (deleted)
+    manifests/v<version>    {"version", "next", "applied": {source: last batch id}, "segments": [{"name", "level", "bytes"}], "schema"}
 
 A commit that names its source and batch id is applied once: ids of a source rise, as those of a stream do, and an id that is
 not above the last one applied changes nothing. A commit that is cut off before the rename leaves a folder that no manifest
@@ -40,8 +40,8 @@ def _joined(left: DataFrame, right: DataFrame, columns: list[str], how: str) ->
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = ("document_id",), fanout: int = 8):
-        self.spark, self.path, self.keys, self.fanout = spark, path.rstrip("/"), list(keys), fanout
+    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = ("document_id",), fanout: int = 8, folder_by: str | None = None, sort_by: tuple[str, ...] = ()):
+        self.spark, self.path, self.keys, self.fanout, self.folder_by, self.sort_by = spark, path.rstrip("/"), list(keys), fanout, folder_by, list(sort_by)
 
     # --- files ---
 
@@ -58,8 +58,8 @@ class VersionedTable:
         fs.delete(target, True)
 
     def _bytes(self, name: str) -> int:
-        target, fs = self._hadoop(f"{self.path}/segments/{name}")
-        return fs.getContentSummary(target).getLength()
+        found = [self._hadoop(f"{self.path}/{part}/_segment={name}") for part in ("rows", "keys")]
+        return sum(fs.getContentSummary(target).getLength() for target, fs in found)
 
     # --- manifests ---
 
@@ -105,17 +105,21 @@ class VersionedTable:
         if source is not None and batch_id is not None and base["applied"].get(source, -1) >= batch_id:
             return False
         name, seq = f"s{base['next']:010d}-{uuid.uuid4().hex}", base["next"]
-        folder = f"{self.path}/segments/{name}"
-        rows.withColumn("_seq", F.lit(seq).cast("long")).write.parquet(f"{folder}/rows")
-        written = self.spark.read.schema(rows.schema).parquet(f"{folder}/rows").select(*self.keys)
+        self._write(rows.withColumn("_seq", F.lit(seq).cast("long")), name)
+        written = self.spark.read.schema(rows.schema).parquet(f"{self.path}/rows/_segment={name}").select(*self.keys)
         keys = written if touched is None else written.unionByName(touched.select(*self.keys))
-        keys.distinct().select(*self.keys, F.lit(seq).cast("long").alias("_seq"), F.lit(gone).alias("_gone")).write.parquet(f"{folder}/keys")
+        keys.distinct().select(*self.keys, F.lit(seq).cast("long").alias("_seq"), F.lit(gone).alias("_gone")).write.parquet(f"{self.path}/keys/_segment={name}")
         applied = base["applied"] | ({source: batch_id} if source is not None and batch_id is not None else {})
         self._swap({"version": base["version"] + 1, "next": seq + 1, "applied": applied, "schema": base["schema"] or rows.schema.jsonValue(),
                     "segments": [*base["segments"], {"name": name, "level": 0, "bytes": self._bytes(name)}]})
         self.compact()
         return True
 
+    def _write(self, rows: DataFrame, name: str) -> None:
+        if self.folder_by:
+            rows = rows.repartition(self.folder_by).sortWithinPartitions(self.folder_by, *self.sort_by)
+        rows.write.partitionBy(*([self.folder_by] if self.folder_by else [])).parquet(f"{self.path}/rows/_segment={name}")
+
     def delete(self, keys: DataFrame, source: str | None = None, batch_id: int | None = None) -> bool:
         """Remove all rows of these keys."""
         schema = self.schema() or keys.select(*self.keys).schema
@@ -133,7 +137,11 @@ class VersionedTable:
 
     def _all_keys(self, manifest: dict, names: list[str] | None = None) -> DataFrame:
         names = [s["name"] for s in manifest["segments"]] if names is None else names
-        return self.spark.read.schema(self._key_schema(manifest)).parquet(*[f"{self.path}/segments/{n}/keys" for n in names])
+        return self._listed("keys", self._key_schema(manifest), names)
+
+    def _listed(self, part: str, schema: StructType, names: list[str]) -> DataFrame:
+        """Of rows or keys what these segments have; folders of others are pruned."""
+        return self.spark.read.schema(schema.add("_segment", "string")).parquet(f"{self.path}/{part}").filter(F.col("_segment").isin(names)).drop("_segment")
 
     def _stale(self, manifest: dict) -> DataFrame:
         """(keys, _seq) that newer commits replace or that are deleted: of keys alone, rows are not read."""
@@ -142,7 +150,7 @@ class VersionedTable:
         return _joined(keys, last, self.keys, "inner").filter("_seq < _last or _end").select(*[F.col(f"l.{k}") for k in self.keys], "_seq")
 
     def _live(self, manifest: dict, names: list[str], stale: DataFrame) -> DataFrame:
-        rows = self.spark.read.schema(self.schema(manifest).add("_seq", "long")).parquet(*[f"{self.path}/segments/{n}/rows" for n in names])
+        rows = self._listed("rows", self.schema(manifest).add("_seq", "long"), names)
         n = stale.count()
         if not n:
             return rows
@@ -176,12 +184,11 @@ class VersionedTable:
             names, level = [s["name"] for s in some], max(s["level"] for s in some) + 1
             stale = cut_lineage(self._stale(base))
             name = f"m{base['version'] + 1:010d}-{uuid.uuid4().hex}"
-            folder = f"{self.path}/segments/{name}"
-            self._live(base, names, stale).write.parquet(f"{folder}/rows")
+            self._write(self._live(base, names, stale), name)
             keys = self._all_keys(base, names)
             last = keys.groupBy(*self.keys).agg(F.max_by(F.struct("_seq", "_gone"), "_seq").alias("_x")).select(*self.keys, "_x.*")
             # a deleted key is remembered until there is nothing older that it could hide
-            (last.filter("not _gone") if len(some) == len(base["segments"]) else last).write.parquet(f"{folder}/keys")
+            (last.filter("not _gone") if len(some) == len(base["segments"]) else last).write.parquet(f"{self.path}/keys/_segment={name}")
             left = [s for s in base["segments"] if s["name"] not in names]
             self._swap(base | {"version": base["version"] + 1, "segments": [*left, {"name": name, "level": level, "bytes": self._bytes(name)}]})
             done += 1
@@ -193,7 +200,8 @@ class VersionedTable:
         listed = {s["name"] for v in keep for s in self.manifest(v)["segments"]}
         for v in self.versions()[:-versions]:
             self._delete(f"{self.path}/manifests/v{v:010d}")
-        lost = [n for n in self._names("segments") if n not in listed]
+        lost = sorted({n.removeprefix("_segment=") for part in ("rows", "keys") for n in self._names(part) if n.startswith("_segment=")} - listed)
         for n in lost:
-            self._delete(f"{self.path}/segments/{n}")
+            for part in ("rows", "keys"):
+                self._delete(f"{self.path}/{part}/_segment={n}")
         return lost

@@ -46,7 +46,7 @@ def test_newest_rows_of_each_document(spark, tmp_path):
     t.compact(everything=True)
     assert held(t) == before == want and len(t.manifest()["segments"]) == 1
     lost = t.vacuum()
-    assert lost and held(t) == want and len(t.versions()) == 1 and len(t._names("segments")) == 1
+    assert lost and held(t) == want and len(t.versions()) == 1 and len(t._names("rows")) == 1
 
 
 def test_a_batch_writes_what_it_brings(spark, tmp_path):
@@ -79,11 +79,11 @@ def test_a_commit_that_is_cut_off_and_a_replay(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError, match="died"):
         t.commit(rows(spark, {2: ["c"]}), source="s", batch_id=1)
     monkeypatch.setattr(VersionedTable, "_swap", swap)
-    assert held(t) == {1: ["a"], 2: ["b"]} and len(t._names("segments")) == 2
+    assert held(t) == {1: ["a"], 2: ["b"]} and len(t._names("rows")) == 2
     assert t.commit(rows(spark, {2: ["c"]}), source="s", batch_id=1)
-    files = t._names("segments")
+    files = t._names("rows")
     assert not t.commit(rows(spark, {2: ["c"]}), source="s", batch_id=1) and not t.commit(rows(spark, {1: ["z"]}), source="s", batch_id=0)
-    assert t._names("segments") == files and held(t) == {1: ["a"], 2: ["c"]}
+    assert t._names("rows") == files and held(t) == {1: ["a"], 2: ["c"]}
     assert len(t.vacuum(versions=9)) == 1 and held(t) == {1: ["a"], 2: ["c"]}
 
 
@@ -131,7 +131,7 @@ def test_embed_stream_resumes(spark, tmp_path):
     jobs.stream_embed(spark, source, schema, sink, str(tmp_path / "c1")).awaitTermination()
     table = VersionedTable(spark, sink, keys=("chunk_id",))
     assert sorted(r.chunk_id for r in table.read().collect()) == [1, 2, 3]
-    assert [spark.read.parquet(f"{sink}/segments/{s['name']}/rows").count() for s in table.manifest()["segments"]] == [2, 1]
+    assert [spark.read.parquet(f"{sink}/rows/_segment={s['name']}").count() for s in table.manifest()["segments"]] == [2, 1]
 
 
 def test_each_type_of_file_has_its_own_rule(spark, tmp_path):
