@@ -224,14 +224,16 @@ def verified(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """nodes (node, doc_id, _th) -> node, shingles (sorted 64-bit hashes)."""
+    """nodes (node, doc_id, _th) -> node, shingles (sorted 64-bit hashes), one row for each node. Texts meet the nodes by one exchange,
+    whatever the sizes; copies of a row then lie in one partition, and one of them goes on."""
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t or b"", words).tobytes() for t in _binary(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("_th"), "text")
-    return texts.join(nodes, ["doc_id", "_th"]).select("node", "text").mapInArrow(to_sets, "node long, shingles binary")
+    met = texts.join(nodes.hint("shuffle_hash"), ["doc_id", "_th"]).dropDuplicates(["doc_id", "_th"])
+    return met.select("node", "text").mapInArrow(to_sets, "node long, shingles binary")
 
 
 def first_comparisons(stars: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -262,9 +264,9 @@ def later_comparisons(banded: DataFrame, labels: DataFrame, scratch: Scratch) ->
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: int = 24, rows: int = 4, cell: int = 400,
-                    cell_shingles: int = 400_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+                    cell_shingles: int = 400_000, set_bytes: int = 16 << 20) -> DataFrame:
     """documents -> doc_id, _th (hash of the row's text), n_shingles, component_id, kept (doc_id is the component's), first (the row's text
-    and doc_id are the component's first, by doc_id, then hash); checkpointed. Up to ``broadcast_rows`` candidates are broadcast to the texts."""
+    and doc_id are the component's first, by doc_id, then hash); checkpointed."""
     spark = docs.sparkSession
     with Scratch(spark, "near-dedup") as scratch:
         prints = scratch.write(fingerprints(docs, bands, rows, words), "prints")
@@ -282,9 +284,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
         scratch.drop("banded")
         sizes = scratch.write(banded.select("node", "n").distinct(), "sizes")
         nodes = scratch.write(reps.join(sizes, "node", "left_semi").select("node", "doc_id", "_th"), "nodes")
-        if nodes.count() <= broadcast_rows:  # 24 bytes a row; beyond that the texts are shuffled to meet it
-            nodes = F.broadcast(nodes)
-        sets = scratch.write(_sets(docs, nodes, words), "sets").dropDuplicates(["node"])
+        # bucketed by node once, as two rounds of cells ask for sets by node; some 8 bytes a shingle
+        buckets = max(1, -(-8 * (sizes.agg(F.sum("n")).first()[0] or 0) // set_bytes))
+        sets = scratch.write_bucketed(_sets(docs, nodes, words).repartition(buckets, "node"), "sets", buckets, ["node"])
         stars = banded.filter("node <> low").select("node", "low")
         members = scratch.write(first_comparisons(stars, sizes, percent), "first")
         links = scratch.write(verified(cells(members, scratch, cell, cell_shingles), sets, percent), "links")
@@ -299,7 +301,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
         heads = labels.join(reps.select("node", "digest", F.struct("doc_id", "_th").alias("rep")), "node")
         lowest = heads.groupBy("component").agg(F.min("rep").alias("head_all"))
         fates = heads.join(lowest, "component").select("digest", "head_all")
-        out = prints.drop("bands").join(classes, "digest", "left").join(fates, "digest", "left")
+        # empty sets have no digest, and all of them would meet in one partition
+        whole = prints.drop("bands")
+        out = whole.filter(F.col("digest").isNotNull()).join(classes, "digest", "left").join(fates, "digest", "left")
+        out = out.unionByName(whole.filter(F.col("digest").isNull()), allowMissingColumns=True)
         alone = F.col("digest").isNull() | F.col("doc_id").isNull()
         out = out.withColumn("_head", F.when(alone, own).otherwise(F.coalesce("head_all", "head", own)))
         return checkpointed(out.select(

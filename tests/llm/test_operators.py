@@ -226,11 +226,11 @@ def test_a_chain_of_weak_candidates_is_not_compared_as_a_whole(spark):
     assert near_dedup.near_duplicates(df).filter("not kept").count() == 0
 
 
-def test_candidates_beyond_the_broadcast_bound_give_the_same_groups(spark):
+def test_copies_of_a_row_give_one_set_in_any_number_of_buckets(spark):
     base = [" ".join(f"g{g}w{j}" for j in range(80)) for g in range(3)]
     rows = [(i, base[i % 3] + ("" if i < 3 else f" tail{i}")) for i in range(12)] + [(50, None), (51, "alone in the table of all")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, broadcast_rows=0).collect()}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df.unionByName(df), set_bytes=500).collect()}
     assert got == {i: i % 3 if i < 12 else i for i, _ in rows}
 
 
