@@ -95,7 +95,9 @@ def text_hash(text: Column) -> Column:
 
 
 def _rows_in(docs: DataFrame, some: DataFrame, how: str) -> DataFrame:
-    some = some.select(F.struct(F.col("doc_id").alias("id"), F.col("_th").alias("th")).alias("_skerry_row")).distinct()
+    some = checkpointed(some.select(F.struct(F.col("doc_id").alias("id"), F.col("_th").alias("th")).alias("_skerry_row")).distinct())
+    if some.isEmpty():  # nothing to compare: the texts need not move
+        return docs if how == "left_anti" else docs.filter(F.lit(False))
     own = F.struct(F.col("doc_id").alias("id"), text_hash(F.col("text")).alias("th"))
     return docs.withColumn("_skerry_row", own).join(some, "_skerry_row", how).select(*[F.col(f"`{c}`") for c in docs.columns])
 
