@@ -63,12 +63,12 @@ def _finished(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def semantic_search(vectors: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.35,
-                    exclude: Column | None = None, scope: DataFrame | None = None) -> DataFrame:
+                    differ: dict[str, str] | None = None, scope: DataFrame | None = None) -> DataFrame:
     """vectors (chunk_id, document_id, chunk_index, embedding, content) -> ranked, deduplicated, with context, in reading order.
 
     ``scope`` (query_id, document_id), as of visible_documents, restricts the candidates before the cut to k."""
     slim = vectors.drop("content")  # content joins the winners only
-    top = exact_knn(slim, queries, k, threshold, exclude=exclude, keep=("document_id", "chunk_index"), scope=scope)
+    top = exact_knn(slim, queries, k, threshold, differ=differ, keep=("document_id", "chunk_index"), scope=scope)
     top = top.join(vectors.select("chunk_id", "content"), "chunk_id")
     return _finished(top.withColumnRenamed("similarity", "score"), chunks)
 
@@ -98,9 +98,9 @@ def rrf_fuse(semantic: DataFrame, by_keyword: DataFrame, k: int = 10) -> DataFra
 
 
 def hybrid_search(vectors: DataFrame, postings: DataFrame | InvertedIndex, chunks: DataFrame, vector_queries: DataFrame, text_queries: DataFrame,
-                  k: int = 10, threshold: float = 0.2, exclude: Column | None = None, scope: DataFrame | None = None) -> DataFrame:
+                  k: int = 10, threshold: float = 0.2, differ: dict[str, str] | None = None, scope: DataFrame | None = None) -> DataFrame:
     pool = max(3 * k, 20)
-    semantic = semantic_search(vectors, chunks, vector_queries, pool, threshold, exclude, scope)
+    semantic = semantic_search(vectors, chunks, vector_queries, pool, threshold, differ, scope)
     fused = rrf_fuse(semantic, keyword_search(postings, chunks, text_queries, pool, scope), k)
     return group_by_document(fused)
 
