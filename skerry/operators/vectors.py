@@ -1,4 +1,4 @@
-"""Vector search: exact and approximate nearest neighbours by cosine, similar documents, recall."""
+"""Vector search: exact nearest neighbours by cosine, k-means lists, similar documents, recall."""
 
 from __future__ import annotations
 
@@ -97,7 +97,7 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: fl
     best k rows of each query. Vectors are exchanged once for every ``block_queries`` queries, queries once for every block of vectors.
     ``differ`` and ``same`` name columns of the vectors and of the queries that must not, or must, be equal (nulls: the pair is left out).
     Vectors with null or non-finite components, of no length, or of another width than the queries are never returned. With a ``scope``
-    (query_id, document_id), only pairs that it names are scored, by equi-joins. For very large batches of queries use ann_knn."""
+    (query_id, document_id), only pairs that it names are scored, by equi-joins. For very large batches of queries use quantised_knn."""
     differ, same = differ or {}, same or {}
     if scope is not None:
         v = vectors.filter(F.col("embedding").isNotNull()).withColumn("_n", norm(F.col("embedding")))
@@ -156,19 +156,6 @@ def build_ivf(vectors: DataFrame, lists: int = 100, train_rows: int = 100_000, s
     return centroids, model.transform(units).drop("_u", "_f")
 
 
-def ann_knn(centroids: DataFrame, assigned: DataFrame, queries: DataFrame, nprobe: int = 10, k: int = 10) -> DataFrame:
-    """Probe the nprobe lists nearest to each query, re-rank their vectors exactly. Vectors meet queries by an equi-join on the list."""
-    q = queries.withColumn("_qn", norm(F.col("query_vector")))
-    near = q.crossJoin(F.broadcast(centroids)).withColumn(  # one row for each list
-        "_s", dot(F.col("query_vector"), F.col("centroid")) / norm(F.col("centroid")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("_s"), "list_id")
-    probes = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= nprobe).select("query_id", "query_vector", "_qn", "list_id")
-    hit = assigned.join(probes, "list_id").filter(F.col("chunk_id") != F.col("query_id"))
-    cos = F.round(dot(F.col("embedding"), F.col("query_vector")) / (norm(F.col("embedding")) * F.col("_qn")), 6)
-    top = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    return hit.select("query_id", "chunk_id", cos.alias("similarity")).withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
-
-
 def knn_recall(exact: DataFrame, approx: DataFrame) -> DataFrame:
     """(query_id, recall): share of the exact neighbours that the approximate search found."""
     found = approx.select("query_id", "chunk_id").withColumn("_hit", F.lit(1))

@@ -50,6 +50,7 @@ def test_registered_index_search_finds_nine_of_ten(spark):
     assert np.mean(list(recall.values())) >= 0.9
     told = {r.query_id: r.recall for r in QUERIES["knn_recall"](spark, d).collect()}
     assert told.keys() == recall.keys() and abs(np.mean(list(told.values())) - np.mean(list(recall.values()))) < 0.01
+    assert all(r.exact_share <= 0.25 and r.exact_share < r.code_share < 0.95 for r in QUERIES["knn_recall"](spark, d).collect())
 
 
 def test_searches_take_every_fiftieth_row(spark, sf_dir):

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from skerry.operators import vectors
+from skerry.operators import quantised, vectors
 
 ROWS, QUERIES = "chunk_id long, document_id long, owner string, embedding array<float>", "query_id long, asker string, query_vector array<float>"
 
@@ -54,3 +54,50 @@ def test_no_pair_is_joined_row_by_row(data, capsys):
     vectors.exact_knn(v, q, 3, differ={"chunk_id": "query_id"}).explain()
     plan = capsys.readouterr().out
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.fixture(scope="module")
+def clustered(spark, tmp_path_factory):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, i // 3, "u", (centres[0 if i % 3 == 0 else i % 12] + 0.25 * rng.normal(size=16)).tolist()) for i in range(1500)]  # a third of all in one place
+    rows += [(9000, 1, "u", None), (9001, 1, "u", [0.0] * 16)]
+    v = spark.createDataFrame(rows, ROWS)
+    q = v.filter("chunk_id % 50 = 0 and chunk_id < 1500").selectExpr("chunk_id as query_id", "embedding as query_vector")
+    return v, q, quantised.build_quantised(v, f"file://{tmp_path_factory.mktemp('q')}/codes", lists=12, subspaces=8, codes=64, train_rows=700)
+
+
+def test_few_lists_are_enough_where_vectors_have_clusters(clustered):
+    v, q, index = clustered
+    exact = vectors.exact_knn(v, q, 10, differ={"chunk_id": "query_id"})
+    found = quantised.quantised_knn(index, v, q, nprobe=2, k=10, rerank=120)
+    recall = [r.recall for r in vectors.knn_recall(exact, found).collect()]
+    shares = quantised.scan_shares(index, q, 2, 120).collect()
+    assert len(recall) == 30 and np.mean(recall) >= 0.9
+    assert np.mean([r.code_share for r in shares]) < 0.35 and max(r.exact_share for r in shares) < 0.09
+    same = {(r.query_id, r.chunk_id): r.similarity for r in exact.collect()}
+    assert all(same[key] == r.similarity for r in found.collect() if (key := (r.query_id, r.chunk_id)) in same)
+
+
+def test_every_vector_is_in_the_index_and_parts_change_nothing(clustered):
+    v, q, index = clustered
+    assert index.codes().count() == 1500 == index.rows and index.codes().select("chunk_id").distinct().count() == 1500
+    whole = quantised.quantised_knn(index, v, q, nprobe=12, k=5, rerank=60)
+    cut = quantised.quantised_knn(quantised.QuantisedIndex(index.path, index.centroids, index.books, 7, index.rows), v, q, nprobe=12, k=5, rerank=60)
+    assert got(whole) == got(cut) and not [r for r in whole.collect() if r.query_id == r.chunk_id]
+
+
+def test_folders_of_other_lists_are_not_read(spark, clustered):
+    v, q, index = clustered
+    one = q.limit(1)
+    lists = {r.list_id for r in quantised.probes(index, one, 2).collect()}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = quantised.candidates(index, quantised.probes(index, one, 2), 20)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = [x for x in plan.split("\n") if "FileScan parquet" in x and "code" in x]
+    assert len(lists) == 2 and len(scan) == 1 and "list_id" in scan[0].split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_vectors_that_cannot_be_cut_are_refused(spark, data, tmp_path):
+    with pytest.raises(ValueError, match="equal parts"):
+        quantised.build_quantised(spark.createDataFrame([(i, 0, "u", [1.0, 2.0, float(i)]) for i in range(9)], ROWS), f"file://{tmp_path}/c", lists=2, subspaces=2)
