@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.operators.referential import purge_rows
+
 # Progress shown for each status.
 PROGRESS = {"pending": 0, "processing": 50, "ready": 75, "indexed": 100, "error": 0}
 # Display classes by mime type.
@@ -78,22 +80,8 @@ def list_chunks(chunks: DataFrame, n: int = 10) -> DataFrame:
 
 
 def purge(tables: dict[str, DataFrame], users: DataFrame) -> dict[str, DataFrame]:
-    """Delete users: documents, history, logs, costs and (through documents) chunks go; audit rows stay without their user.
-
-    users: (user_id). tables: any of documents, chunks, history, logs, costs, audit."""
-    gone = users.select("user_id").distinct()
-    out = dict(tables)
-    if "documents" in tables:
-        out["documents"] = tables["documents"].join(gone.withColumnRenamed("user_id", "uploaded_by"), "uploaded_by", "left_anti")
-        if "chunks" in tables:
-            out["chunks"] = tables["chunks"].join(out["documents"].select("document_id"), "document_id", "left_semi")
-    for name in ("history", "logs", "costs"):
-        if name in tables:
-            out[name] = tables[name].join(gone, "user_id", "left_anti")
-    if "audit" in tables:
-        marked = tables["audit"].join(gone.withColumn("_gone", F.lit(True)), "user_id", "left")
-        out["audit"] = marked.withColumn("user_id", F.when(F.col("_gone").isNull(), F.col("user_id"))).drop("_gone")
-    return out
+    """Delete users (user_id), and with them what their keys reach, see ``referential.purge_rows``; audit rows stay without their user."""
+    return purge_rows(tables, {"users": users})
 
 
 def clear_history(history: DataFrame, users: DataFrame) -> DataFrame:

@@ -146,15 +146,29 @@ def numeric_profile(cells: DataFrame) -> DataFrame:
         F.round(F.min(v), 4).alias("min"), F.round(F.max(v), 4).alias("max"), F.round(F.avg(v), 4).alias("mean"))
 
 
+def significant(v: Column, digits: int = 4) -> Column:
+    """A number with this many significant digits, without zeros at its end; with an exponent below 1e-4 and from 10 ** digits on."""
+    s = F.format_string(f"%.{digits - 1}e", v)
+    exponent = F.substring_index(s, "e", -1).cast("int")
+    bare = F.concat(F.regexp_replace(F.substring_index(s, "e", 1), r"\.?0+$", ""), F.lit("e"), F.substring_index(s, "e", -1))
+    return F.when((exponent < -4) | (exponent >= digits), bare).otherwise(F.regexp_replace(s.cast("decimal(38,12)").cast("string"), r"\.?0+$", ""))
+
+
+def _plain(v: Column) -> Column:
+    """A number of at most four decimals, at least one of them shown."""
+    return F.regexp_replace(F.regexp_replace(v.cast("decimal(38,4)").cast("string"), "0+$", ""), r"\.$", ".0")
+
+
 def column_summary(cells: DataFrame) -> DataFrame:
     """One line for each column: no data, a date range, a numeric range, or distinct values and the commonest one (ties: the smallest)."""
-    stats = cells.groupBy(*_COLUMN).agg(F.count("value").alias("_n"), F.countDistinct("value").alias("_d"))
+    v = number(F.col("value"))
+    stats = cells.groupBy(*_COLUMN).agg(F.count("value").alias("_n"), F.countDistinct("value").alias("_d"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"))
     w = Window.partitionBy("dataset", "col_no").orderBy(F.desc("_c"), "value")
     common = cells.filter("value is not null").groupBy("dataset", "col_no", "value").agg(F.count(F.lit(1)).alias("_c")).withColumn("_r", F.row_number().over(w)).filter("_r = 1")
     out = stats.join(common.select("dataset", "col_no", F.col("value").alias("_v"), "_c"), ["dataset", "col_no"], "left")
-    out = out.join(numeric_profile(cells), _COLUMN, "left").join(infer_date_columns(cells), _COLUMN, "left")
+    out = out.join(infer_numeric_columns(cells).select(*_COLUMN, "is_numeric"), _COLUMN, "left").join(infer_date_columns(cells), _COLUMN, "left")
     text = (F.when(F.col("_n") == 0, "no data").when(F.col("min_date").isNotNull(), F.format_string("date range %s to %s", F.col("min_date").cast("string"), F.col("max_date").cast("string")))
-            .when(F.col("min").isNotNull(), F.format_string("min=%.4f, max=%.4f, mean=%.4f", "min", "max", "mean"))
+            .when(F.col("is_numeric"), F.concat(F.lit("min="), significant(F.col("min")), F.lit(", max="), significant(F.col("max")), F.lit(", mean="), significant(F.col("mean"))))
             .otherwise(F.concat(F.col("_d").cast("string"), F.lit(" unique values; most common: '"), F.col("_v"), F.lit("' ("), F.col("_c").cast("string"), F.lit("x)"))))
     return out.select(*_COLUMN, F.concat("column_name", F.lit(": "), text).alias("summary"))
 
@@ -185,9 +199,13 @@ def dataset_report(cells: DataFrame, full_limit: int = 500, preview: int = 100)
     grid = shown.select("dataset", F.col("_r").cast("long").alias("row_no"), "col_no", "value").unionByName(
         names.select("dataset", F.lit(0).cast("long").alias("row_no"), "col_no", F.col("column_name").alias("value")))
     lines = column_summary(cells).groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("col_no", "summary"))).alias("_s"))
-    out = shape.join(columns, "dataset").join(render_markdown_table(grid), "dataset").join(lines, "dataset")
+    numbers = numeric_profile(cells).withColumn("_line", F.concat(F.lit("\n  - "), "column_name", F.lit(": min="), _plain(F.col("min")), F.lit(", max="), _plain(F.col("max")), F.lit(", mean="), _plain(F.col("mean"))))
+    dates = infer_date_columns(cells).withColumn("_line", F.concat("column_name", F.lit(": "), F.col("min_date").cast("string"), F.lit(" to "), F.col("max_date").cast("string")))
+    listed = lambda df, name: df.groupBy("dataset").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "_line"))), lambda x: x["_line"]).alias(name))
+    out = shape.join(columns, "dataset").join(render_markdown_table(grid), "dataset").join(lines, "dataset").join(listed(numbers, "_numbers"), "dataset", "left").join(listed(dates, "_dates"), "dataset", "left")
     head = F.concat(F.lit("Dataset: "), "dataset", F.lit("\nRows: "), F.col("_rows").cast("string"), F.lit(" | Columns: "), F.col("_cols").cast("string"), F.lit("\nColumns: "),
-                    F.array_join(F.transform("_names", lambda x: x["column_name"]), ", "))
+                    F.array_join(F.transform("_names", lambda x: x["column_name"]), ", "), F.coalesce(F.concat(F.lit("\nNumeric columns:"), F.array_join("_numbers", "")), F.lit("")),
+                    F.lit("\nDate range: "), F.coalesce(F.array_join("_dates", "; "), F.lit("none detected")))
     cut = F.concat(F.lit(f"First {preview} of "), F.col("_rows").cast("string"), F.lit(" rows:\n"), "markdown", F.lit("\n\nColumn summaries (all columns):\n"),
                    F.array_join(F.transform("_s", lambda x: F.concat(F.lit("  - "), x["summary"])), "\n"))
     return out.select("dataset", F.concat(head, F.lit("\n\n"), F.when(F.col("_rows") <= full_limit, F.col("markdown")).otherwise(cut)).alias("report"))

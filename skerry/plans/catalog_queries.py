@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from skerry.operators import catalog as c
 from skerry.operators import monitoring as m
+from skerry.operators import referential
 from skerry.plans.views import duck, v_chunks, v_costs, v_documents, v_projects, v_search_logs, v_users
 
 AS_OF = "2024-01-31 00:00:00"
@@ -68,6 +69,46 @@ def purge(spark, d):
     return total
 
 
+def _library(spark, d):
+    """All tables that keys connect; projects, logs and answers refer to each other in ways of the test data's own making."""
+    docs, user = v_documents(spark, d), F.concat(F.lit("src"), F.expr("event_id % 20"))
+    logs = v_search_logs(spark, d).select("event_id", user.alias("user_id"), F.expr("element_at(array('en','de','fr','es'), cast(event_id % 4 as int) + 1)").alias("project_id"))
+    members = docs.selectExpr("project_id", "concat('src', document_id % 20) as user_id").distinct()
+    return {"users": v_users(spark, d), "projects": v_projects(spark, d), "memberships": members, "documents": docs.select("document_id", "uploaded_by", "project_id"),
+            "chunks": v_chunks(spark, d).select("document_id", "chunk_index"), "costs": v_costs(spark, d).select("document_id", "user_id"), "logs": logs,
+            "history": logs, "queries": logs.withColumn("search_log_id", F.expr("event_id - event_id % 7")), "audit": docs.selectExpr("document_id", "uploaded_by as user_id")}
+
+
+#: Of each table: a number to add up, and the references that are counted.
+_TALLY = {"users": ("0", []), "projects": ("0", ["owner_id"]), "memberships": ("0", ["project_id", "user_id"]), "documents": ("document_id", ["project_id", "uploaded_by"]),
+          "chunks": ("document_id * 1000 + chunk_index", []), "costs": ("document_id", ["user_id"]), "logs": ("event_id", ["project_id"]), "history": ("event_id", ["project_id"]),
+          "queries": ("event_id", ["project_id", "search_log_id"]), "audit": ("document_id", ["user_id"])}
+
+
+def _tallied(tables):
+    rows = [tables[n].groupBy().agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.expr(number).cast("long")), F.lit(0)).alias("id_sum"),
+                                    F.coalesce(F.sum(sum([F.col(r).isNotNull().cast("long") for r in refs], F.lit(0).cast("long"))), F.lit(0)).alias("references")) for n, (number, refs) in _TALLY.items()]
+    total = rows[0]
+    for r in rows[1:]:
+        total = total.unionByName(r)
+    return total
+
+
+def purge_users(spark, d):
+    tables = _library(spark, d)
+    return _tallied(referential.purge_rows(tables, {"users": tables["users"].filter("user_id in ('src0', 'src5', 'src7')")}))
+
+
+def purge_projects(spark, d):
+    tables = _library(spark, d)
+    return _tallied(referential.purge_rows(tables, {"projects": tables["projects"].filter("project_id in ('de', 'es')")}))
+
+
+def purge_documents(spark, d):
+    tables = _library(spark, d)
+    return _tallied(referential.purge_rows(tables, {"documents": tables["documents"].filter("document_id % 3 = 1"), "logs": tables["logs"].filter("event_id % 14 = 0")}))
+
+
 def clear_history(spark, d):
     logs = v_search_logs(spark, d)
     return c.clear_history(logs, logs.filter("user_id % 3 = 0").select("user_id")).select("event_id", "user_id")
@@ -138,11 +179,45 @@ def status_transitions(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    list_documents, filter_sort_documents, document_detail, document_status, failed_documents, plan_retries, list_chunks, search_history, purge,
+    list_documents, filter_sort_documents, document_detail, document_status, failed_documents, plan_retries, list_chunks, search_history, purge, purge_users, purge_projects, purge_documents,
     clear_history, log_searches, search_latency_alert, embedding_cost_totals, embedding_costs, content_gaps, mode_comparison, answer_feedback,
     usage_summary, project_summary, apply_document_updates, readiness, processing_durations, status_transitions)}
 
 _MONTH = f"created_at >= date_trunc('month', timestamp '{AS_OF}') and created_at <= timestamp '{AS_OF}'"
+_LIBRARY = {
+    "t_users": "select user_id from v_users", "t_projects": "select project_id, owner_id from v_projects",
+    "t_memberships": "select distinct project_id, concat('src', cast(document_id % 20 as varchar)) as user_id from v_documents",
+    "t_documents": "select document_id, uploaded_by, project_id from v_documents", "t_chunks": "select document_id, chunk_index from v_chunks", "t_costs": "select document_id, user_id from v_costs",
+    "t_logs": "select event_id, concat('src', cast(event_id % 20 as varchar)) as user_id, ['en','de','fr','es'][event_id % 4 + 1] as project_id from v_search_logs",
+    "t_audit": "select document_id, uploaded_by as user_id from v_documents",
+}
+
+
+def _purged(users: str, projects: str, documents: str, logs: str) -> str:
+    """Conditions under which rows of the four tables that others refer to go, in SQL; the rest follows from their keys."""
+    gone = {"x_users": f"select user_id as k from t_users where {users}",
+            "x_projects": f"select project_id as k from t_projects where {projects} or owner_id in (select k from x_users)",
+            "x_documents": f"select document_id as k from t_documents where {documents} or uploaded_by in (select k from x_users)",
+            "x_logs": f"select event_id as k from t_logs where {logs} or user_id in (select k from x_users)"}
+    kept = lambda c, t: f"(case when {c} in (select k from {t}) then null else {c} end)"
+    project = kept("project_id", "x_projects")
+    after = {
+        "users": ("select user_id from t_users where user_id not in (select k from x_users)", "0", []),
+        "projects": ("select owner_id from t_projects where project_id not in (select k from x_projects)", "0", ["owner_id"]),
+        "memberships": ("select project_id, user_id from t_memberships where project_id not in (select k from x_projects) and user_id not in (select k from x_users)", "0", ["project_id", "user_id"]),
+        "documents": (f"select document_id, uploaded_by, {project} as p from t_documents where document_id not in (select k from x_documents)", "document_id", ["p", "uploaded_by"]),
+        "chunks": ("select * from t_chunks where document_id not in (select k from x_documents)", "document_id * 1000 + chunk_index", []),
+        "costs": ("select * from t_costs where document_id not in (select k from x_documents) and user_id not in (select k from x_users)", "document_id", ["user_id"]),
+        "logs": (f"select event_id, {project} as p from t_logs where event_id not in (select k from x_logs)", "event_id", ["p"]),
+        "history": (f"select event_id, {project} as p from t_logs where user_id not in (select k from x_users)", "event_id", ["p"]),
+        "queries": (f"select event_id, {project} as p, {kept('(event_id - event_id % 7)', 'x_logs')} as s from t_logs where user_id not in (select k from x_users)", "event_id", ["p", "s"]),
+        "audit": (f"select document_id, {kept('user_id', 'x_users')} as u from t_audit", "document_id", ["u"]),
+    }
+    parts = [f"""select '{n}' as table_name, count(*) as n_rows, coalesce(sum({number}), 0)::bigint as id_sum, coalesce(sum({' + '.join(['0', *[f"({r} is not null)::int" for r in refs]])}), 0)::bigint as "references" from ({sql})"""
+             for n, (sql, number, refs) in after.items()]
+    return duck(" union all ".join(parts), "v_users", "v_projects", "v_documents", "v_chunks", "v_costs", "v_search_logs", **_LIBRARY, **gone)
+
+
 SQL = {
     "list_documents": duck(f"select {', '.join(DOC)} from v_documents where uploaded_by = 'src3' and status = 'indexed' order by created_at desc, document_id limit 10 offset 10", "v_documents"),
     "filter_sort_documents": duck("""select document_id, coalesce(display_name, filename) as name, mime_type from v_documents
@@ -165,6 +240,9 @@ SQL = {
         union all select 'costs', count(*), sum(document_id)::bigint from v_costs where user_id not in ('src0','src5')
         union all select 'audit', count(*), sum(document_id)::bigint from v_documents
         union all select 'orphans', count(*), sum(document_id)::bigint from v_documents where uploaded_by in ('src0','src5')""", "v_documents", "v_chunks", "v_costs"),
+    "purge_users": _purged("user_id in ('src0', 'src5', 'src7')", "false", "false", "false"),
+    "purge_projects": _purged("false", "project_id in ('de', 'es')", "false", "false"),
+    "purge_documents": _purged("false", "false", "document_id % 3 = 1", "event_id % 14 = 0"),
     "clear_history": duck("select event_id, user_id from v_search_logs where user_id % 3 <> 0", "v_search_logs"),
     "log_searches": duck(f"""select document_id as query_id, uploaded_by as user_id, sha256(filename) as query_hash, 'keyword' as search_type, coalesce(n, 0) as result_count,
         cast(document_id % 700 as int) as search_time_ms, coalesce(n, 0) > 0 as had_results, timestamp '{AS_OF}' as created_at

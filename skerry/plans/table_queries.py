@@ -91,7 +91,9 @@ def numeric_profile(spark, d):
 
 
 def column_summary(spark, d):
-    return tb.column_summary(v_cells(spark, d).filter("col_no in (2, 5)"))
+    """Of the customers' cells and of order dates and prices: text, numbers and dates; with a column of small numbers and an empty one."""
+    orders = load_table(spark, d, "orders").selectExpr("'orders' as dataset", "o_orderkey as row_no", "stack(3, 1, 'o_orderdate', cast(cast(o_orderdate as date) as string), 2, 'share', cast(cast(o_orderkey as decimal(20,8)) / 1000000 as string), 3, 'note', cast(null as string)) as (col_no, column_name, value)")
+    return tb.column_summary(v_cells(spark, d).unionByName(orders))
 
 
 def render_markdown_table(spark, d):
@@ -204,8 +206,14 @@ SQL = {
         union select distinct dataset, col_no, column_name from data where regexp_matches(column_name, '(?i)({t.LAB_UNITS})')""", "v_cells", **_DATA),
     "detect_id_columns": duck(f"select distinct dataset, col_no, column_name from data where regexp_matches(column_name, '{tb.ID_COLUMN}')", "v_cells", **_DATA),
     "numeric_profile": duck("select dataset, col_no, column_name, round(min(value::double), 4) as min, round(max(value::double), 4) as max, round(avg(value::double), 4) as mean from v_cells where col_no in (1, 3, 4) group by all", "v_cells"),
-    "column_summary": duck("""select dataset, col_no, column_name, concat(column_name, ': ', d, ' unique values; most common: ''', value, ''' (', c, 'x)') as summary from
-        (select *, row_number() over (partition by col_no order by c desc, value) as r from (select dataset, col_no, column_name, value, count(*) as c from v_cells group by all)) join (select col_no, count(distinct value) as d from v_cells group by 1) using (col_no) where r = 1 and col_no in (2, 5)""", "v_cells"),
+    "column_summary": duck("""select dataset, col_no, column_name, concat(column_name, ': ', case when n = 0 then 'no data' when column_name = 'o_orderdate' then concat('date range ', lo, ' to ', hi)
+        when k >= 0.9 * n then concat('min=', format('{:.4g}', a), ', max=', format('{:.4g}', z), ', mean=', format('{:.4g}', m))
+        else concat(d, ' unique values; most common: ''', common, ''' (', c, 'x)') end) as summary from
+        (select dataset, col_no, column_name, count(value) as n, count(distinct value) as d, min(value) as lo, max(value) as hi, count(try_cast(value as double)) as k, min(try_cast(value as double)) as a,
+            max(try_cast(value as double)) as z, avg(try_cast(value as double)) as m from every group by all)
+        left join (select dataset, col_no, value as common, c from (select *, row_number() over (partition by dataset, col_no order by c desc, value) as r from (select dataset, col_no, value, count(*) as c from every where value is not null group by all)) where r = 1) using (dataset, col_no)""", "v_cells",
+        every="""select dataset, col_no, column_name, value from v_cells union all select 'orders', n, k, v from orders, lateral (values (1, 'o_orderdate', cast(o_orderdate::date as varchar)),
+            (2, 'share', cast(o_orderkey::decimal(20,8) / 1000000 as varchar)), (3, 'note', null)) u(n, k, v)"""),
     "render_markdown_table": duck("""select dataset, concat(min_by(line, row_no), chr(10), '| --- | --- | --- | --- | --- |', case when count(*) > 1 then chr(10) || array_to_string(list(line order by row_no)[2:], chr(10)) else '' end) as markdown from
         (select concat('n', c_nationkey) as dataset, c_custkey as row_no, concat('| ', c_custkey, ' | ', trim(regexp_replace(c_name, '\\s+', ' ', 'g')), ' \\| x | ', c_nationkey, ' | ', cast(c_acctbal as varchar), ' | ', case when c_custkey % 7 = 0 then '' else c_mktsegment end, ' |') as line from customer) group by 1"""),
     "profile_rollup": """select c_nationkey % 4 as workbook, count(distinct c_nationkey) as datasets, count(*) as row_count, array_to_string(list_sort(list_distinct(list(c_mktsegment))), ',') as columns from customer group by 1""",
