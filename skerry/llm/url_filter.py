@@ -110,9 +110,10 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
 
 
 def labelled_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """A page's outcome is the label of the document that its address names: good if of quality and not toxic."""
+    """A page's outcome is the label of the document that its address names: good if of quality and not toxic; labels without a quality say
+    nothing, a null for toxic counts as no."""
     named = pages.select("page_id", F.try_to_number(F.regexp_extract(url_path(F.col("url")), r"/(\d{1,18})(?:\.\w+|/)?$", 1), F.lit("9" * 18)).cast("long").alias("doc_id"))
-    good = labels.select("doc_id", ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good"))
+    good = labels.filter("quality is not null").select("doc_id", ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good"))
     return named.join(good, "doc_id").select("page_id", "good")
 
 
@@ -143,7 +144,10 @@ with u as (
   from u join good on good.doc_id = try_cast(regexp_extract(path, '/(\d{{1,18}})(?:\.\w+|/)?$', 1) as bigint) group by 1
 ), h as (
   select host, count(good)::double as n, coalesce(sum(good), 0)::double as s,
-    array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix
+    case when array_to_string(string_split(host, '.')[-2:], '.') in ({", ".join(f"'{x}'" for x in LONG_SUFFIXES)}) then array_to_string(string_split(host, '.')[-3:], '.')
+      else array_to_string(string_split(host, '.')[-2:], '.') end as domain,
+    case when array_to_string(string_split(host, '.')[-2:], '.') in ({", ".join(f"'{x}'" for x in LONG_SUFFIXES)}) then array_to_string(string_split(host, '.')[-2:], '.')
+      else string_split(host, '.')[-1] end as suffix
   from u left join seen using (page_id) group by host
 ), t as (select coalesce(sum(s) / nullif(sum(n), 0), 0.5) as p0 from h),
 s1 as (select suffix, sum(n) as n, sum(s) as s, any_value(p0) as p0 from h, t group by suffix),

@@ -135,6 +135,26 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.filter("false"), good).count() == 0
 
 
+def test_labels_without_quality_repeated_pages_and_long_urls(spark, tmp_path):
+    """Against the SQL twin, on tables with suffixes of two labels, nulls in labels, repeated rows and very long addresses."""
+    from tests.differential import duck_rows, spark_rows
+
+    hosts = ["a.shop.co.uk", "b.shop.co.uk", "shop.co.uk", "co.uk", "x.com.au", "deep.er.x.com.au", "a.org", "b.org"]
+    rows = [(i % 150, f"https://{hosts[i % 8]}/p/{i % 150}") for i in range(300)] + [(900, None), (901, "x://" + "h" * 3000 + ".org/" + "p/" * 20_000), (902, f"http://a.org/{'1' * 30}")] * 2
+    labels = [(i % 150, [1, 0, None][i % 3 if i % 7 else 2], [0, 1, None][i % 5 % 3]) for i in range(0, 220)] + [(None, 1, 0)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/l")
+    for name, part in (("pages", "p"), ("labels", "l")):
+        spark.read.parquet(f"{tmp_path}/{part}").coalesce(1).write.parquet(f"{tmp_path}/t/{name}")
+        next((tmp_path / "t" / name).glob("part-*")).rename(tmp_path / "t" / f"{name}.parquet")
+    for name in "region nation customer supplier part orders lineitem events documents embeddings benchmark conversations".split():
+        (tmp_path / "t" / f"{name}.parquet").symlink_to(tmp_path / "t" / "pages.parquet")
+    got = spark_rows(url_filter.op3_url_filter(spark, str(tmp_path / "t")))
+    assert got == duck_rows(queries.SQL["op3_url_filter"], str(tmp_path / "t")) and len(got[1]) == len(rows)
+    outcomes = url_filter.labelled_outcomes(spark.createDataFrame([(1, "http://a.org/5")], "page_id long, url string"), spark.createDataFrame([(5, None, 1)], "doc_id long, quality int, toxic int"))
+    assert outcomes.count() == 0
+
+
 def test_reputation_shrinks_towards_the_domain(spark):
     rows = [(f"h{i}.bad.com", 20, 2) for i in range(8)] + [(f"h{i}.good.com", 20, 19) for i in range(8)] + [("new.bad.com", 0, 0), ("new.good.com", 0, 0), ("lone.bad.com", 1, 1)]
     got = {r.host: r for r in url_filter.host_reputation(spark.createDataFrame(rows, "host string, n long, s long")).collect()}
