@@ -582,6 +582,19 @@ def test_shards(spark, sf_dir, texts, awkward, empty):
     assert sharding.shard_documents(awkward, 3).count() == len(AWKWARD) and sharding.shard_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_shards_keep_the_law_of_bytes(spark, sf):
+    """40 shards whose bytes differ from the mean by at most half of the largest document; one law for all; slots without gaps."""
+    rows = sharding.op10_sharding(spark, f"/root/testdata/{sf}").collect()
+    held: dict[int, list] = {}
+    for r in rows:
+        held.setdefault(r.shard, []).append(r)
+    sums = np.array([sum(r["size"] for r in held.get(k, [])) for k in range(40)])
+    assert set(held) == set(range(40)) and {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
+    assert np.abs(sums - sums.mean()).max() <= max(r["size"] for r in rows) / 2, (sums.min(), sums.mean(), sums.max())
+    assert all(sorted(r.slot for r in own) == list(range(len(own))) for own in held.values())
+
+
 def test_shards_split_groups_of_equal_rows(spark):
     df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"),
                                     F.lit("s").alias("source"), F.lit("en").alias("lang"))
