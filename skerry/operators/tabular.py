@@ -39,24 +39,86 @@ def sniff_delimiter(lines: DataFrame, sample: int = 10) -> DataFrame:
     return lines.select("dataset").distinct().join(best, "dataset", "left").select("dataset", F.coalesce("_d", F.lit(",")).alias("delimiter"))
 
 
-def split_quoted(line: Column, delimiter: Column) -> Column:
-    """Cells of a line: a delimiter inside double quotes does not cut, doubled quotes inside quotes are one."""
-    # outside quotes every delimiter becomes a cut: even pieces of a split at quotes are outside
+def _after_quotes(text: Column, delimiter: Column, inside: bool, cells: bool) -> Column:
+    """The state of a CSV reader after ``text``, which begins inside a quoted field or at the start of a record: a fold over the pieces
+    between quotes. A quote opens at the start of a field, closes inside of one, opens again right after it closed (a doubled quote), and
+    is a plain character elsewhere. With ``cells`` the state holds the text too, in pieces with CUT for each delimiter that cuts."""
+    pieces = F.split(text, '"', -1)
+    head = F.get(pieces, F.lit(0))
+    state = [F.concat(delimiter, head).alias("prev"), F.lit(inside).alias("inside"), F.lit(False).alias("closed")]
+
+    def step(acc: Column, piece: Column) -> Column:
+        starts = F.endswith(acc["prev"], delimiter)
+        opens = ~acc["inside"] & (starts | (acc["closed"] & (acc["prev"] == "")))
+        after = [piece.alias("prev"), opens.alias("inside"), acc["inside"].alias("closed")]
+        if cells:
+            mark = F.when(~acc["inside"] & ~starts, '"').otherwise("")
+            shown = F.concat(mark, F.when(opens, piece).otherwise(F.replace(piece, delimiter, F.lit(CUT))))
+            after.append(F.concat(acc["out"], F.array(shown)).alias("out"))
+        return F.struct(*after)
+
+    if cells:
+        state.append(F.array(F.replace(head, delimiter, F.lit(CUT))).alias("out"))
+    return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), F.struct(*state), step)
+
+
+def open_after(line: Column, delimiter: Column, inside: bool) -> Column:
+    """Whether a quoted field is open after the line, which begins inside of one or not."""
+    return F.when(F.contains(line, F.lit('"')), _after_quotes(line, delimiter, inside, False)["inside"]).otherwise(F.lit(inside))
+
+
+def split_quoted(record: Column, delimiter: Column) -> Column:
+    """Cells of a record: a delimiter inside a quoted field does not cut, doubled quotes inside of it are one."""
     def mark(text: Column) -> Column:
-        parts = F.split(text, '"', -1)
-        return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.replace(p, delimiter, F.lit(CUT))).otherwise(p)), '"')
-
-    cells = cut_at_marks(line, mark)
-    return F.transform(cells, lambda c: F.when(c.rlike(r'(?s)^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
-
-
-def text_to_grid(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
-    """Lines to cells: comment lines and rows without any filled cell are dropped; rows are numbered from 1 in what remains."""
-    rows = lines.filter(~F.ltrim("line").startswith("#")).join(delimiters, "dataset").withColumn("_c", split_quoted(F.col("line"), F.col("delimiter")))
-    rows = rows.filter(F.exists("_c", lambda c: F.trim(c) != ""))
-    w = Window.partitionBy("dataset").orderBy("line_no")
-    cells = rows.withColumn("row_no", F.row_number().over(w)).select("dataset", "row_no", F.posexplode("_c").alias("_i", "value"))
-    return cells.select("dataset", "row_no", (F.col("_i") + 1).alias("col_no"), "value")
+        quoted = F.array_join(_after_quotes(text, delimiter, False, True)["out"], "")
+        return F.when(F.contains(text, F.lit('"')), quoted).otherwise(F.replace(text, delimiter, F.lit(CUT)))
+
+    return cut_at_marks(record, mark)
+
+
+def records(lines: DataFrame, delimiters: DataFrame, block_lines: int = 1024) -> DataFrame:
+    """(dataset, line_no, line) -> (dataset, delimiter, line_no of the first line, record): lines that a quoted field goes on over are put
+    together, without the line ends; comment lines are dropped first, also those inside of a quoted field.
+
+    A line either keeps the reader's state, turns it over or sets it, so a block of lines is known by what it does to either state. Blocks
+    are summed up by themselves; one row for each block then passes the state, and the line where the open record began, from block to
+    block. A field that is never closed goes on to the end of its dataset. Lines that are null are dropped."""
+    rows = lines.filter(~F.ltrim("line").startswith("#")).join(delimiters, "dataset").withColumn("_block", F.floor(F.col("line_no") / block_lines))
+    line, mark = F.col("line"), F.col("delimiter")
+    rows = rows.withColumns({"_a": open_after(line, mark, False), "_b": open_after(line, mark, True)})
+    w = Window.partitionBy("dataset", "_block").orderBy("line_no")
+    rows = rows.withColumn("_turns", F.count_if(F.col("_a") & ~F.col("_b")).over(w))
+    rows = rows.withColumn("_set", F.last(F.when(F.col("_a") == F.col("_b"), F.struct("_a", "_turns")), ignorenulls=True).over(w))
+    odd = (F.col("_turns") - F.coalesce("_set._turns", F.lit(0))) % 2 == 1
+    rows = rows.withColumns({f"_open{i}": F.coalesce("_set._a", F.lit(bool(i))) != odd for i in (0, 1)})
+    # the first line of the record that each line belongs to, if the block begins outside (0) or inside (1) of a field
+    flags = rows.withColumns({f"_start{i}": F.when(~F.lag(f"_open{i}", 1, bool(i)).over(w), F.col("line_no")) for i in (0, 1)})
+    rows = flags.withColumns({f"_from{i}": F.last(f"_start{i}", ignorenulls=True).over(w) for i in (0, 1)})
+    ends = rows.groupBy("dataset", "_block").agg(F.max_by(F.struct("_open0", "_open1", "_from0", "_from1"), "line_no").alias("e"))
+    before = Window.partitionBy("dataset").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = ends.select("dataset", "_block", "e._open0", "e._open1", "e._from0", "e._from1")
+    blocks = blocks.withColumn("_t", F.count_if(F.col("_open0") & ~F.col("_open1")).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = blocks.withColumn("_s", F.last(F.when(F.col("_open0") == F.col("_open1"), F.struct(F.col("_open0").alias("v"), "_t")), ignorenulls=True).over(before))
+    passed = F.coalesce(F.lag("_t").over(Window.partitionBy("dataset").orderBy("_block")), F.lit(0)) - F.coalesce("_s._t", F.lit(0))
+    blocks = blocks.withColumn("_in", F.coalesce("_s.v", F.lit(False)) != (passed % 2 == 1))
+    blocks = blocks.withColumn("_carried", F.last(F.when(F.col("_in"), F.col("_from1")).otherwise(F.col("_from0")), ignorenulls=True).over(before))
+    rows = rows.join(blocks.select("dataset", "_block", "_in", "_carried"), ["dataset", "_block"])
+    first = F.coalesce(F.when(F.col("_in"), F.col("_from1")).otherwise(F.col("_from0")), "_carried")
+    parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    out = rows.select("dataset", "delimiter", first.alias("_first"), "line_no", "line").groupBy("dataset", "delimiter", "_first").agg(parts.alias("_p"))
+    return out.select("dataset", "delimiter", F.col("_first").alias("line_no"), F.array_join("_p.line", "").alias("record"))
+
+
+def text_to_grid(lines: DataFrame, delimiters: DataFrame, block_lines: int = 1024) -> DataFrame:
+    """Lines to cells: comment lines and rows without any filled cell are dropped; rows are numbered from 1 in what remains. Rows are numbered
+    within blocks of lines, after the counts of the blocks before, so that a large dataset is not sorted in one task."""
+    rows = records(lines, delimiters, block_lines).withColumn("_c", split_quoted(F.col("record"), F.col("delimiter")))
+    rows = rows.filter(F.exists("_c", lambda c: F.trim(c) != "")).select("dataset", "line_no", F.floor(F.col("line_no") / block_lines).alias("_block"), "_c")
+    before = Window.partitionBy("dataset").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("dataset", "_block").agg(F.count(F.lit(1)).alias("_n")).select("dataset", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("dataset", "_block").orderBy("line_no"))
+    cells = rows.withColumn("_r", place).join(counts, ["dataset", "_block"]).withColumn("row_no", (F.col("_before") + F.col("_r")).cast("int"))
+    return cells.select("dataset", "row_no", F.posexplode("_c").alias("_i", "value")).select("dataset", "row_no", (F.col("_i") + 1).alias("col_no"), "value")
 
 
 def caption_rows(cells: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -29,6 +29,16 @@ def text_to_grid(spark, d):
     return tb.text_to_grid(lines, tb.sniff_delimiter(lines))
 
 
+# Every document as a record over many lines in the file of its source: id, the text in quotes, language.
+_QUOTED = """select source as dataset, doc_id * 1048576 + pos as line_no, line from (select coalesce(source, '') as source, doc_id,
+    posexplode(split(concat(doc_id, ',"\n', replace(coalesce(text, ''), '"', '""'), '\n",', coalesce(lang, '')), '\n')) as (pos, line) from {t})"""
+
+
+def quoted_records(spark, d):
+    lines = cut_lineage(spark.sql(_QUOTED, t=load_table(spark, d, "documents")))
+    return tb.text_to_grid(lines, lines.select("dataset").distinct().withColumn("delimiter", F.lit(",")))
+
+
 def _grid(spark, d):
     """The cell view with header rows on top: one row for every dataset of customers of one nation; nation 1 has two header rows, nation 2 none, nation 3 a caption."""
     body = v_cells(spark, d).join(load_table(spark, d, "customer").select(F.col("c_custkey").alias("row_no"), F.col("c_nationkey").alias("nation")), "row_no")
@@ -155,7 +165,7 @@ def advance_status(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    sniff_delimiter, text_to_grid, caption_rows, detect_header_rows, name_columns, infer_numeric_columns, infer_date_columns, detect_lab_columns,
+    sniff_delimiter, text_to_grid, quoted_records, caption_rows, detect_header_rows, name_columns, infer_numeric_columns, infer_date_columns, detect_lab_columns,
     detect_id_columns, numeric_profile, column_summary, render_markdown_table, dataset_report, profile_rollup, embed_chunks, pending_chunks,
     upsert_embeddings, embedding_progress, embedding_cost_estimate, embedding_cost_rows, advance_status)}
 
@@ -197,6 +207,9 @@ SQL = {
         (select concat('file_', c_nationkey) as dataset, * from customer), lateral (values (1, cast(c_custkey as varchar))) u(k, v) where false
         union all select dataset, row_no::int, u.k, u.v from (select concat('file_', c_nationkey) as dataset, row_number() over (partition by c_nationkey order by c_custkey) as row_no, * from customer),
           lateral (values (1, cast(c_custkey as varchar)), (2, concat(c_name, ', x')), (3, case when c_custkey % 37 = 0 then 'N/A' else cast(c_acctbal as varchar) end), (4, c_mktsegment)) u(k, v)"""),
+    "quoted_records": """select dataset, row_no::int as row_no, u.k as col_no, u.v as value from (select coalesce(source, '') as dataset, row_number() over (partition by coalesce(source, '') order by doc_id) as row_no, doc_id,
+          coalesce(lang, '') as lang, array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: not starts_with(ltrim(x, ' '), '#')), '') as body from documents),
+          lateral (values (1, cast(doc_id as varchar)), (2, body), (3, lang)) u(k, v)""",
     "caption_rows": duck("select dataset, row_no, caption from caps", "v_cells", **_GRID),
     "detect_header_rows": duck("select * from headers", "v_cells", **_HEADERS),
     "name_columns": duck("select * from names", "v_cells", **_NAMES),
