@@ -5,6 +5,9 @@ is one group. A shard keeps a posting list for each term, with bounds. With a sc
 reach, the terms of smallest bound that cannot reach it together are non-essential: only the essential terms' lists are
 traversed for all rows, the others are probed, in steps of falling bound, for the rows that still compete.
 
+A floor is known from the start: after the lists of the best-bounded quarter of the terms, a shard scores the few rows that lead
+by then in full, and the k-th best of these is the floor for the rest of the traversal.
+
 Shards are searched in rounds, each with ``growth`` times the rows of all before it; after a round the shards' results are
 merged, and the k-th best score of each query is the floor of the next round. Shards return only rows that reach the floor,
 so a round passes on about ``growth`` times k rows for each query, however many shards there are.
@@ -61,27 +64,43 @@ class Postings:
         self.longest = float(self.norms.max(initial=0.0))
 
 
-def maxscore(own: int, q: np.ndarray, floor: float, p: Postings, k: int, step: int = 4) -> tuple[np.ndarray, np.ndarray, int]:
+def maxscore(own: int, q: np.ndarray, floor: float, p: Postings, k: int, step: int = 4, leaders: int = 4) -> tuple[np.ndarray, np.ndarray, int]:
     """The best k rows (not of the query's own id) with a score of at least ``floor``: (ids, scores, number of products).
 
     A term's bound is the greatest product that the shard's values allow. What terms can add together is at most the sum of
-    their bounds, and (by Cauchy and Schwarz) at most the norm of the query's rest times the row's norm."""
+    their bounds, and (by Cauchy and Schwarz) at most the norm of the query's rest times the row's norm. ``leaders`` times k
+    rows with the highest scores in the first quarter of the terms raise the floor, which only drops rows below k others."""
     bounds = np.maximum(q * p.low, q * p.high).astype(np.float64)
     terms = np.argsort(-bounds, kind="stable")
     rest = np.append(np.cumsum(bounds[terms][::-1])[::-1], 0.0)
     tail = np.sqrt(np.append(np.cumsum((q[terms].astype(np.float64) ** 2)[::-1])[::-1], 0.0))
     slack = 1e-9 * (1.0 + float(np.abs(q).sum()) * max(abs(float(p.low.min(initial=0))), abs(float(p.high.max(initial=0)))))
-    # what follows is non-essential: a row cannot reach the floor by it alone
-    reach = np.minimum(rest, tail * p.longest) + slack >= floor
-    essential = int(np.flatnonzero(reach)[-1]) + 1 if reach.any() else 0
-    essential = min(essential, len(terms))
-    scores, products = np.zeros(len(p.ids), p.x.dtype), 0
-    for t in terms[:essential]:
-        rows, values = p.lists[t]
-        scores[rows] += q[t] * values
-        products += len(values)
-    live = np.flatnonzero(scores + np.minimum(rest[essential], tail[essential] * p.norms) + slack >= floor)
-    scores, at = scores[live], essential
+    scores, products, at = np.zeros(len(p.ids), p.x.dtype), 0, 0
+
+    def essential(floor: float) -> int:
+        # what follows is non-essential: a row cannot reach the floor by it alone
+        reach = np.minimum(rest, tail * p.longest) + slack >= floor
+        return min(int(np.flatnonzero(reach)[-1]) + 1 if reach.any() else 0, len(terms))
+
+    def traverse(upto: int) -> None:
+        nonlocal products, at
+        for t in terms[at:upto]:
+            rows, values = p.lists[t]
+            scores[rows] += q[t] * values
+            products += len(values)
+        at = max(at, upto)
+
+    others = np.flatnonzero(p.ids != own)
+    lead = -(-len(terms) // 4)
+    if len(others) > leaders * k and essential(floor) > lead:
+        traverse(lead)
+        first = others[np.argpartition(-scores[others], leaders * k)[:leaders * k]]
+        full = scores[first] + p.x[first[:, None], terms[lead:]] @ q[terms[lead:]]
+        products += len(first) * (len(terms) - lead)
+        floor = max(floor, float(np.partition(full, len(full) - k)[len(full) - k]))
+    traverse(essential(floor))
+    live = np.flatnonzero(scores + np.minimum(rest[at], tail[at] * p.norms) + slack >= floor)
+    scores = scores[live]
     while at < len(terms) and len(live):  # probe the next terms of the rows that still compete
         some = terms[at:at + step]
         scores = scores + p.x[live[:, None], some] @ q[some]
@@ -110,7 +129,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
             F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
+        out: list[tuple] = []
         if len(left) and len(right):
             width = max(left["v"].map(len).max(), right["v"].map(len).max())
             x, q = _matrix(left["v"], width), _matrix(right["v"], width)
@@ -118,8 +137,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
             postings, q = Postings(left["vec_id"].to_numpy(), x.astype(kind)), q.astype(kind)
             for no, own, floor, v in zip(right["query_no"], right["vec_id"], right["floor"].fillna(-np.inf), q):
                 ids, scores, _ = maxscore(own, v, floor, postings, k)
-                out.append(pd.DataFrame({"query_no": no, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_no", "vec_id", "score")})
+                out.append((np.full(len(ids), no), ids, scores))
+        columns = [np.concatenate(c) for c in zip(*out)] or [np.zeros(0, np.int64)] * 3
+        return pd.DataFrame(dict(zip(("query_no", "vec_id", "score"), columns)))
 
     best = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id")
     with Scratch(spark, "maxscore") as scratch:

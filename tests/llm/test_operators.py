@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -397,6 +398,19 @@ def test_max_score_needs_fewer_products_than_brute_force():
     assert products < 0.7 * len(queries) * x.size and rows < 2 * len(queries)
 
 
+def test_the_given_vectors_are_pruned_without_a_floor_from_elsewhere():
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"]).to_pandas()
+    x, ids = np.floor(64 * np.stack(t["embedding"].map(lambda v: np.asarray(v, np.float64)))), t["vec_id"].to_numpy()
+    shard = maxscore.Postings(ids, x)  # all rows: one shard of the registered query
+    products, queries = 0, np.flatnonzero(ids % 20 == 0)
+    for i in queries:
+        found, scores, n = maxscore.maxscore(ids[i], x[i], -np.inf, shard, 20)
+        best = sorted(zip((-x @ x[i])[ids != ids[i]], ids[ids != ids[i]]))[:20]
+        assert [(-s, d) for s, d in zip(scores, found)] == best
+        products += n
+    assert products < 0.7 * len(queries) * x.size
+
+
 def test_rounds_of_shards_and_repeated_queries(spark):
     rng = np.random.default_rng(6)
     x = np.floor(64 * rng.normal(0, 0.1, (700, 6)).astype(np.float32).astype(np.float64)).astype(int)
