@@ -118,22 +118,45 @@ def best_sentence(ranked: DataFrame, queries: DataFrame) -> DataFrame:
                       F.coalesce("_best.n", F.lit(0)).alias("n_words"))
 
 
+def grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text; none if it is shorter or null."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.array_distinct(F.transform(F.when(F.length(text) >= n, places).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(n))))
+
+
+def name_postings(names: DataFrame, n: int = 3) -> DataFrame:
+    """(user_id, text, fields: array of strings) -> a row for each distinct run of n lower-case characters of any field: user_id, gram, text, fields
+    (lower-cased, without nulls)."""
+    lowered = F.transform(F.filter("fields", lambda x: x.isNotNull()), F.lower)
+    return names.select("user_id", "text", lowered.alias("fields")).withColumn("gram", F.explode(F.array_distinct(F.flatten(F.transform("fields", lambda x: grams(x, n))))))
+
+
+def containing(postings: DataFrame, asked: DataFrame, n: int = 3) -> DataFrame:
+    """(query_id, user_id, _p) -> (query_id, text) of the user's names with a field that holds _p: each request reads the shortest of the lists
+    of its runs, and the names in it are compared in full. Requests are at least n characters long."""
+    wanted = asked.withColumn("gram", F.explode(grams(F.col("_p"), n)))
+    sizes = postings.groupBy("user_id", "gram").agg(F.count(F.lit(1)).alias("_size"))
+    shortest = wanted.join(sizes, ["user_id", "gram"], "left").groupBy("query_id", "user_id", "_p").agg(
+        F.min_by("gram", F.struct(F.coalesce("_size", F.lit(0)), "gram")).alias("gram"))
+    return shortest.join(postings, ["user_id", "gram"]).filter(F.exists("fields", lambda x: F.contains(x, F.col("_p")))).select("query_id", "text")
+
+
 def suggest(prefixes: DataFrame, history: DataFrame, documents: DataFrame, projects: DataFrame, k: int = 5, recent: int = 3, least: int = 3) -> DataFrame:
     """(query_id, user_id, prefix) -> up to k suggestions: the user's latest queries with the prefix, then document names and project
-    names that contain it. % and _ are taken literally; names are in alphabetical order."""
+    names that contain it. % and _ are taken literally; names are in alphabetical order. Histories are met by the first characters, names
+    by lists of their runs of ``least`` characters. Null users and prefixes, and prefixes below ``least`` characters, have no suggestions."""
     p = prefixes.withColumn("_p", F.lower(F.trim("prefix"))).filter(F.length("_p") >= least).select("query_id", "user_id", "_p")
     w = Window.partitionBy("query_id").orderBy(F.desc("created_at"), F.desc("event_id"))
-    mine = history.join(p, "user_id").filter(F.startswith(F.lower("query_text"), F.col("_p"))).withColumn("_i", F.row_number().over(w))
-    mine = mine.filter(F.col("_i") <= recent).groupBy("query_id", F.col("query_text").alias("text")).agg(F.min("_i").alias("_i")).select(
-        "query_id", F.lit(0).alias("kind_no"), "text", "_i")
-    name = F.coalesce("display_name", "filename")
-    docs = documents.join(p, documents["uploaded_by"] == p["user_id"]).filter(
-        F.contains(F.lower("filename"), F.col("_p")) | F.coalesce(F.contains(F.lower("display_name"), F.col("_p")), F.lit(False)))
-    docs = docs.select("query_id", F.lit(1).alias("kind_no"), name.alias("text"), F.lit(0).alias("_i"))
-    named = projects.join(p, projects["owner_id"] == p["user_id"]).filter(F.contains(F.lower("name"), F.col("_p")))
-    named = named.select("query_id", F.lit(2).alias("kind_no"), F.col("name").alias("text"), F.lit(0).alias("_i"))
+    head = history.withColumn("_head", F.substring(F.lower("query_text"), 1, least))
+    mine = head.join(p.withColumn("_head", F.substring("_p", 1, least)), ["user_id", "_head"]).filter(F.startswith(F.lower("query_text"), F.col("_p")))
+    mine = mine.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= recent).groupBy("query_id", F.col("query_text").alias("text")).agg(
+        F.min("_i").alias("_i")).select("query_id", F.lit(0).alias("kind_no"), "text", "_i")
+    files = documents.select(F.col("uploaded_by").alias("user_id"), F.coalesce("display_name", "filename").alias("text"), F.array("filename", "display_name").alias("fields"))
+    named = projects.select(F.col("owner_id").alias("user_id"), F.col("name").alias("text"), F.array("name").alias("fields"))
+    for no, names in ((1, files), (2, named)):
+        mine = mine.unionByName(containing(name_postings(names, least), p, least).select("query_id", F.lit(no).alias("kind_no"), "text", F.lit(0).alias("_i")))
     order = Window.partitionBy("query_id").orderBy("kind_no", "_i", "text")
-    out = mine.unionByName(docs).unionByName(named).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+    out = mine.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
     kinds = F.array(*[F.lit(x) for x in ("recent_query", "document", "project")])
     return out.select("query_id", "position", F.get(kinds, F.col("kind_no")).alias("kind"), "text")
 

@@ -187,9 +187,12 @@ def best_sentence(spark, d):
     return s.best_sentence(_keyword(spark, d), v_text_queries(spark, d))
 
 
-def _prefixes(spark):
-    return spark.createDataFrame([(1, "src0", "doc_1"), (2, "src1", "Report 2"), (3, "src10", "project"), (4, "src2", "do"), (5, "src3", "doc%")],
-                                 "query_id long, user_id string, prefix string")
+def _prefixes(spark, d):
+    """Five fixed requests, and one for every document: its user types the first letters of its name, or the last ones in capitals."""
+    typed = v_documents(spark, d).selectExpr("document_id + 1000 as query_id", "uploaded_by as user_id",
+                                             "if(document_id % 2 = 0, substring(filename, 1, 5), upper(right(filename, 6))) as prefix")
+    return typed.unionByName(spark.createDataFrame([(1, "src0", "doc_1"), (2, "src1", "Report 2"), (3, "src10", "project"), (4, "src2", "do"), (5, "src3", "doc%")],
+                                 "query_id long, user_id string, prefix string"))
 
 
 def _history(spark, d):
@@ -198,7 +201,7 @@ def _history(spark, d):
 
 
 def suggest(spark, d):
-    return s.suggest(_prefixes(spark), _history(spark, d), v_documents(spark, d), v_projects(spark, d))
+    return s.suggest(_prefixes(spark, d), _history(spark, d), v_documents(spark, d), v_projects(spark, d))
 
 
 def check_access(spark, d):
@@ -375,7 +378,8 @@ SQL = {
           where contains(lower(filename), p) or coalesce(contains(lower(display_name), p), false)
         union all select query_id, 2, 'project', name, 0 from v_projects join pre on owner_id = user_id where contains(lower(name), p))) where position <= 5""",
         "v_documents", "v_projects", "v_search_logs",
-        pre="select * from (values (1, 'src0', 'doc_1'), (2, 'src1', 'report 2'), (3, 'src10', 'project'), (5, 'src3', 'doc%')) t(query_id, user_id, p)",
+        pre="""select * from (values (1, 'src0', 'doc_1'), (2, 'src1', 'report 2'), (3, 'src10', 'project'), (5, 'src3', 'doc%')) t(query_id, user_id, p)
+            union all select document_id + 1000, uploaded_by, lower(case when document_id % 2 = 0 then substring(filename, 1, 5) else right(filename, 6) end) from v_documents""",
         mine="""select pre.query_id, concat('doc_1', cast(event_id % 7 as varchar)) as text, row_number() over (partition by pre.query_id order by created_at desc, event_id desc) as i
             from v_search_logs h join pre on pre.user_id = concat('src', cast(h.user_id % 20 as varchar)) where starts_with(concat('doc_1', cast(event_id % 7 as varchar)), p)"""),
     "check_access": duck("""select document_id as query_id, 'document' as kind, cast(document_id as varchar) as id from v_documents where uploaded_by <> concat('src', cast(document_id % 9 as varchar))

@@ -1,6 +1,7 @@
 """Rules that are easy to get wrong, one small case each."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -72,6 +73,24 @@ def test_suggest_takes_wildcards_literally(spark):
     assert [r.text for r in search.suggest(p, h, d, pr).orderBy("position").collect()] == ["a%bc", "A%BC"]
 
 
+def test_suggest_by_runs_equals_containment(spark):
+    rng = random.Random(8)
+    word = lambda k: "".join(rng.choices("abAé.", k=k))
+    docs = [(i, f"u{i % 3}", word(rng.randrange(0, 9)), rng.choice([None, word(6)])) for i in range(150)] + [(900, None, "abab", None), (901, "u0", None, None)]
+    asked = [(i, f"u{i % 4}", rng.choice([" ", ""]) + word(rng.randrange(1, 6))) for i in range(90)] + [(99, "u0", None), (98, None, "aba")]
+    documents = spark.createDataFrame(docs, "document_id long, uploaded_by string, filename string, display_name string")
+    history = spark.createDataFrame([], "event_id long, user_id string, query_text string, created_at timestamp_ntz")
+    projects = spark.createDataFrame([(f"p{i}", d[1], d[2]) for i, d in enumerate(docs[:40])], "project_id string, owner_id string, name string")
+    got = search.suggest(spark.createDataFrame(asked, "query_id long, user_id string, prefix string"), history, documents, projects, k=1000)
+    want = []
+    for q, user, prefix in asked:
+        p = (prefix or "").strip(" ").lower()
+        if len(p) >= 3 and user:
+            want += [(q, "document", shown if shown is not None else name) for _, owner, name, shown in docs if owner == user and any(p in x.lower() for x in (name, shown) if x)]
+            want += [(q, "project", name) for _, owner, name, _ in docs[:40] if owner == user and p in (name or "").lower()]
+    assert sorted((r.query_id, r.kind, r.text) for r in got.collect()) == sorted(want) and len(want) > 50
+
+
 def test_upload_codes(spark):
     rows = [("a.pdf", "application/pdf", 51 << 20), ("a.docx", "application/pdf", 1), ("a.csv", "application/pdf", 1), ("a/b.pdf", "application/pdf", 1), ("x" * 253 + ".md", "text/markdown", 1), ("a.pdf", "x/y", 1)]
     got = uploads.validate_uploads(spark.createDataFrame(rows, "filename string, mime_type string, size_bytes long")).collect()
