@@ -10,6 +10,9 @@ from skerry.sources.versioned import VersionedTable
 from skerry.streaming import jobs
 
 
+DAY_US = 86_400_000_000
+
+
 def _events(spark, d):
     """The events table as a stream of search logs."""
     events = load_table(spark, d, "events")
@@ -42,6 +45,36 @@ def stream_status_transitions(spark, d):
     return _caught_up(spark, jobs.stream_status_transitions(seen), "transitions").withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
 
 
+def _out_of_order(spark, d, name, job):
+    """The events in six deliveries, each up to a day out of order, to a stream that goes on after each of them; what it has told by then.
+    Events of the last day still wait for the watermark."""
+    base, events = new_folder(spark, name), load_table(spark, d, "events")
+    late = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(DAY_US))
+    parts = events.select("event_id", "user_id", F.floor(F.col("value") * 100).cast("int").alias("search_time_ms"), F.col("ts").cast("timestamp").alias("created_at"),
+                          F.floor(late / (5 * DAY_US)).alias("part"))
+    parts.write.partitionBy("part").parquet(f"{base}/parts")
+    for part in sorted(r[0] for r in spark.read.parquet(f"{base}/parts").select("part").distinct().collect()):  # one for each five days
+        spark.read.parquet(f"{base}/parts").filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/arrived")
+        stream = job(spark.readStream.schema(parts.drop("part").schema).parquet(f"{base}/arrived"))
+        query = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+        query.start().awaitTermination()
+    return _kept(spark, spark.read.parquet(f"{base}/rows"), base)
+
+
+def stream_latency_ordered(spark, d):
+    return _out_of_order(spark, d, "ordered_alerts", lambda rows: jobs.ordered_latency_alerts(rows, "1 day", 60 * DAY_US // 1000))
+
+
+def stream_status_ordered(spark, d):
+    statuses = F.array(*[F.lit(s) for s in ("pending", "processing", "ready", "indexed", "error")])
+
+    def job(rows):
+        seen = rows.select(F.col("user_id").alias("document_id"), F.col("created_at").alias("seen_at"), F.get(statuses, (F.col("event_id") % 5).cast("int")).alias("status"))
+        return jobs.ordered_status_transitions(seen, "1 day", 60 * DAY_US // 1000)
+
+    return _out_of_order(spark, d, "ordered_transitions", job).withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
+
+
 def stream_embed(spark, d):
     """Chunks arrive in two deliveries, the second with some of the first again; every chunk gets one vector."""
     base = new_folder(spark, "embed")
@@ -79,10 +112,13 @@ def versioned_rows(spark, d):
     return _kept(spark, table.read(), base)
 
 
-QUERIES = {f.__name__: f for f in (stream_latency_alert, stream_status_transitions, stream_embed, stream_ingest, versioned_rows)}
+QUERIES = {f.__name__: f for f in (stream_latency_alert, stream_status_transitions, stream_latency_ordered, stream_status_ordered, stream_embed, stream_ingest, versioned_rows)}
+_TOLD = "(select date_trunc('milliseconds', max(ts)) - interval 1 day from events)"
 SQL = {
     "stream_latency_alert": catalog_queries.SQL["search_latency_alert"].replace("select event_id, user_id, mean_ms,", "select user_id, event_id, mean_ms,"),
     "stream_status_transitions": catalog_queries.SQL["status_transitions"],
+    "stream_latency_ordered": f"select r.* from ({catalog_queries.SQL['search_latency_alert']}) r join events using (event_id) where ts <= {_TOLD}",
+    "stream_status_ordered": f"select * from ({catalog_queries.SQL['status_transitions']}) where seen_at <= {_TOLD}",
     "stream_embed": """select document_id * 1048576 + row_number() over (partition by document_id order by pos) - 1 as chunk_id, true as embed_ok, 384 as width
         from (select doc_id as document_id, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as content from documents) where trim(content) <> ''""",
     "versioned_rows": duck("""select document_id, chunk_index, case when changed then concat('* ', content) else content end as content

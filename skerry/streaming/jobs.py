@@ -140,3 +140,68 @@ def stream_status_transitions(snapshots: DataFrame) -> DataFrame:
     kinds = dict(snapshots.dtypes)
     schema = f"document_id {kinds['document_id']}, status string, seen_at {kinds['seen_at']}"
     return snapshots.groupBy("document_id").applyInPandasWithState(update, schema, "last string, told array<string>", "append", "NoTimeout")
+
+
+def in_event_order(stream: DataFrame, key: str, at: str, fields: list[str], memory: str, start: tuple, step: Callable, schema: str,
+                   delay: str, idle_ms: int) -> DataFrame:
+    """Apply ``step(memory, micros, *fields) -> (memory, rows)`` to the rows of each key in the order of their time (then of the fields), across
+    micro-batches: the result is that of one batch over all rows, in whatever batches they come.
+
+    A row waits in its key's state until the watermark (the latest time seen, less ``delay``) reaches it, as no earlier row can come after that;
+    a timer lets it go when its key gets no more rows. Rows that come behind the watermark are dropped, rows without a time too. A key
+    without rows for more than ``idle_ms`` of event time starts anew, so that its state can go once the watermark is that far. A state holds what
+    one key gets within the delay. Null fields are handed on as None."""
+    kinds = dict(stream.dtypes)
+    columns = ["_us", *fields]
+    held_schema = ", ".join(["_us array<long>", *(f"_{f} array<{kinds[f]}>" for f in fields)])
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def update(keys: tuple, frames, state):
+        width = len(columns)
+        held = list(zip(*state.get[:width])) if state.exists else []
+        kept, last = (state.get[width:-1], state.get[-1]) if state.exists else (start, 0)
+        if state.hasTimedOut and not held:
+            state.remove()
+            return
+        if not state.hasTimedOut:
+            for frame in frames:
+                held += frame[columns].astype(object).where(frame[columns].notna(), None).itertuples(index=False, name=None)
+        held.sort(key=lambda r: [(x is not None, x) for x in r])
+        mark, out = state.getCurrentWatermarkMs(), []
+        ready = sum(r[0] <= mark * 1000 for r in held)
+        for row in held[:ready]:
+            kept, rows = step(kept if row[0] - last <= idle_ms * 1000 else start, *row)
+            out += [(keys[0], *r) for r in rows]
+            last = row[0]
+        held = held[ready:]
+        state.update((*([r[i] for r in held] for i in range(width)), *kept, last))
+        due = (held[0][0] - 1) // 1000 if held else last // 1000 + idle_ms  # timers are met by watermarks after them
+        state.setTimeoutTimestamp(max(due, mark + 1))
+        yield pd.DataFrame(out, columns=names)
+
+    timed = stream.filter(F.col(at).isNotNull()).withColumn("_us", F.unix_micros(F.col(at).cast("timestamp"))).withWatermark(at, delay)
+    return timed.groupBy(key).applyInPandasWithState(update, schema, f"{held_schema}, {memory}, _last long", "append", "EventTimeTimeout")
+
+
+def ordered_latency_alerts(logs: DataFrame, delay: str, idle_ms: int = 7 * 86_400_000, key: str = "user_id", n: int = TAIL) -> DataFrame:
+    """``latency_alerts`` by event time: a search that comes late, but within the delay, takes the place that its time gives it. Searches
+    without a time in milliseconds are left out."""
+    def step(memory: tuple, micros: int, event: int, ms: int) -> tuple:
+        ring = [*memory[0], int(ms)][-n:]
+        return (ring,), [(event, round(sum(ring) / len(ring), 6))]
+
+    timed = logs.filter(F.col("search_time_ms").isNotNull())
+    out = in_event_order(timed, key, "created_at", ["event_id", "search_time_ms"], "ring array<long>", ([],), step, f"{key} {dict(logs.dtypes)[key]}, event_id long, mean_ms double", delay, idle_ms)
+    return out.withColumn("level", alert_level(F.col("mean_ms")))
+
+
+def ordered_status_transitions(snapshots: DataFrame, delay: str, idle_ms: int = 7 * 86_400_000) -> DataFrame:
+    """``stream_status_transitions`` by event time; snapshots of equal time are taken in the order of their status."""
+    def step(memory: tuple, micros: int, status: str) -> tuple:
+        last, told = memory[0], list(memory[1])
+        new = status in ("indexed", "error") and status != last and status not in told
+        return (status, told + [status] * new), [(status, micros)] * new
+
+    schema = f"document_id {dict(snapshots.dtypes)['document_id']}, status string, _at long"
+    out = in_event_order(snapshots, "document_id", "seen_at", ["status"], "last string, told array<string>", (None, []), step, schema, delay, idle_ms)
+    return out.select("document_id", "status", F.timestamp_micros("_at").alias("seen_at"))
