@@ -27,7 +27,13 @@ def visible_documents(documents: DataFrame, queries: DataFrame) -> DataFrame:
                        ("document_ids", F.expr("array_contains(document_ids, document_id)") if "document_ids" in has else None)):
         if name in has:
             ok &= F.col(name).isNull() | test
-    return docs.join(queries, docs["_owner"] == queries["user_id"]).filter(ok).select("query_id", "document_id")
+    owner, rest, listed = F.col("_owner") == F.col("user_id"), queries, None
+    if "document_ids" in has:  # lists of documents are met by id, so that they are not compared with all documents of their user
+        named = queries.filter(F.col("document_ids").isNotNull()).withColumn("_wanted", F.explode(F.array_distinct("document_ids")))
+        listed = docs.join(named, owner & (F.col("document_id") == F.col("_wanted"))).filter(ok).select("query_id", "document_id")
+        rest = queries.filter(F.col("document_ids").isNull())
+    out = docs.join(rest, owner).filter(ok).select("query_id", "document_id")
+    return out if listed is None else out.unionByName(listed)
 
 
 def scope_corpus(chunks: DataFrame, documents: DataFrame, queries: DataFrame) -> DataFrame:

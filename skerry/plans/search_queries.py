@@ -120,8 +120,11 @@ def scope_corpus(spark, d):
     q = spark.createDataFrame([(1, "src0", None, None, None), (2, "src1", "en", None, None), (3, "src2", None, "2024-01-20 00:00:00", None),
                                (4, "src3", None, None, ["text/plain", "application/pdf"])],
                               "query_id long, user_id string, project_id string, since string, mime_types array<string>")
-    q = q.withColumn("since", F.col("since").cast("timestamp_ntz"))
-    return s.scope_corpus(v_chunks(spark, d), v_documents(spark, d), q).select("query_id", "document_id", "chunk_index", "content")
+    q = q.withColumn("since", F.col("since").cast("timestamp_ntz")).withColumn("document_ids", F.lit(None).cast("array<bigint>"))
+    docs = v_documents(spark, d)  # and a request for every document: it and two others, as far as they are the same user's and type
+    named = docs.selectExpr("document_id + 1000 as query_id", "uploaded_by as user_id", "cast(null as string) as project_id", "cast(null as timestamp_ntz) as since",
+                            "array(mime_type) as mime_types", "array(document_id, document_id + 1, document_id + 20, null) as document_ids")
+    return s.scope_corpus(v_chunks(spark, d), docs, q.unionByName(named)).select("query_id", "document_id", "chunk_index", "content")
 
 
 def _ranked(spark, d):
@@ -349,7 +352,10 @@ SQL = {
     "scoped_keyword_search": duck(f"select {_COLS} from kwd", "v_chunks", "v_vector_queries", "v_text_queries", "v_documents", **_SCOPE, **_keyword_ctes(K, True)),
     "scope_corpus": duck("""select q::bigint as query_id, c.document_id, chunk_index, content from v_chunks c join v_documents d using (document_id),
         (values (1, 'src0'), (2, 'src1'), (3, 'src2'), (4, 'src3')) u(q, usr) where uploaded_by = usr and (q <> 2 or project_id = 'en')
-        and (q <> 3 or created_at >= timestamp '2024-01-20 00:00:00') and (q <> 4 or mime_type in ('text/plain', 'application/pdf'))""", "v_chunks", "v_documents"),
+        and (q <> 3 or created_at >= timestamp '2024-01-20 00:00:00') and (q <> 4 or mime_type in ('text/plain', 'application/pdf'))
+        union all select q.document_id + 1000, c.document_id, chunk_index, content from v_documents q join v_documents d
+          on d.document_id in (q.document_id, q.document_id + 1, q.document_id + 20) and d.uploaded_by = q.uploaded_by and d.mime_type = q.mime_type
+          join v_chunks c on c.document_id = d.document_id""", "v_chunks", "v_documents"),
     "dedupe_by_content": duck("select query_id, document_id, chunk_index, score, rank::int as rank from (select *, row_number() over (partition by query_id, content order by score desc, rank) as dd from ranked) where dd = 1", "v_chunks", **_RANKED),
     "attach_context": duck("""select query_id, r.document_id, r.chunk_index, b.content as context_before, a.content as context_after from ranked r
         left join v_chunks b on b.document_id = r.document_id and b.chunk_index = r.chunk_index - 1
