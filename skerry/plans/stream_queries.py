@@ -13,11 +13,14 @@ from skerry.streaming import jobs
 DAY_US = 86_400_000_000
 
 
+def _stream(spark, d, name):
+    """A table as a stream, be it one file or a folder of files: as a pattern, since a stream takes a plain path for a folder."""
+    return spark.readStream.schema(load_table(spark, d, name).schema).parquet(f"{d}/[{name[0]}]{name[1:]}.parquet")
+
+
 def _events(spark, d):
     """The events table as a stream of search logs."""
-    events = load_table(spark, d, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").parquet(d)
-    return stream.select("event_id", "user_id", F.floor(F.col("value") * 100).cast("int").alias("search_time_ms"), F.col("ts").cast("timestamp").alias("created_at"))
+    return _stream(spark, d, "events").select("event_id", "user_id", F.floor(F.col("value") * 100).cast("int").alias("search_time_ms"), F.col("ts").cast("timestamp").alias("created_at"))
 
 
 def _kept(spark, rows, folder):
@@ -90,7 +93,7 @@ def stream_embed(spark, d):
 def stream_ingest(spark, d):
     """The documents as a stream of uploads of three types, delivered, then all delivered again by another stream: their chunks."""
     base = new_folder(spark, "ingest")
-    docs = spark.readStream.schema(load_table(spark, d, "documents").schema).option("pathGlobFilter", "documents*.parquet").parquet(d)
+    docs = _stream(spark, d, "documents")
     name = F.concat(F.lit("/up/"), F.col("doc_id"), F.get(F.array(*[F.lit(x) for x in (".txt", ".md", ".pdf")]), (F.col("doc_id") % 3).cast("int")))
     files = docs.select(name.alias("path"), F.octet_length("text").cast("long").alias("length"), F.encode("text", "utf-8").alias("content"))
     for checkpoint in ("first", "again"):

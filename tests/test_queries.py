@@ -109,3 +109,11 @@ def test_every_line_is_judged_whole(spark, sf_dir):
     rows = QUERIES["is_header_line"](spark, sf_dir).collect()
     got = {(r.document_id, r.page_number, r.line_no): r.is_header for r in rows}
     assert len(rows) == len(want) and got == want and {True, False} <= set(got.values())
+
+
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_latency_alert"])
+def test_streams_read_tables_of_several_files(spark, sf_dir, tmp_path, name):
+    """A table may be a folder of files, whose own names say nothing of the table."""
+    for t in ("documents", "events"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(200).repartition(3).write.parquet(f"file://{tmp_path}/{t}.parquet")
+    assert QUERIES[name](spark, str(tmp_path)).count() > 100
