@@ -200,9 +200,13 @@ def fix_ocr_tokens(text: Column) -> Column:
 
 
 def ocr_confidence(words: DataFrame, keys: Sequence[str], low: float = 60) -> DataFrame:
-    """(keys, confidence, warning): mean of the usable confidences to 1 digit, null (and a warning) when there is none."""
-    usable = F.when((F.col("conf") >= 0) & (F.trim("word") != ""), F.col("conf"))
-    out = words.groupBy(*keys).agg(F.round(F.avg(usable), 1).alias("confidence"))
+    """(keys, confidence, warning): mean of the usable confidences to 1 digit, null (and a warning) when there is none.
+
+    Confidences count in millionths, so that the mean is exact in whatever order they are added; its halves are rounded up."""
+    usable = F.when((F.col("conf") >= 0) & (F.col("conf") < float("inf")) & (F.trim("word") != ""), F.floor(F.col("conf") * 1e6 + 0.5).cast("decimal(19,0)"))
+    out = words.groupBy(*keys).agg(F.sum(usable).alias("_sum"), F.count(usable).alias("_n"))
+    tenths = F.when(F.col("_n") > 0, F.expr("(20 * _sum + 1000000 * _n) div (2000000 * _n)"))
+    out = out.select(*keys, (tenths.cast("double") / 10.0).alias("confidence"))
     return out.withColumn("warning", F.coalesce(F.col("confidence") < low, F.lit(True)))
 
 

@@ -171,8 +171,10 @@ SQL = {
         lines="select document_id, page_number, text, l, list_min(s) as fst, list_max(s) as lst, trim(l[list_min(s)]) as head, trim(l[list_max(s)]) as foot from spots"),
     "flag_scanned": duck(r"""select document_id, length(regexp_replace(string_agg(case when document_id % 3 = 0 then left(text, 30) else '  ' || text || chr(10) end, '' order by page_number), '^\s+|\s+$', '', 'g')) < 100 as is_scanned
         from v_pages where page_number <= 3 group by 1""", "v_pages"),
-    "ocr_confidence": """select user_id, round(avg(conf), 1) as confidence, coalesce(round(avg(conf), 1) < 60, true) as warning
-        from (select user_id, case when value - 30 >= 0 and event_type <> 'error' then value - 30 end as conf from events) group by 1""",
+    "ocr_confidence": """select user_id, confidence, coalesce(confidence < 60, true) as warning from (
+        select user_id, case when n > 0 then ((20 * total + 1000000 * n) // (2000000 * n))::double / 10.0::double end as confidence
+        from (select user_id, sum(millionths) as total, count(millionths) as n
+          from (select user_id, case when value - 30 >= 0 and value - 30 < 'infinity'::double and event_type <> 'error' then floor((value - 30) * 1e6::double + 0.5::double)::bigint end as millionths from events) group by 1))""",
     "fix_date_serials": duck("""select row_no, col_no, case when col_no in (1, 4) and try_cast(value as double) between 1 and 100000
         then strftime(date '1899-12-30' + cast(floor(try_cast(value as double)) as int), '%Y-%m-%d') else value end as value from v_cells""", "v_cells"),
     "document_text_rollup": duck(r"""select document_id, string_agg(text, chr(10) || chr(10) order by page_number) as text, sum(len(regexp_extract_all(text, '\S+')))::bigint as word_count, count(*) as page_count from v_pages group by 1""", "v_pages"),

@@ -117,6 +117,14 @@ def test_suggest_answers_each_prefix_of_a_user_once(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_confidences_have_an_exact_mean(spark):
+    """Means on a half, which sums of doubles bring to either side of it by their order."""
+    halves = {i: [round(60 + i / 10 + d, 2) for d in (0.1, 0.2, 0.15)] * 7 for i in range(20)}  # mean i/10 + 60.15
+    rows = [(i, c, "w") for i, cs in halves.items() for c in cs] + [(90, float("nan"), "w"), (90, 70.0, "w"), (91, -1.0, "w"), (91, 80.0, " "), (92, 59.95, "w"), (93, None, "w")]
+    got = {r.key: (r.confidence, r.warning) for r in t.ocr_confidence(spark.createDataFrame(rows, "key int, conf double, word string"), ["key"]).collect()}
+    assert got == {i: ((602 + i) / 10, False) for i in halves} | {90: (70.0, False), 91: (None, True), 92: (60.0, False), 93: (None, True)}
+
+
 def test_upload_codes(spark):
     rows = [("a.pdf", "application/pdf", 51 << 20), ("a.docx", "application/pdf", 1), ("a.csv", "application/pdf", 1), ("a/b.pdf", "application/pdf", 1), ("x" * 253 + ".md", "text/markdown", 1), ("a.pdf", "x/y", 1)]
     got = uploads.validate_uploads(spark.createDataFrame(rows, "filename string, mime_type string, size_bytes long")).collect()
