@@ -68,24 +68,29 @@ def _best(scores: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
     return live[np.arange(len(values)) - first < k]
 
 
-def _block_top(left: pa.Table, right: pa.Table, k: int, key: str, differ: dict[str, str], same: dict[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query places, row places, similarities) of the best rows of a block for each query: one matrix product."""
+def _block_top(left: pa.Table, right: pa.Table, k: int, key: str, differ: dict[str, str], same: dict[str, str], at_once: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query places, row places, similarities) of the best rows of a block for each query: matrix products of ``at_once`` queries, so that
+    a task holds the scores of those alone."""
     x, x_good = _rows(left["embedding"])
     q, q_good = _rows(right["query_vector"])
+    none = np.zeros(0, np.int64)
     if not x.size or not q.size or x.shape[1] != q.shape[1]:
-        none = np.zeros(0, np.int64)
         return none, none, np.zeros(0)
-    scores = q @ x.T
-    scores[~q_good] = -9.0
-    scores[:, ~x_good] = -9.0
-    for names, wanted in [(n, False) for n in differ.items()] + [(n, True) for n in same.items()]:
-        equal, known = _equal(left, right, names)
-        scores[~known | (equal != wanted)] = -9.0
     order = np.argsort(np.argsort(left[key].to_pandas().to_numpy(), kind="stable"), kind="stable")
-    found = [_best(row, order, k) for row in scores]
-    places = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    rows = np.concatenate(found)
-    return places, rows, scores[places, rows]
+    out = [(none, none, np.zeros(0))]
+    for lo in range(0, len(q), at_once):
+        some = slice(lo, lo + at_once)
+        scores = q[some] @ x.T
+        scores[~q_good[some]] = -9.0
+        scores[:, ~x_good] = -9.0
+        for names, wanted in [(n, False) for n in differ.items()] + [(n, True) for n in same.items()]:
+            equal, known = _equal(left, right.slice(lo, at_once), names)
+            scores[~known | (equal != wanted)] = -9.0
+        found = [_best(row, order, k) for row in scores]
+        places = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        rows = np.concatenate(found)
+        out.append((places + lo, rows, scores[places, rows]))
+    return tuple(map(np.concatenate, zip(*out)))
 
 
 def exact_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = None, key: str = "chunk_id",

@@ -101,3 +101,29 @@ def test_folders_of_other_lists_are_not_read(spark, clustered):
 def test_vectors_that_cannot_be_cut_are_refused(spark, data, tmp_path):
     with pytest.raises(ValueError, match="equal parts"):
         quantised.build_quantised(spark.createDataFrame([(i, 0, "u", [1.0, 2.0, float(i)]) for i in range(9)], ROWS), f"file://{tmp_path}/c", lists=2, subspaces=2)
+
+
+def test_a_block_holds_the_scores_of_few_queries():
+    """A full pair of blocks: 2,048 queries by 16,384 rows would be 268 MB of scores at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from skerry.operators import vectors
+
+    rng = np.random.default_rng(3)
+    rows = lambda n: pa.FixedSizeListArray.from_arrays(pa.array(rng.standard_normal(n * 8)), 8).cast(pa.list_(pa.float64()))
+    left = pa.table({"chunk_id": pa.array(np.arange(16_384)), "embedding": rows(16_384)})
+    right = pa.table({"query_id": pa.array(np.arange(2048) * 8), "query_vector": rows(2048)})
+    tracemalloc.start()
+    got = vectors._block_top(left, right, 5, "chunk_id", {"chunk_id": "query_id"}, {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    x, q = (np.array(t.to_pylist()) for t in (left["embedding"], right["query_vector"]))
+    cos = (q[:300] / np.linalg.norm(q[:300], axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    cos[np.arange(300), np.arange(300) * 8] = -9
+    places, at, _ = got
+    for i in range(0, 300, 7):
+        assert at[places == i][:5].tolist() == np.argsort(-cos[i], kind="stable")[:5].tolist()
