@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.stem import SPARK, stem_sql
+from skerry.sources.shared import cut_lineage
+from skerry.sources.versioned import BROADCAST_KEYS
 
 # English words that are not indexed.
 STOP_WORDS = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them
@@ -48,23 +50,8 @@ def parse_web_query(queries: DataFrame) -> DataFrame:
 
 def match_postings(postings: DataFrame, parsed: DataFrame) -> DataFrame:
     """(query_id, document_id, chunk_index): an alternative matches when all its terms occur, its phrases' terms are adjacent and no negated
-    term occurs; a query matches if one alternative does. Postings are met by an equi-join on the term."""
-    keys = ["query_id", "alternative", "document_id", "chunk_index"]
-    wanted = parsed.filter("kind <> 'not'").select("query_id", "alternative", F.explode("terms").alias("term")).distinct()
-    needed = wanted.groupBy("query_id", "alternative").agg(F.count(F.lit(1)).alias("_need"))
-    hits = postings.join(wanted, "term").groupBy(*keys).agg(F.count(F.lit(1)).alias("_got")).join(needed, ["query_id", "alternative"])
-    hits = hits.filter("_got = _need").select(*keys)
-
-    phrase = parsed.filter("kind = 'phrase'").select("query_id", "alternative", "clause_id", F.size("terms").alias("_len"), F.posexplode("terms").alias("_off", "term"))
-    starts = postings.join(phrase, "term").select(
-        *keys, "clause_id", "_len", "_off", F.explode(F.transform("positions", lambda p: p - F.col("_off"))).alias("_start"))
-    whole = starts.groupBy(*keys, "clause_id", "_len", "_start").agg(F.countDistinct("_off").alias("_n")).filter("_n = _len")
-    whole = whole.select(*keys, "clause_id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_phrases"))
-    asked = parsed.filter("kind = 'phrase'").groupBy("query_id", "alternative").agg(F.count(F.lit(1)).alias("_asked"))
-    hits = hits.join(asked, ["query_id", "alternative"], "left").join(whole, keys, "left").filter("_asked is null or _asked = _phrases").select(*keys)
-
-    banned = parsed.filter("kind = 'not'").select("query_id", "alternative", F.explode("terms").alias("term")).distinct()
-    return hits.join(postings.join(banned, "term").select(*keys), keys, "left_anti").select("query_id", "document_id", "chunk_index").distinct()
+    term occurs; a query matches if one alternative does."""
+    return matched_chunks(postings, parsed).select("query_id", "document_id", "chunk_index")
 
 
 def _cover_score(found: Column) -> Column:
@@ -86,13 +73,10 @@ def _cover_score(found: Column) -> Column:
     return F.round(F.aggregate(places, none, step, lambda acc: acc["total"]), 6)
 
 
-def cover_density_rank(postings: DataFrame, parsed: DataFrame, matches: DataFrame) -> DataFrame:
-    """matches + score: the sum over minimal covers [p, q] of all the query's terms of 1 / (1 + (q - p + 1) - n)."""
-    keys = ["query_id", "document_id", "chunk_index"]
-    wanted = parsed.filter("kind <> 'not'").select("query_id", F.explode("terms").alias("term")).distinct()
-    found = postings.join(wanted, "term").join(matches, keys, "left_semi")
-    grouped = found.groupBy(*keys).agg(F.collect_list(F.struct("term", "positions")).alias("_found"))
-    return grouped.select(*keys, _cover_score(F.col("_found")).alias("score"))
+def cover_density_rank(postings: DataFrame, parsed: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """matches + score, as scored_matches; without ``matches`` all chunks that match, whose postings are then exchanged but once."""
+    scored = scored_matches(postings, parsed)
+    return scored if matches is None else scored.join(matches, ["query_id", "document_id", "chunk_index"], "left_semi")
 
 
 def query_terms(parsed: DataFrame) -> DataFrame:
@@ -109,15 +93,38 @@ def query_needs(parsed: DataFrame) -> DataFrame:
     return per.groupBy("query_id").agg(F.collect_list(F.struct("alternative", "need", "phrases")).alias("needs"))
 
 
-def scored_matches(postings: DataFrame, parsed: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """(query_id, document_id, chunk_index, score) of all chunks that match, as match_postings and cover_density_rank give them, from one
-    scan of the postings: what a chunk has of a query's terms is one row, on which everything else is decided. ``scope`` (query_id,
-    document_id) restricts the chunks first. ``parsed`` is read twice."""
+def query_alternatives(parsed: DataFrame) -> DataFrame:
+    """parsed -> a row for each alternative with a positive clause: _all (its terms, which every match of it has), _lead (the least of them),
+    query_id, _alternative, _terms (what query_terms gives, as one array), needs."""
+    terms = query_terms(parsed).groupBy("query_id").agg(F.collect_list(F.struct("term", "uses")).alias("_terms"))
+    leads = parsed.filter("kind <> 'not'").select("query_id", "alternative", F.explode("terms").alias("term")).groupBy(
+        "query_id", F.col("alternative").alias("_alternative")).agg(F.min("term").alias("_lead"), F.collect_set("term").alias("_all"))
+    return leads.join(terms, "query_id").join(query_needs(parsed), "query_id")
+
+
+def matched_chunks(postings: DataFrame, parsed: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """(query_id, document_id, chunk_index, _found: (term, positions, uses) of the query's terms that the chunk has) of all chunks that match.
+
+    The postings of the batch's terms are exchanged once, whatever the number of queries: what a chunk has of them is one row, which then
+    meets the alternatives whose leading term it has and decides on them by itself. ``scope`` (query_id, document_id) restricts the chunks
+    first. ``parsed`` is read a few times. Up to BROADCAST_KEYS terms and alternatives are broadcast, counted first."""
     keys = ["query_id", "document_id", "chunk_index"]
-    hits = postings.join(query_terms(parsed), "term")
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+    wanted = cut_lineage(parsed.select(F.explode("terms").alias("term")).distinct())
+    asked = cut_lineage(query_alternatives(parsed))
+    hits = postings.join(few(wanted), "term", "left_semi").select("term", "document_id", "chunk_index", "positions").repartition("document_id")
+    chunks = hits.groupBy("document_id", "chunk_index").agg(F.collect_list(F.struct("term", "positions")).alias("_has"))
+    if scope is not None:
+        seen = scope.join(few(asked.select("query_id").distinct()), "query_id", "left_semi")
+        chunks = chunks.join(seen.groupBy("document_id").agg(F.collect_set("query_id").alias("_seen")), "document_id")
+    chunks = chunks.withColumn("_words", F.transform("_has", lambda h: h["term"]))
+    pairs = chunks.withColumn("_lead", F.explode("_words")).join(few(asked), "_lead").filter(F.forall("_all", lambda t: F.array_contains("_words", t)))
     if scope is not None:
-        hits = hits.join(scope, ["query_id", "document_id"], "left_semi")
-    rows = hits.groupBy(*keys).agg(F.collect_list(F.struct("term", "positions", "uses")).alias("_found")).join(query_needs(parsed), "query_id")
+        pairs = pairs.filter(F.array_contains("_seen", F.col("query_id")))
+    positions = lambda t: F.get(F.filter("_has", lambda h: h["term"] == t["term"]), 0)["positions"]
+    found = F.filter(F.transform("_terms", lambda t: F.struct(t["term"].alias("term"), positions(t).alias("positions"), t["uses"].alias("uses"))),
+                     lambda f: f["positions"].isNotNull())
+    rows = pairs.select(*keys, "_alternative", "needs", F.explode(F.array(found)).alias("_found"))  # one row: built once, however often it is named
     found = F.col("_found")
 
     def used(f: Column, test) -> Column:
@@ -136,6 +143,13 @@ def scored_matches(postings: DataFrame, parsed: DataFrame, scope: DataFrame | No
         banned = F.exists(found, lambda f: used(f, lambda u: (u["alternative"] == a["alternative"]) & (u["kind"] == "not")))
         return (got == a["need"]) & ~banned & F.forall(a["phrases"], phrase)
 
-    matched = rows.filter(F.exists("needs", alternative))
-    positive = F.filter(found, lambda f: used(f, lambda u: u["kind"] != "not"))
-    return matched.select(*keys, _cover_score(positive).alias("score"))
+    # a chunk meets a query once for each alternative; the first one that matches counts
+    first = F.array_min(F.transform(F.filter("needs", alternative), lambda a: a["alternative"]))
+    return rows.filter(first == F.col("_alternative")).select(*keys, "_found")
+
+
+def scored_matches(postings: DataFrame, parsed: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """(query_id, document_id, chunk_index, score) of all chunks that match: score is the sum over minimal covers [p, q] of all the query's
+    terms of 1 / (1 + (q - p + 1) - n)."""
+    positive = F.filter("_found", lambda f: F.exists(f["uses"], lambda u: u["kind"] != "not"))
+    return matched_chunks(postings, parsed, scope).select("query_id", "document_id", "chunk_index", _cover_score(positive).alias("score"))

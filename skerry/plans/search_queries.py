@@ -99,13 +99,8 @@ def match_postings(spark, d):
     return kw.match_postings(_postings(spark, d), kw.parse_web_query(_asked(spark, d)))
 
 
-def _plain(spark, d):
-    postings, parsed = _postings(spark, d), kw.parse_web_query(v_text_queries(spark, d))
-    return postings, parsed, kw.match_postings(postings, parsed)
-
-
 def cover_density_rank(spark, d):
-    return kw.cover_density_rank(*_plain(spark, d))
+    return kw.cover_density_rank(_postings(spark, d), kw.parse_web_query(v_text_queries(spark, d)))
 
 
 def _keyword(spark, d, k=K):

@@ -84,3 +84,20 @@ def test_a_search_reads_the_folders_of_its_terms_once(spark, chunks, tmp_path):
     numbers = re.findall(r"\d+", re.sub(r"#\d+", "", pruned.split("bucket", 1)[1]))
     assert 1 <= len(numbers) <= 3, pruned  # of 32 folders
     assert rows(found) == rows(search.keyword_search(keyword.build_postings(chunks), chunks, asked))
+
+
+def test_positions_are_exchanged_once_for_all_queries(spark):
+    """Many queries of the same words: what is shuffled for them is one row for each chunk, which every query's own test decides."""
+    texts = [" ".join(w for i, w in enumerate(("alpha", "beta", "gamma", "delta")) if n >> i & 1) or "none" for n in range(16)]
+    chunks = spark.createDataFrame([(n, 0, f"{t} filler {t}") for n, t in enumerate(texts)], "document_id long, chunk_index int, content string")
+    asked = {q: ("alpha beta", "alpha or delta", "gamma -alpha", '"alpha beta" or "gamma delta"')[q % 4] for q in range(40)}
+    parsed = keyword.parse_web_query(spark.createDataFrame(list(asked.items()), "query_id long, text string"))
+    rules = (lambda t: {"alpha", "beta"} <= t, lambda t: bool({"alpha", "delta"} & t), lambda t: "gamma" in t and "alpha" not in t,
+             lambda t: {"alpha", "beta"} <= t or {"gamma", "delta"} <= t)
+    found = keyword.matched_chunks(keyword.build_postings(chunks), parsed)
+    got = [(r.query_id, r.document_id) for r in found.collect()]
+    want = [(q, n) for q in asked for n, t in enumerate(texts) if rules[q % 4](set(t.split()))]
+    assert sorted(got) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan.index("_lead")  # nothing above the join with the queries is grouped or exchanged
+    assert "Aggregate" not in plan[:joined] and "Repartition" not in plan[:joined]
