@@ -10,10 +10,10 @@ import pyarrow.compute as pc
 
 
 class Memo:
-    """Memory-bounded cache of a worker: words -> runs of ids in one flat array. It is emptied when it is full."""
+    """Memory-bounded cache of a worker: words -> runs of ids in one flat array. It is emptied when it is full: of words, or of ids."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 400_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 400_000, limit_ids: int = 1 << 23):
+        self.encode, self.limit, self.limit_ids = encode, limit, limit_ids
         self.clear()
 
     def clear(self) -> None:
@@ -40,7 +40,7 @@ class Memo:
 
     def slots(self, words: list[str]) -> np.ndarray:
         """Places of distinct words, encoding those that are new."""
-        if len(self.slot) + len(words) > self.limit and self.slot:
+        if (len(self.slot) + len(words) > self.limit or self.used > self.limit_ids) and self.slot:
             self.clear()
         new = [w for w in words if w not in self.slot]
         if new:

@@ -286,7 +286,10 @@ def encode_text(m: Model, text: str) -> list[int]:
     return viterbi_one(m, ((MARKER if m.dummy_prefix else "") + text.replace(" ", MARKER)).encode("utf-8", "replace"))
 
 
-_memos: dict[int, Memo] = {}
+#: Words known to a worker, for the model it used last. Every query brings its own copy of the model, so the key is the file.
+_memos: dict[str, Memo] = {}
+#: Texts that are encoded together: what a worker holds beside its Arrow batch grows with them.
+AT_ONCE = 256
 
 
 def _split(texts: pa.Array) -> pa.Array:
@@ -296,7 +299,10 @@ def _split(texts: pa.Array) -> pa.Array:
 
 
 def _ids_of(batch: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray]:
-    memo = _memos.setdefault(id(m), Memo(lambda words: encode_words(m, words)))
+    if m.path not in _memos:
+        _memos.clear()
+        _memos[m.path] = Memo(lambda words: encode_words(m, words), limit=150_000)
+    memo = _memos[m.path]
     offsets, codes, words = split_batch(batch, _split)
     slots = memo.slots(words.to_pylist())
     starts, lens = memo.starts[slots], memo.lens[slots]
@@ -308,6 +314,12 @@ def _ids_of(batch: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray]:
     return gather(memo.flat, starts[codes], per_word), np.diff(bounds[offsets])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, len(b), AT_ONCE):
+            yield b.slice(at, AT_ONCE)
+
+
 def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """All columns of docs but the text, and ``piece_ids`` array<int>. The model is broadcast: its size is that of the
     vocabulary, whatever the corpus."""
@@ -321,7 +333,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             ids, lens = _ids_of(b.column(text), shared.value)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], list_array(ids, lens)], names=[*keep, "piece_ids"])
 
@@ -391,7 +403,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, text: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, tables = shared.value
-        for b in batches:
+        for b in _slices(batches):
             ids, lens = _ids_of(b.column(text), m)
             made = _decoded(ids, np.concatenate([[0], np.cumsum(lens)]), tables)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], list_array(ids, lens), *made], names=[*keep, "piece_ids", *_NEW])
