@@ -1,10 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of the benchmark's words over all documents. Words in more than ``max_df`` of the documents have no
+1. Every document is split into words once for each block of items and written as the numbers of the words that the block has.
+   Document frequencies of the benchmark's words are counted over all documents. Words in more than ``max_df`` of the documents have no
    weight, like stop words, but every item keeps its ``rarest`` words whatever their frequency.
 2. A distributed randomised SVD (range finder with power steps, then a small eigenproblem) of TF-IDF rows gives a latent space of
-   ``rank`` dimensions. Its rows are the items of a block (at most ``2 * rank``) and a bounded sample of ``sample`` document
-   passages, both of the same total weight; only sums of one row for each word leave the tasks.
+   ``rank`` dimensions. Its rows are the items of a block (at most ``2 * rank``) and all consecutive passages of all documents, both of the
+   same total weight. Passages are short, so their Gram matrix (word by word) is added up by Spark once, and each step
+   multiplies by its rows; only sums of one row for each word leave the tasks.
 3. Every document is cut into overlapping passages of words. A passage whose latent cosine with an item reaches ``min_cosine`` times
    the part of the item that the space holds is a candidate: an exact copy passes however little of an item the space holds.
 4. A candidate is confirmed by the longest common subsequence of words between the item and the passage with its
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -69,57 +71,137 @@ def place_masks(words: list) -> dict:
     return masks
 
 
-def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[int, np.ndarray]:
+def coded_documents(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """(doc_id, _th, codes): the numbers of a text's words in order, -1 for words that the vocabulary lacks, as little-endian integers of
+    ``code_type`` in one binary value; a null text has none."""
+    bounded_arrow(docs.sparkSession)
+    shared, kind = docs.sparkSession.sparkContext.broadcast(vocabulary), code_type(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
+        for b in batches:
+            codes = [np.fromiter(map(get, words_of(t), repeat(-1)), kind).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_th"), pa.array(codes, pa.binary())], names=["doc_id", "_th", "codes"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("_th"), "text")
+    return texts.mapInArrow(run, "doc_id long, _th long, codes binary")
+
+
+def code_type(vocabulary: dict[str, int]) -> str:
+    return "<i2" if len(vocabulary) < 1 << 15 else "<i4"
+
+
+def unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all documents of a batch one after another, how many each has)."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    data = column.buffers()[2]
+    width = np.dtype(kind).itemsize
+    flat = np.frombuffer(data, kind, (offsets[-1] - offsets[0]) // width, int(offsets[0])) if data is not None and offsets[-1] > offsets[0] else np.zeros(0, kind)
+    return flat.astype(np.int64), np.diff(offsets).astype(np.int64) // width
+
+
+def document_frequencies(coded: DataFrame, vocabulary: dict[str, int]) -> tuple[int, np.ndarray]:
     """(documents, documents holding each word): counted in the tasks, one row for each word and task is shuffled."""
-    spark = docs.sparkSession
-    bounded_arrow(spark)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    bounded_arrow(coded.sparkSession)
+    n_words, kind = len(vocabulary), code_type(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        df, n = np.zeros(len(known) + 1, np.int64), 0
+        df = np.zeros(n_words + 1, np.int64)
         for b in batches:
-            for t in b.column("text").to_pylist():
-                n += 1
-                df[[known[w] for w in known.keys() & set(words_of(t))]] += 1
-        df[-1] = n
+            codes, lens = unpacked(b.column("codes"), kind)
+            known = codes >= 0
+            held = np.unique(np.repeat(np.arange(len(lens)), lens)[known] * n_words + codes[known])  # (document, word), each once
+            df[:-1] += np.bincount(held % max(n_words, 1), minlength=n_words)
+            df[-1] += len(b)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["word", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(vocabulary) + 1, np.int64)
+    rows = coded.select("codes").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(n_words + 1, np.int64)
     out[rows["word"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return int(out[-1]), out[:-1]
 
 
-def randomised_svd(rows: DataFrame, n_words: int, rank: int, power: int = 2, extra: int = 16, seed: int = 7) -> np.ndarray:
-    """Right singular vectors [word, rank] of a sparse matrix; rows has ``words`` array<int> and ``weights`` array<double>.
+def weighted_passages(coded: DataFrame, idf: np.ndarray, kind: str, length: int) -> DataFrame:
+    """TF-IDF rows (words, weights) of unit length of the consecutive passages of ``length`` words of all documents, as far as they have weight."""
+    bounded_arrow(coded.sparkSession)
+    shared = coded.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = shared.value
+        weighted = np.append(idf > 0, False)  # -1 is the last entry
+        for b in batches:
+            codes, lens = unpacked(b.column("codes"), kind)
+            at = np.flatnonzero(weighted[codes])
+            first_word, per_doc = np.cumsum(lens) - lens, -(-lens // length)
+            doc = np.searchsorted(first_word, at, side="right") - 1
+            passage = (np.cumsum(per_doc) - per_doc)[doc] + (at - first_word[doc]) // length
+            cells, n = np.unique(passage * len(idf) + codes[at], return_counts=True)
+            passage, word = np.divmod(cells, max(len(idf), 1))
+            marks = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]])) if len(cells) else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(marks, len(cells)))
+            x = n * idf[word]
+            x /= np.repeat(np.sqrt(np.add.reduceat(x * x, marks)), sizes) if len(cells) else 1.0
+            offsets = pa.array(np.append(marks, len(cells)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(word.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(x))],
+                                             names=["words", "weights"])
+
+    return coded.select("codes").mapInArrow(run, "words array<int>, weights array<double>")
 
-    Each step multiplies by A'A: tasks add up their rows' outer products and send one row for each word they saw."""
-    spark = rows.sparkSession
+
+def gram_rows(rows: DataFrame) -> DataFrame:
+    """(word, words, weights): the rows of A'A for rows A of a bounded number of words, added up by pairs of words."""
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, weights = b.column("words"), b.column("weights")
+            w, x = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64), weights.flatten().to_numpy(zero_copy_only=False)
+            lens = np.diff(words.offsets.to_numpy()).astype(np.int64)
+            size = np.repeat(lens, lens)  # for each entry the entries of its row
+            one = np.repeat(np.arange(len(w)), size)
+            first = np.repeat(np.repeat(np.cumsum(lens) - lens, lens), size)
+            two = first + np.arange(len(one)) - np.repeat(np.cumsum(size) - size, size)
+            top = int(w.max(initial=0)) + 1
+            keys, place = np.unique(w[one] * top + w[two], return_inverse=True)
+            i, j = np.divmod(keys, top)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j.astype(np.int32)), pa.array(np.bincount(place, x[one] * x[two], len(keys)))], names=["word", "other", "x"])
+
+    bounded_arrow(rows.sparkSession)
+    summed = rows.mapInArrow(pairs, "word long, other int, x double").groupBy("word", "other").agg(F.sum("x").alias("x"))
+    return summed.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("other", "x"))).alias("_r")).select(
+        "word", F.col("_r.other").alias("words"), F.col("_r.x").alias("weights"))
+
+
+def randomised_svd(rows: DataFrame, n_words: int, rank: int, own: list[tuple[np.ndarray, np.ndarray]] = (), power: int = 2, extra: int = 16, seed: int = 7) -> np.ndarray:
+    """Right singular vectors [word, rank] of a sparse matrix; rows has ``words`` array<int> and ``weights`` array<double>, a bounded number in each.
+    ``own`` are a few (words, weights) more, of any length, here."""
+    return gram_space(checkpointed(gram_rows(rows)), n_words, rank, own, power, extra, seed)
+
+
+def gram_space(gram: DataFrame, n_words: int, rank: int, own: list[tuple[np.ndarray, np.ndarray]] = (), power: int = 2, extra: int = 16, seed: int = 7) -> np.ndarray:
+    """The same of gram_rows. Each step multiplies by them: a task sends one row for each row that it has."""
+    spark = gram.sparkSession
+    bounded_arrow(spark)
     width = min(rank + extra, n_words)
 
     def times_gram(q: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(q)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q, sums = shared.value, {}
+            q = shared.value
             for b in batches:
-                for w, x in zip(b.column("words").to_pylist(), b.column("weights").to_pylist()):
-                    if w:
-                        x = np.array(x)
-                        y = x @ q[w]
-                        for i, v in zip(w, x):
-                            sums[i] = sums[i] + v * y if i in sums else v * y
-            keys = sorted(sums)
-            data = np.stack([sums[k] for k in keys]) if keys else np.zeros((0, q.shape[1]))
-            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * q.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(data.ravel()))], names=["word", "y"])
-
-        parts = rows.mapInArrow(run, "word long, y array<double>")
-        summed = parts.groupBy("word").agg(*[F.sum(F.col("y")[i]).alias(f"y{i}") for i in range(q.shape[1])]).toPandas()
+                words, weights = b.column("words"), b.column("weights")
+                w, x, at = words.flatten().to_numpy(), weights.flatten().to_numpy(), words.offsets.to_numpy() - words.offsets[0].as_py()
+                data = np.stack([x[lo:hi] @ q[w[lo:hi]] for lo, hi in zip(at[:-1], at[1:])]) if len(b) else np.zeros((0, q.shape[1]))
+                offsets = pa.array(np.arange(len(data) + 1, dtype=np.int32) * q.shape[1])
+                yield pa.RecordBatch.from_arrays([b.column("word"), pa.ListArray.from_arrays(offsets, pa.array(data.ravel()))], names=["word", "y"])
+
         out = np.zeros_like(q)
-        out[summed.pop("word").to_numpy(dtype=np.int64)] = summed[[f"y{i}" for i in range(q.shape[1])]].to_numpy()
+        made = gram.mapInArrow(run, "word long, y array<double>").toArrow()  # one row for each word
+        if len(made):
+            out[made["word"].to_numpy()] = np.asarray(made["y"].combine_chunks().flatten()).reshape(-1, q.shape[1])
+        for w, x in own:
+            out[w] += np.outer(x, x @ q[w])
+        shared.destroy()
         return out
 
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_words, width)))[0]
@@ -138,6 +220,7 @@ class ItemIndex:
     def __init__(self, items: pd.DataFrame, vocabulary: dict[str, int], idf: np.ndarray, space: np.ndarray):
         self.ids = items["item_id"].to_numpy()
         self.vocabulary, self.idf = vocabulary, idf
+        self.names = [*sorted(vocabulary, key=vocabulary.get), None]  # -1 is a word of no item
         self.space = space.astype(np.float32)
         self.words = [words_of(t) for t in items["text"]]
         # of the answer only informative words are evidence
@@ -154,13 +237,12 @@ class ItemIndex:
         self.masks = [place_masks(w) for w in self.words]
         self.answer_masks = [place_masks(w) for w in self.answers]
 
-    def candidates(self, docs: list[list[str]], stride: int, min_cosine: float, chunk: int = 1 << 15) -> list[tuple[int, int, int, float]]:
-        """(document, item, first word of the passage, cosine) for a batch; a passage is two neighbouring blocks of ``stride`` words.
+    def candidates(self, codes: np.ndarray, lens: np.ndarray, stride: int, min_cosine: float, chunk: int = 1 << 15) -> list[tuple[int, int, int, float]]:
+        """(document, item, first word of the passage, cosine) for a batch (its word numbers, and how many each document has); a passage is two
+        neighbouring blocks of ``stride`` words.
 
         Vectors are linear in the words, so each block is projected once and passages are sums of two blocks. The norm
         counts occurrences one by one and so is never more than the true one: no candidate is lost by it."""
-        get, lens = self.vocabulary.get, np.fromiter(map(len, docs), np.int64, len(docs))
-        codes = np.fromiter(map(get, chain.from_iterable(docs), repeat(-1)), np.int64, int(lens.sum()))
         at = np.flatnonzero(self.weighted[codes])  # -1 is the last entry, which has no weight
         if not len(at):
             return []
@@ -215,53 +297,19 @@ class ItemIndex:
         return lcs, got, lcs >= min_lcs or (lcs >= least and len(answer) > 0 and got >= all_of)
 
 
-def sample_passages(docs: DataFrame, scratch: Scratch, sample: int, words: int) -> DataFrame:
-    """One passage of ``words`` words of each of at most ``sample`` documents, both chosen by a hash of the text."""
-    hashed = docs.filter(F.col("text").isNotNull()).select("text", F.xxhash64("text", F.lit(1)).alias("h"))
-    first = scratch.write(hashed.select("h").distinct().orderBy("h").limit(sample), "sampled")
-    chosen = hashed.join(F.broadcast(first), "h", "left_semi").dropDuplicates(["h"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t, h in zip(b.column("text").to_pylist(), b.column("h").to_pylist()):
-                w = words_of(t)
-                at = h % max(len(w) - words + 1, 1)
-                out.append(w[at:at + words])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["words"])
-
-    return chosen.mapInArrow(cut, "words array<string>")
-
-
-def weighted_rows(passages: DataFrame, own: pd.DataFrame, vocabulary: dict[str, int], idf: np.ndarray) -> tuple[DataFrame, int]:
-    """TF-IDF rows (words, weights) of unit length of passages and items, and how many have any weight; the items together weigh as much as the
-    passages together."""
-    spark = passages.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, idf))
-
-    def row(words: list[str], known: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, n = np.unique(np.array([known[w] for w in words if w in known], np.int64), return_counts=True)
-        x = n * idf[at]
-        return at[x > 0], x[x > 0] / max(float(np.sqrt((x * x).sum())), 1e-12)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [row(w, *shared.value) for w in b.column("words").to_pylist()]
-            made = [(a.tolist(), x.tolist()) for a, x in made if len(a)]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.float64()))],
-                                             names=["words", "weights"])
-
-    of_passages = passages.mapInArrow(run, "words array<int>, weights array<double>")
-    n, items = of_passages.count(), [row(words_of(t), vocabulary, idf) for t in own["text"].drop_duplicates()]
-    factor = max(1.0, (n / len(items)) ** 0.5)
-    made = pd.DataFrame([(a.tolist(), (factor * x).tolist()) for a, x in items], columns=["words", "weights"])
-    return of_passages.unionByName(spark.createDataFrame(made, "words array<int>, weights array<double>")), n + len(items)
+def item_row(words: list[str], vocabulary: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, weights) of an item, of unit length."""
+    at, n = np.unique(np.array([vocabulary[w] for w in words], np.int64), return_counts=True)
+    x = n * idf[at]
+    return at[x > 0], x[x > 0] / max(float(np.sqrt((x * x).sum())), 1e-12)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, stride: int = 32, rank: int = 256, min_cosine: float = 0.12, min_lcs: float = 0.7,
                min_paraphrase: float = 0.6, min_answer: float = 0.8, min_short: float = 0.65, min_item_words: int = 5, block_words: int = 50_000,
-               max_df: float = 0.01, rarest: int = 8, sample: int = 2048) -> DataFrame:
-    """doc_id, _th (hash of the text), item_id, cosine, lcs, answer of each confirmed document and item (best passage), checkpointed."""
+               max_df: float = 0.01, rarest: int = 8, sample: int | None = None) -> DataFrame:
+    """doc_id, _th (hash of the text), item_id, cosine, lcs, answer of each confirmed document and item (best passage), checkpointed.
+
+    The space is fitted on the passages of all documents; a caller may restrict that step (and no other) to ``sample`` texts."""
     spark = docs.sparkSession
     schema = "doc_id long, _th long, item_id long, cosine double, lcs double, answer double"
     found = spark.createDataFrame([], schema)
@@ -269,7 +317,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, stride: int = 32, rank: in
     size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
     blocks = max(1, -(-size["n"] // (2 * rank)), (size["chars"] or 0) // (6 * block_words))
     with Scratch(spark, "decontaminate") as scratch:
-        passages = scratch.write(sample_passages(docs, scratch, sample, 2 * stride), "passages")
         for b in range(blocks):
             # at most about 2 * rank items, a bounded table, reach the driver at a time
             own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toPandas()
@@ -277,33 +324,46 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, stride: int = 32, rank: in
             if not len(own):
                 continue
             vocabulary = {w: i for i, w in enumerate(sorted({w for t in own["text"] for w in words_of(t)}))}
-            n_docs, df = document_frequencies(docs, vocabulary)
+            kind = code_type(vocabulary)
+            coded = scratch.write(coded_documents(docs, vocabulary), f"coded{b}")
+            n_docs, df = document_frequencies(coded, vocabulary)
             idf = np.where(df <= max_df * max(n_docs, 1), np.log((n_docs + 1.0) / (df + 1.0)), 0.0)
             # every item keeps its rarest words, however common they are
             own_words = [np.unique([vocabulary[w] for w in words_of(t)]) for t in own["text"]]
             keep = np.unique(np.concatenate([w[np.argsort(df[w], kind="stable")[:rarest]] for w in own_words]))
             idf[keep] = np.maximum(idf[keep], np.log((n_docs + 2.0) / (df[keep] + 1.0)))
-            rows, n_rows = weighted_rows(passages, own, vocabulary, idf)
-            rows = scratch.write(rows, f"rows{b}")
-            space = randomised_svd(rows, len(vocabulary), min(rank, max(1, n_rows - 1)))
+            fitted = coded
+            if sample is not None:
+                fitted = coded.join(F.broadcast(coded.select("_th").distinct().orderBy("_th").limit(sample)), "_th", "left_semi").dropDuplicates(["_th"])
+            gram = scratch.write(gram_rows(weighted_passages(fitted, idf, kind, 2 * stride)), f"gram{b}")
+            # rows are of unit length, so the diagonal of their Gram matrix adds up to their number; the items weigh as much as the passages
+            diagonal = F.get("weights", (F.array_position("words", F.col("word").cast("int")) - 1).cast("int"))
+            n_rows = round(gram.agg(F.sum(diagonal)).first()[0] or 0)
+            of_items = [item_row(words_of(t), vocabulary, idf) for t in own["text"].drop_duplicates()]
+            factor = max(1.0, (n_rows / len(of_items)) ** 0.5)
+            space = gram_space(gram, len(vocabulary), min(rank, max(1, n_rows + len(of_items) - 1)), [(w, factor * x) for w, x in of_items])
             index = spark.sparkContext.broadcast(ItemIndex(own, vocabulary, idf, space))
             rule = (min_lcs, min_paraphrase, min_answer, min_short)
 
-            def search(batches: Iterator[pa.RecordBatch], index=index, rule=rule) -> Iterator[pa.RecordBatch]:
+            def search(batches: Iterator[pa.RecordBatch], index=index, rule=rule, kind=kind) -> Iterator[pa.RecordBatch]:
                 ix = index.value
                 short = [i for i, w in enumerate(ix.words) if len(w) < min_item_words]
                 for batch in batches:
-                    texts = batch.column("text").to_pylist()
-                    split = [words_of(t) for t in texts]
+                    codes, lens = unpacked(batch.column("codes"), kind)
+                    ends = np.cumsum(lens)
+                    words = lambda d: [ix.names[c] for c in codes[ends[d] - lens[d]:ends[d]].tolist()]
                     best: dict[tuple[int, int], tuple] = {}
-                    for d, i, start, cos in ix.candidates(split, stride, min_cosine):
+                    last, own_words = -1, []
+                    for d, i, start, cos in ix.candidates(codes, lens, stride, min_cosine):
                         if best.get((d, i), (0,))[0] >= 1.0 or len(ix.words[i]) < min_item_words:
                             continue
-                        lcs, answer, hit = ix.confirm(i, split[d], start, 2 * stride, rule)
+                        if d != last:
+                            last, own_words = d, words(d)
+                        lcs, answer, hit = ix.confirm(i, own_words, start, 2 * stride, rule)
                         if hit and (lcs, cos) > best.get((d, i), (0, 0))[:2]:
                             best[d, i] = (lcs, cos, answer)
-                    for d, words in enumerate(split if short else []):
-                        joined = f" {' '.join(words)} "
+                    for d in range(len(lens) if short else 0):
+                        joined = f" {' '.join(w or '' for w in words(d))} "
                         best |= {(d, i): (1.0, 1.0, 1.0) for i in short if f" {' '.join(ix.words[i])} " in joined}
                     ids, hashes = batch.column("doc_id").to_pylist(), batch.column("_th").to_pylist()
                     out = [(ids[d], hashes[d], int(ix.ids[i]), cos, lcs, a) for (d, i), (lcs, cos, a) in best.items()]
@@ -312,8 +372,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, stride: int = 32, rank: in
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "_th", "item_id", "cosine", "lcs", "answer"])
 
             bounded_arrow(spark)
-            texts = docs.filter(F.col("text").isNotNull()).select("doc_id", text_hash(F.col("text")).alias("_th"), "text")
-            found = found.unionByName(scratch.write(texts.mapInArrow(search, schema), f"leaks{b}"))
+            found = found.unionByName(scratch.write(coded.mapInArrow(search, schema), f"leaks{b}"))
+            scratch.drop(f"coded{b}")
         return checkpointed(found)
 
 
