@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from skerry.functions.text import clean_documents, json_profile, markdown_to_text
 from skerry.operators import tabular
@@ -143,44 +144,60 @@ def stream_status_transitions(snapshots: DataFrame) -> DataFrame:
 
 
 def in_event_order(stream: DataFrame, key: str, at: str, fields: list[str], memory: str, start: tuple, step: Callable, schema: str,
-                   delay: str, idle_ms: int) -> DataFrame:
+                   delay: str, idle_ms: int, buckets: int = 1024) -> DataFrame:
     """Apply ``step(memory, micros, *fields) -> (memory, rows)`` to the rows of each key in the order of their time (then of the fields), across
     micro-batches: the result is that of one batch over all rows, in whatever batches they come.
 
-    A row waits in its key's state until the watermark (the latest time seen, less ``delay``) reaches it, as no earlier row can come after that;
-    a timer lets it go when its key gets no more rows. Rows that come behind the watermark are dropped, rows without a time too. A key
-    without rows for more than ``idle_ms`` of event time starts anew, so that its state can go once the watermark is that far. A state holds what
-    one key gets within the delay. Null fields are handed on as None."""
+    A row waits in the state until the watermark (the latest time seen, less ``delay``) reaches it, as no earlier row can come after that;
+    a timer lets it go when no more rows come. Rows that come behind the watermark are dropped, rows without a time too. A key
+    without rows for more than ``idle_ms`` of event time starts anew, so that its memory can go once the watermark is that far. Null fields
+    are handed on as None.
+
+    Keys are dealt into ``buckets`` by their hash, and a state holds those of a bucket: each call of Python costs milliseconds, so that a state
+    for each key would take longer than its rows. A state holds what its keys get within the delay, and their memories."""
     kinds = dict(stream.dtypes)
-    columns = ["_us", *fields]
-    held_schema = ", ".join(["_us array<long>", *(f"_{f} array<{kinds[f]}>" for f in fields)])
+    columns = ["_key", "_us", *fields]
+    width, held_kinds = len(columns), [kinds[key], "long", *(kinds[f] for f in fields)]
+    memories = StructType.fromDDL(memory).fields
+    kept_schema = ", ".join(f"_m{i} array<{f.dataType.simpleString()}>" for i, f in enumerate(memories))
+    state_schema = ", ".join([*(f"_h{i} array<{k}>" for i, k in enumerate(held_kinds)), f"_known array<{kinds[key]}>", "_last array<bigint>", kept_schema])
     names = [c.split()[0] for c in schema.split(", ")]
 
     def update(keys: tuple, frames, state):
-        width = len(columns)
-        held = list(zip(*state.get[:width])) if state.exists else []
-        kept, last = (state.get[width:-1], state.get[-1]) if state.exists else (start, 0)
-        if state.hasTimedOut and not held:
-            state.remove()
-            return
+        held, kept = [], {}
+        if state.exists:
+            parts = state.get
+            held = list(zip(*parts[:width]))
+            kept = {k: (last, tuple(m)) for k, last, *m in zip(*parts[width:])}
         if not state.hasTimedOut:
             for frame in frames:
-                held += frame[columns].astype(object).where(frame[columns].notna(), None).itertuples(index=False, name=None)
-        held.sort(key=lambda r: [(x is not None, x) for x in r])
+                held += [tuple(r[c] for c in columns) for r in frame["_row"]]
+        held.sort(key=lambda r: [(x is not None, x) for x in r[1:]])
         mark, out = state.getCurrentWatermarkMs(), []
-        ready = sum(r[0] <= mark * 1000 for r in held)
-        for row in held[:ready]:
-            kept, rows = step(kept if row[0] - last <= idle_ms * 1000 else start, *row)
-            out += [(keys[0], *r) for r in rows]
-            last = row[0]
+        ready = sum(r[1] <= mark * 1000 for r in held)
+        for own, *row in held[:ready]:
+            last, before = kept.get(own, (row[0], start))
+            after, rows = step(before if row[0] - last <= idle_ms * 1000 else start, *row)
+            out += [(own, *r) for r in rows]
+            kept[own] = (row[0], tuple(after))
         held = held[ready:]
-        state.update((*([r[i] for r in held] for i in range(width)), *kept, last))
-        due = (held[0][0] - 1) // 1000 if held else last // 1000 + idle_ms  # timers are met by watermarks after them
-        state.setTimeoutTimestamp(max(due, mark + 1))
-        yield pd.DataFrame(out, columns=names)
+        waiting = {r[0] for r in held}
+        # timers are met by watermarks after them
+        kept = {k: x for k, x in kept.items() if k in waiting or x[0] // 1000 + idle_ms >= mark}
+        if held or kept:
+            state.update((*([r[i] for r in held] for i in range(width)), list(kept), [x[0] for x in kept.values()],
+                          *([x[1][i] for x in kept.values()] for i in range(len(memories)))))
+            due = (held[0][1] - 1) // 1000 if held else min(x[0] for x in kept.values()) // 1000 + idle_ms
+            state.setTimeoutTimestamp(max(due, mark + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
-    timed = stream.filter(F.col(at).isNotNull()).withColumn("_us", F.unix_micros(F.col(at).cast("timestamp"))).withWatermark(at, delay)
-    return timed.groupBy(key).applyInPandasWithState(update, schema, f"{held_schema}, {memory}, _last long", "append", "EventTimeTimeout")
+    timed = stream.filter(F.col(at).isNotNull()).withWatermark(at, delay)
+    row = F.struct(F.col(key).alias("_key"), F.unix_micros(F.col(at).cast("timestamp")).alias("_us"), *fields)
+    dealt = timed.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket"), at, row.alias("_row"))
+    return dealt.groupBy("_bucket").applyInPandasWithState(update, schema, state_schema, "append", "EventTimeTimeout")
 
 
 def ordered_latency_alerts(logs: DataFrame, delay: str, idle_ms: int = 7 * 86_400_000, key: str = "user_id", n: int = TAIL) -> DataFrame:
