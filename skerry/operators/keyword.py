@@ -26,13 +26,18 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def build_postings(chunks: DataFrame) -> DataFrame:
-    """(document_id, chunk_index, content) -> (term, document_id, chunk_index, positions, tf); positions count all words, stop words too."""
-    words = chunks.select("document_id", "chunk_index", F.posexplode(_terms(F.col("content"))).alias("pos", "word"))
-    words = words.filter(~F.col("word").isin(STOP_WORDS))
-    words = words.join(stems(words), "word")
-    return words.groupBy("term", "document_id", "chunk_index").agg(
-        F.array_sort(F.collect_list((F.col("pos") + 1).cast("int"))).alias("positions"), F.count(F.lit(1)).alias("tf"))
+def build_postings(chunks: DataFrame, common: int = BROADCAST_KEYS) -> DataFrame:
+    """(document_id, chunk_index, content) -> (term, document_id, chunk_index, positions, tf); positions count all words, stop words too.
+
+    The ``common`` most frequent words are stemmed once and broadcast; rarer ones, of which each has few places, are stemmed where they
+    are. So words are not exchanged to meet their stems, and of chunks that are together by document the postings are not either."""
+    found = chunks.select("document_id", "chunk_index", F.posexplode(_terms(F.col("content"))).alias("pos", "word")).filter(~F.col("word").isin(STOP_WORDS))
+    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    stemmed = stems(cut_lineage(counts.orderBy(F.desc("_n"), "word").limit(common)))
+    words = found.join(F.broadcast(stemmed), "word", "left").withColumn("term", F.coalesce("term", F.expr(stem_sql("word", SPARK))))
+    # by document first: chunks come in this order, so that there is little to sort
+    return words.groupBy("document_id", "chunk_index", "term").agg(
+        F.array_sort(F.collect_list((F.col("pos") + 1).cast("int"))).alias("positions"), F.count(F.lit(1)).alias("tf")).select("term", "document_id", "chunk_index", "positions", "tf")
 
 
 def parse_web_query(queries: DataFrame) -> DataFrame:
