@@ -75,7 +75,7 @@ def build_quantised(vectors: DataFrame, path: str, lists: int = 100, subspaces:
         raise ValueError("a code has 2 to 256 values")
     centroids, assigned = build_ivf(vectors, lists, train_rows, seed)
     units = assigned.select("chunk_id", "list_id", unit(F.col("embedding")).alias("_u"))
-    rows, width = units.count(), units.agg(F.max(F.size("_u"))).first()[0] or 0
+    rows, width = assigned.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     if width % subspaces:
         raise ValueError(f"{width} components cannot be cut into {subspaces} equal parts")
     share = max(1, rows // train_rows)

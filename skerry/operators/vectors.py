@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from skerry.operators.chunking import bind
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -20,12 +22,12 @@ def dot(a: Column, b: Column) -> Column:
 
 def norm(a: Column) -> Column:
     """Euclidean length; null for an all-zero vector, so that a failed embedding is never scored."""
-    return F.nullif(F.sqrt(dot(a, a)), F.lit(0.0))
+    return bind(F.sqrt(dot(a, a)), lambda n: F.nullif(n, F.lit(0.0)))
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n.isNotNull(), F.transform(a, lambda x: x.cast("double") / n))
+    # bound: a length named in the lambda would be computed again for each component
+    return bind(norm(a), lambda n: F.when(n.isNotNull(), F.transform(a, lambda x: x.cast("double") / n)))
 
 
 def _rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +153,7 @@ def similar_documents(vectors: DataFrame, sources: DataFrame, k: int = 5, sample
 
 def build_ivf(vectors: DataFrame, lists: int = 100, train_rows: int = 100_000, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(centroids, vectors with list_id): k-means on unit vectors of a bounded sample, every vector is assigned."""
-    units = vectors.withColumn("_u", unit(F.col("embedding"))).filter(F.col("_u").isNotNull()).withColumn("_f", array_to_vector("_u"))
+    units = vectors.filter(norm(F.col("embedding")).isNotNull()).withColumn("_u", unit(F.col("embedding"))).withColumn("_f", array_to_vector("_u"))
     rows = units.count()
     share = max(1, rows // train_rows)
     train = units.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(share)) == 0) if share > 1 else units

@@ -127,3 +127,13 @@ def test_a_block_holds_the_scores_of_few_queries():
     places, at, _ = got
     for i in range(0, 300, 7):
         assert at[places == i][:5].tolist() == np.argsort(-cos[i], kind="stable")[:5].tolist()
+
+
+def test_a_length_is_computed_once_for_each_vector(spark):
+    """Not again for each component of the unit vector, which took the square of the width."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None), (3, [0.0, -2.0])], "i int, a array<float>").repartition(1)
+    out = rows.select("i", vectors.unit(F.col("a")).alias("u"), vectors.norm(F.col("a")).alias("n"))
+    assert rows.select(vectors.unit(F.col("a")).alias("u"))._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert {r.i: (r.u, r.n) for r in out.collect()} == {0: ([0.6, 0.8], 5.0), 1: (None, None), 2: (None, None), 3: ([0.0, -1.0], 2.0)}
