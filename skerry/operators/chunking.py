@@ -36,6 +36,11 @@ class ChunkingConfig:
     keep_preamble: bool = False
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+\z", "")
 
@@ -63,10 +68,13 @@ def _with_offsets(pieces: Column, base: Column) -> Column:
 
 def is_header_line(line: Column) -> Column:
     """A markdown header, or a line of at least two letters of which 90 % are capitals; never a table row or list item."""
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
-    shouted = ~line.rlike(TABLE_ROW) & ~line.rlike(LIST_ITEM) & (letters >= 2) & (capitals >= 0.9 * letters)
-    return (line != "") & (F.length(line) <= 80) & (line.rlike(MD_HEADER) | shouted)
+    def check(line: Column) -> Column:
+        letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
+        capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
+        shouted = ~line.rlike(TABLE_ROW) & ~line.rlike(LIST_ITEM) & bind(letters, lambda n: (n >= 2) & (capitals >= 0.9 * n))
+        return (line != "") & (F.length(line) <= 80) & (line.rlike(MD_HEADER) | shouted)
+
+    return bind(line, check)
 
 
 def first_line(text: Column) -> Column:
@@ -74,10 +82,12 @@ def first_line(text: Column) -> Column:
 
 
 def classify_block(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"\S"))
-    items = F.size(F.filter(lines, lambda x: x.rlike(LIST_ITEM)))
-    table = (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(TABLE_ROW))
-    return F.when(table, "table").when((F.size(lines) > 0) & (items * 2 >= F.size(lines)), "list").otherwise("paragraph")
+    def kind(lines: Column) -> Column:
+        items = F.size(F.filter(lines, lambda x: x.rlike(LIST_ITEM)))
+        table = (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(TABLE_ROW))
+        return F.when(table, "table").when((F.size(lines) > 0) & (items * 2 >= F.size(lines)), "list").otherwise("paragraph")
+
+    return bind(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"\S")), kind)
 
 
 def split_blocks(pages: DataFrame, paragraphs: bool = True) -> DataFrame:
@@ -134,9 +144,12 @@ def glue_split_lab_values(units: Column) -> Column:
         joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), one(F.concat(last["text"], F.lit(" "), u["text"]), last["char_start"], True))
         return F.when(fits, joined).otherwise(F.concat(acc, one(u["text"], u["char_start"], False)))
 
-    glued = F.aggregate(units, F.array().cast(kind), _safe_last(step))
-    glued = F.transform(glued, lambda g: _struct(g["text"], g["char_start"], g["char_end"]))
-    return F.when(F.exists(units, lambda u: u["text"].rlike(LEADING_UNIT.replace("^", r"^\s*", 1))), glued).otherwise(units)
+    def glue(units: Column) -> Column:
+        glued = F.aggregate(units, F.array().cast(kind), _safe_last(step))
+        glued = F.transform(glued, lambda g: _struct(g["text"], g["char_start"], g["char_end"]))
+        return F.when(F.exists(units, lambda u: u["text"].rlike(LEADING_UNIT.replace("^", r"^\s*", 1))), glued).otherwise(units)
+
+    return bind(units, glue)
 
 
 def _safe_last(step):
@@ -177,11 +190,6 @@ def _chunk(content: Column, kind: Column | str, start: Column, end: Column) -> C
     return F.struct(content.alias("content"), kind.alias("chunk_type"), start.cast("int").alias("char_start"), end.cast("int").alias("char_end"), count_tokens(content).alias("token_count"))
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of the value, which is computed once however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def last_tokens(text: Column, n: int) -> Column:
     """The last n tokens joined by one space, or the text itself if it has no more."""
     return bind(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), lambda tokens: F.when(F.size(tokens) <= n, text).otherwise(F.array_join(F.slice(tokens, F.greatest(F.size(tokens) - n + 1, F.lit(1)), F.lit(max(n, 1))), " ")))
@@ -247,9 +255,12 @@ def merge_small_chunks(chunks: Column, config: ChunkingConfig) -> Column:
         has = acc["held"].isNotNull()
         # what was held meets a table: it goes back; otherwise it goes before this chunk
         out = F.when(has & table, back(acc["out"], acc["held"])).otherwise(acc["out"])
-        cur = F.when(has & ~table, joined(acc["held"], c)).otherwise(c)
-        small = ~table & (cur["token_count"] < config.min_tokens)
-        return F.struct(F.when(small, out).otherwise(F.concat(out, F.array(cur))).alias("out"), F.when(small, cur).alias("held"))
+
+        def onward(cur: Column) -> Column:
+            small = ~table & (cur["token_count"] < config.min_tokens)
+            return F.struct(F.when(small, out).otherwise(F.concat(out, F.array(cur))).alias("out"), F.when(small, cur).alias("held"))
+
+        return bind(F.when(has & ~table, joined(acc["held"], c)).otherwise(c), onward)
 
     return F.aggregate(chunks, init, step, lambda acc: F.when(acc["held"].isNull(), acc["out"]).otherwise(back(acc["out"], acc["held"])))
 
@@ -266,6 +277,8 @@ def page_blocks(pages: DataFrame, config: ChunkingConfig) -> DataFrame:
 
 def chunk_documents(pages: DataFrame, config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
     """(document_id, page_number, text) -> chunks numbered over the whole document. Pages without text give none."""
+    # pages are dealt before they are cut: by the key that their blocks meet by again, and however few files they come in
+    pages = pages.repartition("document_id", "page_number")
     made = page_blocks(pages, config).select("document_id", "page_number", "block_no", chunk_block(config).alias("chunks"))
     ordered = F.array_sort(F.collect_list(F.struct("block_no", "chunks")))
     per_page = made.groupBy("document_id", "page_number").agg(F.flatten(F.transform(ordered, lambda x: x["chunks"])).alias("chunks"))

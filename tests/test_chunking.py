@@ -105,3 +105,15 @@ def test_merges_cascade_but_not_over_tables(spark):
 def test_windows_without_sentences(spark):
     got = chunks(spark, LONG, ChunkingConfig(50, 5, 0, sentences=False))
     assert all(c.token_count <= 50 for c in got) and " ".join(c.content for c in got).split() == LONG.split()
+
+
+def test_pages_of_one_file_are_cut_in_many_tasks(spark, capsys):
+    """Pages are exchanged before they are cut, however few partitions they come in; the chunks stay the same."""
+    rows = [(d, p, f"HEAD {p}\n\n{LONG}\n\n- a\n- b") for d in range(3) for p in (1, 2, None)]
+    one = spark.createDataFrame(rows, "document_id long, page_number int, text string").coalesce(1)
+    chunk_documents(one, SMALL).explain()
+    plan = capsys.readouterr().out
+    assert plan.rindex("Exchange hashpartitioning") > plan.rindex("Generate")
+    key = lambda r: (r.document_id, r.chunk_index)
+    got = sorted(chunk_documents(one, SMALL).collect(), key=key)
+    assert got == sorted(chunk_documents(one.repartition(3), SMALL).collect(), key=key) and {r.page_number for r in got} == {1, 2, None}
