@@ -65,9 +65,14 @@ def zero_vector_fallback(batches: Iterator[pa.RecordBatch], encoder: Encoder, wi
         yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(rows, pa.list_(pa.float32())), pa.array(ok)], names=["chunk_id", "embedding", "embed_ok"])
 
 
+def without_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Chunks without a vector, in no order."""
+    return chunks.join(vectors.filter("embedding is not null").select("chunk_id"), "chunk_id", "left_anti")
+
+
 def pending_chunks(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Chunks without a vector, in document and index order."""
-    return chunks.join(vectors.filter("embedding is not null").select("chunk_id"), "chunk_id", "left_anti").orderBy("document_id", "chunk_index")
+    return without_vectors(chunks, vectors).orderBy("document_id", "chunk_index")
 
 
 def upsert_embeddings(vectors: DataFrame, updates: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from skerry.functions.text import clean_documents, json_profile, markdown_to_text
 from skerry.operators import tabular
 from skerry.operators.chunking import ChunkingConfig, chunk_documents
-from skerry.operators.embedding import embed_chunks, pending_chunks
+from skerry.operators.embedding import embed_chunks, without_vectors
 from skerry.operators.monitoring import TAIL, alert_level
 from skerry.sources.shared import cut_lineage
 from skerry.sources.uploads import decode_corpus, mime_of, validate_uploads
@@ -99,7 +99,7 @@ def stream_embed(spark: SparkSession, source: str, schema: str, sink: str, check
 
     def run(batch: DataFrame, batch_id: int) -> None:
         chunks = batch.dropDuplicates(["chunk_id"])
-        todo = pending_chunks(chunks, table.read()) if table.versions() else chunks
+        todo = without_vectors(chunks, table.read()) if table.versions() else chunks
         table.commit(embed_chunks(todo, encoder), None, checkpoint, batch_id)
 
     return (spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
