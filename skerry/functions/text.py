@@ -30,6 +30,11 @@ LINE_FEEDS = r"\n{3,}"
 WORD_JOINER = "⁠"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once however often the body names it. What the body gives is copied."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # Marks for cutting texts by patterns; a mark that a text has itself is escaped meanwhile.
 _MARK, CUT, _ESCAPED = "\u0001", "\u0001\u0003", "\u0001\u0002"
 
@@ -138,22 +143,20 @@ SECTION_HEADER = r"^(?:[A-Z][A-Z0-9 /&\-]{2,60}|[A-Za-z][A-Za-z0-9 /&\-]{1,60}:)
 
 def isolate_section_headers(text: Column) -> Column:
     """Blank lines around header lines, where there are none yet; header lines are trimmed."""
-    lines = F.split(text, "\n", -1)
-
     def header(line: Column) -> Column:
         return F.trim(line).rlike(SECTION_HEADER)
 
     def blank(line: Column) -> Column:
         return F.trim(F.coalesce(line, F.lit(""))) == ""
 
-    def one(line: Column, i: Column) -> Column:
+    def one(lines: Column, line: Column, i: Column) -> Column:
         before, after = F.get(lines, i - 1), F.get(lines, i + 1)
         # a header before this one has already put a blank line between them
         head = F.when((i > 0) & ~blank(before) & ~header(before), "\n").otherwise("")
         tail = F.when(~blank(after), "\n").otherwise("")
         return F.when(header(line), F.concat(head, F.trim(line), tail)).otherwise(line)
 
-    return F.array_join(F.transform(lines, one), "\n")
+    return bind(F.split(text, "\n", -1), lambda lines: F.array_join(F.transform(lines, lambda line, i: one(lines, line, i)), "\n"))
 
 
 def strip_repeated_headers_footers(pages: DataFrame) -> DataFrame:

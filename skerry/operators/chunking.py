@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.functions.text import CUT, LAB_PATTERNS, cut_at_marks, word_count
+from skerry.functions.text import CUT, LAB_PATTERNS, bind, cut_at_marks, word_count
 
 # What lines look like, and units that may begin a cut-off lab value.
 BLANK_LINES = r"(\n[ \t]*\n[ \t\n]*)"
@@ -25,6 +25,9 @@ LEADING_UNIT = r"(?i)^(mg/dL|mmol/L|IU/L|g/L|mEq/L|mmHg|bpm|%)"
 UNIT = "array<struct<text:string,char_start:int,char_end:int>>"
 CHUNK = "array<struct<content:string,chunk_type:string,char_start:int,char_end:int,token_count:int>>"
 
+#: So many lengths are added up one by one, then their sums.
+BLOCK = 64
+
 
 @dataclass(frozen=True)
 class ChunkingConfig:
@@ -36,11 +39,6 @@ class ChunkingConfig:
     keep_preamble: bool = False
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of the value, which is computed once however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+\z", "")
 
@@ -53,17 +51,39 @@ def _struct(text: Column, start: Column, end: Column) -> Column:
     return F.struct(text.alias("text"), start.cast("int").alias("char_start"), end.cast("int").alias("char_end"))
 
 
-def _with_offsets(pieces: Column, base: Column) -> Column:
-    """Every second piece is a separator: the others as units with their character offsets, blank ones left out."""
-    start = F.struct(F.array().cast(UNIT).alias("out"), base.cast("int").alias("at"), F.lit(True).alias("keep"))
+def _runs(items: Column, starts: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of each run of items that begins at one of ``starts`` (from 0) and ends before the next."""
+    def runs(items: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda s, k: bind(F.slice(items, s + 1, F.coalesce(F.get(starts, k + 1), F.size(items)) - s), make))
+
+    return bind(items, lambda items: bind(starts, lambda starts: runs(items, starts)))
+
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        unit = F.array(_struct(piece, acc["at"], end))
-        out = F.when(acc["keep"] & piece.rlike(r"\S"), F.concat(acc["out"], unit)).otherwise(acc["out"])
-        return F.struct(out.alias("out"), end.alias("at"), (~acc["keep"]).alias("keep"))
+def _placed(texts: Column, base: Column, gap: int = 0) -> Column:
+    """texts as units one after the other from ``base`` on, with ``gap`` characters between them. Lengths are added up in blocks, as an
+    aggregate copies what it has gathered at each step: it gathers numbers, never texts, and few of them."""
+    def ends(lengths: Column, base: Column) -> Column:
+        return F.aggregate(lengths, F.array(base.cast("int")), lambda ends, n: F.concat(ends, F.array(F.element_at(ends, -1) + n)))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    def units(texts: Column) -> Column:
+        lengths = F.transform(texts, lambda t: F.length(t) + gap)
+        blocks = _runs(lengths, F.filter(F.transform(texts, lambda t, i: F.when(i % BLOCK == 0, i)), lambda i: i.isNotNull()), lambda run: ends(run, F.lit(0)))
+
+        def placed(blocks: Column, bases: Column) -> Column:
+            def one(t: Column, i: Column) -> Column:
+                first, block = F.get(bases, (i / BLOCK).cast("int")), F.get(blocks, (i / BLOCK).cast("int"))
+                return _struct(t, first + F.get(block, i % BLOCK), first + F.get(block, i % BLOCK + 1) - gap)
+
+            return F.transform(texts, one)
+
+        return bind(blocks, lambda blocks: bind(ends(F.transform(blocks, lambda b: F.element_at(b, -1)), base), lambda bases: placed(blocks, bases)))
+
+    return bind(texts, units)
+
+
+def _with_offsets(pieces: Column, base: Column) -> Column:
+    """Every second piece is a separator: the others as units with their character offsets, blank ones left out."""
+    return F.filter(_placed(pieces, base), lambda u, i: (i % 2 == 0) & u["text"].rlike(r"\S"))
 
 
 def is_header_line(line: Column) -> Column:
@@ -132,57 +152,44 @@ def split_sentences(text: Column, base: Column) -> Column:
 
 def glue_split_lab_values(units: Column) -> Column:
     """A unit that ends in a digit and the next one that begins with a measure become one; a glued unit is not glued again."""
-    kind = "array<struct<text:string,char_start:int,char_end:int,glued:boolean>>"
+    def joined(run: Column) -> Column:
+        return _struct(F.array_join(F.transform(run, lambda u: u["text"]), " "), F.get(run, 0)["char_start"], F.element_at(run, -1)["char_end"])
 
-    def step(acc: Column, u: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & ~F.coalesce(last["glued"], F.lit(True)) & strip(last["text"]).rlike(r"\d\z") & F.regexp_replace(u["text"], r"^\s+", "").rlike(LEADING_UNIT)
+    def glue(units: Column) -> Column:
+        def fits(u: Column, i: Column) -> Column:
+            return F.coalesce(strip(F.get(units, i - 1)["text"]).rlike(r"\d\z") & F.regexp_replace(u["text"], r"^\s+", "").rlike(LEADING_UNIT), F.lit(False))
 
-        def one(t: Column, s: Column, glued: bool) -> Column:
-            return F.array(F.struct(t.alias("text"), s.alias("char_start"), u["char_end"].alias("char_end"), F.lit(glued).alias("glued")))
+        init = F.struct(F.array().cast("array<int>").alias("out"), F.lit(False).alias("glued"), F.lit(0).alias("at"))
 
-        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), one(F.concat(last["text"], F.lit(" "), u["text"]), last["char_start"], True))
-        return F.when(fits, joined).otherwise(F.concat(acc, one(u["text"], u["char_start"], False)))
+        def step(acc: Column, fit: Column) -> Column:
+            glued = fit & ~acc["glued"]
+            return F.struct(F.when(glued, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["at"]))).alias("out"), glued.alias("glued"), (acc["at"] + 1).alias("at"))
 
-    def glue(units: Column) -> Column:
-        glued = F.aggregate(units, F.array().cast(kind), _safe_last(step))
-        glued = F.transform(glued, lambda g: _struct(g["text"], g["char_start"], g["char_end"]))
-        return F.when(F.exists(units, lambda u: u["text"].rlike(LEADING_UNIT.replace("^", r"^\s*", 1))), glued).otherwise(units)
+        starts = F.aggregate(F.transform(units, fits), init, step, lambda acc: acc["out"])
+        return F.when(F.exists(units, lambda u: u["text"].rlike(LEADING_UNIT.replace("^", r"^\s*", 1))), _runs(units, starts, joined)).otherwise(units)
 
     return bind(units, glue)
 
 
-def _safe_last(step):
-    """The last element of an empty array does not exist: start with an empty array, append the first unit as it is."""
-    def run(acc: Column, u: Column) -> Column:
-        first = F.array(F.struct(u["text"].alias("text"), u["char_start"].alias("char_start"), u["char_end"].alias("char_end"), F.lit(False).alias("glued")))
-        return F.when(F.size(acc) == 0, first).otherwise(step(acc, u))
-    return run
-
-
 def split_list_items(text: Column, base: Column, keep_preamble: bool = False) -> Column:
     """One unit for each marked line with its continuation lines. Lines before the first marker are dropped, unless kept as an own unit."""
-    start = F.struct(F.array().cast(UNIT).alias("out"), base.cast("int").alias("at"))
+    def joined(run: Column) -> Column:
+        return _struct(F.array_join(F.transform(run, lambda u: u["text"]), "\n"), F.get(run, 0)["char_start"], F.element_at(run, -1)["char_end"])
 
-    def step(acc: Column, line: Column) -> Column:
-        end = acc["at"] + F.length(line)
-        out, fresh = acc["out"], F.array(_struct(line, acc["at"], end))
-        last = F.element_at(out, -1)
-        longer = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(_struct(F.concat(last["text"], F.lit("\n"), line), last["char_start"], end)))
-        opens = line.rlike(LIST_ITEM) | (F.lit(keep_preamble) & (F.size(out) == 0))
-        return F.struct(F.when(opens, F.concat(out, fresh)).when(F.size(out) > 0, longer).otherwise(out).alias("out"), (end + 1).alias("at"))
+    def items(lines: Column) -> Column:
+        opens = F.transform(lines, lambda u, i: F.when(u["text"].rlike(LIST_ITEM) | (F.lit(keep_preamble) & (i == 0)), i))
+        return _runs(lines, F.filter(opens, lambda i: i.isNotNull()), joined)
 
-    return F.aggregate(F.split(text, "\n", -1), start, step, lambda acc: acc["out"])
+    return bind(_placed(F.split(text, "\n", -1), base, 1), items)
 
 
 def fixed_token_windows(text: Column, base: Column, window: int) -> Column:
     """Runs of ``window`` tokens joined by one space; offsets are those of the joined text."""
-    tokens = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
-    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens), F.lit(max(1, window)))).otherwise(F.array().cast("array<int>"))
-    texts = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(window)), " "))
-    init = F.struct(F.array().cast(UNIT).alias("out"), base.cast("int").alias("at"))
-    return F.aggregate(texts, init, lambda acc, t: F.struct(F.concat(acc["out"], F.array(_struct(t, acc["at"], acc["at"] + F.length(t)))).alias("out"),
-                                                            (acc["at"] + F.length(t)).alias("at")), lambda acc: acc["out"])
+    def cut(tokens: Column) -> Column:
+        starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens), F.lit(max(1, window)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(window)), " "))
+
+    return _placed(bind(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), cut), base)
 
 
 def _chunk(content: Column, kind: Column | str, start: Column, end: Column) -> Column:
@@ -197,31 +204,35 @@ def last_tokens(text: Column, n: int) -> Column:
 
 def accumulate_units(units: Column, config: ChunkingConfig, kind: str) -> Column:
     """Greedy packing: a chunk is closed when the next unit would exceed max_tokens; the next one starts with the last ``overlap`` tokens of
-    the closed one. A unit above the maximum stays whole."""
-    sep = " " if kind == "paragraph" else "\n"
-    # each unit's tokens are counted once
-    units = F.transform(units, lambda u: F.struct(u["text"].alias("text"), u["char_start"].alias("char_start"), u["char_end"].alias("char_end"), count_tokens(u["text"]).alias("n")))
-    init = F.struct(F.array().cast(CHUNK).alias("out"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n"), F.lit(0).alias("s"), F.lit(0).alias("e"))
+    the closed one. A unit above the maximum stays whole.
+
+    Where chunks begin is found by the units' numbers of tokens alone, then the overlaps, then the texts are joined once."""
+    sep, overlap = " " if kind == "paragraph" else "\n", max(config.overlap, 0)
+
+    def starts(units: Column) -> Column:
+        init = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("n"), F.lit(0).alias("at"))
 
-    def step(acc: Column, u: Column) -> Column:
-        n = u["n"]
-        full = acc["cur"].isNotNull() & (acc["n"] + n > config.max_tokens)
-        over = F.when(full, last_tokens(acc["cur"], config.overlap)) if config.overlap > 0 else F.lit(None).cast("string")
+        def step(acc: Column, n: Column) -> Column:
+            full = (acc["at"] > 0) & (acc["n"] + n > config.max_tokens)
+            return F.struct(F.when(full | (acc["at"] == 0), F.concat(acc["out"], F.array(acc["at"]))).otherwise(acc["out"]).alias("out"),
+                            (F.when(full, F.least(acc["n"], F.lit(overlap))).otherwise(acc["n"]) + n).alias("n"), (acc["at"] + 1).alias("at"))
 
-        def onward(over: Column) -> Column:
-            fresh = full | acc["cur"].isNull()
-            return F.struct(
-                F.when(full, F.concat(acc["out"], F.array(_chunk(acc["cur"], kind, acc["s"], acc["e"])))).otherwise(acc["out"]).alias("out"),
-                F.when(full & (over != ""), F.concat(over, F.lit(sep), u["text"])).when(fresh, u["text"]).otherwise(F.concat(acc["cur"], F.lit(sep), u["text"])).alias("cur"),
-                (F.when(full & (over != ""), count_tokens(over)).when(fresh, 0).otherwise(acc["n"]) + n).alias("n"),
-                F.when(fresh, u["char_start"]).otherwise(acc["s"]).alias("s"), u["char_end"].alias("e"))
+        return F.aggregate(F.transform(units, lambda u: count_tokens(u["text"])), init, step, lambda acc: acc["out"])
 
-        return bind(over, onward)
+    def body(run: Column) -> Column:
+        return _struct(F.array_join(F.transform(run, lambda u: u["text"]), sep), F.get(run, 0)["char_start"], F.element_at(run, -1)["char_end"])
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(_chunk(acc["cur"], kind, acc["s"], acc["e"]))))
+    def begun(over: Column, text: Column) -> Column:
+        return F.when(over != "", F.concat(over, F.lit(sep), text)).otherwise(text)
 
-    return F.aggregate(units, init, step, finish)
+    def closed(bodies: Column) -> Column:
+        if not overlap:
+            return F.transform(bodies, lambda b: _chunk(b["text"], kind, b["char_start"], b["char_end"]))
+        # overs: what each chunk repeats of the one before it, and one more
+        overs = F.aggregate(bodies, F.array(F.lit("")), lambda overs, b: F.concat(overs, F.array(last_tokens(begun(F.element_at(overs, -1), b["text"]), overlap))))
+        return bind(overs, lambda overs: F.transform(bodies, lambda b, k: bind(begun(F.get(overs, k), b["text"]), lambda t: _chunk(t, kind, b["char_start"], b["char_end"]))))
+
+    return bind(units, lambda units: bind(_runs(units, starts(units), body), closed))
 
 
 def chunk_block(config: ChunkingConfig) -> Column:
@@ -236,33 +247,37 @@ def chunk_block(config: ChunkingConfig) -> Column:
 
 def merge_small_chunks(chunks: Column, config: ChunkingConfig) -> Column:
     """A chunk below min_tokens is put before the next chunk that is no table (and the result is tested again), else after the last one that
-    is no table, else stays."""
-    def joined(a: Column, b: Column) -> Column:
-        kind = F.when(a["chunk_type"] == "header+content", a["chunk_type"]).otherwise(b["chunk_type"])
-        return _chunk(F.concat(a["content"], F.lit("\n\n"), b["content"]), kind, a["char_start"], b["char_end"])
+    is no table, else stays.
+
+    Chunks that become one stand side by side: where they begin is found by kinds and numbers of tokens, then the texts are joined once."""
+    def joined(run: Column) -> Column:
+        kind = F.when(F.exists(run, lambda c: c["chunk_type"] == "header+content"), "header+content").otherwise(F.element_at(run, -1)["chunk_type"])
+        whole = _chunk(F.array_join(F.transform(run, lambda c: c["content"]), "\n\n"), kind, F.get(run, 0)["char_start"], F.element_at(run, -1)["char_end"])
+        return F.when(F.size(run) == 1, F.get(run, 0)).otherwise(whole)
 
-    item = CHUNK[6:-1]
-    init = F.struct(F.array().cast(CHUNK).alias("out"), F.lit(None).cast(item).alias("held"))
+    def starts(chunks: Column) -> Column:
+        """out: where those begin that are done, and whether the last of them is a table; then the one that may still grow."""
+        init = F.struct(F.array().cast("array<int>").alias("out"), F.lit(True).alias("shut"), F.lit(0).alias("start"), F.lit(False).alias("table"), F.lit(0).alias("n"), F.lit(0).alias("at"))
 
-    def back(out: Column, c: Column) -> Column:
-        """A small chunk with nothing after it."""
-        last = F.get(out, F.size(out) - 1)
-        ok = (F.size(out) > 0) & (last["chunk_type"] != "table")
-        return F.when(F.coalesce(ok, F.lit(False)), F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(joined(last, c)))).otherwise(F.concat(out, F.array(c)))
+        def done(acc: Column, back: Column) -> tuple[Column, Column]:
+            """A small one goes back to the last that is done, unless there is none or it is a table."""
+            gone = back & ~acc["shut"]
+            return F.when(gone, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["start"]))), F.when(gone, False).otherwise(acc["table"])
 
-    def step(acc: Column, c: Column) -> Column:
-        table = c["chunk_type"] == "table"
-        has = acc["held"].isNotNull()
-        # what was held meets a table: it goes back; otherwise it goes before this chunk
-        out = F.when(has & table, back(acc["out"], acc["held"])).otherwise(acc["out"])
+        def step(acc: Column, c: Column) -> Column:
+            small = ~acc["table"] & (acc["n"] < config.min_tokens)
+            grows, first = small & ~c["table"], acc["at"] == 0
+            out, shut = done(acc, small)
+            return F.struct(F.when(first | grows, acc["out"]).otherwise(out).alias("out"), F.when(first | grows, acc["shut"]).otherwise(shut).alias("shut"),
+                            F.when(grows & ~first, acc["start"]).otherwise(acc["at"]).alias("start"), c["table"].alias("table"),
+                            (F.when(grows & ~first, acc["n"]).otherwise(0) + c["n"]).alias("n"), (acc["at"] + 1).alias("at"))
 
-        def onward(cur: Column) -> Column:
-            small = ~table & (cur["token_count"] < config.min_tokens)
-            return F.struct(F.when(small, out).otherwise(F.concat(out, F.array(cur))).alias("out"), F.when(small, cur).alias("held"))
+        def finish(acc: Column) -> Column:
+            return F.when(acc["at"] == 0, acc["out"]).otherwise(done(acc, ~acc["table"] & (acc["n"] < config.min_tokens))[0])
 
-        return bind(F.when(has & ~table, joined(acc["held"], c)).otherwise(c), onward)
+        return F.aggregate(F.transform(chunks, lambda c: F.struct((c["chunk_type"] == "table").alias("table"), c["token_count"].alias("n"))), init, step, finish)
 
-    return F.aggregate(chunks, init, step, lambda acc: F.when(acc["held"].isNull(), acc["out"]).otherwise(back(acc["out"], acc["held"])))
+    return bind(chunks, lambda chunks: _runs(chunks, starts(chunks), joined))
 
 
 def chunk_metadata(chunks: DataFrame) -> DataFrame:
@@ -275,10 +290,12 @@ def page_blocks(pages: DataFrame, config: ChunkingConfig) -> DataFrame:
     return blocks if config.paragraphs else merge_adjacent_paragraphs(blocks)
 
 
-def chunk_documents(pages: DataFrame, config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
-    """(document_id, page_number, text) -> chunks numbered over the whole document. Pages without text give none."""
-    # pages are dealt before they are cut: by the key that their blocks meet by again, and however few files they come in
-    pages = pages.repartition("document_id", "page_number")
+def chunk_documents(pages: DataFrame, config: ChunkingConfig = ChunkingConfig(), dealt_by: tuple[str, ...] = ("document_id", "page_number")) -> DataFrame:
+    """(document_id, page_number, text) -> chunks numbered over the whole document. Pages without text give none.
+
+    Pages are dealt before they are cut: by the key that their blocks meet by again, and however few files they come in. Chunks are dealt
+    again by document to be numbered, except where pages are dealt by document alone, which suits documents of few pages."""
+    pages = pages.repartition(*dealt_by)
     made = page_blocks(pages, config).select("document_id", "page_number", "block_no", chunk_block(config).alias("chunks"))
     ordered = F.array_sort(F.collect_list(F.struct("block_no", "chunks")))
     per_page = made.groupBy("document_id", "page_number").agg(F.flatten(F.transform(ordered, lambda x: x["chunks"])).alias("chunks"))

@@ -98,7 +98,10 @@ def stream_ingest(spark, d):
     files = docs.select(name.alias("path"), F.octet_length("text").cast("long").alias("length"), F.encode("text", "utf-8").alias("content"))
     for checkpoint in ("first", "again"):
         jobs.stream_ingest(spark, files, f"{base}/chunks", f"{base}/{checkpoint}", ChunkingConfig()).awaitTermination()
-    return _kept(spark, VersionedTable(spark, f"{base}/chunks").read().select("document_id", "chunk_index", "chunk_type", "token_count", "content"), base)
+    table = VersionedTable(spark, f"{base}/chunks")
+    table.drop_replaced()
+    table.vacuum()
+    return table.read().select("document_id", "chunk_index", "chunk_type", "token_count", "content")  # the table is the result: no copy of it
 
 
 def versioned_rows(spark, d):

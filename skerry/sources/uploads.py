@@ -103,7 +103,8 @@ def unmarked_utf16(content: Column) -> Column:
         sound = ~F.regexp_replace(kinds, "hl", "").rlike("l|h.") & ~F.array_contains(pairs, "0000")  # a last h may have its partner beyond the sample
         return even & (n > 0) & (zero_high >= 0.4 * n) & (zero_low <= 0.1 * n) & sound
 
-    return F.when(fits(1, 0), "utf-16le").when(fits(0, 1), "utf-16be")
+    # no pair needs a look where there is no zero byte
+    return F.when(F.contains(F.substring(content, 1, SAMPLE), F.lit(b"\x00")), F.when(fits(1, 0), "utf-16le").when(fits(0, 1), "utf-16be"))
 
 
 def decode_corpus(uploads: DataFrame, *keep: str) -> DataFrame:

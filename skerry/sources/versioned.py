@@ -118,7 +118,7 @@ class VersionedTable:
     def _write(self, rows: DataFrame, name: str) -> None:
         if self.folder_by:
             rows = rows.repartition(self.folder_by).sortWithinPartitions(self.folder_by, *self.sort_by)
-        rows.write.partitionBy(*([self.folder_by] if self.folder_by else [])).parquet(f"{self.path}/rows/_segment={name}")
+        rows.write.option("compression", "zstd").partitionBy(*([self.folder_by] if self.folder_by else [])).parquet(f"{self.path}/rows/_segment={name}")
 
     def delete(self, keys: DataFrame, source: str | None = None, batch_id: int | None = None) -> bool:
         """Remove all rows of these keys."""
@@ -140,32 +140,41 @@ class VersionedTable:
         return self._listed("keys", self._key_schema(manifest), names)
 
     def _listed(self, part: str, schema: StructType, names: list[str]) -> DataFrame:
-        """Of rows or keys what these segments have; folders of others are pruned."""
-        return self.spark.read.schema(schema.add("_segment", "string")).parquet(f"{self.path}/{part}").filter(F.col("_segment").isin(names)).drop("_segment")
+        """Of rows or keys what these segments have, with _segment; folders of others are pruned."""
+        return self.spark.read.schema(schema.add("_segment", "string")).parquet(f"{self.path}/{part}").filter(F.col("_segment").isin(names))
 
-    def _stale(self, manifest: dict) -> DataFrame:
-        """(keys, _seq) that newer commits replace or that are deleted: of keys alone, rows are not read."""
+    def _marked(self, manifest: dict) -> DataFrame:
+        """(keys, _seq, _segment, _replaced, _stale): what newer commits replace, and with it what is deleted. Of keys alone, rows are not read."""
         keys = self._all_keys(manifest)
         last = keys.groupBy(*self.keys).agg(F.max("_seq").alias("_last"), F.max_by("_gone", "_seq").alias("_end"))
-        return _joined(keys, last, self.keys, "inner").filter("_seq < _last or _end").select(*[F.col(f"l.{k}") for k in self.keys], "_seq")
-
-    def _live(self, manifest: dict, names: list[str], stale: DataFrame) -> DataFrame:
-        rows = self._listed("rows", self.schema(manifest).add("_seq", "long"), names)
-        n = stale.count()
-        if not n:
+        return _joined(keys, last, self.keys, "inner").select(*[F.col(f"l.{k}") for k in self.keys], "_seq", "_segment", F.expr("_seq < _last").alias("_replaced"), F.expr("_seq < _last or _end").alias("_stale"))
+
+    @staticmethod
+    def _counts(marked: DataFrame, flag: str) -> dict[str, tuple[int, int]]:
+        """Of each segment with keys, how many it has and how many of them have the flag."""
+        return {r[0]: (r[1], r[2]) for r in marked.groupBy("_segment").agg(F.count(F.lit(1)), F.count_if(flag)).collect()}
+
+    def _live(self, manifest: dict, names: list[str]) -> DataFrame:
+        """Segments of which nothing is stale are read as they are, and those that are stale whole not at all; only what lies between is joined."""
+        marked = self._marked(manifest)
+        counts = {k: x for k, x in self._counts(marked, "_stale").items() if k in names}
+        schema, mixed = self.schema(manifest).add("_seq", "long"), [k for k, (n, stale) in counts.items() if 0 < stale < n]
+        rows = self._listed("rows", schema, [k for k in names if not counts.get(k, (0, 0))[1]]).drop("_segment")
+        if not mixed:
             return rows
-        stale = F.broadcast(stale) if n <= BROADCAST_KEYS else stale
-        return _joined(rows, stale, [*self.keys, "_seq"], "left_anti")
+        stale = cut_lineage(marked.filter(F.col("_stale") & F.col("_segment").isin(mixed)).select(*self.keys, "_seq"))
+        stale = F.broadcast(stale) if sum(counts[k][1] for k in mixed) <= BROADCAST_KEYS else stale
+        return rows.unionByName(_joined(self._listed("rows", schema, mixed).drop("_segment"), stale, [*self.keys, "_seq"], "left_anti"))
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of every key's newest commit, as of a version. Rows are exchanged only if more keys were replaced since the last merge
-        than may be broadcast."""
+        """The rows of every key's newest commit, as of a version. Rows are exchanged only where a segment is replaced in part, and if more
+        keys of such segments were replaced since the last merge than may be broadcast."""
         manifest = self.manifest(version)
         if not manifest["segments"]:
             if manifest["schema"] is None:
                 raise LookupError(f"nothing was committed to {self.path} yet")
             return self.spark.createDataFrame([], self.schema(manifest))
-        return self._live(manifest, [s["name"] for s in manifest["segments"]], cut_lineage(self._stale(manifest))).drop("_seq")
+        return self._live(manifest, [s["name"] for s in manifest["segments"]]).drop("_seq")
 
     # --- upkeep ---
 
@@ -182,9 +191,8 @@ class VersionedTable:
             if not some:
                 return done
             names, level = [s["name"] for s in some], max(s["level"] for s in some) + 1
-            stale = cut_lineage(self._stale(base))
             name = f"m{base['version'] + 1:010d}-{uuid.uuid4().hex}"
-            self._write(self._live(base, names, stale), name)
+            self._write(self._live(base, names), name)
             keys = self._all_keys(base, names)
             last = keys.groupBy(*self.keys).agg(F.max_by(F.struct("_seq", "_gone"), "_seq").alias("_x")).select(*self.keys, "_x.*")
             # a deleted key is remembered until there is nothing older that it could hide
@@ -193,6 +201,14 @@ class VersionedTable:
             self._swap(base | {"version": base["version"] + 1, "segments": [*left, {"name": name, "level": level, "bytes": self._bytes(name)}]})
             done += 1
 
+    def drop_replaced(self) -> list[str]:
+        """Leave out segments whose keys newer commits have all replaced, without writing any row; ``vacuum`` removes their folders. Their names."""
+        base = self.manifest()
+        lost = sorted(k for k, (n, replaced) in self._counts(self._marked(base), "_replaced").items() if n == replaced) if base["segments"] else []
+        if lost:
+            self._swap(base | {"version": base["version"] + 1, "segments": [s for s in base["segments"] if s["name"] not in lost]})
+        return lost
+
     def vacuum(self, versions: int = 1) -> list[str]:
         """Remove the manifests but the last ``versions``, and folders that those do not list: replaced ones, and those of commits that were
         cut off. Not while a commit is running. The names of removed folders."""

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -59,16 +59,18 @@ def json_pages(texts: DataFrame) -> DataFrame:
 
 
 #: Types with a rule of their own: markdown without its marks, JSON with a summary, delimited files as reports. All others stay as they are.
-PAGE_RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "text/markdown": lambda texts: texts.withColumn("text", markdown_to_text(F.col("text"))), "application/json": json_pages, "text/csv": table_pages}
-
-
-def upload_pages(decoded: DataFrame) -> DataFrame:
-    """(document_id, mime_type, text) -> (document_id, page_number, text), by the rule of each type. ``decoded`` is read once for each type
-    that it has."""
-    present = {r[0] for r in decoded.select("mime_type").distinct().collect()}  # a handful of allowed types
-    parts = [rule(decoded.filter(F.col("mime_type") == kind).select("document_id", "text")) for kind, rule in PAGE_RULES.items() if kind in present]
-    parts.append(decoded.filter(~F.col("mime_type").isin(list(PAGE_RULES))).select("document_id", "text"))
+TEXT_RULES: dict[str, Callable[[Column], Column]] = {"text/markdown": markdown_to_text}
+PAGE_RULES: dict[str, Callable[[DataFrame], DataFrame]] = {"application/json": json_pages, "text/csv": table_pages}
+
+
+def upload_pages(decoded: DataFrame, present: set[str]) -> DataFrame:
+    """(document_id, mime_type, text) -> (document_id, page_number, text), by the rule of each type. ``decoded`` is read once, and once more
+    for each type with a page rule that is ``present``: of those alone the texts are written down meanwhile, as their rules read them several times."""
+    text = F.col("text")
+    for kind, rule in TEXT_RULES.items():
+        text = F.when(F.col("mime_type") == kind, rule(F.col("text"))).otherwise(text)
+    parts = [rule(cut_lineage(decoded.filter(F.col("mime_type") == kind).select("document_id", "text"))) for kind, rule in PAGE_RULES.items() if kind in present]
+    parts.append(decoded.filter(~F.col("mime_type").isin(list(PAGE_RULES))).select("document_id", text.alias("text")))
     return reduce(DataFrame.unionByName, parts).select("document_id", F.lit(1).alias("page_number"), "text")
 
 
@@ -78,9 +80,9 @@ def ingest_batch(uploads: DataFrame, table: VersionedTable, config: ChunkingConf
     name = F.regexp_extract("path", r"([^/]*)\z", 1)
     named = uploads.withColumns({"filename": name, "size_bytes": F.col("length"), "mime_type": mime_of(name)})
     fine = validate_uploads(named).filter("reject_code is null")
-    decoded = cut_lineage(decode_corpus(fine, "mime_type").withColumnRenamed("path", "document_id"))
-    pages = cut_lineage(clean_documents(upload_pages(decoded)))
-    chunks = chunk_documents(pages, config)
+    present = {r[0] for r in fine.select("mime_type").distinct().collect()}  # a handful of allowed types
+    pages = clean_documents(upload_pages(decode_corpus(fine, "mime_type").withColumnRenamed("path", "document_id"), present))
+    chunks = chunk_documents(pages, config, dealt_by=("document_id",))  # one page each
     return table.commit(chunks, uploads.select(F.col("path").alias("document_id")), source, batch_id)
 
 
@@ -89,8 +91,13 @@ def stream_ingest(spark: SparkSession, source: str | DataFrame, sink: str, check
     files are done; read the sink with ``VersionedTable(spark, sink).read()``."""
     files = spark.readStream.format("binaryFile").schema(UPLOAD).load(source) if isinstance(source, str) else source
     table = VersionedTable(spark, sink)
-    return (files.writeStream.foreachBatch(lambda batch, i: ingest_batch(batch, table, config, checkpoint, i) and None).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # texts that were exchanged go when their batch is written, not when the driver happens to collect its garbage; a stream has its own session
+        batch.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        ingest_batch(batch, table, config, checkpoint, batch_id)
+
+    return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_embed(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, encoder: Callable | None = None) -> StreamingQuery:

@@ -1,5 +1,7 @@
 """Properties of chunking on small texts, and the rules that are easy to get wrong."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from skerry.operators.chunking import ChunkingConfig, chunk_documents, count_tokens, glue_split_lab_values, is_header_line, split_list_items, split_sentences
@@ -117,3 +119,16 @@ def test_pages_of_one_file_are_cut_in_many_tasks(spark, capsys):
     key = lambda r: (r.document_id, r.chunk_index)
     got = sorted(chunk_documents(one, SMALL).collect(), key=key)
     assert got == sorted(chunk_documents(one.repartition(3), SMALL).collect(), key=key) and {r.page_number for r in got} == {1, 2, None}
+
+
+def test_a_long_page_costs_as_much_as_its_parts(spark):
+    """What an aggregate gathers is copied at each of its steps: texts in it would make long pages cost the square of their length."""
+    def seconds(pages, sentences):
+        text = F.expr(f"array_join(transform(sequence(1, {sentences}), i -> concat('Sentence ', id, ' has the number ', i, ' and goes on for some more words.')), ' ')")
+        rows = spark.range(0, pages, 1, 4).select(F.col("id").alias("document_id"), F.lit(1).alias("page_number"), text.alias("text"))
+        began = time.time()
+        chunk_documents(rows).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    seconds(400, 100)  # compiles
+    assert seconds(4, 10_000) < 5 * seconds(400, 100) + 5

@@ -1,6 +1,7 @@
 """Versioned tables: replacement by key, replays, cut-off commits, merges; and the streams that write them."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from skerry.functions.text import clean_documents
 from skerry.operators.chunking import ChunkingConfig, chunk_documents
 from skerry.sources import uploads, versioned
+from skerry.sources.shared import shared_folder
 from skerry.sources.versioned import ConcurrentCommit, VersionedTable
 from skerry.streaming import jobs
 
@@ -122,6 +124,51 @@ def test_ingest_stream_replays_without_change(spark, tmp_path):
     assert len(first) == 1 and again == first and table.read().count() == 2
 
 
+def test_segments_replaced_whole_are_not_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versioned, "BROADCAST_KEYS", 0)
+    t = VersionedTable(spark, f"file://{tmp_path}/t")
+    t.commit(rows(spark, {1: ["a"], 2: ["b"]}))
+    t.commit(rows(spark, {1: ["c"], 2: ["d", "e"]}))
+    plan = t.read()._jdf.queryExecution().executedPlan().toString()
+    assert held(t) == {1: ["c"], 2: ["d", "e"]} and "Join" not in plan and "Exchange" not in plan
+    t.commit(rows(spark, {2: ["f"], 3: ["g"]}))  # one segment is replaced in part now
+    assert held(t) == {1: ["c"], 2: ["f"], 3: ["g"]}
+    assert len(t.drop_replaced()) == 1 and not t.drop_replaced() and len(t.vacuum()) == 1 and held(t) == {1: ["c"], 2: ["f"], 3: ["g"]}
+
+
+def test_a_deletion_outlives_the_segments_that_it_replaces(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t")
+    t.commit(rows(spark, {1: ["a"], 2: ["b"]}))
+    t.delete(spark.createDataFrame([(1,)], "document_id long"))
+    assert t.drop_replaced() == [] and held(t) == {2: ["b"]}
+    t.commit(rows(spark, {2: ["c"]}))
+    assert len(t.drop_replaced()) == 1 and held(t) == {2: ["c"]}
+    t.commit(rows(spark, {1: ["d"]}))
+    assert len(t.drop_replaced()) == 1 and len(t.vacuum()) == 2 and held(t) == {1: ["d"], 2: ["c"]}
+
+
+def test_ingest_leaves_only_its_table_on_disk(spark, sf_dir, tmp_path):
+    """Texts are neither written down between the steps nor left behind by their exchange."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made = docs.select(F.concat(F.lit("/up/"), "doc_id", F.lit(".txt")).alias("path"), F.octet_length("text").cast("long").alias("length"), F.encode("text", "utf-8").alias("content"))
+    made.write.parquet(f"file://{tmp_path}/in")
+    shared = Path("/" + shared_folder(spark).removeprefix("file:").lstrip("/"))
+
+    def size(files):
+        return sum(f.stat().st_size for f in files if f.is_file())
+
+    def disk():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        blocks = [Path(blocks.apply(i).getPath()) for i in range(blocks.size())]
+        return size(shared.rglob("part-*")), size(f for f in blocks if f.name.startswith("shuffle_"))
+
+    before = disk()
+    jobs.stream_ingest(spark, spark.readStream.schema(made.schema).parquet(f"file://{tmp_path}/in"), f"file://{tmp_path}/out", str(tmp_path / "c")).awaitTermination()
+    after, texts = disk(), docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert VersionedTable(spark, f"file://{tmp_path}/out").read().count() >= docs.count() / 2
+    assert after[0] - before[0] < texts / 10 and after[1] - before[1] < texts / 10
+
+
 def test_embed_stream_resumes(spark, tmp_path):
     source, sink = str(tmp_path / "in"), f"file://{tmp_path}/out"
     schema = "chunk_id long, document_id long, chunk_index int, content string"
