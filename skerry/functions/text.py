@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +37,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def strip(text: Column) -> Column:
+    """Without white space (as \\s means it) at both ends: a pattern would be tried at every space in between."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
 # Marks for cutting texts by patterns; a mark that a text has itself is escaped meanwhile.
 _MARK, CUT, _ESCAPED = "\u0001", "\u0001\u0003", "\u0001\u0002"
 
@@ -62,27 +69,30 @@ def clean_whitespace(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(nfkc(text), CONTROLS, ""), LINE_FEEDS, "\n\n")
 
 
-# Markdown constructs and what stays of them, in this order.
+# Markdown constructs and what stays of them, in this order; and marks of which a text must have one for the pattern to fit.
 MARKDOWN_RULES = [
-    (r"(?s)```[a-zA-Z0-9_+-]*\n(.*?)```", "$1"),
-    (r"`([^`]+)`", "$1"),
-    (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
-    (r"(?m)^#{1,6}\s+(.*)$", "$1"),
-    (r"(\*\*\*|___)(.+?)\1", "$2"),
-    (r"(\*\*|__)(.+?)\1", "$2"),
-    (r"(\*|_)(.+?)\1", "$2"),
-    (r"(?m)^>\s?", ""),
-    (r"(?m)^\s*([-*_])\1{2,}\s*$", ""),
-    (r"(?m)^(\s*)([-*+]|\d+\.)\s+", "$1- "),
-    (r"(?m)^\|?[\s:|-]+\|[\s:|-]*$", ""),
-    (r"(?m)^\|\s*(.*?)\s*\|$", "$1"),
+    (r"(?s)```[a-zA-Z0-9_+-]*\n(.*?)```", "$1", ["```"]),
+    (r"`([^`]+)`", "$1", ["`"]),
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1", ["!["]),
+    (r"\[([^\]]+)\]\([^)]*\)", "$1", ["["]),
+    (r"(?m)^#{1,6}\s+(.*)$", "$1", ["#"]),
+    (r"(\*\*\*|___)(.+?)\1", "$2", ["***", "___"]),
+    (r"(\*\*|__)(.+?)\1", "$2", ["**", "__"]),
+    (r"(\*|_)(.+?)\1", "$2", ["*", "_"]),
+    (r"(?m)^>\s?", "", [">"]),
+    (r"(?m)^\s*([-*_])\1{2,}\s*$", "", ["---", "***", "___"]),
+    (r"(?m)^(\s*)([-*+]|\d+\.)\s+", "$1- ", ["-", "*", "+", "."]),
+    (r"(?m)^\|?[\s:|-]+\|[\s:|-]*$", "", ["|"]),
+    (r"(?m)^\|\s*(.*?)\s*\|$", "$1", ["|"]),
 ]
 
 
 def markdown_to_text(text: Column) -> Column:
-    for pattern, kept in MARKDOWN_RULES:
-        text = F.regexp_replace(text, pattern, kept)
+    def rule(pattern: str, kept: str, marks: list[str]) -> Callable[[Column], Column]:
+        return lambda t: F.when(reduce(or_, [F.contains(t, F.lit(m)) for m in marks]), F.regexp_replace(t, pattern, kept)).otherwise(t)
+
+    for pattern, kept, marks in MARKDOWN_RULES:
+        text = bind(text, rule(pattern, kept, marks))
     return text
 
 
@@ -245,4 +255,4 @@ def clean_documents(pages: DataFrame, steps: Sequence[str] = ("whitespace", "lab
     known = {"whitespace": clean_whitespace, "lab_values": protect_lab_values, "headers": isolate_section_headers, "markdown": markdown_to_text, "ocr": fix_ocr_tokens}
     for s in steps:
         pages = pages.withColumn("text", known[s](F.col("text")))
-    return pages.withColumn("text", F.regexp_replace("text", r"^\s+|\s+\z", ""))
+    return pages.withColumn("text", strip(F.col("text")))

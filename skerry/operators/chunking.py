@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.functions.text import CUT, LAB_PATTERNS, bind, cut_at_marks, word_count
+from skerry.functions.text import CUT, LAB_PATTERNS, bind, cut_at_marks, strip, word_count
 
 # What lines look like, and units that may begin a cut-off lab value.
 BLANK_LINES = r"(\n[ \t]*\n[ \t\n]*)"
@@ -39,10 +39,6 @@ class ChunkingConfig:
     keep_preamble: bool = False
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
-
-
 def count_tokens(text: Column) -> Column:
     return word_count(text)
 
@@ -98,7 +94,7 @@ def is_header_line(line: Column) -> Column:
 
 
 def first_line(text: Column) -> Column:
-    return strip(F.split_part(text, F.lit("\n"), F.lit(1)))
+    return strip(F.substring_index(text, "\n", 1))
 
 
 def classify_block(text: Column) -> Column:
@@ -120,7 +116,7 @@ def split_blocks(pages: DataFrame, paragraphs: bool = True) -> DataFrame:
 def peel_header(blocks: DataFrame) -> DataFrame:
     """A header on a block's first line becomes a block of its own; adds ``kind``."""
     text = F.col("text")
-    head = F.split_part(text, F.lit("\n"), F.lit(1))
+    head = F.substring_index(text, "\n", 1)
     rest = F.substring(text, F.length(head) + 2, F.length(text))
 
     def block(t: Column, kind: Column, start: Column, end: Column) -> Column:
@@ -192,14 +188,21 @@ def fixed_token_windows(text: Column, base: Column, window: int) -> Column:
     return _placed(bind(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), cut), base)
 
 
-def _chunk(content: Column, kind: Column | str, start: Column, end: Column) -> Column:
+def _chunk(content: Column, kind: Column | str, start: Column, end: Column, n: Column | None = None) -> Column:
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    return F.struct(content.alias("content"), kind.alias("chunk_type"), start.cast("int").alias("char_start"), end.cast("int").alias("char_end"), count_tokens(content).alias("token_count"))
+    return F.struct(content.alias("content"), kind.alias("chunk_type"), start.cast("int").alias("char_start"), end.cast("int").alias("char_end"), (count_tokens(content) if n is None else n).alias("token_count"))
 
 
 def last_tokens(text: Column, n: int) -> Column:
     """The last n tokens joined by one space, or the text itself if it has no more."""
-    return bind(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), lambda tokens: F.when(F.size(tokens) <= n, text).otherwise(F.array_join(F.slice(tokens, F.greatest(F.size(tokens) - n + 1, F.lit(1)), F.lit(max(n, 1))), " ")))
+    def last(tokens: Column, fewer: Column) -> Column:
+        return F.when(F.size(tokens) <= n, fewer).otherwise(F.array_join(F.slice(tokens, F.greatest(F.size(tokens) - n + 1, F.lit(1)), F.lit(max(n, 1))), " "))
+
+    def tokens(text: Column) -> Column:
+        return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+
+    # the end of the text mostly has enough of them; its first one may be cut, and is never among the last n of more than n
+    return bind(tokens(F.right(text, F.lit(16 * max(n, 1)))), lambda end: last(end, bind(tokens(text), lambda whole: last(whole, text))))
 
 
 def accumulate_units(units: Column, config: ChunkingConfig, kind: str) -> Column:
@@ -238,11 +241,11 @@ def accumulate_units(units: Column, config: ChunkingConfig, kind: str) -> Column
 def chunk_block(config: ChunkingConfig) -> Column:
     """Chunks of a block (columns text, kind, char_start, char_end)."""
     text, kind, start = F.col("text"), F.col("kind"), F.col("char_start")
-    whole = F.array(_chunk(text, F.when(kind == "header", "header+content").otherwise(kind), start, F.col("char_end")))
+    whole = lambda n: F.array(_chunk(text, F.when(kind == "header", "header+content").otherwise(kind), start, F.col("char_end"), n))
     units = glue_split_lab_values(split_sentences(text, start)) if config.sentences else fixed_token_windows(text, start, config.max_tokens)
-    return (F.when(kind.isin("table", "header") | (count_tokens(text) <= config.max_tokens), whole)
-            .when(kind == "list", accumulate_units(split_list_items(text, start, config.keep_preamble), config, "list"))
-            .otherwise(accumulate_units(units, config, "paragraph")))
+    return bind(count_tokens(text), lambda n: F.when(kind.isin("table", "header") | (n <= config.max_tokens), whole(n))
+                .when(kind == "list", accumulate_units(split_list_items(text, start, config.keep_preamble), config, "list"))
+                .otherwise(accumulate_units(units, config, "paragraph")))
 
 
 def merge_small_chunks(chunks: Column, config: ChunkingConfig) -> Column:
